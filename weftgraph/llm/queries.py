@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import exact_dedup, license_scan, mixing, sharding
+from weftgraph.llm import chat_format, decontaminate, exact_dedup, license_scan, mixing, near_dedup, quality, sharding, warc
 from weftgraph.llm.common import read_table
 
 
@@ -10,22 +10,54 @@ def op1_license_scan(spark, sf_dir):
     return license_scan.license_scan(read_table(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark, sf_dir):
+    turns = chat_format.with_probe(read_table(spark, sf_dir, "conversations"))
+    return chat_format.read_back(chat_format.format_conversations(turns))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op4_near_dedup(spark, sf_dir):
+    return near_dedup.near_dedup(read_table(spark, sf_dir, "documents"))
+
+
+def op5_warc(spark, sf_dir):
+    captures, index = warc.archive_pages(read_table(spark, sf_dir, "pages"))
+    return warc.read_through_index(captures, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_decontaminate(spark, sf_dir):
+    found = decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.drop("_rid", "spans")
+
+
 def op8_mixing(spark, sf_dir):
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op10_sharding(spark, sf_dir):
     return sharding.assign_shards(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_exact_dedup, op8_mixing, op10_sharding)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_chat_format, op3_exact_dedup, op4_near_dedup, op5_warc, op6_decontaminate, op8_mixing, op9_quality, op10_sharding,
+    )
+}
 ORACLES = {
     "op1_license_scan": license_scan.ORACLE,
+    "op2_chat_format": chat_format.ORACLE,
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op5_warc": warc.ORACLE,
+    "op6_decontaminate": decontaminate.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op10_sharding": sharding.ORACLE,
 }
