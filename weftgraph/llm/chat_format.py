@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.common import arrow_map
+
 BATCH = 4096  # rows that a task holds back before it hands them on
 BATCH_CHARS = 1 << 22  # or so many characters
 
@@ -153,7 +155,7 @@ def format_conversations(turns: DataFrame, template: Template | None = None) ->
 
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), role.alias("role"), text.alias("text"))
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, SEGMENTS)
+    return arrow_map(rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text"), run, SEGMENTS)
 
 
 def read_back(segments: DataFrame, template: Template | None = None) -> DataFrame:
@@ -189,7 +191,7 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
 
         return _batches(rows(), _READ, None)
 
-    return segments.mapInArrow(run, READ)
+    return arrow_map(segments, run, READ)
 
 
 #: A conversation that holds control strings of the template, to show that they come back.

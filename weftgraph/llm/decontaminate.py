@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import numbered, stage
+from weftgraph.llm.common import arrow_map, numbered, stage
 
 WINDOW = 13  # words that count as contamination
 GRAM = 8  # words of a fingerprint
@@ -171,7 +171,7 @@ def _fingerprinted(rows: DataFrame, types: dict[str, str], kinds: list[int] | No
                     found.append([{"kind": k, "mark": m, "ctx": c, "at": a} for k, m, c, a in fingerprints(words, own, outside, keep)])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n_words, pa.int64()), pa.array(found, _FOUND)], schema=schema)
 
-    return rows.mapInArrow(run, f"{', '.join(f'{k} {t}' for k, t in types.items())}, n_words bigint, found {FOUND}")
+    return arrow_map(rows, run, f"{', '.join(f'{k} {t}' for k, t in types.items())}, n_words bigint, found {FOUND}")
 
 
 def _reach(side: str) -> str:

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import numbered, stage, unstage
+from weftgraph.llm.common import arrow_map, numbered, stage, unstage
 from weftgraph.llm.decontaminate import Filter, WordHashes, gram_hashes
 
 SHINGLE = 5
@@ -139,7 +139,7 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(marks, pa.int64()), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], schema=_SIGNED)
 
     rows = numbered(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text")))
-    return rows.select("_rid", "doc_id", "text").mapInArrow(run, "_rid bigint, doc_id bigint, mark bigint, n bigint, digest binary, sig binary")
+    return arrow_map(rows.select("_rid", "doc_id", "text"), run, "_rid bigint, doc_id bigint, mark bigint, n bigint, digest binary, sig binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -160,7 +160,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
                     yield pa.RecordBatch.from_arrays([pa.array(marks[at]), pa.array([ids[k] for k in at], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    found = rows.mapInArrow(run, "mark bigint, doc_id bigint, shingles array<bigint>")
+    found = arrow_map(rows, run, "mark bigint, doc_id bigint, shingles array<bigint>")
     same = (F.col("f.mark") == F.col("w.mark")) & F.col("f.doc_id").eqNullSafe(F.col("w.doc_id"))
     found = found.alias("f").join(wanted.alias("w"), same).groupBy("id").agg(F.first("shingles").alias("shingles"))
     return stage(found.withColumn("n", F.size("shingles").cast("bigint")), "shingles")
@@ -207,7 +207,7 @@ def _pruned(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
     sig = reps.select("id", "sig")
     rows = pairs.select("a", "b").join(sig.withColumnsRenamed({"id": "b", "sig": "sb"}), "b").join(sig.withColumnsRenamed({"id": "a", "sig": "sa"}), "a")
-    return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return arrow_map(rows.select("a", "b", "sa", "sb"), run, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -301,7 +301,7 @@ def _across(members: DataFrame, comp: DataFrame, reps: DataFrame, best_only: boo
         if held is not None:
             yield from emit(held)
 
-    return rows.mapInArrow(run, _BLOCKS).distinct()
+    return arrow_map(rows, run, _BLOCKS).distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,7 +322,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0), lists], schema=key_schema)
 
-    keys = reps.where(f"n >= {LEAST_SET}").select("id", "sig").mapInArrow(keyed, "id bigint, keys array<bigint>")
+    keys = arrow_map(reps.where(f"n >= {LEAST_SET}").select("id", "sig"), keyed, "id bigint, keys array<bigint>")
     keys = stage(keys.select("id", F.explode("keys").alias("key")), "band-keys")
     shared = keys.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("k")).where("k > 1")
     members = stage(keys.join(shared.drop("k"), "key"), "buckets")

@@ -26,14 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.common import arrow_map
 from weftgraph.llm.decontaminate import WORD_BYTES
 
 TRAIN_ROWS = 12_000
 BITS = 18
 GRADES = 3
 GOOD = 2
-EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 0.6, 1.0  # of FTRL-proximal
+EPOCHS = 12
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 10.0, 0.05  # of FTRL-proximal
 KEEP_FROM = 0.5  # tail probability
 
 _SIZE = 1 << BITS
@@ -129,7 +130,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -
 
     # At most ``limit`` rows are broadcast; rows that repeat an id leave one.
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(rated), "doc_id")
-    rows = rows.select("doc_id", "grade", "text").mapInArrow(run, "doc_id bigint, grade int, features array<int>")
+    rows = arrow_map(rows.select("doc_id", "grade", "text"), run, "doc_id bigint, grade int, features array<int>")
     rows = rows.groupBy("doc_id").agg(F.min("grade").alias("grade"), F.min("features").alias("features"))
     return [(r.grade, r.features) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator()]
 
@@ -172,4 +173,4 @@ def score_quality(docs: DataFrame, model: OrdinalModel, keep_from: float = KEEP_
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names=[*b.schema.names[:-1], "expected_grade", "tail_prob", "kept"])
 
     out = f"{', '.join(f'`{x.name}` {x.dataType.simpleString()}' for x in schema)}, expected_grade double, tail_prob double, kept boolean"
-    return docs.select(*carry, F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, out)
+    return arrow_map(docs.select(*carry, F.col(text_col).cast("binary").alias("_text")), run, out)

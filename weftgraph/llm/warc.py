@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import new_path, stage
+from weftgraph.llm.common import arrow_map, new_path, stage
 
 REVISIT_BYTES = 1000
 ARCHIVE_RECORDS = 2000
@@ -127,7 +127,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _CAPTURE, strict=True)], schema=_CAPTURE)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(run, CAPTURE)
+    return arrow_map(files, run, CAPTURE)
 
 
 BLOCK = "first_key string, last_key string, lines int, data binary"
@@ -167,7 +167,7 @@ class CaptureIndex:
         lines = captures.select(key, *LINE_FIELDS[1:])
         # Offsets and archives part equal keys, so a much captured page spreads over partitions.
         lines = lines.repartitionByRange("url_key", "archive", "offset").sortWithinPartitions("url_key", "archive", "offset")
-        lines.mapInArrow(pack, BLOCK).write.parquet(f"{path}/blocks")
+        arrow_map(lines, pack, BLOCK).write.parquet(f"{path}/blocks")
         index = cls(spark, path)
         directory = index.blocks().select("first_key", "last_key", "lines", F.col("_metadata.file_name").alias("file"))
         directory.write.parquet(f"{path}/directory")
@@ -189,7 +189,7 @@ class CaptureIndex:
                     rows = [_line(x) for x in zlib.decompress(data.as_py()).decode("utf-8").split("\n")]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-        return self.blocks().select("data").mapInArrow(unpack, "url_key string, archive string, offset bigint, length bigint, page_id bigint")
+        return arrow_map(self.blocks().select("data"), unpack, "url_key string, archive string, offset bigint, length bigint, page_id bigint")
 
     def lookup(self, url: str) -> list[tuple[dict[str, str], bytes]]:
         """Header fields and block of every record of a URL, by two binary searches and range reads."""
