@@ -60,12 +60,12 @@ def pareto_rank(u: Column, p: Column) -> Column:
     return F.floor(a / (a + b) * F.lit(float(1 << RANK_BITS))).cast("bigint")
 
 
-def mix_sources(docs: DataFrame, seed: str = "mix-0:", id_col: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken (= copies * size)."""
+def mix_sources(docs: DataFrame, seed: str = "mix-0:", id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, ``carry``, source, size, source_size, target, copies, taken (= copies * size)."""
     key = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text_or_empty()), F.coalesce("source", F.lit("")))
     sized = stage(
         docs.select(
-            F.col(id_col).cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
+            F.col(id_col).cast("bigint").alias("doc_id"), *carry, F.col("source").cast("string").alias("source"),
             F.regexp_count(text_or_empty(), F.lit(SPACED_WORD)).cast("bigint").alias("size"), uniform(key, seed).alias("u"),
         ), "mix-sizes",
     )
@@ -74,7 +74,7 @@ def mix_sources(docs: DataFrame, seed: str = "mix-0:", id_col: str = "doc_id") -
     p = F.when(F.col("source_size") > 0, F.col("lack") / F.col("source_size")).otherwise(0.0)
     ranked = (
         sized.alias("d").join(targets.alias("t"), same)
-        .select("doc_id", "d.source", "size", "source_size", "target", "certain", "lack", F.when(p > 0, pareto_rank(F.col("u"), p)).alias("rank"))
+        .select("doc_id", *carry, "d.source", "size", "source_size", "target", "certain", "lack", F.when(p > 0, pareto_rank(F.col("u"), p)).alias("rank"))
     )
     ranked = stage(ranked, "mix-ranks")
     unstage(sized)
@@ -96,7 +96,7 @@ def mix_sources(docs: DataFrame, seed: str = "mix-0:", id_col: str = "doc_id") -
     ends = stage(ends.select("source", F.coalesce(F.col("last"), F.col("least") - 1).alias("last")), "mix-ends")
     out = ranked.alias("d").join(ends.alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")), "left")
     copies = F.col("certain") + F.coalesce(F.col("rank") <= F.col("last"), F.lit(False)).cast("bigint")
-    return out.select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", *carry, F.col("d.source").alias("source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def _crossing(cells: DataFrame, base: Column, keys: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import chat_format, decontaminate, exact_dedup, license_scan, mixing, near_dedup, quality, sharding, warc
+from weftgraph.llm import chat_format, decontaminate, exact_dedup, html_extract, license_scan, mixing, near_dedup, quality, sharding, warc
 from weftgraph.llm.common import read_table
 
 
@@ -20,7 +20,7 @@ def op3_exact_dedup(spark, sf_dir):
 
 
 def op4_near_dedup(spark, sf_dir):
-    return near_dedup.near_dedup(read_table(spark, sf_dir, "documents"))
+    return near_dedup.near_dedup(read_table(spark, sf_dir, "documents")).drop("_rid", "stays")
 
 
 def op5_warc(spark, sf_dir):
@@ -33,6 +33,10 @@ def op6_decontaminate(spark, sf_dir):
     return found.drop("_rid", "spans")
 
 
+def op7_html_extract(spark, sf_dir):
+    return html_extract.extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark, sf_dir):
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_sharding(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_license_scan, op2_chat_format, op3_exact_dedup, op4_near_dedup, op5_warc, op6_decontaminate, op8_mixing, op9_quality, op10_sharding,
+        op1_license_scan, op2_chat_format, op3_exact_dedup, op4_near_dedup, op5_warc, op6_decontaminate, op7_html_extract, op8_mixing, op9_quality, op10_sharding,
     )
 }
 ORACLES = {
