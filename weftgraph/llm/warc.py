@@ -33,6 +33,7 @@ REVISIT_BYTES = 1000
 ARCHIVE_RECORDS = 2000
 BLOCK_LINES = 1000
 DIRECTORY_LIMIT = 1_000_000  # lines of the directory that a lookup may hold in memory; beyond, it filters them in place
+BROADCAST_GROUPS = 100_000  # groups of copies, of some 70 bytes each, that may be broadcast; beyond, pages are shuffled to them
 WARC_DATE = "2000-01-01T00:00:00Z"  # pages carry no time of their own
 
 CAPTURE = (
@@ -63,7 +64,8 @@ def write_archives(pages: DataFrame, path: str) -> None:
     url = F.regexp_replace(F.coalesce("url", F.lit("urn:none:")), r"[\x00-\x1F\x7F]", "%20")
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), url.alias("url"), html.alias("html"), F.sha1(html).alias("digest"), F.octet_length(html).alias("bytes"))
     copies = rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    rows = rows.join(copies.where("n > 1").drop("n"), "digest", "left")
+    copies = stage(copies.where("n > 1").drop("n"), "payload-groups")
+    rows = rows.join(F.broadcast(copies) if copies.count() <= BROADCAST_GROUPS else copies, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     page = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")), F.lit(">"))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit("\r\n\r\n"))
