@@ -32,7 +32,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from math import comb
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -40,20 +40,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_map, numbered, stage, unstage
+from weftgraph.llm.common import arrow_map, stage, unstage
 from weftgraph.llm.decontaminate import Filter, WordHashes, gram_hashes
 
 SHINGLE = 5
 SIMILARITY = 85  # per cent
 HASHES, BANDS, ROWS = 256, 24, 6
+MORE = 768  # further values of candidates, of 8 bits each
 LOOKS = (32, 64, 96, 128, 192, 256)  # signature values compared before each pruning
+MORE_LOOKS = (384, 512, 768, 1024)  # and with the further ones
 MISS = 1e-6  # of a pruning, for a pair that would be linked
 LEAST_SET = 6  # smaller sets can only link with equal ones
 BLOCK = 1024
 
 _RNG = np.random.default_rng(85)
-_A = (_RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64) | 1).astype(np.uint32)
-_B = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
+_A = (_RNG.integers(0, 1 << 32, HASHES + MORE, dtype=np.uint64) | 1).astype(np.uint32)
+_B = _RNG.integers(0, 1 << 32, HASHES + MORE, dtype=np.uint64).astype(np.uint32)
 _M = _RNG.integers(0, 1 << 63, ROWS + 1, dtype=np.uint64) | np.uint64(1)
 
 
@@ -65,14 +67,24 @@ def shingle_set(text: bytes | None, known: WordHashes) -> np.ndarray:
     return np.unique(gram_hashes(np.array([known[w] for w in words], dtype=np.uint64), min(SHINGLE, len(words))))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """Minimum hashes, 16 bits of each."""
+def _least(shingles: np.ndarray, of: slice) -> np.ndarray:
     low = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
-    least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
+    factors, terms = _A[of], _B[of]
+    least = np.full(len(factors), 0xFFFFFFFF, np.uint32)
     for start in range(0, len(low), 1024):
-        part = low[start : start + 1024]
-        np.minimum(least, (part[:, None] * _A + _B).min(axis=0), out=least)
-    return (least ^ (least >> np.uint32(16))).astype(np.uint16)
+        np.minimum(least, (low[start : start + 1024, None] * factors + terms).min(axis=0), out=least)
+    return least ^ (least >> np.uint32(16))
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """Minimum hashes, 16 bits of each."""
+    return _least(shingles, slice(0, HASHES)).astype(np.uint16)
+
+
+def more_values(shingles: np.ndarray) -> np.ndarray:
+    """Further minimum hashes, 8 bits of each. That some agree by chance can only keep a pair."""
+    least = _least(shingles, slice(HASHES, None))
+    return (least ^ (least >> np.uint32(8))).astype(np.uint8)
 
 
 def band_keys(sigs: np.ndarray) -> np.ndarray:
@@ -91,24 +103,29 @@ def least_matches(n: int, similarity: int = SIMILARITY, miss: float = MISS) -> i
     """The least m of n equal values that keeps a pair: P(Bin(n + 1, t) <= m) >= miss."""
     t, total = similarity / 100, 0.0
     for m in range(n + 1):
-        total += comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
+        total += exp(lgamma(n + 2) - lgamma(m + 1) - lgamma(n + 2 - m) + m * log(t) + (n + 1 - m) * log(1 - t))
         if total >= miss:
             return m
     return n
 
 
-def survivors(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs (rows of both arrays) survive all looks, and their equal values."""
-    alive, same, done = np.arange(len(left)), np.zeros(len(left), np.int32), 0
-    for look in LOOKS:
-        same = same + (left[alive, done:look] == right[alive, done:look]).sum(axis=1, dtype=np.int32)
+def survivors(left: np.ndarray, right: np.ndarray, at: tuple[np.ndarray, np.ndarray] | None = None, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs survive all looks, and their equal values.
+
+    Pairs are the rows of ``left`` and ``right``, or those that ``at`` names; ``more`` holds the further values by row.
+    """
+    i, j = at if at is not None else (np.arange(len(left)), np.arange(len(right)))
+    alive, same, done = np.arange(len(i)), np.zeros(len(i), np.int32), 0
+    for look in LOOKS if more is None else (*LOOKS, *MORE_LOOKS):
+        x, y, start, end = (left, right, done, look) if look <= HASHES else (more, more, done - HASHES, look - HASHES)
+        same = same + (x[i[alive], start:end] == y[j[alive], start:end]).sum(axis=1, dtype=np.int32)
         ok = same >= least_matches(look)
         alive, same, done = alive[ok], same[ok], look
     return alive, same
 
 
-def _sigs(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in column), np.uint16).reshape(-1, HASHES)
+def _sigs(column: pa.Array, kind: type = np.uint16, width: int = HASHES) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_py() for x in column), kind).reshape(-1, width)
 
 
 _SIGNED = pa.schema([("_rid", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
@@ -120,7 +137,7 @@ def _mark(text: bytes | None, doc_id: int | None) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
-def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """A row per document: _rid, doc_id, mark, n (shingles), digest of the set, signature. Lazy; stage it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,14 +155,15 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                     sigs.append(signature(found).tobytes() if len(found) else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(marks, pa.int64()), pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], schema=_SIGNED)
 
-    rows = numbered(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text")))
+    number = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+    rows = docs.select(number.alias("_rid"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return arrow_map(rows.select("_rid", "doc_id", "text"), run, "_rid bigint, doc_id bigint, mark bigint, n bigint, digest binary, sig binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, shingles, n) of the wanted rows (id, mark, doc_id), by a second pass over the texts."""
+    """(id, shingles, n, more) of the wanted rows (id, mark, doc_id), by a second pass over the texts."""
     keep = Filter.of(wanted.select("mark"))
-    schema = pa.schema([("mark", pa.int64()), ("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    schema = pa.schema([("mark", pa.int64()), ("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64())), ("more", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -156,13 +174,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> Dat
                 marks = np.array([_mark(t.as_py(), i) for i, t in zip(ids, part.column(1), strict=True)], dtype=np.int64)
                 at = np.flatnonzero(keep(marks.view(np.uint64)))
                 if len(at):
-                    sets = [shingle_set(part.column(1)[int(k)].as_py(), known).view(np.int64) for k in at]
-                    yield pa.RecordBatch.from_arrays([pa.array(marks[at]), pa.array([ids[k] for k in at], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=schema)
+                    sets = [shingle_set(part.column(1)[int(k)].as_py(), known) for k in at]
+                    columns = [marks[at], [ids[k] for k in at], [x.view(np.int64) for x in sets], [more_values(x).tobytes() for x in sets]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    found = arrow_map(rows, run, "mark bigint, doc_id bigint, shingles array<bigint>")
+    found = arrow_map(rows, run, "mark bigint, doc_id bigint, shingles array<bigint>, more binary")
     same = (F.col("f.mark") == F.col("w.mark")) & F.col("f.doc_id").eqNullSafe(F.col("w.doc_id"))
-    found = found.alias("f").join(wanted.alias("w"), same).groupBy("id").agg(F.first("shingles").alias("shingles"))
+    found = found.alias("f").join(wanted.alias("w"), same).groupBy("id").agg(F.first("shingles").alias("shingles"), F.first("more").alias("more"))
     return stage(found.withColumn("n", F.size("shingles").cast("bigint")), "shingles")
 
 
@@ -231,7 +250,7 @@ def _across(members: DataFrame, comp: DataFrame, reps: DataFrame, best_only: boo
     per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
     per = per.groupBy("key").agg(F.max(F.struct("k", F.col("comp"))).alias("top"), F.sum("k").alias("all"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     per = per.select("key", F.col("top.comp").alias("major"), F.ceil(F.col("top.k") / BLOCK).cast("int").alias("nx"), F.ceil((F.col("all") - F.col("top.k")) / BLOCK).cast("int").alias("ny"))
-    rows = rows.join(per, "key").join(reps.select("id", "sig", "n"), "id")
+    rows = rows.join(per, "key").join(reps.select("id", "sig", "more", "n"), "id")
     minor = F.col("comp") != F.col("major")
     slot = F.pmod(F.xxhash64("id", "key"), F.when(minor, F.col("ny")).otherwise(F.col("nx"))).cast("int")
     rows = rows.withColumn("slot", slot)
@@ -242,11 +261,11 @@ def _across(members: DataFrame, comp: DataFrame, reps: DataFrame, best_only: boo
     as_right = F.transform(upto(F.col("nx") + F.col("slot") + 1), lambda x: cell(x.cast("int"), F.col("slot"), 1))
     as_left = F.transform(F.sequence(F.col("slot"), F.col("ny") - 1), lambda y: cell(F.col("nx") + F.col("slot"), y.cast("int"), 0))
     cells = F.when(minor, F.concat(as_right, as_left)).otherwise(of_major)
-    rows = rows.select("key", "id", "comp", "n", "sig", F.explode(cells).alias("c")).select("key", "c.x", "c.y", "c.side", "id", "comp", "n", "sig")
+    rows = rows.select("key", "id", "comp", "n", "sig", "more", F.explode(cells).alias("c")).select("key", "c.x", "c.y", "c.side", "id", "comp", "n", "sig", "more")
     rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def block(key: int, side: np.ndarray, ids: np.ndarray, comps: np.ndarray, ns: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def block(key: int, side: np.ndarray, ids: np.ndarray, comps: np.ndarray, ns: np.ndarray, sigs: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         found_l, found_r, found_m = [], [], []
         for start in range(0, len(left), 64):
@@ -257,7 +276,7 @@ def _across(members: DataFrame, comp: DataFrame, reps: DataFrame, best_only: boo
             i, j = np.nonzero(ok)
             if not len(i):
                 continue
-            alive, same = survivors(sigs[li[i]], sigs[right[j]])
+            alive, same = survivors(sigs, sigs, (li[i], right[j]), more)
             found_l.append(li[i[alive]])
             found_r.append(right[j[alive]])
             found_m.append(same)
@@ -291,7 +310,7 @@ def _across(members: DataFrame, comp: DataFrame, reps: DataFrame, best_only: boo
         for x in batches:
             if not x.num_rows:
                 continue
-            new = [x.column(k).to_numpy(zero_copy_only=False) for k in range(7)] + [_sigs(x.column(7))]
+            new = [x.column(k).to_numpy(zero_copy_only=False) for k in range(7)] + [_sigs(x.column(7)), _sigs(x.column(8), np.uint8, MORE)]
             held = new if held is None else [np.concatenate([p, q]) for p, q in zip(held, new, strict=True)]
             head = np.stack(held[:3], axis=1)
             last = int(np.flatnonzero((head == head[-1]).all(axis=1))[0])  # the last block may go on
@@ -304,11 +323,16 @@ def _across(members: DataFrame, comp: DataFrame, reps: DataFrame, best_only: boo
     return arrow_map(rows, run, _BLOCKS).distinct()
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
-    rows = stage(signed(docs, id_col, text_col), "signatures")
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per document: _rid, doc_id, n_shingles, component_id, kept, stays.
+
+    ``kept`` goes by ids; ``stays`` marks exactly one row of each component, the one with the least id (then the
+    least _rid; null ids come last). ``row_col`` names a unique number that the rows have; else they get one.
+    """
+    rows = stage(signed(docs, id_col, text_col, row_col), "signatures")
     reps = rows.where("n > 0").groupBy("digest").agg(
         F.min("_rid").alias("id"), F.min("doc_id").alias("doc"), F.min(F.struct("_rid", "mark", "doc_id")).alias("of"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid")).alias("lead"),
         F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"),
     )
     reps = stage(reps.withColumns({"mark": F.col("of.mark"), "doc_id": F.col("of.doc_id")}).drop("of"), "representatives")
@@ -332,6 +356,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     comp = stage(ids.select("id", F.col("id").alias("comp")), "components")
     held = stage(reps.join(ids, "id", "left_semi").select("id", "sig", "n", "mark", "doc_id"), "candidates")
     sets = _sets(docs, held.select("id", "mark", "doc_id"), id_col, text_col)
+    held = stage(held.select("id", "sig", "n").join(sets.select("id", "more"), "id"), "candidates")
 
     # Each member meets the centre with which it shares most buckets.
     meets = members.where("id <> centre").groupBy("id", "centre").agg(F.count(F.lit(1)).alias("k"))
@@ -344,11 +369,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     comp = _merged(comp, _verified(rest, sets, SIMILARITY))
 
     # Components of representatives; a document finds its own through its digest, where there is more than itself.
-    of = reps.select("digest", "id", "doc", "copies").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    least = of.groupBy("comp").agg(F.min("doc").alias("component_id"), F.sum("copies").alias("size")).where("size > 1")
-    verdicts = stage(of.select("digest", "comp").join(least.drop("size"), "comp").select("digest", "component_id"), "near-verdicts")
+    of = reps.select("digest", "id", "doc", "lead", "copies").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    least = of.groupBy("comp").agg(F.min("doc").alias("component_id"), F.min("lead").alias("lead"), F.sum("copies").alias("size")).where("size > 1")
+    verdicts = of.select("digest", "comp").join(least.select("comp", "component_id", F.col("lead._rid").alias("first")), "comp")
+    verdicts = stage(verdicts.select("digest", "component_id", "first"), "near-verdicts")
     unstage(members, sets, best, held, comp)
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(verdicts, "digest", "left")
+    out = rows.select("_rid", "doc_id", F.col("n").alias("n_shingles"), "digest").join(verdicts, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
+    kept, stays = F.col("doc_id").eqNullSafe(component), F.coalesce(F.col("_rid") == F.col("first"), F.lit(True))
+    return out.select("_rid", "doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), stays.alias("stays"))
