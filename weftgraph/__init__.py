@@ -1,0 +1 @@
+"""Analytics over property graphs of software, on Spark."""
