@@ -6,13 +6,12 @@ import atexit
 import string
 import tempfile
 import uuid
-import zipfile
-from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.plans.shipping import arrow_map as arrow_map  # the operators take it from here
+
 #: Text patterns of the operators' contracts, for Java and RE2 alike.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
 _LEFT: dict[str, SparkSession] = {}
@@ -85,25 +84,3 @@ def numbered(df: DataFrame, name: str = "_rid") -> DataFrame:
     """A number per row; stage() the result before using it twice."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
-
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, whatever their own Python path holds."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="weft-package-")) / "weftgraph.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in package.rglob("*.py"):
-            z.write(f, f"{package.name}/{f.relative_to(package)}")
-    context.addPyFile(str(target))
-    _SHIPPED.add(context.applicationId)
-
-
-def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """mapInArrow() with this package on the executors."""
-    ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
