@@ -31,10 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_map
+from weftgraph.llm.common import arrow_map, stage
 
 LEAST_IMPORTANCE = 0.5
 LEAST_PAGES = 5
+BROADCAST_PATHS = 100_000  # unimportant paths, of 16 bytes each, that may be broadcast; beyond, pages are shuffled to their hosts'
 
 # Elements of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -267,8 +268,10 @@ def extract_text(pages: DataFrame) -> DataFrame:
     host = F.regexp_extract(F.lower(url), HOST, 1)
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.when(host != "", F.xxhash64(host)).alias("host"))
     tree = style_tree(rows.where("host IS NOT NULL"))
-    low = tree.where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).groupBy("host").agg(F.collect_list("path").alias("low"))
-    rows = rows.join(low, "host", "left").select("page_id", "url", "low", "html")
+    low = stage(tree.where((F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LEAST_IMPORTANCE)).select("host", "path"), "unimportant-paths")
+    small = low.count() <= BROADCAST_PATHS
+    low = low.groupBy("host").agg(F.collect_list("path").alias("low"))
+    rows = rows.join(F.broadcast(low) if small else low, "host", "left").select("page_id", "url", "low", "html")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
