@@ -22,7 +22,8 @@ from weftgraph.llm.common import numbered, read_table, stage, unstage
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fits on the labelled documents among ``docs``; null text is judged as an empty one."""
     model = quality.fit_quality(docs, read_table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs.withColumn("_judged", F.col("text")), model, carry=docs.columns, text_col="_judged").where("kept").select(docs.columns)
+    scored = quality.score_quality(docs.withColumn("_judged", F.col("text")), model, carry=docs.columns, text_col="_judged", prefix="_q_")
+    return scored.where("_q_kept").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

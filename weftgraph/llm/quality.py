@@ -156,8 +156,8 @@ class _Weights(dict):
         return w
 
 
-def score_quality(docs: DataFrame, model: OrdinalModel, keep_from: float = KEEP_FROM, carry: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """``carry`` columns (doc_id) of each document, with expected_grade, tail_prob and kept."""
+def score_quality(docs: DataFrame, model: OrdinalModel, keep_from: float = KEEP_FROM, carry: list[str] | None = None, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """``carry`` columns (doc_id) of each document, with expected_grade, tail_prob and kept; ``prefix`` keeps these names off the input's."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((model.weights, model.thresholds))
     carry = carry or ["doc_id"]
@@ -170,7 +170,7 @@ def score_quality(docs: DataFrame, model: OrdinalModel, keep_from: float = KEEP_
             # Sums of exact order, so that a document's score does not hang on the order of a set.
             scored = [own.grades(math.fsum(map(known.__getitem__, names_of(t.as_py())))) for t in b.column(b.num_columns - 1)]
             more = [pa.array([s[0] for s in scored], pa.float64()), pa.array([s[1] for s in scored], pa.float64()), pa.array([s[1] >= keep_from for s in scored], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names=[*b.schema.names[:-1], "expected_grade", "tail_prob", "kept"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names=[*b.schema.names[:-1], *(f"{prefix}{x}" for x in ("expected_grade", "tail_prob", "kept"))])
 
-    out = f"{', '.join(f'`{x.name}` {x.dataType.simpleString()}' for x in schema)}, expected_grade double, tail_prob double, kept boolean"
+    out = f"{', '.join(f'`{x.name}` {x.dataType.simpleString()}' for x in schema)}, {prefix}expected_grade double, {prefix}tail_prob double, {prefix}kept boolean"
     return arrow_map(docs.select(*carry, F.col(text_col).cast("binary").alias("_text")), run, out)
