@@ -88,14 +88,14 @@ class PropertyGraph:
 
     def collect_within(self, df: DataFrame, seconds: float = TIMEOUT_S) -> list:
         """Rows of ``df``; past the time the jobs are cancelled and TimeoutError is raised."""
-        spark, tag, late = self.spark, f"weft-{uuid.uuid4().hex}", threading.Event()
+        context, tag, late = self.spark.sparkContext, f"weft-{uuid.uuid4().hex}", threading.Event()
 
         def stop() -> None:
             late.set()
-            spark.interruptTag(tag)
+            context.cancelJobsWithTag(tag)
 
         timer = threading.Timer(seconds, stop)
-        spark.addTag(tag)
+        context.addJobTag(tag)
         timer.start()
         try:
             return df.collect()
@@ -105,13 +105,15 @@ class PropertyGraph:
             raise
         finally:
             timer.cancel()
-            spark.removeTag(tag)
+            context.removeJobTag(tag)
 
 
 def require_read_only(spark: SparkSession, text: str) -> None:
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     java = spark.sparkContext._jvm.java.lang.Class
     logical = "org.apache.spark.sql.catalyst.plans.logical."
+    while plan.getClass().getSimpleName() == "UnresolvedWith":
+        plan = plan.child()
     for name in ("Command", "ParsedStatement", "UnaryParsedStatement"):
         if java.forName(logical + name).isInstance(plan):
             raise ValueError("only reading queries are allowed")

@@ -16,7 +16,7 @@ MINIFIED_LINE = 500
 
 
 def tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, modified, size) of all files under ``root``; contents are not read."""
+    """(path, modified, size) of all files under ``root`` that are not empty; contents are not read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return rows.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
 
