@@ -145,3 +145,13 @@ def rename_file(g: PropertyGraph, old: str, new: str) -> PropertyGraph:
 def set_commit(g: PropertyGraph, repo: str, commit: str) -> PropertyGraph:
     hit = (F.col("kind_label") == "Repository") & (F.col("path") == repo.rstrip("/"))
     return PropertyGraph(g.nodes.withColumn("last_indexed_commit", F.when(hit, F.lit(commit)).otherwise(F.col("last_indexed_commit"))), g.edges)
+
+
+def replace_file(g: PropertyGraph, path: str, fresh: PropertyGraph) -> PropertyGraph:
+    """One file as ``fresh`` has it: its symbols and what starts in them. Symbols that are gone go with their edges;
+    edges of other files into symbols that stay are kept, and so are properties that ``fresh`` does not set."""
+    own = _under(fresh, "File", path)
+    mine = fresh.nodes.join(own, "node_id", "left_semi").where((F.col("file_path") == path) | (F.col("path") == path))
+    trimmed = delete_outgoing(delete_orphans(g, path, mine.where("full_name IS NOT NULL").select("full_name")), path)
+    edges = fresh.edges.join(own.withColumnRenamed("node_id", "src"), "src", "left_semi")
+    return upsert_edges(upsert_nodes(trimmed, mine), edges)
