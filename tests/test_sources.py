@@ -123,3 +123,33 @@ def test_debounce_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(90)
     assert not q.isActive and set(got) == batch - {("/z", "modify", 1)}  # the last burst is open until the watermark passes it
     assert debounce.watched(events.withColumn("path", F.concat("path", F.lit(".py"))), (".py",), "/b").count() == 4
+
+
+def test_stream_reindexes_a_stored_graph(spark, tmp_path):
+    """Two batches of events: a file changes, one is deleted, one comes in; a batch run again changes nothing."""
+    from weftgraph.sources.store import GraphStore
+    from weftgraph.streaming.reindex import applier
+
+    disk = {"/r/a.py": "def one():\n    return two()\n\ndef two(): pass\n", "/r/p/b.py": "def three(): pass\n"}
+
+    def parsed(paths=None):
+        rows = spark.createDataFrame(list(disk.items()), "path string, text string")
+        rows = rows if paths is None else rows.join(paths, "path", "left_semi")
+        return build.python_graph(python_source.staging(rows, "/r"), "/r")
+
+    store = GraphStore(spark, f"file://{tmp_path}/store")
+    assert store.versions() == [] and store.read().nodes.count() == 0
+    store.write(parsed(), 1)
+    names = lambda: {r.full_name for r in store.read().label("Method").collect()}
+    assert names() == {"a.one", "a.two", "p.b.three"}
+    disk |= {"/r/a.py": "def one():\n    return 1\n", "/r/q/c.py": "def four(): pass\n"}
+    del disk["/r/p/b.py"]
+    events = spark.sql("SELECT * FROM VALUES ('/r/a.py', 'modify', timestamp'2024-01-01'), ('/r/p/b.py', 'delete', timestamp'2024-01-01'), ('/r/q/c.py', 'create', timestamp'2024-01-01') AS t(path, event, ts)")
+    apply = applier(store, parsed)
+    for _ in range(2):
+        apply(events, 0)
+        assert store.versions() == [1, 2] and names() == {"a.one", "q.c.four"}
+    g = store.read()
+    assert g.edge("CALLS").count() == 0 and ("Directory:/r/q", "File:/r/q/c.py") in {(r.src, r.dst) for r in g.edge("CONTAINS").collect()}
+    apply(events.limit(0), 1)
+    assert store.versions() == [1, 2]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.predicates import bare_type, simple_name
 from weftgraph.graph import PropertyGraph
+from weftgraph.plans.staging import staged
 from weftgraph.schema import edge_columns, node_columns, node_id
 from weftgraph.sources.files import ancestors
 
@@ -143,7 +144,8 @@ def calls_by_ladder(candidates: DataFrame) -> DataFrame:
 
 def python_graph(staging: DataFrame, repo: str) -> PropertyGraph:
     """A whole graph of Python staging rows: structure, base types, references and calls whose simple names are unique."""
-    g = structure(staging, repo, "python")
+    staging = staged(staging, "staging")  # parsed once, read by each step
+    g = structure(staging, repo, "python").staged()
     edges, external = base_types(g, staging.where("what = 'base'").select("full_name", "target"))
     refs = type_references(g, staging.where("what = 'type_ref'").select("full_name", "target", "kind", "file_path", "line", "col"))
     names = unique_names(g, "Method").select("name", F.col("node_id").alias("dst"))

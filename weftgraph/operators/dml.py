@@ -155,3 +155,31 @@ def replace_file(g: PropertyGraph, path: str, fresh: PropertyGraph) -> PropertyG
     trimmed = delete_outgoing(delete_orphans(g, path, mine.where("full_name IS NOT NULL").select("full_name")), path)
     edges = fresh.edges.join(own.withColumnRenamed("node_id", "src"), "src", "left_semi")
     return upsert_edges(upsert_nodes(trimmed, mine), edges)
+
+
+def _held_by(g: PropertyGraph, paths: DataFrame) -> DataFrame:
+    """(file, node_id): the files of ``paths`` (path) with all that they contain."""
+    top = g.label("File").join(paths.select("path").distinct(), "path", "left_semi").select(F.col("node_id").alias("node"))
+    own = top.select(F.col("node").alias("file"), F.col("node").alias("node_id"))
+    return own.unionByName(reach(g.edge("CONTAINS"), top).select(F.col("start").alias("file"), F.col("node").alias("node_id"))).distinct()
+
+
+def delete_files(g: PropertyGraph, paths: DataFrame) -> PropertyGraph:
+    """delete_file() for any number of paths in one plan."""
+    return delete_nodes(g, _held_by(g, paths).select("node_id").distinct())
+
+
+def replace_files(g: PropertyGraph, paths: DataFrame, fresh: PropertyGraph) -> PropertyGraph:
+    """replace_file() for any number of paths in one plan; files that are new come in with their folders."""
+    wanted = paths.select("path").distinct()
+    mine = fresh.nodes.join(wanted.withColumnRenamed("path", "file_path"), "file_path", "left_semi").select(*NODE_FIELDS)
+    held = _held_by(g, wanted).select("node_id").distinct()
+    gone = g.nodes.join(held, "node_id", "left_semi").join(wanted.withColumnRenamed("path", "file_path"), "file_path", "left_semi")
+    gone = gone.where("kind_label <> 'File'").join(mine.select("node_id"), "node_id", "left_anti").select("node_id")
+    left = delete_nodes(g, gone)
+    starts = held.withColumnRenamed("node_id", "src").withColumn("_own", F.lit(True))
+    kept = left.edges.join(starts, "src", "left").where(F.col("_own").isNull() | ~F.col("type").isin(*OWNED_EDGES)).select(*EDGE_FIELDS)
+    folders = fresh.label("Directory", "Repository")
+    ids = mine.select("node_id").unionByName(folders.select("node_id")).withColumnRenamed("node_id", "src")
+    edges = fresh.edges.join(ids.distinct(), "src", "left_semi")
+    return upsert_edges(upsert_nodes(PropertyGraph(left.nodes, kept), mine.unionByName(folders.select(*NODE_FIELDS))), edges)
