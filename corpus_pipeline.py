@@ -43,10 +43,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document taken k times is k rows."""
-    rows = stage(numbered(docs, "_row"), "mix-input")
-    copies = mixing.mix_sources(rows, carry=("_row",)).where("copies > 0").select(F.col("_row"), "copies")
-    out = rows.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(docs.columns)
+    return mixing.repeat_rows(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

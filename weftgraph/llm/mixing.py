@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import SPACED_WORD, stage, text_or_empty, unstage
 
 CAP = 3  # a target stops at this multiple of its source
+BROADCAST_SOURCES = 100_000  # of some 60 bytes each
 CELL_BITS = 10  # of each of the two levels of cells
 RANK_BITS = 50
 
@@ -62,16 +63,48 @@ def pareto_rank(u: Column, p: Column) -> Column:
 
 def mix_sources(docs: DataFrame, seed: str = "mix-0:", id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, ``carry``, source, size, source_size, target, copies, taken (= copies * size)."""
-    key = F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text_or_empty()), F.coalesce("source", F.lit("")))
+    ranked, ends = _ranked_and_ends(docs, seed, id_col, carry)
+    out = ranked.alias("d").join(ends.alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")), "left")
+    copies = F.col("d.certain") + F.coalesce(F.col("rank") <= F.col("last"), F.lit(False)).cast("bigint")
+    return out.select("doc_id", *carry, F.col("d.source").alias("source"), "size", "d.source_size", "d.target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def repeat_rows(docs: DataFrame, seed: str = "mix-0:", id_col: str = "doc_id") -> DataFrame:
+    """``docs`` as the mix takes them: a row taken k times is k rows, one taken 0 times is none.
+
+    How often a row is taken follows from its own draw and its source's cut, so texts are joined with one row per
+    source: broadcast up to ``BROADCAST_SOURCES`` of them.
+    """
+    _, ends = _ranked_and_ends(docs, seed, id_col, ())
+    plan = ends.select(F.col("source").alias("_source"), "certain", "lack", "source_size", "last")
+    plan = F.broadcast(plan) if ends.count() <= BROADCAST_SOURCES else plan
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").cast("string").alias("_of"), uniform(_key(id_col), seed).alias("_u"))
+    rows = rows.join(plan, F.col("_of").eqNullSafe(F.col("_source")))
+    p = _probability()
+    sampled = F.coalesce(F.when(p > 0, pareto_rank(F.col("_u"), p)) <= F.col("last"), F.lit(False)).cast("bigint")
+    rows = rows.withColumn("_copies", (F.col("certain") + sampled).cast("int")).where("_copies > 0")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
+
+
+def _key(id_col: str) -> Column:
+    return F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text_or_empty()), F.coalesce("source", F.lit("")))
+
+
+def _probability() -> Column:
+    return F.when(F.col("source_size") > 0, F.col("lack") / F.col("source_size")).otherwise(0.0)
+
+
+def _ranked_and_ends(docs: DataFrame, seed: str, id_col: str, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Documents with their ranks, and per source its target, certain copies and the last rank of its sample."""
     sized = stage(
         docs.select(
             F.col(id_col).cast("bigint").alias("doc_id"), *carry, F.col("source").cast("string").alias("source"),
-            F.regexp_count(text_or_empty(), F.lit(SPACED_WORD)).cast("bigint").alias("size"), uniform(key, seed).alias("u"),
+            F.regexp_count(text_or_empty(), F.lit(SPACED_WORD)).cast("bigint").alias("size"), uniform(_key(id_col), seed).alias("u"),
         ), "mix-sizes",
     )
     targets = stage(source_targets(sized), "mix-targets")
     same = F.col("d.source").eqNullSafe(F.col("t.source"))
-    p = F.when(F.col("source_size") > 0, F.col("lack") / F.col("source_size")).otherwise(0.0)
+    p = _probability()
     ranked = (
         sized.alias("d").join(targets.alias("t"), same)
         .select("doc_id", *carry, "d.source", "size", "source_size", "target", "certain", "lack", F.when(p > 0, pareto_rank(F.col("u"), p)).alias("rank"))
@@ -93,10 +126,9 @@ def mix_sources(docs: DataFrame, seed: str = "mix-0:", id_col: str = "doc_id", c
     # A rank belongs to the sample when that brings the words nearer to the target.
     inside = F.col("start") + F.col("size") / 2 <= F.col("lack")
     ends = steps.groupBy("source").agg(F.max(F.when(inside, F.col("rank"))).alias("last"), F.min("rank").alias("least"))
-    ends = stage(ends.select("source", F.coalesce(F.col("last"), F.col("least") - 1).alias("last")), "mix-ends")
-    out = ranked.alias("d").join(ends.alias("e"), F.col("d.source").eqNullSafe(F.col("e.source")), "left")
-    copies = F.col("certain") + F.coalesce(F.col("rank") <= F.col("last"), F.lit(False)).cast("bigint")
-    return out.select("doc_id", *carry, F.col("d.source").alias("source"), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    ends = ends.select("source", F.coalesce(F.col("last"), F.col("least") - 1).alias("last"))
+    ends = targets.alias("t").join(ends.alias("e"), F.col("t.source").eqNullSafe(F.col("e.source")), "left").select("t.*", "e.last")
+    return ranked, stage(ends, "mix-ends")
 
 
 def _crossing(cells: DataFrame, base: Column, keys: list[str]) -> DataFrame:
