@@ -323,6 +323,14 @@ def test_mixing_targets(spark):
     weight = {s: k % 3 + 1 for k, s in enumerate(sorted(x for x in per if x is not None) + [None])}
     free = [x[2] / weight[s] for s, x in per.items() if x[2] < 3 * x[0] - 1e-6]
     assert max(free) - min(free) < 1e-6 * total
+    taken = defaultdict(int)
+    for r in mixing.repeat_rows(docs(spark, rows)).collect():
+        taken[(r.doc_id, r.text, r.source)] += 1
+    want = defaultdict(int)
+    for r, x in zip(sorted(got, key=lambda r: str((r.doc_id, r.source, r.size))), sorted(rows, key=lambda x: str((x[0], x[2] if len(x) > 2 else "s", len((x[1] or "").split())))), strict=True):
+        assert r.doc_id == x[0]
+        want[(r.doc_id, x[1], r.source)] += r.copies
+    assert sum(taken.values()) == sum(want.values()) and {k: v for k, v in want.items() if v and k[0] is not None and k[0] > 20} == {k: v for k, v in taken.items() if k[0] is not None and k[0] > 20}
     assert mixing.mix_sources(docs(spark, rows).limit(0)).count() == 0
     assert {r.taken for r in mixing.mix_sources(docs(spark, [(1, None), (2, "")])).collect()} == {0}
 
