@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.functions import routes
 from weftgraph.functions.predicates import bare_type, simple_name
 from weftgraph.graph import PropertyGraph
+from weftgraph.operators.derive import http_edges
+from weftgraph.operators.imports import Aliases, import_edges, packages, visible_constants, with_constants
 from weftgraph.plans.staging import staged
 from weftgraph.schema import edge_columns, node_columns, node_id
 from weftgraph.sources.files import ancestors
@@ -142,15 +145,41 @@ def calls_by_ladder(candidates: DataFrame) -> DataFrame:
     return per.groupBy("caller", "line", "col").agg(F.min_by("callee", "priority").alias("callee"))
 
 
-def python_graph(staging: DataFrame, repo: str) -> PropertyGraph:
-    """A whole graph of Python staging rows: structure, base types, references and calls whose simple names are unique."""
+def http_rows(staging: DataFrame, language: str) -> tuple[DataFrame, DataFrame]:
+    """(definitions, calls) of staging rows, as derive.http_edges() takes them: routes in normal form, in the order of the sources."""
+    raw = F.coalesce("target", F.lit(""))
+    served = {"python": routes.flask_params, "typescript": routes.express_params}.get(language, lambda c: c)(raw)
+    order = F.concat_ws("|", "file_path", F.lpad(F.col("line").cast("string"), 10, "0"), F.lpad(F.col("col").cast("string"), 10, "0"), "kind", "target", "full_name")
+    ends, asked = staging.where("what = 'endpoint'"), staging.where("what = 'client_call'")
+    definitions = ends.select(routes.normalised(F.lit(""), served).alias("route"), F.col("kind").alias("http_method"), F.col("full_name").alias("handler"), order.alias("def_ord"))
+    calls = asked.select("file_path", raw.alias("route"), F.col("kind").alias("http_method"), F.col("full_name").alias("caller"), "line", "col", order.alias("call_ord"))
+    return definitions.dropDuplicates(["def_ord"]), calls.dropDuplicates(["call_ord"])
+
+
+def source_graph(staging: DataFrame, repo: str, language: str, aliases: Aliases = ()) -> PropertyGraph:
+    """A whole graph of one language's staging rows: structure, packages, base types, references, imports, HTTP endpoints,
+    and calls whose simple names are unique."""
     staging = staged(staging, "staging")  # parsed once, read by each step
-    g = structure(staging, repo, "python").staged()
+    g = structure(staging, repo, language)
+    if language in ("java", "csharp"):
+        spaces = packages(g, staging)
+        g = PropertyGraph(g.nodes.unionByName(spaces.nodes), g.edges.unionByName(spaces.edges))
+    g = g.staged()
     edges, external = base_types(g, staging.where("what = 'base'").select("full_name", "target"))
     refs = type_references(g, staging.where("what = 'type_ref'").select("full_name", "target", "kind", "file_path", "line", "col"))
     names = unique_names(g, "Method").select("name", F.col("node_id").alias("dst"))
     sites = staging.where("what = 'call'").join(names, "name").join(g.label("Method", "Class").select("full_name", F.col("node_id").alias("src")), "full_name")
     site = F.struct("line", "col")
     calls = sites.groupBy("src", "dst").agg(F.array_sort(F.collect_set(site)).alias("sites")).select(edge_columns(F.col("src"), F.col("dst"), "CALLS", call_sites=F.col("sites")))
+    definitions, asked = http_rows(staging, language)
+    http = http_edges(definitions, with_constants(asked, visible_constants(staging, repo, language, aliases)))
+    # An edge needs its method: what a module itself serves or asks for is an endpoint without one.
+    http_held = http.edges.join(g.label("Method").select(F.col("node_id").alias("src")), "src", "left_semi").select(http.edges.columns)
+    below_repo = http.nodes.select(edge_columns(F.lit(f"Repository:{repo.rstrip('/')}"), F.col("node_id"), "CONTAINS"))
     nodes = g.nodes.join(external.withColumnRenamed("external_bases", "_e"), "full_name", "left").withColumn("external_bases", F.coalesce("_e", "external_bases")).drop("_e")
-    return PropertyGraph(nodes.select(g.nodes.columns), g.edges.unionByName(edges).unionByName(refs).unionByName(calls))
+    more = (edges, refs, calls, import_edges(g, staging, repo, language, aliases), http_held, below_repo)
+    return PropertyGraph(nodes.select(g.nodes.columns).unionByName(http.nodes), g.edges).with_edges(*more)
+
+
+def python_graph(staging: DataFrame, repo: str) -> PropertyGraph:
+    return source_graph(staging, repo, "python")

@@ -7,6 +7,7 @@ inferred, names that are bound elsewhere) is not guessed. Rows have the columns
 - Full names are package or namespace, types, member; methods of Java and C# carry their parameter types, as overloads
   differ in nothing else. A TypeScript module is its path below the root, with dots.
 - Import rows: target is what is imported (module or namespace), name the local name, kind the exported name if any.
+- Constant rows: name, and target as the value of a string constant that looks like an address.
 - Null and empty texts give the module row of a TypeScript file and nothing otherwise; unpaired brackets reach to the end.
 """
 
@@ -113,8 +114,8 @@ class _Reader:
     def _constants(self) -> dict[str, str]:
         """String constants of the file that look like addresses, by name (the last one wins)."""
         found = {}
-        for k in range(1, len(self.t) - 2):
-            if self.op(k) == "=" and self.t[k + 1].kind == "text" and self.name(k - 1) and (self.op(k + 2) in (";", ",", "") or self.t[k + 2].line > self.t[k + 1].line):
+        for k in range(1, len(self.t) - 1):
+            if self.op(k) == "=" and self.t[k + 1].kind == "text" and self.name(k - 1) and (k + 2 == len(self.t) or self.op(k + 2) in (";", ",") or self.t[k + 2].line > self.t[k + 1].line):
                 value = literal(self.t[k + 1])
                 if "/" in value or value.startswith("http"):
                     found[self.name(k - 1)] = value
@@ -245,6 +246,8 @@ class _Reader:
     def file(self) -> list[dict]:
         if self.script:
             self.add("symbol", full_name=self.module, name=self.module.rsplit(".", 1)[-1], kind="module", line=1, end_line=self.lines, col=0)
+        for name, value in self.constants.items():
+            self.add("constant", name=name, target=value)
         self.declarations(0, len(self.t), self.module if self.script else "", None, [])
         return self.rows
 
@@ -312,6 +315,8 @@ class _Reader:
         """The token after a value or body that begins at ``stop``."""
         if self.op(stop) == "{":
             return self.close[stop] + 1
+        if self.op(stop) not in ("=", "=>", ";", "}"):  # the line ended the declaration
+            return stop
         k = stop
         while k < end and self.op(k) not in (";", "}"):
             if self.script and k > stop + 1 and self.t[k].line > self.t[k - 1].line and self.op(k - 1) not in tuple("=,+:?|&(.") + ("=>",) and self.op(k) not in tuple(".?:+|&,)=") + ("?.",):

@@ -34,6 +34,17 @@ def _text(node: ast.AST) -> str:
     return ast.unparse(node)
 
 
+def _route(node: ast.expr) -> str:
+    """An address from an expression: literals as they are, all else as '{expression}'."""
+    if isinstance(node, ast.Constant):
+        return str(node.value)
+    if isinstance(node, ast.JoinedStr):
+        return "".join(_route(v.value if isinstance(v, ast.FormattedValue) else v) for v in node.values)
+    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add):
+        return _route(node.left) + _route(node.right)
+    return "{" + _text(node) + "}"
+
+
 def _decorator(node: ast.expr) -> str:
     return _text(node.func if isinstance(node, ast.Call) else node).rsplit(".", 1)[-1].lower()
 
@@ -101,6 +112,9 @@ class _Visitor(ast.NodeVisitor):
 
     def visit_Assign(self, node: ast.Assign) -> None:
         for t in node.targets:
+            value = node.value.value if isinstance(node.value, ast.Constant) else None
+            if len(self.scope) == 1 and isinstance(t, ast.Name) and isinstance(value, str) and ("/" in value or value.startswith("http")):
+                self.add("constant", name=t.id, target=value)
             if isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id == "self" and isinstance(node.value, ast.Call):
                 cls = next((n for n, k in reversed(self.scope) if k == "class"), self.owner)
                 self.add("assignment", full_name=cls, name=t.attr, target=_text(node.value.func), line=node.lineno - 1, col=node.value.col_offset)
@@ -110,10 +124,8 @@ class _Visitor(ast.NodeVisitor):
         target = _text(node.func)
         self.add("call", full_name=self.owner, name=target.rsplit(".", 1)[-1], target=target, line=node.lineno, col=node.col_offset)
         head, _, verb = target.rpartition(".")
-        if verb in VERBS and head.rsplit(".", 1)[-1].lstrip("_") in CLIENTS and node.args and isinstance(node.args[0], ast.Constant | ast.JoinedStr):
-            a = node.args[0]
-            route = a.value if isinstance(a, ast.Constant) else "".join(str(v.value) if isinstance(v, ast.Constant) else "{" + _text(v.value) + "}" for v in a.values)
-            self.add("client_call", full_name=self.owner, kind=verb.upper(), target=str(route), line=node.lineno, col=node.col_offset)
+        if verb in VERBS and head.rsplit(".", 1)[-1].lstrip("_") in CLIENTS and node.args and isinstance(node.args[0], ast.Constant | ast.JoinedStr | ast.BinOp):
+            self.add("client_call", full_name=self.owner, kind=verb.upper(), target=_route(node.args[0]), line=node.lineno, col=node.col_offset)
         self.generic_visit(node)
 
     def visit_Import(self, node: ast.Import) -> None:
