@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from weftgraph.functions import predicates as P
 from weftgraph.functions import routes
 from weftgraph.graph import PropertyGraph
-from weftgraph.operators import audit, build, derive, dml, impact, lookup, sync, traversal
+from weftgraph.operators import audit, build, derive, dml, impact, imports, lookup, sync, traversal
 from weftgraph.oracle import GRAPH, attribute, test, vendored
 from weftgraph.plans.expand import trails
 from weftgraph.schema import EDGE_FIELDS, edge_columns, node_id
-from weftgraph.sources import files, star
+from weftgraph.sources import brace_source, files, star
 from weftgraph.streaming.debounce import debounced
 
 
@@ -398,3 +398,46 @@ on_graph("enclosing_method", _entry_of_usages,
          "SELECT file_path, \"at\", field, full_name FROM (SELECT y.file_path, y.line AS \"at\", y.full_name AS field, x.full_name, row_number() OVER (PARTITION BY y.id ORDER BY x.line DESC, x.end_line, x.full_name) AS r FROM n y JOIN n x ON x.label = 'Method' AND x.file_path = y.file_path AND y.line BETWEEN x.line AND x.end_line WHERE y.label = 'Field') WHERE r = 1")
 on_graph("last_start", lambda g, s: build.last_start(g.label("Field").select("file_path", F.col("line").alias("at")).distinct(), g.label("Method").where("file_path <> ''").select("file_path", "full_name", "line")),
          "SELECT y.file_path, y.\"at\", (SELECT x.full_name FROM n x WHERE x.label = 'Method' AND x.file_path = y.file_path AND x.line <= y.\"at\" ORDER BY x.line DESC, x.full_name DESC LIMIT 1) AS full_name FROM (SELECT DISTINCT file_path, line AS \"at\" FROM n WHERE label = 'Field') y")
+
+
+# Sources of three languages, written from the parts and read back
+def _written(spark: SparkSession, sf_dir: str, extension: str, *lines: str) -> DataFrame:
+    """(path, text) of one source file a part; '{k}' is its key and '{b}' its brand without '#'."""
+    text = F.lit("\n".join(lines))
+    text = F.replace(F.replace(text, F.lit("{k}"), F.col("p_partkey").cast("string")), F.lit("{b}"), F.regexp_replace("p_brand", "#", ""))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("/r/"), F.regexp_replace("p_brand", "#", ""), F.lit("/f"), F.col("p_partkey").cast("string"), F.lit(extension)).alias("path"), text.alias("text"))
+
+
+def _java_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _written(spark, sf_dir, ".java", "package shop.{b}; // class Ghost {}", "public class P{k} extends Base<Item> {", "  private final Store store = new Store(\"}\");", "  @GetMapping(\"/{k}\")", "  List<Item> load(int n, Map<String, Item> m) { return store.find(n); }", "}")
+    return brace_source.staging(texts, "/r").where("what = 'symbol'").select("full_name", "kind", "line", "end_line", "type_name")
+
+
+on_tables("source_java_symbols", _java_symbols,
+          """WITH p AS (SELECT 'shop.' || replace(p_brand, '#', '') || '.P' || p_partkey AS f FROM part)
+          SELECT f AS full_name, 'class' AS kind, 2 AS line, 6 AS end_line, NULL AS type_name FROM p UNION ALL SELECT f || '.store', 'field', 3, 3, 'Store' FROM p UNION ALL SELECT f || '.load(int,Map)', 'method', 5, 5, 'List<Item>' FROM p""")
+
+
+def _csharp_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = _written(spark, sf_dir, ".cs", "namespace {b};", "[Route(\"api/[controller]\")]", "public class P{k}Controller {", "  [HttpGet(\"{id:int}/{k}\")] public Item Get(int id) => Load(id);", "  public void Ask() { http.PostAsync(\"/api/p{k}/\" + id, null); }", "}")
+    found = build.http_rows(brace_source.staging(texts, "/r"), "csharp")
+    ends = found[0].select(F.lit("serves").alias("what"), "http_method", "route", F.col("handler").alias("method"))
+    return ends.unionByName(found[1].select(F.lit("asks").alias("what"), "http_method", "route", F.col("caller").alias("method")))
+
+
+on_tables("source_csharp_routes", _csharp_routes,
+          """WITH p AS (SELECT replace(p_brand, '#', '') || '.P' || p_partkey || 'Controller' AS c, p_partkey AS k FROM part)
+          SELECT 'serves' AS what, 'GET' AS http_method, '/api/p' || k || '/{id}/' || k AS route, c || '.Get(int)' AS method FROM p UNION ALL SELECT 'asks', 'POST', '/api/p' || k || '/{id}', c || '.Ask()' FROM p""")
+
+
+def _script_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file imports a class by a relative path and a function by an alias."""
+    texts = _written(spark, sf_dir, ".ts", "import { C{k} } from '../{b}/./f{k}';", "import { make as m } from '@/{b}/f{k}';", "export class C{k} { run(a: number): void { m(a) } }", "export const make = (x) => x;")
+    rows = brace_source.staging(texts, "/r")
+    g = build.structure(rows, "/r", "typescript")
+    return imports.import_edges(g, rows, "/r", "typescript", (("@/", ""),)).select("src", "dst", "type")
+
+
+on_tables("source_script_imports", _script_imports,
+          """WITH p AS (SELECT replace(p_brand, '#', '') AS b, p_partkey AS k FROM part)
+          SELECT 'File:/r/' || b || '/f' || k || '.ts' AS src, 'Method:' || b || '.f' || k || '.make' AS dst, 'IMPORTS' AS type FROM p UNION ALL SELECT 'File:/r/' || b || '/f' || k || '.ts', 'Class:' || b || '.f' || k || '.C' || k, 'IMPORTS' FROM p""")
