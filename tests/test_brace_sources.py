@@ -6,8 +6,11 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from weftgraph.functions import texts
 from weftgraph.operators import build, imports
-from weftgraph.sources import brace_source
+from weftgraph.sources import brace_source, python_source
 
 JAVA = '''package com.shop.api;
 import com.shop.model.Order;
@@ -149,6 +152,42 @@ def test_aliases():
     assert imports.path_aliases("nothing") == () and imports.path_aliases("[]") == ()
 
 
+GROUPS = '''namespace Shop;
+public class Create : Endpoint<Request, Response> {
+    public override void Configure() { Verbs(Http.POST, Http.PUT); Routes("/a", "/b/{id}"); Get("c"); }
+    public override async Task HandleAsync(Request r, CancellationToken c) { Get("/not/a/route"); await http.PostAsync("/stock", r); }
+}
+public class Todos : EndpointGroupBase {
+    public override void Map(WebApplication app) { app.MapGroup(this).MapGet(All).MapPost(Add, "{id}").MapDelete("/x", () => 1); }
+    public Task<List<Todo>> All(ISender s) => s.Send();
+    public int Add(ISender s) { return 1; }
+}
+'''
+
+
+def test_configured_endpoints():
+    handle, todos = "Shop.Create.HandleAsync(Request,CancellationToken)", "Shop.Todos"
+    assert set(rows("/r/G.cs", GROUPS, "endpoint", "full_name", "kind", "target")) == {
+        *((handle, v, t) for v in ("POST", "PUT") for t in ("/a", "/b/{id}")), (handle, "GET", "/c"),
+        (f"{todos}.All(ISender)", "GET", "/"), (f"{todos}.Add(ISender)", "POST", "/{id}"), (f"{todos}.Map(WebApplication)", "DELETE", "/x"),
+    }
+    assert rows("/r/G.cs", GROUPS, "client_call", "full_name", "kind", "target") == [(handle, "POST", "/stock")]
+
+
+def test_python_views_and_constants(spark):
+    text = "from .base import ROOT\nclass ItemViewSet(viewsets.ModelViewSet):\n    def list(self): pass\n    def retrieve(self): pass\n    def other(self): pass\nclass PingView(APIView):\n    async def post(self): return requests.get(ROOT + '/x')\n@api_view(['GET', 'PUT'])\ndef health(r): pass\n"
+    staging = python_source.staging(spark.createDataFrame([("/r/p/v.py", text), ("/r/p/base.py", "ROOT = '/stock'\n")], "path string, text string"), "/r")
+    found = {(r.full_name, r.kind, r.target) for r in staging.where("what = 'endpoint'").collect()}
+    assert found == {("p.v.ItemViewSet.list", "GET", "/item"), ("p.v.ItemViewSet.retrieve", "GET", "/item/{id}"), ("p.v.PingView.post", "POST", "/ping"), ("p.v.health", "GET", "/health"), ("p.v.health", "PUT", "/health")}
+    assert ("Method:p.v.PingView.post", "HTTP_CALLS", "Endpoint:GET /stock/x") in edges(build.python_graph(staging, "/r"))
+
+
+def test_texts(spark):
+    html = "<p>a &lt;b&gt; <b>c</b><!-- <i>gone</i> --></p>\n <br/> d&nbsp;&amp;e 1 < 2"
+    row = spark.range(1).select(texts.markup_text(F.lit(html)).alias("t"), texts.version(F.lit("2.x")).alias("v"), texts.at_least(F.lit("none"), 0, 1).alias("a"), texts.symbol_kind(F.lit("java"), F.lit(99)).alias("k")).first()
+    assert (row.t, row.v, row.a, row.k) == ("a <b> c d &e 1 < 2", [2], False, None)
+
+
 def edges(g) -> set[tuple]:
     return {(r.src, r.type, r.dst) for r in g.edges.collect()}
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.functions import predicates as P
-from weftgraph.functions import routes
+from weftgraph.functions import routes, texts
 from weftgraph.graph import PropertyGraph
 from weftgraph.operators import audit, build, derive, dml, impact, imports, lookup, sync, traversal
 from weftgraph.oracle import GRAPH, attribute, test, vendored
@@ -441,3 +441,8 @@ def _script_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 on_tables("source_script_imports", _script_imports,
           """WITH p AS (SELECT replace(p_brand, '#', '') AS b, p_partkey AS k FROM part)
           SELECT 'File:/r/' || b || '/f' || k || '.ts' AS src, 'Method:' || b || '.f' || k || '.make' AS dst, 'IMPORTS' AS type FROM p UNION ALL SELECT 'File:/r/' || b || '/f' || k || '.ts', 'Class:' || b || '.f' || k || '.C' || k, 'IMPORTS' FROM p""")
+on_tables("symbol_kinds", lambda spark, d: spark.read.parquet(f"{d}/part.parquet").select("p_partkey", texts.symbol_kind(F.when(F.col("p_partkey") % 2 == 0, "java").otherwise("python"), F.col("p_partkey") % 16).alias("kind")),
+          """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CASE p_partkey % 16 WHEN 4 THEN 'namespace' WHEN 6 THEN 'method' WHEN 8 THEN 'field' WHEN 10 THEN 'enum' WHEN 12 THEN 'method' WHEN 14 THEN 'field' END
+          ELSE CASE p_partkey % 16 WHEN 3 THEN 'namespace' WHEN 5 THEN 'class' WHEN 7 THEN 'property' WHEN 9 THEN 'method' END END AS kind FROM part""")
+on_tables("versions_at_least", lambda spark, d: spark.read.parquet(f"{d}/part.parquet").select("p_partkey", texts.at_least(F.concat(F.lit("1."), (F.col("p_partkey") % 30).cast("string"), F.lit(".4rc1")), 1, 9, 5).alias("recent")),
+          "SELECT p_partkey, p_partkey % 30 > 9 AS recent FROM part")

@@ -31,6 +31,8 @@ SPRING = {"GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "Dele
 JAXRS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
 ASPNET = {"HttpGet": "GET", "HttpPost": "POST", "HttpPut": "PUT", "HttpDelete": "DELETE", "HttpPatch": "PATCH"}
 MINIMAL_API = {"MapGet": "GET", "MapPost": "POST", "MapPut": "PUT", "MapDelete": "DELETE", "MapPatch": "PATCH"}
+CONFIGURED = {"Get": "GET", "Post": "POST", "Put": "PUT", "Delete": "DELETE", "Patch": "PATCH"}
+CONFIGURED_BASES = ("Endpoint", "EndpointWithoutRequest", "EndpointWithMapper")
 REST_TEMPLATE = {"getForObject": "GET", "getForEntity": "GET", "postForObject": "POST", "postForEntity": "POST", "put": "PUT", "delete": "DELETE", "patchForObject": "PATCH"}
 HTTP_CLIENT = {"GetAsync": "GET", "GetStringAsync": "GET", "GetByteArrayAsync": "GET", "GetStreamAsync": "GET", "GetFromJsonAsync": "GET", "PostAsync": "POST", "PostAsJsonAsync": "POST",
                "PutAsync": "PUT", "PutAsJsonAsync": "PUT", "DeleteAsync": "DELETE", "PatchAsync": "PATCH", "PatchAsJsonAsync": "PATCH"}
@@ -95,6 +97,7 @@ class _Reader:
                 self.close[opened.pop()] = k
         self.lines = text.count("\n") + 1
         self.constants = self._constants()
+        self.configured: dict | None = None  # of a class that declares its endpoints in Configure()
 
     def add(self, what: str, **values) -> None:
         self.rows.append({"what": what, "file_path": self.path} | values)
@@ -378,9 +381,27 @@ class _Reader:
             a = last if self.language != "java" else next((p + 1 for p in self.plain(a, last) if self.op(p) == ";"), last)
         prefixes = [self.mark_route(m) for m in marks if m[0] in ("RequestMapping", "Path", "Route")]
         routes = [r.replace("[controller]", name.removesuffix("Controller").lower()) for r in prefixes]
+        above, start = self.configured, len(self.rows)
+        bases = [self.name(p) for p in flat[at + 2 :]]
+        self.configured = {"verbs": [], "routes": []} if self.language == "csharp" and any(b in CONFIGURED_BASES for b in bases) else None
         self.declarations(a, last, full, kind, routes or [""])
+        self.handlers(full, start)
+        self.configured = above
         return last + 1
 
+    def handlers(self, cls: str, start: int) -> None:
+        """Endpoints registered by a member's simple name get its full name; those of Configure() belong to HandleAsync."""
+        methods = {}
+        for r in self.rows[start:]:
+            if r["what"] == "symbol" and r.get("kind") == "method" and r.get("parent") == cls:
+                methods.setdefault(r["name"], r["full_name"])
+        for verb in self.configured["verbs"] if self.configured else []:
+            for route, x in self.configured["routes"]:
+                self.add("endpoint", full_name=cls, kind=verb, target=route, line=x.line, col=x.col, parent="HandleAsync")
+        for r in self.rows[start:]:
+            if r["what"] == "endpoint" and r.get("parent") in methods:
+                r["full_name"] = methods[r.pop("parent")]
+
     def method(self, k: int, stop: int, end: int, flat: list[int], words: list[str], call: int, owner: str, kind: str | None, marks: list[tuple[str, int]], names: str, routes: list[str]) -> int:
         name, opened = words[call - 1], flat[call]
         here = self.t[flat[call - 1]]
@@ -520,8 +541,14 @@ class _Reader:
                         verb = literal(self.t[q + 2]).upper()
             elif receiver or self.op(p - 1) in (".", "?."):
                 verb = SCRIPT_VERBS.get(word)
+        elif self.language == "csharp" and self.configured is not None and not receiver and owner.endswith(".Configure()"):
+            self.configure(word, args, x, owner)
+        elif word in MINIMAL_API and self.language == "csharp":
+            route = next((r for r in (self.value(*a) for a in args) if r is not None), "")
+            named = next((self.name(b - 1) for a, b in args if self.name(b - 1) and all(self.name(q) or self.op(q) == "." for q in range(a, b))), None)
+            self.add("endpoint", full_name=owner, kind=MINIMAL_API[word], target="/" + route.lstrip("/"), line=x.line, col=x.col, parent=named)
         elif self.language == "csharp":
-            verb = HTTP_CLIENT.get(word) or MINIMAL_API.get(word)
+            verb = HTTP_CLIENT.get(word)
         elif "rest" in receiver.lower():
             verb = REST_TEMPLATE.get(word)
         elif word == "uri":  # builders: client.get().uri("...") and newBuilder().uri(URI.create("...")).GET()
@@ -538,15 +565,26 @@ class _Reader:
         route = self.value(*args[0]) if verb else None
         if route is None or not route.startswith(("/", "http", "{")) and not (self.language == "csharp" and route):
             return
-        registers = word in MINIMAL_API if self.language == "csharp" else self.script and len(args) > 1 and receiver.lower().endswith(SERVERS)
+        registers = self.script and len(args) > 1 and receiver.lower().endswith(SERVERS)
         if registers:
             a, b = args[-1]
-            handler = f"{self.module}.{self.name(a)}" if self.script and b - a == 1 and self.name(a) else owner
+            handler = f"{self.module}.{self.name(a)}" if b - a == 1 and self.name(a) else owner
             self.add("endpoint", full_name=handler, kind=verb, target=route, line=x.line, col=x.col)
         else:
             self.add("client_call", full_name=owner, kind=verb, target=route, line=x.line, col=x.col)
 
 
+    def configure(self, word: str, args: list[tuple[int, int]], x: Token, owner: str) -> None:
+        """A call in Configure(): Get("/x") is an endpoint; Verbs(...) and Routes(...) give each verb each route."""
+        found = [r for r in (self.value(*a) for a in args) if r is not None]
+        if word == "Verbs":
+            self.configured["verbs"] += [self.name(b - 1).upper() for _, b in args if self.name(b - 1).upper() in JAXRS]
+        elif word == "Routes":
+            self.configured["routes"] += [("/" + r.lstrip("/"), x) for r in found]
+        elif word in CONFIGURED and found:
+            self.add("endpoint", full_name=owner, kind=CONFIGURED[word], target="/" + found[0].lstrip("/"), line=x.line, col=x.col, parent="HandleAsync")
+
+
 def parse(path: str, text: str, root: str) -> list[dict]:
     """Rows of one file, by the language of its extension; other files have none."""
     dot = path.rfind(".")

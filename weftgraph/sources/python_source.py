@@ -23,6 +23,11 @@ STAGING = (
 FIELDS = [x.strip().split(" ") for x in STAGING.split(",")]
 _SCHEMA = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[t]) for n, t in FIELDS])
 VERBS = ("get", "post", "put", "delete", "patch", "head", "options")
+# Classes whose methods are endpoints by their names.
+VIEWSETS = ("ModelViewSet", "ViewSet", "ReadOnlyModelViewSet", "GenericViewSet")
+VIEWSET_ROUTES = {"list": ("GET", ""), "create": ("POST", ""), "retrieve": ("GET", "/{id}"), "update": ("PUT", "/{id}"), "partial_update": ("PATCH", "/{id}"), "destroy": ("DELETE", "/{id}")}
+VIEWS = ("APIView", "GenericAPIView")
+VIEW_VERBS = ("get", "post", "put", "delete", "patch")
 CLIENTS = ("requests", "httpx", "client", "session")
 
 
@@ -70,10 +75,22 @@ class _Visitor(ast.NodeVisitor):
                  attributes=json.dumps([_decorator(d) for d in node.decorator_list]))
         for n, b in enumerate(bases):
             self.add("base", full_name=full, target=b, line=node.lineno, col=n)
+        self._views(node, full, {b.rsplit(".", 1)[-1] for b in bases})
         self.scope.append((full, "class"))
         self.generic_visit(node)
         self.scope.pop()
 
+    def _views(self, node: ast.ClassDef, full: str, bases: set[str]) -> None:
+        """Endpoints of view classes: methods by name, below the class's name without its ending."""
+        if bases.isdisjoint((*VIEWSETS, *VIEWS)):
+            return
+        short = next((node.name.removesuffix(e) for e in ("ViewSet", "View") if node.name.endswith(e) and node.name != e), node.name).lower()
+        by_name = VIEWSET_ROUTES if not bases.isdisjoint(VIEWSETS) else {v: (v.upper(), "") for v in VIEW_VERBS}
+        for f in node.body:
+            if isinstance(f, ast.FunctionDef | ast.AsyncFunctionDef) and f.name in by_name:
+                verb, rest = by_name[f.name]
+                self.add("endpoint", full_name=f"{full}.{f.name}", kind=verb, target=f"/{short}{rest}", line=f.lineno, col=0)
+
     def _function(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> None:
         full, marks = f"{self.owner}.{node.name}", [_decorator(d) for d in node.decorator_list]
         in_class = self.scope[-1][1] == "class"
@@ -86,6 +103,10 @@ class _Visitor(ast.NodeVisitor):
         if node.returns:
             self._types(full, node.returns, "return_type")
         for d in node.decorator_list:
+            if isinstance(d, ast.Call) and isinstance(d.func, ast.Name) and d.func.id == "api_view" and d.args and isinstance(d.args[0], ast.List | ast.Tuple):
+                for e in d.args[0].elts:
+                    if isinstance(e, ast.Constant):
+                        self.add("endpoint", full_name=full, kind=str(e.value).upper(), target=f"/{node.name}", line=node.lineno, col=0)
             if isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and d.args and isinstance(d.args[0], ast.Constant) and isinstance(d.args[0].value, str):
                 verb = d.func.attr.lower()
                 verbs = [verb] if verb in VERBS else [e.value for k in d.keywords if k.arg == "methods" and isinstance(k.value, ast.List) for e in k.value.elts if isinstance(e, ast.Constant)] or ["get"] if verb == "route" else []
