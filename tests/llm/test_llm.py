@@ -162,6 +162,43 @@ def test_pruning_keeps_what_links():
     assert lost == 0
 
 
+def test_near_dedup_at_other_similarity(spark, monkeypatch):
+    """The pipeline's stage links from 0.8 on, op4 from 0.85; components at 0.8 are those of brute force."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    words = [f"v{k}" for k in range(104)]
+    cut = words[:84]  # 80 of 100 shingles
+    rows = [(1, " ".join(words)), (2, " ".join(cut)), (3, " ".join(words[:83])[1:] + "x"), (4, "a b c d e f g h"), (5, "a b c d e f g h i"), (6, "a b c d e f g"), (7, "k l m n o p q r"), (8, "k l m n o p q")]
+    stage = lambda r: {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs(spark, r), "").collect()}
+    assert stage(rows[:2]) == {1}
+    assert stage(rows[3:5]) == {4} and stage(rows[6:]) == {7, 8}  # 4 of 5 shingles, and 3 of 4
+    assert near_dedup.near_dedup(docs(spark, rows[:2])).where("kept").count() == 2
+
+    rows += [(100 + i, t) for i, t in near_rows()]
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, w in ((i, t.split()) for i, t in rows)}
+    comp = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert any(100 * len(sets[a] & sets[b]) < 85 * len(sets[a] | sets[b]) for a, b in links)
+    for _ in sets:
+        before = dict(comp)
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+        if comp == before:
+            break
+    got = near_dedup.near_dedup(docs(spark, rows), similarity=80).collect()
+    assert {r.doc_id: r.component_id for r in got} == comp
+
+
+def test_bands_at_other_similarity():
+    assert near_dedup.banding() == (24, 6) and near_dedup.least_set() == 6 and near_dedup.least_set(80) == 4
+    for similarity in (50, 70, 80, 90, 99):
+        bands, width = near_dedup.banding(similarity)
+        assert bands * width <= near_dedup.HASHES and (1 - (similarity / 100) ** width) ** bands <= near_dedup.MISS_BANDS
+    with pytest.raises(ValueError):
+        near_dedup.banding(20)
+
+
 def test_links_between_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 460)]
@@ -434,6 +471,19 @@ def test_pipeline_stages(spark, sf_dir):
     assert sorted(r.doc_id for r in dict(outs)["sharding"]) == sorted(r.doc_id for r in mixed)
 
 
+def test_pipeline_near_stage_links_from_08(spark, sf_dir):
+    """No two rows that the stage keeps are linked at 0.8, and each row that it drops is linked with another."""
+    import corpus_pipeline
+
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = {r.doc_id: r.text for r in d.collect()}
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, d, sf_dir).collect()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for i, w in ((i, t.encode().lower().split()) for i, t in rows.items()) if w}
+    near = {i: {j for j in sets if j != i and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])} for i in sets}
+    assert not any(near[i] & kept for i in kept & set(sets))
+    assert all(near[i] for i in set(rows) - kept)
+
+
 def test_pipeline_awkward(spark, sf_dir):
     import corpus_pipeline
 

@@ -1,12 +1,14 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 Documents are linked when the Jaccard similarity of their sets of five-word shingles is at least
-``SIMILARITY``; the result is the connected components of these links.
+``similarity`` per cent (``SIMILARITY`` unless the caller names another); the result is the connected
+components of these links.
 
 1. One pass makes the shingle set of every whole text, its digest and a signature of ``HASHES`` minimum
    hashes (16 bits each). Documents with equal sets collapse to one representative (partial sums first).
-2. ``BANDS`` keys of ``ROWS`` signature values each make candidates of representatives that share a key: a
-   pair at the threshold is missed with probability (1 - 0.85^6)^24 = 1e-5, and less above it.
+2. Keys of a band of signature values each make candidates of representatives that share a key: a pair at the
+   threshold is missed with probability (1 - 0.85^6)^24 = 1e-5 (24 bands of 6; at 0.8, 29 bands of 5), and
+   less above it.
 3. Candidates are compared by batches of signature values. With m of n values equal and a uniform prior,
    P(similarity >= threshold) = P(Bin(n + 1, threshold) <= m); a pair is pruned once that falls under
    ``MISS``. Survivors are verified on their full sets; only these links count.
@@ -17,7 +19,8 @@ Documents are linked when the Jaccard similarity of their sets of five-word shin
    a second round verifies every remaining pair that survives the pruning. So no candidate between different
    components goes unchecked, and pairs inside one component, which cannot change the result, are not made.
 
-Sets of up to five shingles link with equal sets only (5/6 < 0.85) and skip steps 2 to 4. Sets are fetched
+Sets too small to link with any but equal ones (at 0.85 up to five shingles, as 5/6 < 0.85; at 0.8 up to three)
+skip steps 2 to 4. Sets are fetched
 for candidates alone, by a Bloom filter of bounded size that the second pass over the texts asks before it
 splits a text. Components come from label propagation with pointer jumping over staged tables.
 
@@ -32,7 +35,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from math import exp, lgamma, log
+from math import ceil, exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +48,13 @@ from weftgraph.llm.decontaminate import Filter, WordHashes, gram_hashes
 
 SHINGLE = 5
 SIMILARITY = 85  # per cent
-HASHES, BANDS, ROWS = 256, 24, 6
+HASHES, ROWS = 256, 6  # rows of a band at most
+MOST_BANDS = 30
+MISS_BANDS = 1.2e-5  # of all bands, for a pair at the threshold
 MORE = 768  # further values of candidates, of 8 bits each
 LOOKS = (32, 64, 96, 128, 192, 256)  # signature values compared before each pruning
 MORE_LOOKS = (384, 512, 768, 1024)  # and with the further ones
 MISS = 1e-6  # of a pruning, for a pair that would be linked
-LEAST_SET = 6  # smaller sets can only link with equal ones
 BLOCK = 1024
 
 _RNG = np.random.default_rng(85)
@@ -87,11 +91,26 @@ def more_values(shingles: np.ndarray) -> np.ndarray:
     return (least ^ (least >> np.uint32(8))).astype(np.uint8)
 
 
-def band_keys(sigs: np.ndarray) -> np.ndarray:
-    """(rows, BANDS) keys that hold the band's number."""
-    bands = sigs[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
-    out = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * _M[ROWS], bands.shape[:2]).copy()
-    for r in range(ROWS):
+@lru_cache
+def banding(similarity: int = SIMILARITY) -> tuple[int, int]:
+    """(bands, rows of each): the most rows whose bands, ``MOST_BANDS`` at most, miss no more than ``MISS_BANDS``."""
+    for rows in range(ROWS, 0, -1):
+        if (bands := ceil(log(MISS_BANDS) / log1p(-((similarity / 100) ** rows)))) <= MOST_BANDS:
+            return bands, rows
+    raise ValueError(f"no bands for a similarity of {similarity} per cent")
+
+
+def least_set(similarity: int = SIMILARITY) -> int:
+    """The least k with k / (k + 1) >= similarity: smaller sets can only link with equal ones."""
+    return -(-similarity // (100 - similarity))
+
+
+def band_keys(sigs: np.ndarray, similarity: int = SIMILARITY) -> np.ndarray:
+    """(rows, bands) keys that hold the band's number."""
+    n, width = banding(similarity)
+    bands = sigs[:, : n * width].reshape(-1, n, width).astype(np.uint64)
+    out = np.broadcast_to(np.arange(n, dtype=np.uint64) * _M[ROWS], bands.shape[:2]).copy()
+    for r in range(width):
         out += (bands[:, :, r] + np.uint64(1)) * _M[r]
         out ^= out >> np.uint64(29)
         out *= np.uint64(0xBF58476D1CE4E5B9)
@@ -109,7 +128,7 @@ def least_matches(n: int, similarity: int = SIMILARITY, miss: float = MISS) -> i
     return n
 
 
-def survivors(left: np.ndarray, right: np.ndarray, at: tuple[np.ndarray, np.ndarray] | None = None, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def survivors(left: np.ndarray, right: np.ndarray, at: tuple[np.ndarray, np.ndarray] | None = None, more: np.ndarray | None = None, similarity: int = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
     """Which pairs survive all looks, and their equal values.
 
     Pairs are the rows of ``left`` and ``right``, or those that ``at`` names; ``more`` holds the further values by row.
@@ -119,7 +138,7 @@ def survivors(left: np.ndarray, right: np.ndarray, at: tuple[np.ndarray, np.ndar
     for look in LOOKS if more is None else (*LOOKS, *MORE_LOOKS):
         x, y, start, end = (left, right, done, look) if look <= HASHES else (more, more, done - HASHES, look - HASHES)
         same = same + (x[i[alive], start:end] == y[j[alive], start:end]).sum(axis=1, dtype=np.int32)
-        ok = same >= least_matches(look)
+        ok = same >= least_matches(look, similarity)
         alive, same, done = alive[ok], same[ok], look
     return alive, same
 
@@ -214,14 +233,14 @@ def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     return new
 
 
-def _pruned(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def _pruned(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b) that survive the comparison of their signatures."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             if x.num_rows:
-                at, _ = survivors(_sigs(x.column(2)), _sigs(x.column(3)))
+                at, _ = survivors(_sigs(x.column(2)), _sigs(x.column(3)), similarity=similarity)
                 yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(at)), x.column(1).take(pa.array(at))], schema=schema)
 
     sig = reps.select("id", "sig")
@@ -241,7 +260,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 _BLOCKS = "a bigint, b bigint"
 
 
-def _across(members: DataFrame, comp: DataFrame, reps: DataFrame, best_only: bool) -> DataFrame:
+def _across(members: DataFrame, comp: DataFrame, reps: DataFrame, best_only: bool, similarity: int) -> DataFrame:
     """Pairs of different components that share a bucket and survive the pruning.
 
     ``best_only``: of each member outside a bucket's largest component, the most similar partner in the bucket.
@@ -272,11 +291,11 @@ def _across(members: DataFrame, comp: DataFrame, reps: DataFrame, best_only: boo
             li = left[start : start + 64]
             ok = comps[li][:, None] != comps[right][None, :]
             small, large = np.minimum(ns[li][:, None], ns[right][None, :]), np.maximum(ns[li][:, None], ns[right][None, :])
-            ok &= 100 * small >= SIMILARITY * large
+            ok &= 100 * small >= similarity * large
             i, j = np.nonzero(ok)
             if not len(i):
                 continue
-            alive, same = survivors(sigs, sigs, (li[i], right[j]), more)
+            alive, same = survivors(sigs, sigs, (li[i], right[j]), more, similarity)
             found_l.append(li[i[alive]])
             found_r.append(right[j[alive]])
             found_m.append(same)
@@ -291,7 +310,7 @@ def _across(members: DataFrame, comp: DataFrame, reps: DataFrame, best_only: boo
             fl, fr = fl[first], fr[first]
         elif len(fl):
             # Of the buckets that a pair shares, the first hands it on.
-            kl, kr = band_keys(sigs[fl]), band_keys(sigs[fr])
+            kl, kr = band_keys(sigs[fl], similarity), band_keys(sigs[fr], similarity)
             mine = kl[np.arange(len(fl)), (kl == kr).argmax(axis=1)] == key
             fl, fr = fl[mine], fr[mine]
         return np.minimum(ids[fl], ids[fr]), np.maximum(ids[fl], ids[fr])
@@ -323,11 +342,12 @@ def _across(members: DataFrame, comp: DataFrame, reps: DataFrame, best_only: boo
     return arrow_map(rows, run, _BLOCKS).distinct()
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, similarity: int = SIMILARITY) -> DataFrame:
     """One row per document: _rid, doc_id, n_shingles, component_id, kept, stays.
 
     ``kept`` goes by ids; ``stays`` marks exactly one row of each component, the one with the least id (then the
     least _rid; null ids come last). ``row_col`` names a unique number that the rows have; else they get one.
+    ``similarity``, in per cent from 32 to 99, is that from which documents are linked.
     """
     rows = stage(signed(docs, id_col, text_col, row_col), "signatures")
     reps = rows.where("n > 0").groupBy("digest").agg(
@@ -342,11 +362,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                keys = band_keys(_sigs(b.column(1)))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+                keys = band_keys(_sigs(b.column(1)), similarity)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0), lists], schema=key_schema)
 
-    keys = arrow_map(reps.where(f"n >= {LEAST_SET}").select("id", "sig"), keyed, "id bigint, keys array<bigint>")
+    keys = arrow_map(reps.where(f"n >= {least_set(similarity)}").select("id", "sig"), keyed, "id bigint, keys array<bigint>")
     keys = stage(keys.select("id", F.explode("keys").alias("key")), "band-keys")
     shared = keys.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("k")).where("k > 1")
     members = stage(keys.join(shared.drop("k"), "key"), "buckets")
@@ -362,11 +382,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     meets = members.where("id <> centre").groupBy("id", "centre").agg(F.count(F.lit(1)).alias("k"))
     meets = meets.groupBy("id").agg(F.max(F.struct("k", (-F.col("centre")).alias("c"))).alias("m")).select((-F.col("m.c")).alias("a"), F.col("id").alias("b"))
     members = members.drop("centre")
-    comp = _merged(comp, _verified(_pruned(meets, held), sets, SIMILARITY))
-    best = stage(_across(members, comp, held, best_only=True), "best-pairs")
-    comp = _merged(comp, _verified(best, sets, SIMILARITY))
-    rest = _across(members, comp, held, best_only=False).join(best, ["a", "b"], "left_anti")
-    comp = _merged(comp, _verified(rest, sets, SIMILARITY))
+    comp = _merged(comp, _verified(_pruned(meets, held, similarity), sets, similarity))
+    best = stage(_across(members, comp, held, best_only=True, similarity=similarity), "best-pairs")
+    comp = _merged(comp, _verified(best, sets, similarity))
+    rest = _across(members, comp, held, best_only=False, similarity=similarity).join(best, ["a", "b"], "left_anti")
+    comp = _merged(comp, _verified(rest, sets, similarity))
 
     # Components of representatives; a document finds its own through its digest, where there is more than itself.
     of = reps.select("digest", "id", "doc", "lead", "copies").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
