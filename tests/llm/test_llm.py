@@ -326,6 +326,16 @@ def test_html_page():
     assert html_extract.Page("a < b").text(frozenset()) == "a < b"
 
 
+def test_html_names_never_hide_the_article():
+    text = lambda x: html_extract.Page(f"<body>{x}</body>").text(frozenset())
+    for page in ("<div class='content-sidebar-wrap'><main><p>T</p></main><div class=sidebar>s</div></div>", "<article class='post has-sidebar'><p>T</p></article>", "<div class='elementor-widget-container'><p>T</p></div>",
+                 "<div class='overflow-hidden'><article>T</article></div>", "<div class=widget><article class=promo>T</article></div>", "<div class=modal><main>T<div class=ad-box>a</div></main></div>",
+                 "<form><div class=x><main><p>T</p></main></div><nav>n</nav></form>", "<form><article>T</article></form>", "<form><div><p>T</p></div><footer>f</footer></form>", "<aside>a</aside><nav><main>T</main></nav>"):
+        assert text(page) == "T", page
+    for noise in ("<div class=main-nav>n</div>", "<div id=sidebar>s</div>", "<div class='cookieNotice x'>c</div>", "<div class='ad-box-2'>a</div>", "<form>f</form>", "<article class=comment>c</article>", "<div hidden><article>h</article></div>", "<div class=widget>w</div>"):
+        assert text(noise + "<p>T</p>") == "T", noise
+
+
 def test_html_style_tree(spark):
     """A block without any telling name goes where a site repeats it, and stays where each page has its own."""
     rows = [(k, f"http://h.org/{k}", f"<body><div class=zz>Same on all</div><div class=story>Story number {k} is here</div><div class=q>{'ABC'[k % 3]}</div></body>") for k in range(30)]

@@ -12,8 +12,9 @@ from each page. Paragraphs and headings of the main container are never removed
 holds the main container: a sentence that many articles share is part of each.
 
 Hosts with few pages tell little, so the tags and the class names by which pages mark what is not their article
-(menus, footers, adverts, notices, comments, ...) are a prior that removes branches on every page. The main
-container is <article>, else <main>, else the body.
+(menus, footers, adverts, notices, comments, ...) are a prior that removes branches on every page. A class or id
+counts with all its words: "ad-box" is noise, "has-sidebar" and "content-sidebar-wrap" are not. The main
+container is <article>, else <main>, else the body; neither names nor a <form> remove it or what holds it.
 
 Rows: null html counts as empty and gives an empty text; a null or hostless url has no style tree; repeated rows
 are answered each; an empty table gives an empty result; other input columns are ignored. Markup may be broken:
@@ -49,8 +50,16 @@ NOISE_NAMES = frozenset(
     "login share sharing social related recommended recommendations comment comments disqus respond reply replies discussion copyright disclaimer "
     "pagination pager toolbar widget skip search form masthead topbar trending outbrain taboola hidden".split()
 )
+#: Words that may stand beside a noise name in one class or id.
+PLAIN_NAMES = frozenset(
+    "box wrap wrapper container area list bar block section inner outer panel link links item items button btn icon text title group row col column unit slot zone "
+    "site main primary secondary global top bottom left right page pages post posts article articles entry user wp js header".split()
+)
+#: Of branches that hold articles which are not the page's own.
+OTHERS_NAMES = frozenset("comment comments disqus respond reply replies discussion related recommended recommendations".split())
 NOISE_NAMES_OUTSIDE = frozenset({"header"})  # noise only outside the main container
 KEPT_IN_MAIN = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote dd dt td th tr".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
@@ -68,13 +77,16 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    __slots__ = ("children", "end", "holds_main", "in_main", "noise", "parent", "path", "style", "tag")
+    __slots__ = ("children", "end", "freed", "holds_main", "in_main", "noise", "own", "parent", "path", "style", "tag", "worst")
 
-    def __init__(self, tag: str, style: str, parent: Node | None, noise: bool):
-        self.tag, self.style, self.parent, self.noise = tag, style, parent, noise
+    def __init__(self, tag: str, style: str, parent: Node | None, own: int):
+        """``own``: why the node itself is noise: 0 not, 1 a name or a form, 2 what never holds an article, 3 hidden."""
+        self.tag, self.style, self.parent, self.own = tag, style, parent, own
+        self.noise = own > 0 or bool(parent and parent.noise)
+        self.worst = max(own, parent.worst) if parent else own
         self.path = hash_of(style, parent.path if parent else 0)
         self.children: list[str] = []
-        self.holds_main = self.in_main = False
+        self.freed = self.holds_main = self.in_main = False
 
 
 def hash_of(text: str, seed: int = 0) -> int:
@@ -87,7 +99,7 @@ class Page:
     def __init__(self, source: str):
         self.nodes: list[Node] = []
         self.pieces: list[tuple[Node, str | None]] = []
-        self.root = Node("#", "#", None, False)
+        self.root = Node("#", "#", None, 0)
         self._parse(source)
         self._mark_main()
 
@@ -158,18 +170,29 @@ class Page:
                     hidden = True
                 elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
                     hidden = True
-        names = {x.lower() for x in _NAME.findall(classes)}
-        noise = hidden or tag in NOISE_TAGS or role in NOISE_ROLES or tag not in ("body", "html", "main") and bool(names & NOISE_NAMES)
+        names: set[str] = set()
+        outside = False
+        for token in classes.split():
+            words = {x.lower() for x in _NAME.findall(token)}
+            outside = outside or bool(words & NOISE_NAMES_OUTSIDE)
+            if all(x in NOISE_NAMES or x in PLAIN_NAMES or x.isdigit() for x in words):
+                names |= words & NOISE_NAMES
+        if tag in ("body", "html", "main"):
+            names.clear()
+        if hidden:
+            own = 3
+        elif tag in NOISE_TAGS and tag != "form" or role in NOISE_ROLES and role != "form" or names & OTHERS_NAMES:
+            own = 2
+        else:
+            own = int(tag == "form" or role == "form" or bool(names))
         style = f"{tag}.{_DIGITS.sub('0', classes).strip()}" if classes else tag
         if role == "main":
             tag = "main"
-        if not noise and parent.noise:
-            noise = True
         if tag not in INLINE:
             parent.children.append(style)
-        node = Node(tag, style, parent, noise)
-        if not noise and (tag == "header" or names & NOISE_NAMES_OUTSIDE):
-            node.noise = not self._within(parent)
+        if not own and not parent.noise and (tag == "header" or outside):
+            own = int(not self._within(parent))
+        node = Node(tag, style, parent, own)
         self.nodes.append(node)
         return node
 
@@ -181,11 +204,50 @@ class Page:
             node = node.parent
         return False
 
+    def _containers(self, tag: str, worse: int) -> list[Node]:
+        """Nodes of ``tag`` that are no noise; where there are none, those in noise less than ``worse``, which is lifted from them and what holds them."""
+        found = [x for x in self.nodes if x.tag == tag and not x.noise]
+        if not found and (found := [x for x in self.nodes if x.tag == tag and x.worst < worse]):
+            for x in found:
+                x.freed = True
+            self._free(found)
+        return found
+
+    def _free(self, nodes: list[Node]) -> None:
+        for up in nodes:
+            while up is not None:
+                up.own, up = 0, up.parent
+        for x in self.nodes:
+            x.noise = x.own > 0 or x.parent.noise
+
+    def _free_wrappers(self) -> None:
+        """Of pages without article and main: forms around most of the text, and named nodes around it where no other text is."""
+        size: dict[int, int] = {}
+        clean = False
+        for node, text in self.pieces:
+            if text and not text.isspace() and node.worst < 2:
+                clean = clean or not node.noise
+                up = node
+                while up is not None:
+                    size[id(up)] = size.get(id(up), 0) + len(text)
+                    up = up.parent
+        large = [x for x in self.nodes if x.own == 1 and 2 * size.get(id(x), 0) > size.get(id(self.root), 0) and (x.tag == "form" or not clean)]
+        prose = set()
+        for x in self.nodes if large else ():
+            while x is not None and (x.tag in PROSE or id(x) in prose) and x.parent is not None and id(x.parent) not in prose:
+                x = x.parent
+                prose.add(id(x))
+        if large := [x for x in large if id(x) in prose]:
+            for x in large:
+                x.own = 0
+            self._free([])
+
     def _mark_main(self) -> None:
-        clean = [x for x in self.nodes if not x.noise]
-        mains = [x for x in clean if x.tag == "article"] or [x for x in clean if x.tag == "main"]
+        mains = self._containers("main", 3)
+        mains = [x for x in self._containers("article", 2) if not mains or not x.freed or self._within(x.parent)] or mains
         if not mains:
-            # A page may put its article into a branch that its name makes noise; then the body is all there is.
+            self._free_wrappers()
+            clean = [x for x in self.nodes if not x.noise]
             mains = [x for x in clean if x.tag == "body"][:1] or [self.root]
             for x in mains:
                 x.in_main = True
