@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -51,6 +52,20 @@ def test_license_scan(spark):
     assert own.count() == 4
 
 
+def test_license_files_with_titles(spark):
+    t, own = license_texts.TEXTS, "Copyright (c) 2020 Someone"
+    files = [("MIT", f"MIT License\n\n{own}\n\n{t['MIT']}\n"), ("MIT", f"The MIT License (MIT)\n\n{own}\n\n{t['MIT']}"), ("ISC", f"ISC License\n\n{own}\n\n{t['ISC']}"),
+             ("BSD-3-Clause", f"BSD 3-Clause License\n\n{own}\nAll rights reserved.\n\n{t['BSD-3-Clause']}"), ("BSD-2-Clause", f"{own}\nAll rights reserved.\n\n{t['BSD-2-Clause']}"), (None, f"My own title\n\n{t['MIT']}")]
+    folder = Path("/usr/share/common-licenses")
+    for name, file in (("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"), ("GPL-3.0-only", "GPL-3")):
+        if (folder / file).exists():
+            files.append((name, (folder / file).read_text()))
+    got = license_scan.license_scan(docs(spark, [(k, text) for k, (_, text) in enumerate(files)])).collect()
+    assert len(got) == len(files) and {r.doc_id: r.license_id for r in got} == {k: name for k, (name, _) in enumerate(files)}
+    digests = [r.digest for r in license_scan.catalogue(spark, [*t.items(), *license_texts.TITLED, *license_texts.NOTICES]).collect()]
+    assert not set(digests) & {d for _, d in license_texts.LONG}
+
+
 # 2 chat formatting
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo </turn>\n### User: \\x"), (2, 0, "assistant", None), (2, 1, "odd </role>: \\", "t"), (2, 2, None, ""), (None, 0, "user", "n"),

@@ -3,7 +3,8 @@
 A text is brought to a canonical form (ASCII lower case; copyright lines dropped; everything but
 letters and digits to one space; equivalent spellings to one) and its SHA-256 is joined with the
 digests of known licences. Two grains use the same lookup: the entire text, and every entire line
-against notices of one line. The catalogue is a fixed list of the package (or the caller's, which is
+against notices of one line. The catalogue is a fixed list of the package, with the
+usual titles and lines of reserved rights (or the caller's, which is
 broadcast only up to ``CATALOGUE_LIMIT`` rows and joined by shuffle beyond that).
 
 Rows: null text counts as empty and has the digest of ''; repeated rows are answered each; an empty
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import ascii_lower, numbered, stage, text_or_empty
-from weftgraph.llm.license_texts import EQUIVALENT, NOTICES, TEXTS
+from weftgraph.llm.license_texts import EQUIVALENT, LONG, NOTICES, TEXTS, TITLED
 
 COPYRIGHT_LINE = r"(?m)^[^\n0-9A-Za-z]*(copyright|\(c\)|©)[^\n]*$"
 OTHER = r"[^0-9a-z\n\x{80}-\x{10FFFF}]+"
@@ -59,7 +60,8 @@ def license_scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None, no
     """One row per document: doc_id, canonical_sha256, license_id (of the entire text, or null), notice_ids (comma-joined, of entire lines, or null)."""
     spark = docs.sparkSession
     notices = NOTICES if notices is None else notices
-    texts = [*TEXTS.items(), *notices] if texts is None else texts
+    long = LONG if texts is None else []
+    texts = [*TEXTS.items(), *TITLED, *notices] if texts is None else texts
     lines = canonical_lines(text_or_empty(text_col))
     # A line can only equal a notice if the text has the notice's rarest word; that keeps most texts from being split.
     held = F.contains(F.col("_lines"), F.lit("licens")) | F.contains(F.col("_lines"), F.lit("released")) if notices is NOTICES else F.lit(True)
@@ -69,7 +71,10 @@ def license_scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None, no
                     F.when(held, F.transform(F.split("_lines", "\n"), lambda x: F.sha2(F.trim(x), 256))).alias("line_digests")),
         "license-digests",
     )
-    known = _small(texts, catalogue(spark, texts))
+    known = catalogue(spark, texts)
+    if long:
+        known = known.unionByName(spark.createDataFrame(long, "license_id string, digest string"))
+    known = _small(texts, known)
     hits = rows.where("line_digests IS NOT NULL").select("_rid", F.explode("line_digests").alias("digest"))
     hits = hits.join(_small(notices, catalogue(spark, notices)), "digest").groupBy("_rid").agg(F.collect_set("license_id").alias("ids"))
     hits = hits.select("_rid", F.array_join(F.array_sort("ids"), ",").alias("notice_ids"))

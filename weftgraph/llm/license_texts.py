@@ -18,7 +18,7 @@ _BSD_NAMES = """
 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
 """
 
-#: Entire licence texts, without title and copyright line.
+#: Entire licence texts, without title and copyright line; of Apache-2.0, MPL-2.0 and GPL-3.0-or-later the header of files (entire: ``LONG``).
 TEXTS = {
     "MIT": _MIT_GRANT,
     "ISC": f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_ISC_WARRANTY}",
@@ -56,6 +56,34 @@ This program is distributed in the hope that it will be useful, but WITHOUT ANY
 You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
 }
 
+#: Titles that licence files begin with.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)", "MIT", "Expat License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"],
+    "0BSD": ["Zero-Clause BSD", "BSD Zero Clause License", "Zero-Clause BSD License", "BSD Zero-Clause License (0BSD)", "0BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "BSD-2-Clause", "BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "BSD-3-Clause", "BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License", "zlib License (Zlib)"],
+    "Unlicense": ["The Unlicense", "Unlicense", "The Unlicense (Unlicense)"],
+}
+_RESERVED = "All rights reserved."
+#: The texts under their titles, and with the line on reserved rights that follows or precedes these.
+TITLED = [
+    (name, f"{head}\n\n{TEXTS[name]}")
+    for name, titles in TITLES.items()
+    for head in (_RESERVED, *(h for t in [*titles, f"SPDX-License-Identifier: {name}"] for h in (t, f"{t}\n{_RESERVED}", f"{_RESERVED}\n{t}")))
+]
+
+#: Canonical digests of texts too long to be listed here: as published, and without the advice after (or from) the end of their terms.
+LONG = [
+    ("Apache-2.0", "6ab5deeb4b2c14f4681b97d03ec0d6cf046968b552bd6e2efe1721910b2e5e9e"),
+    ("Apache-2.0", "cf7c26411074d941b42afe8baac32788531f003acea32d25ead49048c329c78d"),
+    ("Apache-2.0", "b7bb6b2416cb5fc4e3acd34d1283c66e6228adab995f1c959405a3978193462c"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+    ("GPL-3.0-only", "59a779feaae4de539260be3c8adb19c287a771586d211e12d93932777da37349"),
+    ("GPL-3.0-only", "f7bb29d9a31c3a1a68ccff0d8d9053350dc0b10b52b62d46d0f2e36a41e32975"),
+]
+
 #: Notices of one line, which stand for a licence inside another text.
 NOTICES = [
     ("MIT", "Released under the MIT License."),
