@@ -366,6 +366,88 @@ def test_html_same_sentence_in_articles_stays(spark):
     assert all(r.text == f"T{r.page_id}\nEvery article says this.\nown {r.page_id}" for r in html_extract.extract_text(pages(spark, rows)).collect())
 
 
+def test_html_text_goes_by_mass():
+    text = lambda x: html_extract.Page(f"<body>{x}</body>").text()
+    story = "<p>The story goes on and on for some time, and then it goes on.</p>"
+    assert text("<div id='content-sidebar-wrap'><article><p>T</p></article></div>") == text("<article class='post comment-status-open'><p>T</p></article>") == "T"
+    assert text("<article><p>T</p><div class='form-group'>fg</div><div class='side-note'>sn</div><div class='share'>sh</div></article>") == "T\nfg\nsn\nsh"
+    assert text("<article><p>T</p><div class='share'><a href=x>on a</a> <a href=y>on b</a></div></article>") == "T"
+    assert story[3:-4] in text(f"<main>{story}{story}<article class=card><a href=x>teaser</a></article></main>")
+    assert text(f"<div class=widget>{story}</div><div>x</div>").startswith(story[3:-4])
+    assert text(f"<article>{story}<div class=ad>buy</div></article><div class=promo>p</div><div>more</div>") == story[3:-4]
+
+
+def test_html_deep_and_broken_pages_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    for source in ("<div>" * 100_000 + "x", "<div><p>a" * 50_000 + "</div>x<p>" * 50_000, "<b><p>" * 50_000 + "x", "<ul><li>x" * 50_000, "</div></p>" * 100_000 + "x", "<table><tr><td>x" * 30_000):
+        page = html_extract.Page(source)
+        assert "x" in page.text() and page.features()
+    assert time.perf_counter() - start < 40
+
+
+def brute_style_tree(pages):
+    """Importance by path of one host's pages, from its definition: the merged tree as a dict, sums by walking down."""
+    import math
+
+    tree = {}  # path -> [parent, pages that have it, {feature: (weight, pages)}]
+    for page, source in enumerate(dict.fromkeys(pages)):
+        for path, parent, feature, weight in html_extract.Page(source).features():
+            node = tree.setdefault(path, [None, set(), {}])
+            if parent is not None:
+                node[0] = parent
+                node[1].add(page)
+            node[2].setdefault((feature, parent is None), (weight, set()))[1].add(page)
+
+    def sums(path):
+        _, m, shown = tree[path]
+        total = sum(w * len(n) for w, n in shown.values())
+        says = sum(w * len(n) * (1 - (math.log(len(n)) / math.log(len(m)) if len(m) > 1 else 0)) for w, n in shown.values())
+        for child in (c for c, x in tree.items() if x[0] == path):
+            t, s = sums(child)
+            total, says = total + t, says + s
+        return total, says
+
+    return {p: (len(x[1]), s / t if t else 1.0) for p, x in tree.items() for t, s in (sums(p),)}
+
+
+def made_up_site(n=50):
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(300)]
+    prose = lambda k: " ".join(rng.choices(words, k=k))
+    menu = [f"<li><a href='/m{k}'>Entry {k}</a>" for k in range(6)]
+    out = []
+    for k in range(n):
+        items = "".join([*rng.sample(menu, 5), f"<li><a href='/p{k}'>Next {k}</a>"])
+        bar = f"<div class=zz><ul>{items}</ul><span>All of this site</span></div>"
+        body = "".join(f"<div class=t{k % 3}>{prose(12)}</div>" for _ in range(rng.randint(1, 4)))
+        out.append(f"<html><body>{bar}<div class=yy><h2>{prose(3)}</h2>{body}<img src={k % 2}></div>{'<div class=xx><i>Rare</i></div>' if k % 9 == 0 else ''}<div class=ww><div>Made by <b>us</b></div></div></body></html>")
+    return [*out, out[0], out[0]]
+
+
+def test_html_style_tree_brute_force(spark):
+    rows = [(k, f"http://{'h' if k % 2 else 'g'}.org/{k}", x) for k, x in enumerate([*made_up_site(), "<div>" * 40 + "deep" + "<p>a<p>b", "", "plain"])]
+    frame = pages(spark, rows).selectExpr("CASE WHEN page_id % 2 = 1 THEN 1L ELSE 0L END AS host", "html")
+    got = {(r.host, r.path & 0xFFFFFFFFFFFFFFFF): (r.pages, r.importance) for r in html_extract.style_tree(frame).collect()}
+    want = {(h, p): x for h in (0, 1) for p, x in brute_style_tree([x for k, _, x in rows if k % 2 == h]).items()}
+    assert set(got) == set(want) and len(want) > 50
+    for key, (n, importance) in want.items():
+        assert got[key][0] == n and abs(got[key][1] - importance) < 1e-9, key
+    assert any(x < 0.5 for _, x in want.values()) and any(0.1 < x < 0.9 for _, x in want.values())
+
+
+def test_html_tree_decides_on_a_site_without_telling_names(spark, monkeypatch):
+    site = pages(spark, [(k, f"http://h.org/{k}", x) for k, x in enumerate(made_up_site())])
+    texts = lambda: {r.page_id: r.text for r in html_extract.extract_text(site).collect()}
+    got = texts()
+    assert all("Entry" not in x and "Made by" not in x and "All of this" not in x and len(x) > 50 for x in got.values())
+    monkeypatch.setattr(html_extract, "BROADCAST_PATHS", 0)
+    assert texts() == got
+    monkeypatch.setattr(html_extract, "unimportant", lambda tree: tree.select("host", "path").limit(0))
+    assert all("Entry" in x and "Made by us" in x for x in texts().values())
+
+
 # 8 mixing
 def test_mixing_targets(spark):
     rng = random.Random(8)
