@@ -242,8 +242,8 @@ def pages(spark, rows):
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>é</p>" + "x" * 1200 + "\r\n\r\nWARC/1.1\r\n\r\n"
     rows = [(1, "http://B.example.org/a?x=1", big), (2, "http://b.example.org/a?x=1", big), (3, None, None), (4, "https://www.a.org:8443/\r\nx", "small"), (5, "u v", "small"), (5, "u v", "small"), (None, "http://c.org", big), (6, "http://d.org/", "y" * 3_000_000)]
-    captures, index = warc.archive_pages(pages(spark, rows), f"file://{tmp_path}/warc")
-    got = warc.read_through_index(captures, index).collect()
+    index = warc.archive_pages(pages(spark, rows), f"file://{tmp_path}/warc")
+    got = index.read(pages(spark, rows)).collect()
     assert len(got) == len(rows) and all(r.intact for r in got)
     by = {r.page_id: r for r in got}
     assert (by[1].record_type, by[1].refers_to, by[2].record_type, by[None].record_type) == ("revisit", 2, "response", "revisit")
@@ -257,17 +257,37 @@ def test_warc_round_trip(spark, tmp_path):
 
 
 def test_warc_empty(spark):
-    captures, index = warc.archive_pages(pages(spark, [(1, "u", "x")]).limit(0))
-    assert warc.read_through_index(captures, index).count() == 0
+    none = pages(spark, [(1, "u", "x")]).limit(0)
+    index = warc.archive_pages(none)
+    assert index.read(none).count() == index.read(pages(spark, [(1, "u", "x")])).count() == 0
 
 
 def test_warc_index_blocks(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 7)
     rows = [(k, f"http://h{k % 13}.org/{k % 50}", f"t{k}") for k in range(200)]
-    captures, index = warc.archive_pages(pages(spark, rows))
+    index = warc.archive_pages(pages(spark, rows))
     assert index.directory().count() >= 200 // 7
     for k in (0, 49, 130):
         assert len(index.lookup(rows[k][1])) == sum(r[1] == rows[k][1] for r in rows)
+    some = pages(spark, [(0, rows[k][1], "") for k in (0, 49, 130)] + [(0, "http://nowhere.org/", "")])
+    want = sorted(r[0] for r in rows if r[1] in {rows[k][1] for k in (0, 49, 130)})
+    assert sorted(r.page_id for r in index.read(some).collect()) == want
+    for name in ("DIRECTORY_LIMIT", "BROADCAST_RANGES"):  # the ways beyond the limits
+        monkeypatch.setattr(warc, name, 0)
+        assert sorted(r.page_id for r in index.read(some).collect()) == want
+    monkeypatch.setattr(warc.CaptureIndex, "blocks", lambda self: spark.read.schema(warc.BLOCK).parquet(f"{self.path}/blocks").limit(0))
+    assert index.read(some).count() == 0  # nothing is read past the index
+
+
+def test_warc_archives_are_bounded_by_bytes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 40_000)
+    monkeypatch.setattr(warc, "CLASS_BYTES", (2_000, 8_000, 20_000))
+    rows = [(k, f"http://h.org/{k}", "x" * (200 * (k % 150)) + str(k)) for k in range(400)]
+    index = warc.archive_pages(pages(spark, rows), f"file://{tmp_path}/warc")
+    sizes = [f.stat().st_size for f in Path(f"{tmp_path}/warc").rglob("part-*")]
+    assert max(sizes) <= 40_000 and len(sizes) > 20
+    got = {r.page_id: r for r in index.read(pages(spark, rows)).collect()}
+    assert len(got) == len(rows) and all(got[k].payload_digest == hashlib.sha1(x.encode()).hexdigest() and got[k].intact for k, _, x in rows)
 
 
 # 6 decontamination

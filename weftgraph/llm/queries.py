@@ -24,8 +24,8 @@ def op4_near_dedup(spark, sf_dir):
 
 
 def op5_warc(spark, sf_dir):
-    captures, index = warc.archive_pages(read_table(spark, sf_dir, "pages"))
-    return warc.read_through_index(captures, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = read_table(spark, sf_dir, "pages")
+    return warc.archive_pages(pages).read(pages.select("url")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_decontaminate(spark, sf_dir):
