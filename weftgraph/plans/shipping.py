@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = "512"  # in place of Spark's default of 10,000: a batch of long texts must fit in memory and under 2 GB
 
 
 def ship(spark: SparkSession) -> None:
@@ -28,5 +30,8 @@ def ship(spark: SparkSession) -> None:
 
 def arrow_map(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """mapInArrow() with this package on the executors."""
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, BATCH_ROWS)
     return df.mapInArrow(function, schema)

@@ -2,23 +2,62 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LEFT: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests), a temporary folder."""
+    """spark.checkpoint.dir of the session; where it is unset, a temporary folder for a local master, and an error for a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='weft-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; what is left there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/weft/{name}-{uuid.uuid4().hex}"
+    _LEFT[path] = spark
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read again: no lineage to recompute, and any executor may be lost."""
-    path = f"{shared_dir(df.sparkSession)}/weft/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weft_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unstaged(*tables: DataFrame) -> None:
+    """Remove staged tables that no later step reads."""
+    for df in tables:
+        path = getattr(df, "_weft_path", None)
+        if path and _LEFT.pop(path, None):
+            _delete(df.sparkSession, path)
+
+
+@atexit.register
+def _clean() -> None:
+    for path, spark in list(_LEFT.items()):
+        try:
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, path)
+        except Exception:  # the session has ended before
+            return
