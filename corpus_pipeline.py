@@ -8,6 +8,12 @@ sharding    each document gets its shard
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet into the shared
 folder and hands the next stage what it reads there. All but the last keep the columns of documents.
+
+Rows: null text is judged as an empty one, kept by near_dedup (it links with nothing) and by decontaminate (it
+repeats nothing), and has no words to mix, so it comes as often as its source's certain copies and its draw say;
+null ids and null sources are allowed; rows repeated with one id and text leave one in near_dedup; of equal ids
+with different texts each row is judged by itself; an empty table stays empty in every stage; further columns,
+whatever their names, pass through, but that the last stage replaces those named like its outputs.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import decontaminate, mixing, near_dedup, quality, sharding
-from weftgraph.llm.common import numbered, read_table, stage, unstage
+from weftgraph.llm.common import numbered, read_table, stage, unstage, unused
 
 NEAR = 80  # per cent of five-word shingles; the 85 of op4 is that query's own
 
@@ -24,23 +30,28 @@ NEAR = 80  # per cent of five-word shingles; the 85 of op4 is that query's own
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fits on the labelled documents among ``docs``; null text is judged as an empty one."""
     model = quality.fit_quality(docs, read_table(spark, sf_dir, "labels"))
-    scored = quality.score_quality(docs.withColumn("_judged", F.col("text")), model, carry=docs.columns, text_col="_judged", prefix="_q_")
-    return scored.where("_q_kept").select(docs.columns)
+    prefix = "_judged_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    scored = quality.score_quality(docs, model, carry=docs.columns, prefix=prefix)
+    return scored.where(f"{prefix}kept").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the row with the least id stays; rows are told apart by number, not by id."""
-    rows = stage(numbered(docs, "_row"), "near-dedup-input")
-    gone = near_dedup.near_dedup(rows, row_col="_row", similarity=NEAR).where(~F.col("stays")).select(F.col("_rid").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(docs.columns)
+    row = unused(docs.columns, "_row")
+    rows = stage(numbered(docs, row), "near-dedup-input")
+    gone = near_dedup.near_dedup(rows, row_col=row, similarity=NEAR).where(~F.col("stays")).select(F.col("_rid").alias(row))
+    return rows.join(gone, row, "left_anti").select(docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Judges each row; rows repeated with one id and different texts are told apart by a number."""
-    rows = stage(numbered(docs, "_row"), "decontaminate-input")
-    found = decontaminate.decontaminate(rows.withColumn("doc_id", F.col("_row")), read_table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("_row"))
-    return rows.join(gone, "_row", "left_anti").select(docs.columns)
+    row = unused(docs.columns, "_row")
+    rows = stage(numbered(docs, row), "decontaminate-input")
+    found = decontaminate.decontaminate(rows.select(F.col(row).alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    gone = found.where("contaminated").select(F.col("doc_id").alias(row))
+    return rows.join(gone, row, "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
