@@ -487,6 +487,11 @@ def test_mixing_targets(spark):
     weight = {s: k % 3 + 1 for k, s in enumerate(sorted(x for x in per if x is not None) + [None])}
     free = [x[2] / weight[s] for s, x in per.items() if x[2] < 3 * x[0] - 1e-6]
     assert max(free) - min(free) < 1e-6 * total
+    many = [(k, "w " * (k % 7 + 1) * (200 if k % 40 == 0 else 1), f"s{k}") for k in range(800)]  # a source for each document
+    sources = {r.source: (r.source_size, r.target) for r in mixing.mix_sources(docs(spark, many)).collect()}
+    rank = {s: k % 3 + 1 for k, s in enumerate(sorted(sources))}
+    level = max(t / rank[s] for s, (n, t) in sources.items() if t < 3 * n)
+    assert all(abs(t - min(3 * n, level * rank[s])) < 1e-6 for s, (n, t) in sources.items()) and abs(sum(t for _, t in sources.values()) - sum(n for n, _ in sources.values())) < 1e-6
     taken = defaultdict(int)
     for r in mixing.repeat_rows(docs(spark, rows)).collect():
         taken[(r.doc_id, r.text, r.source)] += 1
@@ -538,6 +543,11 @@ def test_quality_awkward(spark):
     assert len(quality.training_rows(rows, labels, limit=2)) <= 2
 
 
+def test_quality_bound_counts_labelled_documents_only(spark):
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1000, 1050)] + [(3, 1, 0), (7, 0, 0)], "doc_id bigint, quality int, toxic int")
+    assert len(quality.training_rows(docs(spark, AWKWARD), labels, limit=10)) == 2
+
+
 # 10 sharding
 def test_sharding_limits(spark, tmp_path):
     rng = random.Random(10)
@@ -563,8 +573,20 @@ def test_sharding_limits(spark, tmp_path):
     assert sharding.assign_shards(docs(spark, rows).limit(0)).count() == 0
 
 
-def test_sharding_opens_levels(spark, monkeypatch):
+def test_sharding_keeps_columns_of_any_name(spark):
+    names = ["_hash", "_cell0", "_leaf", "_leaflet", "_at0", "_at1", "_shard1", "_size", "Shard_Docs", "Bytes"]
+    rows = docs(spark, [(k, "x" * 300) for k in range(20)]).withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    out = sharding.assign_shards(rows, byte_limit=1000)
+    assert set(names[:-2]) <= set(out.columns) and len(out.columns) == len({c.lower() for c in out.columns})
+    got = out.collect()
+    assert len(got) == 20 and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names[:-2]) and all(r.shard_bytes <= 1000 for r in got)
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_sharding_opens_levels(spark, monkeypatch, broadcast):
     monkeypatch.setattr(sharding, "LEVEL_BITS", 2)
+    monkeypatch.setattr(sharding, "NEXT_BITS", 3)
+    monkeypatch.setattr(sharding, "BROADCAST_SHARDS", broadcast)
     rows = [(k, "x" * 100) for k in range(300)] + [(5, "same")] * 30
     got = sharding.assign_shards(docs(spark, rows), byte_limit=350).collect()
     size = defaultdict(int)
@@ -611,6 +633,18 @@ def test_pipeline_near_stage_links_from_08(spark, sf_dir):
     assert all(near[i] for i in set(rows) - kept)
 
 
+def test_pipeline_keeps_columns_of_any_name(spark, sf_dir):
+    import corpus_pipeline
+
+    names = ["_row", "_row_", "_rid", "_judged", "_judged_kept", "_judged__kept", "_text", "_source", "_copies", "_u", "_of", "certain", "last", "_hash", "comp", "stays"]
+    rows = docs(spark, AWKWARD).withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))) for n in names})
+    for name, function in corpus_pipeline.STAGES:
+        out = function(spark, rows, sf_dir)
+        assert name == "sharding" or out.columns == rows.columns
+        got = out.collect()
+        assert got and all(r[n] == n + ("?" if r.doc_id is None else str(r.doc_id)) for r in got for n in names), name
+
+
 def test_pipeline_awkward(spark, sf_dir):
     import corpus_pipeline
 

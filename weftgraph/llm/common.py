@@ -1,76 +1,25 @@
-"""What the operators share: the shared work folder, staged tables and text normalisation."""
+"""What the operators share: staged tables, text normalisation and names of columns."""
 
 from __future__ import annotations
 
-import atexit
 import string
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.plans.shipping import arrow_map as arrow_map  # the operators take it from here
+from weftgraph.plans.shipping import arrow_map as arrow_map  # the operators take these from here
+from weftgraph.plans.staging import new_path as new_path
+from weftgraph.plans.staging import staged as stage  # noqa: F401
+from weftgraph.plans.staging import unstaged as unstage  # noqa: F401
 
 #: Text patterns of the operators' contracts, for Java and RE2 alike.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
-_LEFT: dict[str, SparkSession] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='weft-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; what is left there goes when the driver ends."""
-    path = f"{shared_dir(spark)}/weft/{name}-{uuid.uuid4().hex}"
-    _LEFT[path] = spark
-    return path
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._weft_path = path
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def unstage(*tables: DataFrame) -> None:
-    """Remove staged tables that no later step reads."""
-    for df in tables:
-        path = getattr(df, "_weft_path", None)
-        if path and _LEFT.pop(path, None):
-            _delete(df.sparkSession, path)
-
-
-@atexit.register
-def _clean() -> None:
-    for path, spark in list(_LEFT.items()):
-        try:
-            if spark.sparkContext._jsc is not None:
-                _delete(spark, path)
-        except Exception:  # the session has ended before
-            return
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only; pure ASCII text takes the fast path."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, string.ascii_uppercase, string.ascii_lowercase))
@@ -84,3 +33,10 @@ def numbered(df: DataFrame, name: str = "_rid") -> DataFrame:
     """A number per row; stage() the result before using it twice."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, or a longer one that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -29,23 +29,33 @@ CELL_BITS = 10  # of each of the two levels of cells
 RANK_BITS = 50
 
 
+def _ranked_sources(per: DataFrame) -> DataFrame:
+    """``per`` with the rank of each source by code point, null last, from 0: counted in ranges of sources, so that no task holds all."""
+    sorted_parts = per.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    placed = stage(sorted_parts.withColumn("id", F.monotonically_increasing_id()), "mix-sources")
+    part, at = F.shiftright("id", 33).alias("part"), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("n"))  # a row per shuffle partition
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return placed.withColumn("part", part).join(F.broadcast(before), "part").withColumn("rank", F.col("before") + at).drop("part", "before", "id")
+
+
 def source_targets(sized: DataFrame) -> DataFrame:
     """Per source: source_size, target, certain (whole copies) and lack (words the sample adds).
 
-    Water-filling in closed form: with sources sorted by cap per weight, the level is the largest of
-    (words left) / (weights left) over the prefixes taken as capped. The windows run over one row per
-    source.
+    Water-filling: each round caps the sources that the level would bring over ``CAP`` times their size and shares
+    what is left among the others, until none is above; a round is one sum over the sources.
     """
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    per = per.withColumn("weight", (F.row_number().over(by_name) - 1) % 3 + 1).withColumn("cap", CAP * F.col("source_size"))
-    everything = Window.partitionBy(F.lit(1))
-    before = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0))).cast("double") / (
-        F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
-    )
-    per = per.withColumn("level", level).withColumn("level", F.max("level").over(everything))
-    per = per.withColumn("target", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")))
+    per = stage(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-source-sizes")
+    per = stage(_ranked_sources(per).withColumn("weight", F.col("rank") % 3 + 1).withColumn("cap", CAP * F.col("source_size")), "mix-source-weights")
+    level = 0.0
+    while True:
+        free = F.col("cap") / F.col("weight") > F.lit(level)
+        words, capped, weights = per.agg(F.sum("source_size"), F.sum(F.when(~free, F.col("cap"))), F.sum(F.when(free, F.col("weight")))).first()
+        new = (words - (capped or 0)) / weights if weights else level
+        if new <= level:
+            break
+        level = new
+    per = per.withColumn("target", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight")))
     per = per.withColumn("certain", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint"))
     return per.select("source", "source_size", "target", "certain", (F.col("target") - F.col("certain") * F.col("source_size")).alias("lack"))
 

@@ -5,8 +5,8 @@ and a few measures of its shape is shared by all grades; ordered thresholds part
 P(grade <= k) = sigmoid(threshold_k - score). The expected grade ranks documents, the tail probability
 P(grade >= 2) selects them.
 
-The model is fitted on the driver, on at most ``TRAIN_ROWS`` labelled documents (those whose ids have the
-least hashes), by FTRL-proximal steps, which leave most weights at zero. Scoring is one pass over all
+The model is fitted on the driver, on at most ``TRAIN_ROWS`` of the documents that have labels (those whose ids have
+the least hashes), by FTRL-proximal steps, which leave most weights at zero. Scoring is one pass over all
 documents; what is broadcast is the table of weights, whose size is fixed.
 
 Rows: null text counts as empty; labels with null quality or toxic count as good for that part, and several
@@ -120,7 +120,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -
     """Grade and features of at most ``limit`` labelled documents, in a fixed order."""
     grade = F.when(F.coalesce("toxic", F.lit(0)) != 0, 0).when(F.coalesce("quality", F.lit(1)) == 0, 1).otherwise(GOOD)
     rated = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min(grade).alias("grade"))
-    rated = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    present = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()  # labels of other documents do not use up the bound
+    rated = rated.join(present, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     schema = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("features", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
