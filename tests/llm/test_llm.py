@@ -112,7 +112,7 @@ def test_exact_dedup_batches(spark):
 
 
 # 4 near dedup
-def brute_components(rows):
+def brute_components(rows, similarity=85):
     sets = {}
     for k, (i, text) in enumerate(rows):
         w = (text or "").encode().lower().split()
@@ -126,7 +126,7 @@ def brute_components(rows):
 
     for a in sets:
         for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
                 root[find(a)] = find(b)
     group = defaultdict(list)
     for k in sets:
@@ -609,7 +609,7 @@ def test_pipeline_stages(spark, sf_dir):
     rows = {r.doc_id: r for r in d.collect()}
     kept = {name: {r.doc_id for r in out} for name, out in outs}
     assert kept["near_dedup"] <= kept["quality"] <= set(rows)
-    truth = brute_components([(i, rows[i].text) for i in kept["quality"]])
+    truth = brute_components([(i, rows[i].text) for i in kept["quality"]], corpus_pipeline.NEAR)
     assert kept["near_dedup"] == {i for i, _, comp in truth if i == comp}
     items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     ids = sorted(kept["near_dedup"])
