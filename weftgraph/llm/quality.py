@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_map
+from weftgraph.llm.common import arrow_map, unused
 from weftgraph.llm.decontaminate import WORD_BYTES
 
 TRAIN_ROWS = 12_000
@@ -174,4 +174,4 @@ def score_quality(docs: DataFrame, model: OrdinalModel, keep_from: float = KEEP_
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names=[*b.schema.names[:-1], *(f"{prefix}{x}" for x in ("expected_grade", "tail_prob", "kept"))])
 
     out = f"{', '.join(f'`{x.name}` {x.dataType.simpleString()}' for x in schema)}, {prefix}expected_grade double, {prefix}tail_prob double, {prefix}kept boolean"
-    return arrow_map(docs.select(*carry, F.col(text_col).cast("binary").alias("_text")), run, out)
+    return arrow_map(docs.select(*carry, F.col(text_col).cast("binary").alias(unused(carry, "_text"))), run, out)
