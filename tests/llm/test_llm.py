@@ -149,8 +149,10 @@ def near_rows(n=400, seed=3):
     return rows
 
 
-def test_near_dedup_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [near_dedup.HOT, 3])
+def test_near_dedup_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "HOT", hot)
     rows = [*near_rows(), *((None if i is None else 5000 + i, t) for i, t in AWKWARD)]
     got = near_dedup.near_dedup(docs(spark, rows)).collect()
     assert len(got) == len(rows)
@@ -163,6 +165,21 @@ def test_near_dedup_brute_force(spark, monkeypatch):
     assert near_dedup.near_dedup(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_near_dedup_of_a_template(spark, monkeypatch):
+    """Texts that share most and mostly link with nothing: few pairs are compared, and no link is lost."""
+    rng = random.Random(12)
+    same = [f"t{k}" for k in range(160)]
+    rows = [(k, " ".join([*same, *(f"p{k}-{j}" for j in range(44))])) for k in range(300)]  # 0.65 of each other
+    rows += [(1000 + k, rows[k][1].rsplit(" ", rng.randint(0, 9))[0] + " end") for k in range(0, 300, 25)]
+    pairs = []
+    real = near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda p, *rest: pairs.append(p.count()) or real(p, *rest))
+    monkeypatch.setattr(near_dedup, "HOT", 20)
+    got = near_dedup.near_dedup(docs(spark, rows)).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+    assert sum(pairs) < 2000
+
+
 def test_pruning_keeps_what_links():
     rng = np.random.default_rng(1)
     lost = 0

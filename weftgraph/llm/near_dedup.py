@@ -18,6 +18,11 @@ components of these links.
    first round hands on the most similar partner a member has per bucket, which merges what can be merged;
    a second round verifies every remaining pair that survives the pruning. So no candidate between different
    components goes unchecked, and pairs inside one component, which cannot change the result, are not made.
+5. A bucket that has more than ``HOT`` members outside its largest component (documents of one template, say, that
+   share much and link with nothing) is not compared so. Its members are keyed anew by their prefixes: of the
+   shingles in order of their frequency among these members, rarest first, the first n - ceil(similarity * n) + 1.
+   Two sets at the similarity always share one of these, so nothing is missed, and what a template has in common
+   lies behind the prefixes.
 
 Sets too small to link with any but equal ones (at 0.85 up to five shingles, as 5/6 < 0.85; at 0.8 up to three)
 skip steps 2 to 4. Sets are fetched
@@ -56,6 +61,7 @@ LOOKS = (32, 64, 96, 128, 192, 256)  # signature values compared before each pru
 MORE_LOOKS = (384, 512, 768, 1024)  # and with the further ones
 MISS = 1e-6  # of a pruning, for a pair that would be linked
 BLOCK = 1024
+HOT = 8 * BLOCK  # members of a bucket outside its largest component, beyond which prefixes take the place of its key
 
 _RNG = np.random.default_rng(85)
 _A = (_RNG.integers(0, 1 << 32, HASHES + MORE, dtype=np.uint64) | 1).astype(np.uint32)
@@ -260,16 +266,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 _BLOCKS = "a bigint, b bigint"
 
 
-def _across(members: DataFrame, comp: DataFrame, reps: DataFrame, best_only: bool, similarity: int) -> DataFrame:
+def _spread(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, major, most, others) of the buckets that hold several components: the largest one, its members and the other members.
+
+    Staged, so that the join with the members is one of two shuffled tables, in which a hot key can be split.
+    """
+    per = members.join(comp, "id").groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
+    per = per.groupBy("key").agg(F.max(F.struct("k", F.col("comp"))).alias("top"), F.sum("k").alias("all"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    return stage(per.select("key", F.col("top.comp").alias("major"), F.col("top.k").alias("most"), (F.col("all") - F.col("top.k")).alias("others")), "bucket-components")
+
+
+def _prefixes(ids: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """(id, key): buckets of the sets of ``ids`` that share a shingle of their prefixes."""
+    rows = stage(sets.join(ids, "id", "left_semi").select("id", "n", F.explode("shingles").alias("key")), "hot-shingles")
+    often = stage(rows.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "hot-frequencies")
+    # A shingle of one set alone comes first in every prefix and is no bucket: counting the others places them.
+    shared = rows.join(often, "key").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("often", "key"))).alias("shared"))
+    length = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") / 100) + 1
+    head = F.greatest(F.lit(0), length - (F.col("n") - F.size("shared"))).cast("int")
+    keys = stage(shared.select("id", F.explode(F.slice("shared", F.lit(1), head)).alias("x")).select("id", "x.key"), "prefixes")
+    more = stage(keys.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key"), "prefix-buckets")
+    found = stage(keys.join(more, "key", "left_semi"), "prefix-members")
+    unstage(rows, often, keys, more)
+    return found
+
+
+def _across(members: DataFrame, comp: DataFrame, reps: DataFrame, best_only: bool, similarity: int, banded: bool = True) -> DataFrame:
     """Pairs of different components that share a bucket and survive the pruning.
 
     ``best_only``: of each member outside a bucket's largest component, the most similar partner in the bucket.
+    ``banded``: whether the buckets' keys are those of bands.
     """
-    rows = members.join(comp, "id")
-    per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
-    per = per.groupBy("key").agg(F.max(F.struct("k", F.col("comp"))).alias("top"), F.sum("k").alias("all"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    per = per.select("key", F.col("top.comp").alias("major"), F.ceil(F.col("top.k") / BLOCK).cast("int").alias("nx"), F.ceil((F.col("all") - F.col("top.k")) / BLOCK).cast("int").alias("ny"))
-    rows = rows.join(per, "key").join(reps.select("id", "sig", "more", "n"), "id")
+    per = _spread(members, comp)
+    per = per.select("key", "major", F.ceil(F.col("most") / BLOCK).cast("int").alias("nx"), F.ceil(F.col("others") / BLOCK).cast("int").alias("ny"))
+    rows = members.join(per, "key").join(comp, "id").join(reps.select("id", "sig", "more", "n"), "id")
     minor = F.col("comp") != F.col("major")
     slot = F.pmod(F.xxhash64("id", "key"), F.when(minor, F.col("ny")).otherwise(F.col("nx"))).cast("int")
     rows = rows.withColumn("slot", slot)
@@ -308,7 +338,7 @@ def _across(members: DataFrame, comp: DataFrame, reps: DataFrame, best_only: boo
             first = np.ones(len(fr), bool)
             first[1:] = fr[1:] != fr[:-1]
             fl, fr = fl[first], fr[first]
-        elif len(fl):
+        elif len(fl) and banded:
             # Of the buckets that a pair shares, the first hands it on.
             kl, kr = band_keys(sigs[fl], similarity), band_keys(sigs[fr], similarity)
             mine = kl[np.arange(len(fl)), (kl == kr).argmax(axis=1)] == key
@@ -368,8 +398,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     keys = arrow_map(reps.where(f"n >= {least_set(similarity)}").select("id", "sig"), keyed, "id bigint, keys array<bigint>")
     keys = stage(keys.select("id", F.explode("keys").alias("key")), "band-keys")
-    shared = keys.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    members = stage(keys.join(shared.drop("k"), "key"), "buckets")
+    shared = stage(keys.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "bucket-centres")
+    members = stage(keys.join(shared, "key"), "buckets")  # of two shuffled tables, so that a hot key can be split
+    unstage(shared)
     unstage(keys)
 
     ids = members.select("id").distinct()
@@ -383,17 +414,27 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     meets = meets.groupBy("id").agg(F.max(F.struct("k", (-F.col("centre")).alias("c"))).alias("m")).select((-F.col("m.c")).alias("a"), F.col("id").alias("b"))
     members = members.drop("centre")
     comp = _merged(comp, _verified(_pruned(meets, held, similarity), sets, similarity))
-    best = stage(_across(members, comp, held, best_only=True, similarity=similarity), "best-pairs")
-    comp = _merged(comp, _verified(best, sets, similarity))
-    rest = _across(members, comp, held, best_only=False, similarity=similarity).join(best, ["a", "b"], "left_anti")
-    comp = _merged(comp, _verified(rest, sets, similarity))
+    hot = _spread(members, comp).where(f"others > {HOT}").select("key")
+    if hot.isEmpty():
+        parts = [(members, True)]
+    else:
+        cold = stage(members.join(hot, "key", "left_anti"), "cold-buckets")
+        parts = [(cold, True), (_prefixes(members.join(hot, "key", "left_semi").select("id").distinct(), sets, similarity), False)]
+    seen = []
+    for part, banded in parts:
+        best = stage(_across(part, comp, held, best_only=True, similarity=similarity, banded=banded), "best-pairs")
+        comp = _merged(comp, _verified(best, sets, similarity))
+        seen.append(best)
+    for (part, banded), best in zip(parts, seen, strict=True):
+        rest = _across(part, comp, held, best_only=False, similarity=similarity, banded=banded).join(best, ["a", "b"], "left_anti")
+        comp = _merged(comp, _verified(rest, sets, similarity))
 
     # Components of representatives; a document finds its own through its digest, where there is more than itself.
     of = reps.select("digest", "id", "doc", "lead", "copies").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     least = of.groupBy("comp").agg(F.min("doc").alias("component_id"), F.min("lead").alias("lead"), F.sum("copies").alias("size")).where("size > 1")
     verdicts = of.select("digest", "comp").join(least.select("comp", "component_id", F.col("lead._rid").alias("first")), "comp")
     verdicts = stage(verdicts.select("digest", "component_id", "first"), "near-verdicts")
-    unstage(members, sets, best, held, comp)
+    unstage(members, sets, held, comp, *seen, *(part for part, _ in parts))
     out = rows.select("_rid", "doc_id", F.col("n").alias("n_shingles"), "digest").join(verdicts, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
     kept, stays = F.col("doc_id").eqNullSafe(component), F.coalesce(F.col("_rid") == F.col("first"), F.lit(True))
