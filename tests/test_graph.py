@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.graph import PropertyGraph
 from weftgraph.operators import audit, build, derive, dml, impact, lookup, sync, traversal
-from weftgraph.plans.expand import closure, reach, trails
+from weftgraph.plans import expand
+from weftgraph.plans.expand import closure, nearest, reach, spread, trails, trails_between, ways
 from weftgraph.schema import EDGE_FIELDS, NODE_DDL, edge_columns
 
 
@@ -60,6 +61,75 @@ def test_reach_and_closure_end_on_cycles(spark):
     assert reach(e.limit(0), seeds).count() == 0 and trails(e.limit(0), seeds, 1, 5).count() == 0
 
 
+def test_expansions_against_brute_force(spark):
+    import random
+    from collections import defaultdict
+
+    rng = random.Random(3)
+    rows = sorted({(f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(40)})
+    e = edges_of(spark, rows).withColumn("edge_id", F.xxhash64("src", "dst"))
+    after = defaultdict(list)
+    for k, (a, b) in enumerate(rows):
+        after[a].append((k, b))
+    paths = []  # every trail from n0 of up to 5 hops
+    todo = [(("n0",), ())]
+    while todo:
+        nodes, used = todo.pop()
+        for k, b in after[nodes[-1]]:
+            if k not in used:
+                paths.append((*nodes, b))
+                if len(used) < 4:
+                    todo.append(((*nodes, b), (*used, k)))
+    depth = {n: min(len(p) - 1 for p in paths if p[-1] == n) for n in {p[-1] for p in paths}}
+    seed = spark.createDataFrame([("Method:n0",)], "node string")
+    bare = F.substr("node", F.lit(8))
+    assert {(r.node[7:], r.depth) for r in spread(e, seed, 5).collect()} == set(depth.items())
+    best = {n: min(" > ".join(p) for p in paths if p[-1] == n and len(p) - 1 == d) for n, d in depth.items()}
+    assert {(r.node[7:], r.depth, r.path) for r in nearest(e, seed, 5, bare).collect()} == {(n, depth[n], best[n]) for n in depth}
+    for goal in ("n1", "n5", "n0"):
+        want = sorted((len(p) - 1, " > ".join(p)) for p in paths if p[-1] == goal)
+        end = spark.createDataFrame([(f"Method:{goal}",)], "node string")
+        for k in (1, 4, 1000):
+            got = sorted((r.depth, " > ".join(x[7:] for x in r.nodes)) for r in trails_between(e, seed, end, 5, k).collect())
+            assert got[:k] == want[:k] and (k < 1000 or got == want)
+
+
+def test_a_chain_has_no_bound_and_levels_stay_few(spark, monkeypatch):
+    written = []
+    real = expand.staged
+    monkeypatch.setattr(expand, "staged", lambda df, name: written.append(name) or real(df, name))
+    chain = edges_of(spark, [(f"c{k}", f"c{k + 1}") for k in range(25)], "INHERITS", "Class")
+    g = PropertyGraph(spark.createDataFrame([(f"Class:c{k}", f"c{k}") for k in range(26)], "node_id string, full_name string").withColumns({"kind_label": F.lit("Class")}), chain)
+    top = spark.createDataFrame([("Class:c0",)], "node string")
+    assert {(r.node, r.depth) for r in spread(chain, top).collect()} == {(f"Class:c{k}", k) for k in range(1, 26)}
+    assert written.count("frontier") == 26 and written.count("known") <= 25
+    assert {(r.relation, r.full_name, r.paths) for r in lookup.hierarchy(g, "c0").collect()} == {("parent", f"c{k}", 1) for k in range(1, 26)}
+    diamonds = [(f"d{k}", f"{x}{k}") for k in range(40) for x in "lr"] + [(f"{x}{k}", f"d{k + 1}") for k in range(40) for x in "lr"]
+    found = {r.node[6:]: r.paths for r in ways(edges_of(spark, diamonds, "INHERITS", "Class"), spark.createDataFrame([("Class:d0",)], "node string")).collect()}
+    assert len(found) == 120 and all(found[f"d{k}"] == 2**k for k in range(1, 41))
+
+
+def test_dense_graph_makes_few_rows_a_level(spark, monkeypatch):
+    """60 methods that all call each other: 59^8 trails, but no level of an analysis has more rows than there are methods or calls."""
+    rows = [(f"m{a}", f"m{b}") for a in range(60) for b in range(60) if a != b] + [("root", "m3")]
+    nodes = [node("Method", f"m{k}") for k in range(60)] + [node("Method", "root")]
+    g = graph(spark, nodes, edges_of(spark, rows))
+    largest = []
+    real = expand.staged
+
+    def counted(df, name):
+        out = real(df, name)
+        largest.append(out.count())
+        return out
+
+    monkeypatch.setattr(expand, "staged", counted)
+    assert [(r.entry, r.depth, r.path) for r in traversal.entry_points(g, "m7").collect()] == [("root", 2, "root > m3 > m7")]
+    assert impact.change_impact(g, "m7").where("role = 'direct'").count() == 59
+    assert max(largest) <= 61
+    assert [r.path for r in traversal.trace(g, "root", "m9", limit=5).collect()][:2] == ["root > m3 > m9", "root > m3 > m0 > m9"]
+    assert max(largest) <= 60 * 61
+
+
 def test_callers_through_interface_and_diamond(spark):
     nodes = [node("Interface", "n.I"), node("Class", "n.A"), node("Class", "n.B"), node("Class", "n.C"), node("Class", "n.D"),
              node("Method", "n.I.f"), node("Method", "n.A.f"), node("Method", "n.B.f"), node("Method", "n.t", file_path="/r/tests/t.py"), node("Method", "n.u")]

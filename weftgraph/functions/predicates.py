@@ -21,27 +21,28 @@ VENDORED_PATH = (
 
 # Names of methods that frameworks call.
 FRAMEWORK_METHODS = (
-    "__init__ constructor Up Down BuildTargetModel BuildModel OnModelCreating CreateDbContext main Main Dispose DisposeAsync Close Finalize "
-    "OnNavigatedTo OnInitialized OnInitializedAsync ConfigureWebHost CreateHostBuilder CreateWebHostBuilder doGet doPost doPut doDelete doHead "
-    "doOptions doTrace service init destroy contextInitialized contextDestroyed sessionCreated sessionDestroyed afterPropertiesSet onApplicationEvent "
-    "OnGet OnPost OnPut OnDelete OnGetAsync OnPostAsync OnPutAsync OnDeleteAsync OnConnectedAsync OnDisconnectedAsync StartAsync StopAsync ExecuteAsync "
-    "Invoke InvokeAsync"
-).split()
+    "__init__", "constructor", "Up", "Down", "BuildTargetModel", "BuildModel", "OnModelCreating", "CreateDbContext", "main", "Main", "Dispose", "DisposeAsync", "Close",
+    "Finalize", "OnNavigatedTo", "OnInitialized", "OnInitializedAsync", "ConfigureWebHost", "CreateHostBuilder", "CreateWebHostBuilder", "doGet", "doPost", "doPut", "doDelete",
+    "doHead", "doOptions", "doTrace", "service", "init", "destroy", "contextInitialized", "contextDestroyed", "sessionCreated", "sessionDestroyed", "afterPropertiesSet",
+    "onApplicationEvent", "OnGet", "OnPost", "OnPut", "OnDelete", "OnGetAsync", "OnPostAsync", "OnPutAsync", "OnDeleteAsync", "OnConnectedAsync", "OnDisconnectedAsync",
+    "StartAsync", "StopAsync", "ExecuteAsync", "Invoke", "InvokeAsync",
+)
 # Attributes of methods, of classes, and of entity classes (Java in lower case, C# as written).
 FRAMEWORK_ATTRIBUTES = (
-    "command tool callback bean postconstruct predestroy eventlistener scheduled requestmapping getmapping postmapping putmapping deletemapping "
-    "patchmapping beforeeach aftereach beforeall afterall postload prepersist postpersist preupdate postupdate preremove postremove override "
-    "ApiController HttpGet HttpPost HttpPut HttpDelete HttpPatch TestMethod DataTestMethod Fact Theory SetUp TearDown OneTimeSetUp OneTimeTearDown "
-    "Authorize AllowAnonymous GlobalSetup GlobalCleanup Route NonAction ServiceFilter TypeFilter TestInitialize TestCleanup ClassInitialize ClassCleanup "
-    "AssemblyInitialize AssemblyCleanup Benchmark kafkalistener rabbitlistener jmslistener path get post put delete patch produces consumes jsoncreator "
-    "jsonvalue jsongetter jsonsetter jsonproperty exceptionhandler initbinder modelattribute async transactional"
-).split()
+    "command", "tool", "callback", "bean", "postconstruct", "predestroy", "eventlistener", "scheduled", "requestmapping", "getmapping", "postmapping", "putmapping",
+    "deletemapping", "patchmapping", "beforeeach", "aftereach", "beforeall", "afterall", "postload", "prepersist", "postpersist", "preupdate", "postupdate", "preremove",
+    "postremove", "override", "ApiController", "HttpGet", "HttpPost", "HttpPut", "HttpDelete", "HttpPatch", "TestMethod", "DataTestMethod", "Fact", "Theory", "SetUp", "TearDown",
+    "OneTimeSetUp", "OneTimeTearDown", "Authorize", "AllowAnonymous", "GlobalSetup", "GlobalCleanup", "Route", "NonAction", "ServiceFilter", "TypeFilter", "TestInitialize",
+    "TestCleanup", "ClassInitialize", "ClassCleanup", "AssemblyInitialize", "AssemblyCleanup", "Benchmark", "kafkalistener", "rabbitlistener", "jmslistener", "path", "get",
+    "post", "put", "delete", "patch", "produces", "consumes", "jsoncreator", "jsonvalue", "jsongetter", "jsonsetter", "jsonproperty", "exceptionhandler", "initbinder",
+    "modelattribute", "async", "transactional",
+)
 FRAMEWORK_CLASS_ATTRIBUTES = (
-    "component service repository controller restcontroller configuration springbootapplication stateless stateful singleton messagedriven webservlet "
-    "webfilter weblistener ApiController TestClass TestFixture"
-).split()
-ENTITY_ATTRIBUTES = "entity data embeddable mappedsuperclass getter setter".split()
-HTTP_VERB_ATTRIBUTES = "HttpGet HttpPost HttpPut HttpDelete HttpPatch".split()
+    "component", "service", "repository", "controller", "restcontroller", "configuration", "springbootapplication", "stateless", "stateful", "singleton", "messagedriven",
+    "webservlet", "webfilter", "weblistener", "ApiController", "TestClass", "TestFixture",
+)
+ENTITY_ATTRIBUTES = ("entity", "data", "embeddable", "mappedsuperclass", "getter", "setter")
+HTTP_VERB_ATTRIBUTES = ("HttpGet", "HttpPost", "HttpPut", "HttpDelete", "HttpPatch")
 CONFIGURE_METHODS = ("configure", "Configure", "ConfigureServices")
 CONFIGURE_ENDINGS = ("Configuration", "Configurer", "Adapter", "Options")
 CONFIGURE_CLASSES = ("Startup", "Program")

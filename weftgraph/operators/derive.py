@@ -59,14 +59,22 @@ def abstract_dispatch(g: PropertyGraph) -> DataFrame:
 
 
 def structural_dispatch(g: PropertyGraph) -> DataFrame:
-    """DISPATCHES_TO of Python interfaces to classes that have all their methods without saying so: a relational division."""
+    """DISPATCHES_TO of Python interfaces to classes that have all their methods without saying so: a relational division.
+
+    Candidates are the classes that have an interface's rarest method, so that names that everything has ("get", "run")
+    multiply nothing; each is then held against the whole contract.
+    """
     python = g.label("Interface").where("language = 'python'").select(F.col("node_id").alias("ifc"))
-    contract = _members(g, "Interface").withColumnsRenamed({"owner": "ifc", "method": "im"}).join(python, "ifc", "left_semi")
-    size = contract.groupBy("ifc").agg(F.count(F.lit(1)).alias("need"))
-    own = _members(g, "Class").withColumnsRenamed({"owner": "cls", "method": "m"})
+    contract = staged(_members(g, "Interface").withColumnsRenamed({"owner": "ifc", "method": "im"}).join(python, "ifc", "left_semi"), "contracts")
+    own = staged(_members(g, "Class").withColumnsRenamed({"owner": "cls", "method": "m"}), "members")
+    often = own.groupBy("name").agg(F.count(F.lit(1)).alias("often"))
+    rarest = contract.join(often, "name", "left").groupBy("ifc").agg(
+        F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "name")).alias("r"), F.count(F.lit(1)).alias("need")
+    ).select("ifc", "r.name", "need")
     said = g.edge("IMPLEMENTS").select(F.col("src").alias("cls"), F.col("dst").alias("ifc"))
-    shared = own.join(contract, "name")
-    full = shared.groupBy("cls", "ifc").agg(F.count(F.lit(1)).alias("have")).join(size, "ifc").where("have = need").join(said, ["cls", "ifc"], "left_anti")
+    pairs = own.join(rarest, "name").select("cls", "ifc", "need").join(said, ["cls", "ifc"], "left_anti")
+    shared = staged(pairs.join(contract, "ifc").join(own, ["cls", "name"]), "shared-methods")
+    full = shared.groupBy("cls", "ifc").agg(F.count(F.lit(1)).alias("have"), F.min("need").alias("need")).where("have = need")
     return shared.join(full.select("cls", "ifc"), ["cls", "ifc"], "left_semi").select("im", "m").distinct().select(edge_columns(F.col("im"), F.col("m"), "DISPATCHES_TO"))
 
 

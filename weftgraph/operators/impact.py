@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions.predicates import is_test
 from weftgraph.graph import PropertyGraph
 from weftgraph.operators.lookup import callees
-from weftgraph.plans.expand import trails
+from weftgraph.plans.expand import spread
 
 
 def targets(g: PropertyGraph, method: str) -> DataFrame:
@@ -21,14 +21,14 @@ def targets(g: PropertyGraph, method: str) -> DataFrame:
 def change_impact(g: PropertyGraph, method: str) -> DataFrame:
     """(role, full_name, file_path): direct callers, transitive callers (2 to 4 hops), tests (1 to 4 hops) and callees."""
     goal = targets(g, method)
-    back = trails(g.edge("CALLS"), goal, 1, 4, reverse=True).groupBy("node").agg(F.min("depth").alias("least"), F.max("depth").alias("most"))
+    back = spread(g.edge("CALLS"), goal, 4, reverse=True).withColumnRenamed("depth", "least")
     m = g.label("Method").select(F.col("node_id").alias("node"), "full_name", "file_path")
     rows = back.join(m, "node")
     test = F.coalesce(is_test(F.col("file_path")), F.lit(False))
     other = F.col("full_name") != method
     direct = rows.where((F.col("least") == 1) & ~test).select(F.lit("direct").alias("role"), "full_name", "file_path")
     near = rows.where("least = 1").select("full_name")
-    far = rows.where((F.col("most") >= 2) & ~test & other).join(near, "full_name", "left_anti").select(F.lit("transitive").alias("role"), "full_name", "file_path")
+    far = rows.where((F.col("least") >= 2) & ~test & other).join(near, "full_name", "left_anti").select(F.lit("transitive").alias("role"), "full_name", "file_path")
     tests = rows.where(test).select(F.lit("test").alias("role"), "full_name", "file_path")
     down = callees(g, method, dispatch=False).select(F.lit("callee").alias("role"), "full_name", "file_path")
     return direct.unionByName(far).unionByName(tests).unionByName(down).distinct()
@@ -43,7 +43,7 @@ def impact_totals(impact: DataFrame) -> DataFrame:
 
 def test_coverage(g: PropertyGraph, method: str) -> DataFrame:
     """Test methods that call a method, or an interface method that it implements, within four hops."""
-    back = trails(g.edge("CALLS"), targets(g, method), 1, 4, reverse=True).select(F.col("node").alias("node_id")).distinct()
+    back = spread(g.edge("CALLS"), targets(g, method), 4, reverse=True).select(F.col("node").alias("node_id"))
     return g.label("Method").where(is_test(F.col("file_path"))).join(back, "node_id", "left_semi").select("full_name", "file_path")
 
 
@@ -72,6 +72,6 @@ def untested_services(g: PropertyGraph, layer: str = "/Services/") -> DataFrame:
     said = g.edge("IMPLEMENTS").select(F.col("src").alias("node_id"))
     cls = g.label("Class").where(F.contains("file_path", F.lit(layer))).join(said, "node_id", "left_semi")
     starts = g.label("Method").where(is_test(F.col("file_path"))).select(F.col("node_id").alias("node"))
-    hit = trails(g.edge("CALLS"), starts, 1, 3).select(F.col("node").alias("dst")).distinct()
+    hit = spread(g.edge("CALLS"), starts, 3).select(F.col("node").alias("dst"))
     tested = g.edge("CONTAINS").join(hit, "dst", "left_semi").select(F.col("src").alias("node_id"))
     return cls.join(tested, "node_id", "left_anti").select("full_name", "name", "file_path")

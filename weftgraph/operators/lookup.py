@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.predicates import decoded, is_test, simple_name
 from weftgraph.graph import PropertyGraph
-from weftgraph.plans.expand import reach, trails
+from weftgraph.plans.expand import reach, spread, ways
 from weftgraph.schema import LABEL_ORDER, REFERENCE_KINDS, SEARCHABLE_KINDS
 
 TYPES = ("Class", "Interface")
@@ -237,15 +237,14 @@ def implementations(g: PropertyGraph, full_name: str) -> DataFrame:
     exact = g.nodes.withColumn("tier", F.when(F.col("full_name") == full_name, 0).when(F.endswith("full_name", F.lit("." + full_name)), 1)).where("tier IS NOT NULL")
     direct = g.edge("IMPLEMENTS").select(F.col("src").alias("node"), F.col("dst").alias("node_id")).join(exact.select("node_id", "tier"), "node_id")
     direct = direct.join(direct.agg(F.min("tier").alias("best")).hint("broadcast"), F.col("tier") == F.col("best")).select("node").distinct()  # one row
-    heirs = reach(g.edge("INHERITS"), direct, reverse=True).select("node")
+    heirs = spread(g.edge("INHERITS"), direct, reverse=True).select("node")
     return g.label("Class", "Method").join(direct.unionByName(heirs).distinct().withColumnRenamed("node", "node_id"), "node_id", "left_semi").select(*NODE)
 
 
 def hierarchy(g: PropertyGraph, full_name: str) -> DataFrame:
     """(relation, full_name, paths): parents, children and implements of a type. ``paths`` counts the ways to a parent or child through a diamond."""
     own = g.nodes.where(F.col("full_name") == full_name).select(F.col("node_id").alias("node"))
-    up = trails(g.edge("INHERITS"), own, 1, 20).groupBy("node").agg(F.count(F.lit(1)).alias("paths"))
-    down = trails(g.edge("INHERITS"), own, 1, 20, reverse=True).groupBy("node").agg(F.count(F.lit(1)).alias("paths"))
+    up, down = ways(g.edge("INHERITS"), own), ways(g.edge("INHERITS"), own, reverse=True)
     name = g.nodes.select(F.col("node_id").alias("node"), "full_name", "kind_label")
     parents = up.join(name, "node").where(F.col("kind_label").isin(*TYPES)).select(F.lit("parent").alias("relation"), "full_name", "paths")
     impl = g.edge("IMPLEMENTS").select("src", "dst")
@@ -329,7 +328,7 @@ def summaries(g: PropertyGraph, repo: str | None = None) -> DataFrame:
     rows = g.nodes.where(F.array_contains("labels", "Summarized"))
     if repo is not None:
         top = g.label("Repository").where(F.col("path") == repo.rstrip("/")).select(F.col("node_id").alias("node"))
-        below = reach(g.edge("CONTAINS"), top).select(F.col("node").alias("node_id"))
+        below = spread(g.edge("CONTAINS"), top).select(F.col("node").alias("node_id"))
         rows = rows.join(below, "node_id", "left_semi")
     return rows.select("full_name", "summary").distinct()
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.predicates import HTTP_VERB_ATTRIBUTES, full_match, is_test, mentions
 from weftgraph.graph import PropertyGraph
-from weftgraph.plans.expand import reach, trails
+from weftgraph.plans.expand import nearest, spread, trails, trails_between
 from weftgraph.schema import EDGE_TYPES
 
 CALLING = ("CALLS", "DISPATCHES_TO")
@@ -24,20 +24,18 @@ def _node(g: PropertyGraph, full_name: str, *labels: str) -> DataFrame:
     return rows.where(F.col("full_name") == full_name).select(F.col("node_id").alias("node"))
 
 
+def _name(node_id: Column) -> Column:
+    """A node id without its label: a full name."""
+    return F.regexp_replace(node_id, r"^[A-Za-z]+:", "")
+
+
 def _names(ids: str) -> Column:
-    """Node ids without their labels: full names."""
-    return F.transform(ids, lambda x: F.regexp_replace(x, r"^[A-Za-z]+:", ""))
+    return F.transform(ids, _name)
 
 
 def trace(g: PropertyGraph, start: str, end: str, max_depth: int = 6, limit: int = MAX_PATHS) -> DataFrame:
-    """Call paths between two methods, shortest first. Edges off every such path are cut away before paths are made."""
-    depth = clamp(max_depth)
-    edges = g.edge(*CALLING)
-    a, b = _node(g, start, "Method"), _node(g, end, "Method")
-    ahead = reach(edges, a, depth).select("node", F.col("depth").alias("da")).unionByName(a.select("node", F.lit(0).alias("da"))).groupBy("node").agg(F.min("da").alias("da"))
-    back = reach(edges, b, depth, reverse=True).select("node", F.col("depth").alias("db")).unionByName(b.select("node", F.lit(0).alias("db"))).groupBy("node").agg(F.min("db").alias("db"))
-    on = edges.join(ahead.withColumnRenamed("node", "src"), "src").join(back.withColumnRenamed("node", "dst"), "dst").where(F.col("da") + F.col("db") + 1 <= depth)
-    found = trails(on.select("src", "dst", "edge_id"), a, 1, depth).join(b, "node", "left_semi")
+    """Call paths between two methods, shortest first; no path is made that is longer than the last one wanted."""
+    found = trails_between(g.edge(*CALLING), _node(g, start, "Method"), _node(g, end, "Method"), clamp(max_depth), limit)
     return found.select("depth", F.array_join(_names("nodes"), " > ").alias("path")).orderBy("depth", "path").limit(limit)
 
 
@@ -47,9 +45,7 @@ def entry_points(g: PropertyGraph, method: str, max_depth: int = 8, exclude_patt
     A root has no caller but excluded ones. The method itself is never its own entry.
     """
     depth = clamp(max_depth)
-    back = trails(g.edge(*CALLING), _node(g, method, "Method"), 1, depth, reverse=True)
-    back = back.select(F.col("node").alias("node_id"), "depth", F.reverse(_names("nodes")).alias("names"))
-    best = back.groupBy("node_id").agg(F.min(F.struct("depth", F.array_join("names", " > ").alias("path"))).alias("b")).select("node_id", "b.depth", "b.path")
+    best = nearest(g.edge(*CALLING), _node(g, method, "Method"), depth, _name(F.col("node")), reverse=True).withColumnRenamed("node", "node_id")
     entries = g.label("Method").select("node_id", "full_name", "file_path", "attributes").join(best, "node_id")
     visible = g.nodes.select(F.col("node_id").alias("src"), F.col("full_name").alias("caller"), F.col("file_path").alias("caller_path"))
     if exclude_pattern:
@@ -68,7 +64,7 @@ def entry_points(g: PropertyGraph, method: str, max_depth: int = 8, exclude_patt
 
 
 def call_depth(g: PropertyGraph, method: str, max_depth: int = 3) -> DataFrame:
-    """(full_name, file_path, depth): callees by every depth at which a trail meets them."""
+    """(full_name, file_path, depth): callees by every depth at which a trail meets them. Trails are many in a dense graph; ``max_depth`` bounds them."""
     found = trails(g.edge(*CALLING), _node(g, method, "Method"), 1, clamp(max_depth))
     m = g.label("Method").select(F.col("node_id").alias("node"), "full_name", "file_path")
     return found.join(m, "node").select("full_name", "file_path", "depth").distinct()
@@ -92,7 +88,7 @@ def explore(g: PropertyGraph, full_name: str, depth: int = 1) -> DataFrame:
     named = g.nodes.where("full_name IS NOT NULL AND full_name <> ''").select("node_id", "full_name")
     out = []
     for reverse in (False, True):
-        near = own if depth == 1 else own.unionByName(reach(edges, own, depth - 1, reverse).select("node")).distinct()
+        near = own if depth == 1 else own.unionByName(spread(edges, own, depth - 1, reverse).select("node")).distinct()
         out.append(edges.join(near.withColumnRenamed("node", "dst" if reverse else "src"), "dst" if reverse else "src", "left_semi").select("src", "dst", "type"))
     links = out[0].unionByName(out[1]).distinct()
     links = links.join(named.withColumnsRenamed({"node_id": "src", "full_name": "source"}), "src").join(named.withColumnsRenamed({"node_id": "dst", "full_name": "target"}), "dst")

@@ -12,7 +12,7 @@ from weftgraph.functions import predicates as P
 from weftgraph.functions import routes, texts
 from weftgraph.graph import PropertyGraph
 from weftgraph.operators import audit, build, derive, dml, impact, imports, lookup, sync, traversal
-from weftgraph.oracle import GRAPH, attribute, test, vendored
+from weftgraph.oracle import ATTRIBUTES_OF_FRAMEWORKS, CLASSES_OF_ENTITIES, CLASSES_OF_FRAMEWORKS, GRAPH, METHODS_OF_FRAMEWORKS, REPOSITORY_METHODS, attribute, levels, test, vendored
 from weftgraph.plans.expand import trails
 from weftgraph.schema import EDGE_FIELDS, edge_columns, node_id
 from weftgraph.sources import brace_source, files, star
@@ -21,10 +21,11 @@ from weftgraph.streaming.debounce import debounced
 
 @dataclass(frozen=True)
 class Symbols:
-    """The symbols that point queries ask for: the method with most callers, the one with most callees, their class and interface."""
+    """The symbols that point queries ask for: the method with most callers, the one with most callees, the target's first caller, class and interface."""
 
     target: str
     start: str
+    caller: str
     cls: str
     ifc: str
 
@@ -39,7 +40,8 @@ def symbols(spark: SparkSession, sf_dir: str) -> Symbols:
         most = lambda c: calls.groupBy(c).count().orderBy(F.desc("count"), c).first()[0].removeprefix("Method:")
         target = most("dst")
         cls = target.rsplit(".", 1)[0]
-        _SYMBOLS[key] = Symbols(target, most("src"), cls, "api." + cls.split(".")[1])
+        caller = calls.where(F.col("dst") == f"Method:{target}").agg(F.min("src")).first()[0].removeprefix("Method:")
+        _SYMBOLS[key] = Symbols(target, most("src"), caller, cls, "api." + cls.split(".")[1])
     return _SYMBOLS[key]
 
 
@@ -47,16 +49,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def on_graph(name: str, run: Callable[[PropertyGraph, Symbols], DataFrame], sql: str | None = None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: run(star.star_graph(spark, sf_dir), symbols(spark, sf_dir))
+def _register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None) -> None:
+    if name in QUERIES:
+        raise ValueError(f"there is a query {name} already")
+    QUERIES[name] = run
     if sql is not None:
-        ORACLES[name] = GRAPH + sql
+        ORACLES[name] = sql
+
+
+def on_graph(name: str, run: Callable[[PropertyGraph, Symbols], DataFrame], sql: str | None = None) -> None:
+    _register(name, lambda spark, sf_dir: run(star.star_graph(spark, sf_dir), symbols(spark, sf_dir)), None if sql is None else GRAPH + sql)
 
 
 def on_tables(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None, graph: bool = False) -> None:
-    QUERIES[name] = run
-    if sql is not None:
-        ORACLES[name] = (GRAPH if graph else "") + sql
+    _register(name, run, None if sql is None else (GRAPH if graph else "") + sql)
 
 
 # The graph itself
@@ -103,7 +109,7 @@ on_graph("type_references_kind", lambda g, s: lookup.type_references(g, s.cls, "
          "SELECT b.full_name AS of, a.full_name, kind AS ref_kind, a.file_path, a.line FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst JOIN cls ON cls.id = dst WHERE type = 'REFERENCES' AND kind = 'parameter'")
 on_graph("field_dependencies", lambda g, s: lookup.field_dependencies(g),
          "SELECT o.full_name AS of, x.full_name, x.name, x.type_name, CASE WHEN x.attributes LIKE '[%' THEN 'autowired,lazy' ELSE '' END AS annotations FROM con JOIN n o ON o.id = con.src JOIN n x ON x.id = con.dst AND x.label = 'Field' WHERE x.type_name <> ''")
-on_graph("called_members", lambda g, s: lookup.called_members(g, s.start, s.cls), "SELECT DISTINCT x.full_name, x.name FROM con JOIN cls ON con.src = cls.id JOIN call ON call.dst = con.dst JOIN sta ON sta.id = call.src JOIN n x ON x.id = con.dst")
+on_graph("called_members", lambda g, s: lookup.called_members(g, s.caller, s.cls), "SELECT DISTINCT x.full_name, x.name FROM con JOIN cls ON con.src = cls.id JOIN call ON call.dst = con.dst JOIN n x ON x.id = con.dst WHERE call.src = (SELECT min(src) FROM call JOIN tgt ON dst = id)")
 DEPS = "SELECT DISTINCT e.dst AS id FROM con JOIN cls ON con.src = cls.id JOIN e ON e.src = con.dst AND e.type = 'REFERENCES'"
 on_graph("referenced_types", lambda g, s: lookup.referenced_types(g, s.cls).drop("node_id"), f"SELECT {NODE} FROM n x JOIN ({DEPS}) d ON x.id = d.id WHERE x.label IN ('Class', 'Interface')")
 on_graph("relevant_types", lambda g, s: lookup.relevant_types(g, s.cls, s.target),
@@ -168,14 +174,20 @@ w AS (SELECT id AS start, id AS node, [id] AS nodes, []::BIGINT[] AS es, 0 AS de
 
 
 NAMES = "list_aggregate(list_transform({x}, lambda y: regexp_replace(y, '^[A-Za-z]+:', '')), 'string_agg', ' > ')"
-on_graph("call_trails", lambda g, s: trails(g.edge("CALLS"), g.label("Method").select(F.col("node_id").alias("node")), 1, 3).groupBy("depth").agg(F.count(F.lit(1)).alias("n")),
-         walk("(SELECT id FROM n WHERE label = 'Method')", "call", 3) + "SELECT depth, count(*) AS n FROM w WHERE depth > 0 GROUP BY depth")
-on_graph("trace_calls", lambda g, s: traversal.trace(g, s.start, s.target, 4), CD + walk("sta", "cd", 4) + f"SELECT depth, {NAMES.format(x='nodes')} AS path FROM w JOIN tgt ON node = tgt.id WHERE depth > 0 ORDER BY depth, path LIMIT 10")
-ENTRY = f"""SELECT x.full_name AS entry, min((depth, {NAMES.format(x='list_reverse(nodes)')}))[1] AS depth, min((depth, {NAMES.format(x='list_reverse(nodes)')}))[2] AS path FROM w JOIN n x ON x.id = w.node
-  WHERE depth > 0 AND NOT {test('x.file_path')} AND (NOT EXISTS (SELECT 1 FROM call JOIN n y ON y.id = call.src WHERE call.dst = x.id AND NOT {test('y.file_path')})
+on_graph("call_trails", lambda g, s: trails(g.edge("CALLS"), g.label("Method").where(F.col("full_name") == s.start).select(F.col("node_id").alias("node")), 1, 3).groupBy("depth").agg(F.count(F.lit(1)).alias("n")),
+         walk("sta", "call", 3) + "SELECT depth, count(*) AS n FROM w WHERE depth > 0 GROUP BY depth")
+# All trails of the least length and of one more are made; that holds the ten shortest.
+on_graph("trace_calls", lambda g, s: traversal.trace(g, s.start, s.target),
+         CD + levels("(SELECT id AS node FROM tgt)", "cd", 6, reverse=True) + f""", left_ AS MATERIALIZED (SELECT node, min(depth) AS k FROM (SELECT * FROM lv UNION ALL SELECT id, 0 FROM tgt) GROUP BY node), top AS (SELECT min(depth) + 1 AS most FROM lv JOIN sta ON lv.node = sta.id),
+         ed AS MATERIALIZED (SELECT row_number() OVER (ORDER BY src, dst) AS i, src, dst, k FROM cd JOIN left_ ON dst = node),
+         w AS (SELECT id AS node, [id] AS nodes, []::BIGINT[] AS es, 0 AS depth FROM sta
+           UNION ALL SELECT dst, list_append(w.nodes, dst), list_append(w.es, ed.i), w.depth + 1 FROM w JOIN ed ON ed.src = w.node, top WHERE w.depth + 1 + k <= least(6, most) AND NOT list_contains(w.es, ed.i))
+         SELECT depth, {NAMES.format(x='nodes')} AS path FROM w JOIN tgt ON node = tgt.id WHERE depth > 0 ORDER BY depth, path LIMIT 10""")
+ENTRY = f"""SELECT x.full_name AS entry, depth, lv.path FROM lv JOIN n x ON x.id = lv.node
+  WHERE NOT {test('x.file_path')} AND (NOT EXISTS (SELECT 1 FROM call JOIN n y ON y.id = call.src WHERE call.dst = x.id AND NOT {test('y.file_path')})
     OR regexp_matches(x.attributes, 'HttpGet|HttpPost|HttpPut|HttpDelete|HttpPatch') OR EXISTS (SELECT 1 FROM con JOIN n y ON y.id = con.src WHERE con.dst = x.id AND contains(y.attributes, 'ApiController')))
-  GROUP BY x.full_name ORDER BY depth, entry LIMIT 100"""
-on_graph("entry_points", lambda g, s: traversal.entry_points(g, s.target, 4), CD + walk("tgt", "cd", 4, True) + ENTRY)
+  ORDER BY depth, entry LIMIT 100"""
+on_graph("entry_points", lambda g, s: traversal.entry_points(g, s.target), CD + levels("(SELECT id AS node, fn AS path FROM tgt)", "cd", 8, reverse=True, path="regexp_replace({node}, '^[A-Za-z]+:', '') || ' > ' || min(path)") + ENTRY)
 on_graph("call_depth", lambda g, s: traversal.call_depth(g, s.start, 3), CD + walk("sta", "cd", 3) + "SELECT DISTINCT x.full_name, x.file_path, depth FROM w JOIN n x ON x.id = node WHERE depth > 0")
 on_graph("dependencies", lambda g, s: traversal.dependencies(g, s.target, 3), walk("tgt", "(SELECT src, dst FROM e WHERE type = 'REFERENCES')", 3) + "SELECT x.full_name, x.label AS kind_label, depth FROM w JOIN n x ON x.id = node WHERE depth > 0")
 on_graph("explore", lambda g, s: traversal.explore(g, s.cls, 2),
@@ -187,7 +199,7 @@ on_graph("transitive_callers", lambda g, s: traversal.transitive_callers(g, s.ta
          walk("tgt", "call", 2, True) + "SELECT DISTINCT x.full_name, x.file_path, x.line FROM w JOIN n x ON x.id = node WHERE depth = 2 AND node NOT IN (SELECT src FROM call JOIN tgt ON dst = id) AND node NOT IN (SELECT id FROM tgt)")
 
 # Impact
-BACK = walk("goal", "call", 4, True) + f", b AS (SELECT node, min(depth) AS lo, max(depth) AS hi, x.full_name, x.file_path, coalesce({test('x.file_path')}, false) AS t FROM w JOIN n x ON x.id = node WHERE depth > 0 GROUP BY ALL), imp AS (SELECT 'direct' AS role, full_name, file_path FROM b WHERE lo = 1 AND NOT t UNION SELECT 'transitive', full_name, file_path FROM b WHERE hi >= 2 AND NOT t AND full_name <> (SELECT fn FROM tgt) AND full_name NOT IN (SELECT full_name FROM b WHERE lo = 1) UNION SELECT 'test', full_name, file_path FROM b WHERE t UNION SELECT 'callee', x.full_name, x.file_path FROM call JOIN tgt ON src = id JOIN n x ON x.id = dst) "
+BACK = levels("(SELECT id AS node FROM goal)", "call", 4, reverse=True) + f", b AS (SELECT depth AS lo, x.full_name, x.file_path, coalesce({test('x.file_path')}, false) AS t FROM lv JOIN n x ON x.id = node), imp AS (SELECT 'direct' AS role, full_name, file_path FROM b WHERE lo = 1 AND NOT t UNION SELECT 'transitive', full_name, file_path FROM b WHERE lo >= 2 AND NOT t AND full_name <> (SELECT fn FROM tgt) AND full_name NOT IN (SELECT full_name FROM b WHERE lo = 1) UNION SELECT 'test', full_name, file_path FROM b WHERE t UNION SELECT 'callee', x.full_name, x.file_path FROM call JOIN tgt ON src = id JOIN n x ON x.id = dst) "
 on_graph("change_impact", lambda g, s: impact.change_impact(g, s.target), BACK + "SELECT * FROM imp")
 on_graph("change_impact_totals", lambda g, s: impact.impact_totals(impact.change_impact(g, s.target)),
          BACK + "SELECT count(DISTINCT full_name) FILTER (role = 'direct') AS n_direct, count(DISTINCT full_name) FILTER (role = 'transitive') AS n_transitive, count(DISTINCT full_name) FILTER (role = 'test') AS n_test, count(DISTINCT full_name) FILTER (role = 'callee') AS n_callee, count(DISTINCT full_name) FILTER (role <> 'callee') AS n_affected FROM imp")
@@ -196,20 +208,22 @@ on_graph("type_impact", lambda g, s: impact.type_impact(g, s.cls),
          f"SELECT x.full_name, x.file_path, kind AS ref_kind, CASE WHEN {test('x.file_path')} THEN 'test' ELSE 'prod' END AS context FROM e JOIN n x ON x.id = src WHERE type = 'REFERENCES' AND dst IN (SELECT id FROM cls UNION SELECT dst FROM impl JOIN cls ON src = id) AND x.full_name IS NOT NULL")
 on_graph("layering_violations", lambda g, s: impact.layering_violations(g, "tests/", "PROMO"),
          "SELECT o.full_name AS controller, a.full_name AS method, b.full_name AS callee FROM call JOIN n b ON b.id = call.dst AND contains(b.full_name, 'PROMO') JOIN n a ON a.id = call.src JOIN con ON con.dst = a.id JOIN n o ON o.id = con.src AND o.label = 'Class' AND contains(o.file_path, 'tests/')")
-on_graph("untested_services", lambda g, s: impact.untested_services(g, "/NATION_1"),
-         walk(f"(SELECT id FROM n WHERE label = 'Method' AND {test('file_path')})", "call", 3) + "SELECT full_name, name, file_path FROM n WHERE label = 'Class' AND contains(file_path, '/NATION_1') AND id NOT IN (SELECT con.src FROM con JOIN w ON w.node = con.dst WHERE depth > 0)")
+# Over calls with two places or more: over all calls, every class is reached.
+on_graph("untested_services", lambda g, s: impact.untested_services(PropertyGraph(g.nodes, g.edges.where("type <> 'CALLS' OR size(call_sites) >= 2")), "/NATION_1"),
+         ", twice AS MATERIALIZED (SELECT src, dst FROM e WHERE type = 'CALLS' AND n_sites >= 2)" + levels(f"(SELECT id AS node FROM n WHERE label = 'Method' AND {test('file_path')})", "twice", 3)
+         + "SELECT full_name, name, file_path FROM n WHERE label = 'Class' AND contains(file_path, '/NATION_1') AND id IN (SELECT src FROM e WHERE type = 'IMPLEMENTS') AND id NOT IN (SELECT con.src FROM con JOIN lv ON lv.node = con.dst)")
 
 # Audits
 NOT_CALLED = "NOT EXISTS (SELECT 1 FROM e z WHERE z.dst = x.id AND z.type = 'CALLS')"
 NOT_TESTED = "NOT EXISTS (SELECT 1 FROM e z WHERE z.dst = x.id AND z.type = 'TESTS')"
 BASE = f""", cand AS (SELECT x.*, EXISTS (SELECT 1 FROM e z WHERE z.dst = x.id AND z.type = 'CALLS') AS called, EXISTS (SELECT 1 FROM e z WHERE z.dst = x.id AND z.type = 'TESTS') AS tested FROM n x WHERE label = 'Method'
-  AND NOT {test('file_path')} AND NOT {vendored('file_path')} AND name NOT IN ({', '.join(repr(x) for x in P.FRAMEWORK_METHODS)}) AND NOT starts_with(name, 'main(')
-  AND NOT {attribute('attributes', [*P.FRAMEWORK_ATTRIBUTES, 'virtual'])} AND NOT coalesce(stub, false) AND NOT coalesce(is_abstract, false)
+  AND NOT {test('file_path')} AND NOT {vendored('file_path')} AND name NOT IN ({', '.join(repr(x) for x in METHODS_OF_FRAMEWORKS)}) AND NOT starts_with(name, 'main(')
+  AND NOT {attribute('attributes', [*ATTRIBUTES_OF_FRAMEWORKS, 'virtual'])} AND NOT coalesce(stub, false) AND NOT coalesce(is_abstract, false)
   AND NOT EXISTS (SELECT 1 FROM e z WHERE (z.dst = x.id AND z.type IN ('IMPLEMENTS', 'DISPATCHES_TO')) OR (z.src = x.id AND z.type IN ('SERVES', 'OVERRIDES')))
   AND NOT EXISTS (SELECT 1 FROM con JOIN n o ON o.id = con.src WHERE con.dst = x.id AND (o.label = 'Interface' OR o.label = 'Class' AND (o.name = x.name OR starts_with(x.name, o.name || '(') OR starts_with(o.name, x.name || '<')
     OR x.name IN ('configure', 'Configure', 'ConfigureServices') AND (regexp_full_match(o.name, '.*(?:Configuration|Configurer|Adapter|Options)') OR o.name IN ('Startup', 'Program'))
-    OR coalesce(o.external_bases, '[]') <> '[]' AND NOT coalesce(x.is_static, false) OR {attribute('o.attributes', P.FRAMEWORK_CLASS_ATTRIBUTES)}
-    OR {attribute('o.attributes', P.ENTITY_ATTRIBUTES)} AND (starts_with(x.name, 'get') OR starts_with(x.name, 'set') OR starts_with(x.name, 'is')))))) """
+    OR coalesce(o.external_bases, '[]') <> '[]' AND NOT coalesce(x.is_static, false) OR {attribute('o.attributes', CLASSES_OF_FRAMEWORKS)}
+    OR {attribute('o.attributes', CLASSES_OF_ENTITIES)} AND (starts_with(x.name, 'get') OR starts_with(x.name, 'set') OR starts_with(x.name, 'is')))))) """
 on_graph("dead_code", lambda g, s: audit.dead_code(g, 15, 5), BASE + "SELECT full_name, file_path, line FROM cand WHERE NOT called ORDER BY file_path, full_name LIMIT 15 OFFSET 5")
 on_graph("dead_code_all", lambda g, s: audit.dead_code(g, 0, exclude_pattern="Brand#2", exclude_file_pattern=r"\.ts", subdirectory="NATION_1[0-9]"),
          BASE + r"SELECT full_name, file_path, line FROM cand WHERE NOT called AND NOT regexp_full_match(full_name, '.*Brand#2.*') AND NOT regexp_full_match(file_path, '.*\.ts.*') AND regexp_full_match(file_path, '.*/NATION_1[0-9]/.*|.*/NATION_1[0-9]$')")
@@ -239,9 +253,20 @@ on_graph("derive_method_implements", lambda g, s: derive.method_implements(g)[0]
 on_graph("derive_dispatch", lambda g, s: g.edge("DISPATCHES_TO").select(*PAIR), "SELECT * FROM disp")
 on_graph("derive_abstract_dispatch", lambda g, s: derive.abstract_dispatch(g).select(*PAIR),
          "SELECT DISTINCT pm.method AS src, cm.method AS dst FROM inh JOIN mem pm ON pm.owner = inh.dst AND pm.olabel = 'Class' AND pm.is_abstract JOIN mem cm ON cm.owner = inh.src AND cm.olabel = 'Class' AND cm.name = pm.name")
-on_graph("derive_structural_dispatch", lambda g, s: derive.structural_dispatch(PropertyGraph(g.nodes, g.edges.where("type <> 'IMPLEMENTS' OR dst NOT LIKE 'Interface:%'"))).select(*PAIR),
-         """, full_ AS (SELECT a.owner AS c, b.owner AS i FROM mem a JOIN mem b ON a.name = b.name AND a.olabel = 'Class' JOIN need ON need.owner = b.owner GROUP BY a.owner, b.owner, need.k HAVING count(*) = need.k)
-         SELECT DISTINCT b.method AS src, a.method AS dst FROM full_ JOIN mem a ON a.owner = c JOIN mem b ON b.owner = i AND a.name = b.name""")
+
+
+def _protocols(g: PropertyGraph) -> PropertyGraph:
+    """Interfaces cut down to the method that comes first by name, and that no class says to implement."""
+    interfaces = g.label("Interface").select(F.col("node_id").alias("src"))
+    held = g.edge("CONTAINS").join(interfaces, "src", "left_semi").join(g.nodes.select(F.col("node_id").alias("dst"), "name"), "dst")
+    first = held.groupBy("src").agg(F.min_by("dst", "name").alias("dst"))
+    other = g.edges.where("type <> 'IMPLEMENTS' OR dst NOT LIKE 'Interface:%'").join(held.select("src", "dst"), PAIR, "left_anti")
+    return PropertyGraph(g.nodes, other.unionByName(g.edges.join(first, PAIR, "left_semi")))
+
+
+on_graph("derive_structural_dispatch", lambda g, s: derive.structural_dispatch(_protocols(g)).select(*PAIR),
+         """, fst AS (SELECT owner, min(mem.name) AS name FROM mem JOIN n ON n.id = owner WHERE olabel = 'Interface' AND n.language = 'python' GROUP BY owner)
+         SELECT DISTINCT b.method AS src, a.method AS dst FROM fst JOIN mem b ON b.owner = fst.owner AND b.name = fst.name JOIN mem a ON a.olabel = 'Class' AND a.name = fst.name""")
 on_graph("derive_overrides", lambda g, s: derive.overrides(g).select(*PAIR), "SELECT * FROM ovr")
 on_graph("derive_tests", lambda g, s: derive.tests(g).select(*PAIR), "SELECT * FROM tst")
 on_graph("derive_callbacks", lambda g, s: derive.callback_calls(PropertyGraph(g.nodes.withColumn("name", F.when(F.col("name") == "configure", F.lit("onCallback")).otherwise(F.col("name"))), g.edges)).select(*PAIR),
@@ -249,7 +274,7 @@ on_graph("derive_callbacks", lambda g, s: derive.callback_calls(PropertyGraph(g.
 on_graph(
     "derive_repository_stubs",
     lambda g, s: derive.repository_stubs(PropertyGraph(g.nodes.withColumn("name", F.when(F.col("full_name") == "api.ECONOMY", F.lit("CrudRepository")).otherwise(F.col("name"))), g.edges)).nodes.select("full_name", "name", "language"),
-    "SELECT substr(src, 11) || '.' || m AS full_name, m AS name, n.language FROM inh JOIN n ON n.id = inh.src, (SELECT unnest([" + ", ".join(f"'{x}'" for x in derive.REPOSITORY_METHODS) + "]) AS m) WHERE dst = 'Interface:api.ECONOMY'",
+    "SELECT substr(src, 11) || '.' || m AS full_name, m AS name, n.language FROM inh JOIN n ON n.id = inh.src, (SELECT unnest([" + ", ".join(f"'{x}'" for x in REPOSITORY_METHODS) + "]) AS m) WHERE dst = 'Interface:api.ECONOMY'",
 )
 on_graph("unique_names", lambda g, s: build.unique_names(g, "Method").select("name", "node_id"), "SELECT name, min(id) AS node_id FROM n WHERE label = 'Method' GROUP BY name HAVING count(*) = 1")
 
@@ -335,13 +360,16 @@ on_tables("debounce", lambda spark, d: debounced(_events(spark, d), "15 minutes"
           f"""WITH v AS ({EVENTS}), g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS fresh FROM v WINDOW w AS (PARTITION BY path ORDER BY ts)),
           k AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM g)
           SELECT path, max((ts, event))[2] AS event, max(ts) AS ts, count(*) AS events FROM k GROUP BY path, burst""")
-on_tables(
-    "sync_by_time",
-    lambda spark, d: sync.disk_diff(
-        _events(spark, d).where("event <> 'delete'").groupBy("path").agg(F.min("ts").alias("last_indexed")), _events(spark, d).where("event <> 'create'").groupBy("path").agg(F.max("ts").alias("modified")).where("substr(path, 3) % 7 <> 0")
-    ),
-    f"WITH v AS ({EVENTS}), i AS (SELECT path, min(ts) AS l FROM v WHERE event <> 'delete' GROUP BY path), d AS (SELECT path, max(ts) AS m FROM v WHERE event <> 'create' AND substr(path, 3)::INTEGER % 7 <> 0 GROUP BY path) SELECT coalesce(i.path, d.path) AS path, CASE WHEN d.path IS NULL THEN 'delete' WHEN i.path IS NULL OR m > l THEN 'reindex' ELSE 'unchanged' END AS action FROM i FULL JOIN d ON i.path = d.path",
-)
+
+
+def _visits(spark: SparkSession, sf_dir: str, event: str, when, name: str) -> DataFrame:
+    """A path for each user who did so, with a time."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_type") == event)
+    return rows.groupBy(F.concat(F.lit("/f"), F.col("user_id").cast("string")).alias("path")).agg(when("ts").alias(name))
+
+
+on_tables("sync_by_time", lambda spark, d: sync.disk_diff(_visits(spark, d, "view", F.min, "last_indexed"), _visits(spark, d, "purchase", F.max, "modified")),
+          "WITH i AS (SELECT '/f' || user_id AS path, min(ts) AS l FROM events WHERE event_type = 'view' GROUP BY 1), d AS (SELECT '/f' || user_id AS path, max(ts) AS m FROM events WHERE event_type = 'purchase' GROUP BY 1) SELECT coalesce(i.path, d.path) AS path, CASE WHEN d.path IS NULL THEN 'delete' WHEN i.path IS NULL OR m > l THEN 'reindex' ELSE 'unchanged' END AS action FROM i FULL JOIN d ON i.path = d.path")
 CHANGES = "SELECT ['A', 'M', 'D', 'R100'][p_partkey % 4 + 1] AS status, CASE WHEN p_partkey % 4 >= 2 THEN '/' || p_brand || '/' || (p_partkey % 300) || '.py' END AS old_path, CASE WHEN p_partkey % 4 <> 2 THEN '/' || p_type || '/' || (p_partkey % 500) || CASE WHEN p_partkey % 3 = 0 THEN '.md' ELSE '.py' END END AS new_path FROM part"
 
 
@@ -441,7 +469,7 @@ def _script_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 on_tables("source_script_imports", _script_imports,
           """WITH p AS (SELECT replace(p_brand, '#', '') AS b, p_partkey AS k FROM part)
           SELECT 'File:/r/' || b || '/f' || k || '.ts' AS src, 'Method:' || b || '.f' || k || '.make' AS dst, 'IMPORTS' AS type FROM p UNION ALL SELECT 'File:/r/' || b || '/f' || k || '.ts', 'Class:' || b || '.f' || k || '.C' || k, 'IMPORTS' FROM p""")
-on_tables("symbol_kinds", lambda spark, d: spark.read.parquet(f"{d}/part.parquet").select("p_partkey", texts.symbol_kind(F.when(F.col("p_partkey") % 2 == 0, "java").otherwise("python"), F.col("p_partkey") % 16).alias("kind")),
+on_tables("protocol_kinds", lambda spark, d: spark.read.parquet(f"{d}/part.parquet").select("p_partkey", texts.symbol_kind(F.when(F.col("p_partkey") % 2 == 0, "java").otherwise("python"), F.col("p_partkey") % 16).alias("kind")),
           """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CASE p_partkey % 16 WHEN 4 THEN 'namespace' WHEN 6 THEN 'method' WHEN 8 THEN 'field' WHEN 10 THEN 'enum' WHEN 12 THEN 'method' WHEN 14 THEN 'field' END
           ELSE CASE p_partkey % 16 WHEN 3 THEN 'namespace' WHEN 5 THEN 'class' WHEN 7 THEN 'property' WHEN 9 THEN 'method' END END AS kind FROM part""")
 on_tables("versions_at_least", lambda spark, d: spark.read.parquet(f"{d}/part.parquet").select("p_partkey", texts.at_least(F.concat(F.lit("1."), (F.col("p_partkey") % 30).cast("string"), F.lit(".4rc1")), 1, 9, 5).alias("recent")),
