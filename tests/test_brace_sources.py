@@ -216,3 +216,84 @@ def test_typescript_graph(spark):
     } <= edges(g)
     empty = build.source_graph(brace_source.staging(spark.createDataFrame([], "path string, text string"), "/r"), "/r", "csharp")
     assert empty.nodes.count() == 1 and empty.edges.count() == 0
+
+
+def _graph(spark, language, files, **more):
+    rows = spark.createDataFrame([(f"/r/{k}", v) for k, v in files.items()], "path string, text string")
+    source = python_source if language == "python" else brace_source
+    return build.source_graph(source.staging(rows, "/r"), "/r", language, **more)
+
+
+def _edges(g, type_):
+    return {(r.src.split(":", 1)[1], r.dst.split(":", 1)[1]) for r in g.edge(type_).collect()}
+
+
+def test_each_cache_implements_its_own_interface(spark):
+    files = {f"{n}/{f}.cs": f"namespace {n};\npublic {k}" for n in ("Alpha", "Beta", "Gamma") for f, k in (("Cache", "class Cache : ICache { public void Get(int k) { Load(k); } void Load(int k) { } }"), ("ICache", "interface ICache { void Get(int k); }"))}
+    files["Delta/User.cs"] = "using Beta;\nnamespace Delta;\npublic class User : Cache, Unknown { private readonly ICache store; void Go() { store.Get(1); this.Get(2); Gamma.Cache.Make(); } }\npublic class Lost : Hidden.ICache { }"
+    files["Gamma/More.cs"] = "namespace Gamma;\npublic class Far : Alpha.Cache { }\npublic class Two : Far, Cache { }"
+    g = _graph(spark, "csharp", files)
+    assert _edges(g, "IMPLEMENTS") == {(f"{n}.Cache", f"{n}.ICache") for n in ("Alpha", "Beta", "Gamma")}
+    assert _edges(g, "INHERITS") == {("Delta.User", "Beta.Cache"), ("Gamma.Far", "Alpha.Cache"), ("Gamma.Two", "Gamma.Far")}  # only the first base is a class's
+    assert {r.full_name: r.external_bases for r in g.nodes.where("external_bases IS NOT NULL").collect()} == {"Delta.User": '["Unknown"]'}
+    assert _edges(g, "CALLS") == {(f"{n}.Cache.Get(int)", f"{n}.Cache.Load(int)") for n in ("Alpha", "Beta", "Gamma")} | {("Delta.User.Go()", "Beta.ICache.Get(int)"), ("Delta.User.Go()", "Beta.Cache.Get(int)")}
+
+
+def test_python_calls_go_by_scope_field_assignment_and_import(spark):
+    files = {
+        "app/store.py": "class Store:\n    def save(self): pass\n    def load(self): return self.save()\ndef make(): pass\n",
+        "app/other.py": "class Store:\n    def save(self): pass\ndef make(): pass\ndef go():\n    def inner(): pass\n    inner()\n    make()\n",
+        "app/main.py": "from typing import TYPE_CHECKING\nfrom app.store import Store, make as build\nimport app.other as o\nif TYPE_CHECKING:\n    build()\nclass Base:\n    db: Store\n    def shared(self): pass\n"
+                       "class Main(Base):\n    def __init__(self):\n        self.two = o.Store()\n    def run(self):\n        self.db.save()\n        self.two.save()\n        self.shared()\n        build()\n        o.make()\n        shared()\no.go()\n",
+    }
+    g = _graph(spark, "python", files)
+    calls = _edges(g, "CALLS")
+    run = {b for a, b in calls if a == "app.main.Main.run"}
+    assert run == {"app.store.Store.save", "app.other.Store.save", "app.main.Base.shared", "app.store.make", "app.other.make"}
+    assert ("app.store.Store.load", "app.store.Store.save") in calls and ("app.other.go", "app.other.go.inner") in calls and ("app.other.go", "app.other.make") in calls
+    assert ("app.main", "app.other.go") in calls and ("app.main", "app.store.make") not in calls  # what is for compile time alone calls nothing
+    assert _edges(g, "INHERITS") == {("app.main.Main", "app.main.Base")}
+
+
+def test_java_stubs_markers_and_definitions(spark):
+    files = {"a/Svc.java": "package a;\nimport b.Repo;\nclass Svc { private RestTemplate http; private Repo repo; void go(int n) { http.getForObject(\"/x\"); this.http.noSuch(); repo.find(n); odd.find(2); } }",
+             "b/Repo.java": "package b;\ninterface Repo { Item find(int n); }", "c/Repo.java": "package c;\ninterface Repo { Item find(int n); }"}
+    g = _graph(spark, "java", files)
+    assert _edges(g, "CALLS") == {("a.Svc.go(int)", "a.Svc.http.getForObject"), ("a.Svc.go(int)", "b.Repo.find(int)")}
+    stub = g.nodes.where("stub").first()
+    assert (stub.full_name, stub.name, stub.file_path, stub.language) == ("a.Svc.http.getForObject", "getForObject", "", "java")
+    site = g.nodes.sparkSession.createDataFrame([("a.Svc.go(int)", "Method:c.Repo.find(int)")], "caller string, callee string")
+    rows = spark.createDataFrame([(f"/r/{k}", v) for k, v in files.items()], "path string, text string")
+    staging = brace_source.staging(rows, "/r")
+    odd = staging.where("what = 'call' AND target = 'odd.find'").select("line", "col")
+    g = build.source_graph(staging, "/r", "java", definitions=site.crossJoin(odd).select("caller", "line", "col", "callee"))
+    assert ("a.Svc.go(int)", "c.Repo.find(int)") in _edges(g, "CALLS")
+    marks = spark.createDataFrame([("/r/a/Svc.java", "Svc.go", '["Override","static"]'), ("/r/b/Repo.java", "find", '["abstract"]'), ("/r/b/Repo.java", "Nope", "[]"), ("/r/a/Svc.java", "go", '["late"]')], "file_path string, name string, attributes string")
+    out = {r.full_name: (r.attributes, r.is_static, r.is_abstract) for r in build.with_attributes(g, marks.where("attributes <> '[\"late\"]'")).label("Method").collect()}
+    assert out["a.Svc.go(int)"] == ('["Override","static"]', True, False) and out["b.Repo.find(int)"][::2] == ('["abstract"]', True) and out["c.Repo.find(int)"][0] == "[]"
+
+
+def test_markup_elements_call_components(spark):
+    files = {"ui/hello.tsx": "export function Hello(p: Props) { return <b>hi</b>; }\nexport const Big = () => { return (<Hello name={1} />); };",
+             "ui/app.tsx": "import { Hello } from './hello';\nimport { Big as Large } from './hello';\nexport function App() { const n = a < Hello; return <div>{ok ? <Hello /> : <Large>x</Large>}</div>; }"}
+    g = _graph(spark, "typescript", files)
+    assert _edges(g, "CALLS") == {("ui.hello.Big", "ui.hello.Hello"), ("ui.app.App", "ui.hello.Hello"), ("ui.app.App", "ui.hello.Big")}
+    staging = brace_source.staging(spark.createDataFrame([(f"/r/{k}", v) for k, v in files.items()], "path string, text string"), "/r")
+    elements = staging.where("kind = 'element'")
+    refs = spark.createDataFrame([("ui.hello.Hello", "/r/ui/app.tsx", 1, 9), ("ui.hello.Hello", "/r/ui/hello.tsx", 1, 16), ("ui.hello.Big", "/r/ui/app.tsx", 2, 9)], "callee string, file_path string, line int, col int")
+    calls = {(r.src, r.dst) for r in build.calls_from_references(g, refs, elements=elements).collect()}
+    assert calls == {("Method:ui.app.App", "Method:ui.hello.Hello"), ("Class:ui.app", "Method:ui.hello.Big")}
+    blocks = spark.createDataFrame([("/r/ui/app.tsx", 2, 2)], "file_path string, line int, end_line int")
+    calls = {(r.src, r.dst) for r in build.calls_from_references(g, refs, blocks, elements).collect()}
+    assert calls == {("Method:ui.app.App", "Method:ui.hello.Hello")}
+
+
+def test_long_headers_and_brackets_lose_nothing():
+    many = ", ".join(f"Type{k}" for k in range(40))
+    text = f"class A {{ void f() {{ make<{many}>(1); }} }}"
+    assert [r["name"] for r in brace_source.parse("/r/a.cs", text, "/r") if r["what"] == "call"] == ["make"]
+    kinds = "|".join(f"{{a{k}: string}}" for k in range(60))
+    rows = brace_source.parse("/r/a.ts", f"export const f = (x: number): {kinds} => {{ return g(x); }};", "/r")
+    assert [r["full_name"] for r in rows if r["what"] == "symbol" and r["kind"] == "method"] == ["a.f"]
+    rows = brace_source.parse("/r/b.cs", "class B { void g() { if (x [ [ [ [ ( ; } void h() { k(); } }", "/r")
+    assert {"B.g()", "B.h()"} <= {r["full_name"] for r in rows if r["what"] == "symbol"}

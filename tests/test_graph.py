@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.graph import PropertyGraph
-from weftgraph.operators import audit, build, derive, dml, impact, lookup, sync, traversal
+from weftgraph.operators import audit, derive, dml, impact, lookup, resolve, sync, traversal
 from weftgraph.plans import expand
 from weftgraph.plans.expand import closure, nearest, reach, spread, trails, trails_between, ways
 from weftgraph.schema import EDGE_FIELDS, NODE_DDL, edge_columns
@@ -228,9 +228,9 @@ def test_shared_package_survives_orphan_deletion(spark):
 def test_overload_ladder_and_division(spark):
     g = graph(spark, [node("Method", "n.f(int)"), node("Method", "n.g(int)"), node("Method", "n.g(str)"), node("Method", "n.h"), node("Method", "n.h(int)")], PropertyGraph.empty(spark).edges)
     names = spark.createDataFrame([("n.f",), ("n.g",), ("n.h",)], "wanted string")
-    assert {(r.wanted, r.node_id) for r in build.overload(g, names).collect()} == {("n.f", "Method:n.f(int)"), ("n.h", "Method:n.h")}
+    assert {(r.wanted, r.node_id) for r in resolve.overloads(g, names).collect()} == {("n.f", "Method:n.f(int)"), ("n.h", "Method:n.h")}
     c = spark.createDataFrame([("m", 1, 0, 0, "x"), ("m", 1, 0, 0, "y"), ("m", 1, 0, 1, "z"), ("m", 2, 0, 2, "w")], "caller string, line int, col int, priority int, callee string")
-    assert {(r.line, r.callee) for r in build.calls_by_ladder(c).collect()} == {(1, "z"), (2, "w")}
+    assert {(r.line, r.callee) for r in resolve.by_ladder(c).collect()} == {(1, "z"), (2, "w")}
 
 
 def test_structural_dispatch(spark):

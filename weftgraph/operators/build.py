@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import routes
-from weftgraph.functions.predicates import bare_type, simple_name
+from weftgraph.functions.predicates import decoded, simple_name
 from weftgraph.graph import PropertyGraph
+from weftgraph.operators import resolve
 from weftgraph.operators.derive import http_edges
-from weftgraph.operators.imports import Aliases, import_edges, packages, visible_constants, with_constants
+from weftgraph.operators.imports import Aliases, import_edges, packages, resolved, visible_constants, with_constants
 from weftgraph.plans.staging import staged
 from weftgraph.schema import edge_columns, node_columns, node_id
 from weftgraph.sources.files import ancestors
@@ -55,48 +56,68 @@ def unique_names(g: PropertyGraph, *labels: str) -> DataFrame:
     return rows.where("n = 1").select("name", "x.node_id", "x.kind_label")
 
 
-def overload(g: PropertyGraph, names: DataFrame) -> DataFrame:
-    """(wanted, node_id): methods called exactly ``wanted`` or, if only one such exists, 'wanted(...)'."""
-    m = g.label("Method").select("node_id", F.regexp_replace("full_name", r"\(.*$", "").alias("wanted"), "full_name")
-    rows = names.join(m, "wanted")
-    exact = F.max(F.when(F.col("full_name") == F.col("wanted"), F.col("node_id")))
-    by = rows.groupBy("wanted").agg(exact.alias("exact"), F.count(F.lit(1)).alias("n"), F.min("node_id").alias("only"))
-    return by.select("wanted", F.coalesce("exact", F.when(F.col("n") == 1, F.col("only"))).alias("node_id")).where("node_id IS NOT NULL")
+def base_types(g: PropertyGraph, bases: DataFrame, imported: DataFrame | None = None, language: str = "", root: str = "") -> tuple[DataFrame, DataFrame]:
+    """(edges, external) of base rows (file_path, full_name, target, col): INHERITS between likes, IMPLEMENTS from class to interface.
 
-
-def base_types(g: PropertyGraph, bases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, external) of base rows (full_name, target): INHERITS between likes, IMPLEMENTS from class to interface;
-    what is not known goes to external (full_name, external_bases as JSON text)."""
-    rows = bases.withColumn("name", bare_type(F.col("target"))).join(g.label("Class", "Interface").select("full_name", F.col("node_id").alias("src"), F.col("kind_label").alias("a")), "full_name")
-    rows = rows.join(unique_names(g, "Class", "Interface").select("name", F.col("node_id").alias("dst"), F.col("kind_label").alias("b")), "name", "left")
+    A base is the type that its name stands for at its place. In C# and TypeScript only the first base (col 0) can be a
+    base class. What no type is called goes to external (full_name, external_bases as JSON text); a name that several
+    types have, none of which the place sees, gives neither.
+    """
+    imported = imported if imported is not None else _nothing_imported(g)
+    here = g.label("Class", "Interface").where("kind IS NULL OR kind <> 'module'").select("full_name", F.col("node_id").alias("src"), F.col("kind_label").alias("a"))
+    named = resolve.type_targets(g, bases, imported, language, root)
+    rows = staged(bases.join(named, ["file_path", "full_name", "target"]).join(here, "full_name"), "bases")
     known = rows.where("dst IS NOT NULL AND src <> dst")
-    edges = known.where("a = b").select(edge_columns(F.col("src"), F.col("dst"), "INHERITS")).unionByName(
-        known.where("a = 'Class' AND b = 'Interface'").select(edge_columns(F.col("src"), F.col("dst"), "IMPLEMENTS"))
+    first = F.lit(language not in ("csharp", "typescript")) | (F.col("a") == "Interface") | (F.col("col") == 0)
+    edges = known.where((F.col("a") == F.col("b")) & first).select("src", "dst").distinct().select(edge_columns(F.col("src"), F.col("dst"), "INHERITS")).unionByName(
+        known.where("a = 'Class' AND b = 'Interface'").select("src", "dst").distinct().select(edge_columns(F.col("src"), F.col("dst"), "IMPLEMENTS"))
     )
-    external = rows.where("dst IS NULL").groupBy("full_name").agg(F.to_json(F.array_sort(F.collect_set("target"))).alias("external_bases"))
+    external = rows.where("NOT known").groupBy("full_name").agg(F.to_json(F.array_sort(F.collect_set("target"))).alias("external_bases"))
     return edges, external
 
 
-def type_references(g: PropertyGraph, refs: DataFrame, defining: DataFrame | None = None) -> DataFrame:
+def _nothing_imported(g: PropertyGraph) -> DataFrame:
+    return g.nodes.sparkSession.createDataFrame([], "file_path string, name string, dst string, full string, label string")
+
+
+def type_references(g: PropertyGraph, refs: DataFrame, defining: DataFrame | None = None, imported: DataFrame | None = None, language: str = "", root: str = "") -> DataFrame:
     """REFERENCES of (full_name, target, kind, file_path, line, col): by unique simple name, else by the symbol that
-    ``defining`` (file_path, line, col, node_id) names for the place."""
+    ``defining`` (file_path, line, col, node_id) names for the place, else by what the name stands for there."""
     rows = refs.withColumn("name", simple_name(F.col("target"))).join(g.nodes.select("full_name", F.col("node_id").alias("src")), "full_name")
     rows = rows.join(unique_names(g, "Class", "Interface").select("name", F.col("node_id").alias("named")), "name", "left")
     if defining is not None:
         rows = rows.join(defining.withColumnRenamed("node_id", "defined"), ["file_path", "line", "col"], "left")
     else:
         rows = rows.withColumn("defined", F.lit(None).cast("string"))
-    hit = rows.select("src", F.coalesce("named", "defined").alias("dst"), "kind").where("dst IS NOT NULL AND src <> dst").distinct()
+    seen = resolve.type_targets(g, refs, imported if imported is not None else _nothing_imported(g), language, root).where("dst IS NOT NULL").select("file_path", "full_name", "target", F.col("dst").alias("seen"))
+    rows = rows.join(seen, ["file_path", "full_name", "target"], "left")
+    hit = rows.select("src", F.coalesce("named", "defined", "seen").alias("dst"), "kind").where("dst IS NOT NULL AND src <> dst").distinct()
     return hit.select(edge_columns(F.col("src"), F.col("dst"), "REFERENCES", F.col("kind")))
 
 
+#: Markers that are flags of a symbol.
+FLAGS = {"is_abstract": ("abstractmethod", "ABC", "Protocol", "abstract"), "is_static": ("staticmethod", "static"), "is_classmethod": ("classmethod",), "is_async": ("async",)}
+
+
 def attributes_for(g: PropertyGraph, rows: DataFrame) -> DataFrame:
-    """(node_id, attributes) of marker rows (name, attributes): by full name first, else by the simple name without parameters."""
-    n = g.nodes.where("full_name IS NOT NULL").select("node_id", "full_name", F.regexp_replace("name", r"\(.*$", "").alias("simple"))
-    by_full = rows.join(n, rows["name"] == n["full_name"]).select("node_id", "attributes", F.lit(0).alias("rank"))
-    by_simple = rows.join(n, rows["name"] == n["simple"]).select("node_id", "attributes", F.lit(1).alias("rank"))
-    best = by_full.unionByName(by_simple).groupBy("node_id").agg(F.min(F.struct("rank", "attributes")).alias("b"))
-    return best.select("node_id", "b.attributes")
+    """(node_id, attributes) of marker rows (file_path, name, attributes as JSON text): in their file the symbols called 'Parent.name'
+    so, else those called so simply; parameters in a symbol's name do not count."""
+    n = g.nodes.where("full_name IS NOT NULL").select("node_id", "file_path", F.regexp_replace("name", r"\(.*$", "").alias("simple"), F.regexp_replace("full_name", r"\(.*$", "").alias("fn"))
+    n = n.withColumn("qualified", F.when(F.contains("fn", F.lit(".")), F.substring_index("fn", ".", -2)))
+    by = lambda c, rank: rows.join(n.withColumn("name", F.col(c)), ["file_path", "name"]).select("file_path", "name", "attributes", "node_id", F.lit(rank).alias("rank"))
+    hits = by("qualified", 0).unionByName(by("simple", 1))
+    best = hits.groupBy("file_path", "name").agg(F.min("rank").alias("rank"))
+    hits = hits.join(best, ["file_path", "name", "rank"])
+    return hits.groupBy("node_id").agg(F.max_by("attributes", F.struct("name", "attributes")).alias("attributes"))
+
+
+def with_attributes(g: PropertyGraph, rows: DataFrame) -> PropertyGraph:
+    """The graph with the attributes of marker rows, and the flags that follow from them."""
+    found = attributes_for(g, rows).withColumnRenamed("attributes", "_attributes")
+    nodes = g.nodes.join(found, "node_id", "left")
+    for flag, marks in FLAGS.items():
+        nodes = nodes.withColumn(flag, F.when(F.arrays_overlap(decoded(F.col("_attributes")), F.array(*map(F.lit, marks))), True).otherwise(F.col(flag)))
+    return PropertyGraph(nodes.withColumn("attributes", F.coalesce("_attributes", "attributes")).select(g.nodes.columns), g.edges)
 
 
 def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
@@ -121,28 +142,39 @@ def last_start(points: DataFrame, starts: DataFrame) -> DataFrame:
     return both.withColumn("full_name", F.last("full_name", ignorenulls=True).over(w)).where("k = 1").select("file_path", "at", "full_name")
 
 
-def calls_from_references(g: PropertyGraph, references: DataFrame) -> DataFrame:
-    """CALLS of references (callee, file_path, line, col): the innermost method around the place calls, else the file's module.
+def calls_from_references(g: PropertyGraph, references: DataFrame, compile_time: DataFrame | None = None, elements: DataFrame | None = None) -> DataFrame:
+    """CALLS of references (callee, file_path, line, col): the innermost method around the place calls; where there is none, the
+    methods of the file that use the callee as a markup element, of ``elements`` (file_path, name, full_name, line, col); else the
+    file's module, unless the place lies in ``compile_time`` (file_path, line, end_line).
     The line that declares the callee is no call. Each pair is one edge with all its sites."""
     spans = g.label("Method").select("file_path", "full_name", "line", "end_line")
     rows = enclosing(references.withColumn("at", F.col("line")).withColumnRenamed("line", "ref_line"), spans)
-    m = g.label("Method").select(F.col("full_name").alias("callee"), F.col("node_id").alias("dst"), F.col("file_path").alias("own_path"), F.col("line").alias("own_line"))
+    m = g.label("Method", "Class").select(F.col("full_name").alias("callee"), F.col("node_id").alias("dst"), F.col("file_path").alias("own_path"), F.col("line").alias("own_line"))
     callers = g.label("Method").select("full_name", F.col("node_id").alias("src"))
     inside = rows.join(callers, "full_name").select("src", "callee", "file_path", "ref_line", "col")
+    keys = ["callee", "file_path", "ref_line", "col"]
+    outside = staged(references.select("callee", "file_path", F.col("line").alias("ref_line"), "col").join(inside.select(keys), keys, "left_anti").join(m, "callee").where(
+        ~((F.col("file_path") == F.col("own_path")) & (F.col("ref_line") == F.col("own_line")))).select(keys), "outside-references")
+    if elements is not None:
+        used = elements.select("file_path", F.col("name").alias("simple"), "full_name", F.col("line").alias("at_line"), F.col("col").alias("at_col")).join(callers, "full_name")
+        hit = staged(outside.withColumn("simple", simple_name(F.col("callee"))).join(used, ["file_path", "simple"]).select(*keys, "src", "at_line", "at_col"), "element-calls")
+        inside = inside.unionByName(hit.select("src", "callee", "file_path", F.col("at_line").alias("ref_line"), F.col("at_col").alias("col")))
+        outside = outside.join(hit.select(keys), keys, "left_anti")
+    if compile_time is not None:
+        blocks = compile_time.select("file_path", F.lit("").alias("full_name"), "line", "end_line")
+        only = enclosing(outside.withColumn("at", F.col("ref_line")), blocks).select(keys)
+        outside = outside.join(only, keys, "left_anti")
     modules = g.label("Class").where("kind = 'module'").select("file_path", F.col("node_id").alias("src"))
-    keys = ["callee", "file_path", F.col("line").alias("ref_line"), "col"]
-    outside = references.select(*keys).join(inside.select("callee", "file_path", "ref_line", "col"), ["callee", "file_path", "ref_line", "col"], "left_anti").join(modules, "file_path")
-    hit = inside.unionByName(outside.select("src", "callee", "file_path", "ref_line", "col")).join(m, "callee")
+    hit = inside.unionByName(outside.join(modules, "file_path").select("src", *keys)).join(m, "callee")
     hit = hit.where(~((F.col("file_path") == F.col("own_path")) & (F.col("ref_line") == F.col("own_line"))))
-    site = F.struct(F.col("ref_line").cast("int").alias("line"), F.col("col").cast("int").alias("col"))
-    by = hit.groupBy("src", "dst").agg(F.array_sort(F.collect_set(site)).alias("sites"))
-    return by.select(edge_columns(F.col("src"), F.col("dst"), "CALLS", call_sites=F.col("sites")))
+    return _calls(hit.select("src", "dst", F.col("ref_line").alias("line"), "col"))
 
 
-def calls_by_ladder(candidates: DataFrame) -> DataFrame:
-    """One callee per call site of ``candidates`` (caller, line, col, priority, callee): the lowest priority that names exactly one."""
-    per = candidates.groupBy("caller", "line", "col", "priority").agg(F.count_distinct("callee").alias("n"), F.min("callee").alias("callee")).where("n = 1")
-    return per.groupBy("caller", "line", "col").agg(F.min_by("callee", "priority").alias("callee"))
+def _calls(sites: DataFrame) -> DataFrame:
+    """CALLS of (src, dst, line, col), with the distinct sites of each pair."""
+    site = F.struct(F.col("line").cast("int").alias("line"), F.col("col").cast("int").alias("col"))
+    by = sites.groupBy("src", "dst").agg(F.array_sort(F.collect_set(site)).alias("sites"))
+    return by.select(edge_columns(F.col("src"), F.col("dst"), "CALLS", call_sites=F.col("sites")))
 
 
 def http_rows(staging: DataFrame, language: str) -> tuple[DataFrame, DataFrame]:
@@ -156,29 +188,42 @@ def http_rows(staging: DataFrame, language: str) -> tuple[DataFrame, DataFrame]:
     return definitions.dropDuplicates(["def_ord"]), calls.dropDuplicates(["call_ord"])
 
 
-def source_graph(staging: DataFrame, repo: str, language: str, aliases: Aliases = ()) -> PropertyGraph:
-    """A whole graph of one language's staging rows: structure, packages, base types, references, imports, HTTP endpoints,
-    and calls whose simple names are unique."""
+def source_graph(staging: DataFrame, repo: str, language: str, aliases: Aliases = (), definitions: DataFrame | None = None, root: str | None = None) -> PropertyGraph:
+    """A whole graph of one language's staging rows: structure, packages, markers, base types, references, imports, HTTP
+    endpoints, and calls: each of the method that its name stands for at its place (see resolve.call_candidates).
+
+    ``definitions`` (caller, line, col, callee) of a language server come before what names say. ``root`` is the folder
+    that modules are named from, where that is not ``repo``.
+    """
+    root = root or repo
     staging = staged(staging, "staging")  # parsed once, read by each step
     g = structure(staging, repo, language)
     if language in ("java", "csharp"):
         spaces = packages(g, staging)
         g = PropertyGraph(g.nodes.unionByName(spaces.nodes), g.edges.unionByName(spaces.edges))
+    marks = staging.where("what = 'marker' AND name IS NOT NULL").select("file_path", "name", "attributes")
+    if not marks.isEmpty():
+        g = with_attributes(g, marks)
     g = g.staged()
-    edges, external = base_types(g, staging.where("what = 'base'").select("full_name", "target"))
-    refs = type_references(g, staging.where("what = 'type_ref'").select("full_name", "target", "kind", "file_path", "line", "col"))
-    names = unique_names(g, "Method").select("name", F.col("node_id").alias("dst"))
-    sites = staging.where("what = 'call'").join(names, "name").join(g.label("Method", "Class").select("full_name", F.col("node_id").alias("src")), "full_name")
-    site = F.struct("line", "col")
-    calls = sites.groupBy("src", "dst").agg(F.array_sort(F.collect_set(site)).alias("sites")).select(edge_columns(F.col("src"), F.col("dst"), "CALLS", call_sites=F.col("sites")))
-    definitions, asked = http_rows(staging, language)
-    http = http_edges(definitions, with_constants(asked, visible_constants(staging, repo, language, aliases)))
+    imported = staged(resolved(g, staging, root, language, aliases), "imported-names")
+    edges, external = base_types(g, staging.where("what = 'base'").select("file_path", "full_name", "target", "col"), imported, language, root)
+    edges = staged(edges, "base-edges")
+    refs = type_references(g, staging.where("what = 'type_ref'").select("full_name", "target", "kind", "file_path", "line", "col"), None, imported, language, root)
+    found = resolve.call_candidates(g.with_edges(edges), staging, imported, language, root)
+    if definitions is not None:
+        found = found.unionByName(definitions.select("caller", "line", "col", F.lit(resolve.DEFINED).alias("priority"), "callee"))
+    settled = staged(resolve.by_ladder(found), "settled-calls")
+    callers = g.label("Method", "Class").select(F.col("full_name").alias("caller"), F.col("node_id").alias("src"))
+    calls = _calls(settled.join(callers, "caller").select("src", F.col("callee").alias("dst"), "line", "col"))
+    stubs = resolve.external_stubs(g, staging, settled) if language == "java" else PropertyGraph.empty(staging.sparkSession)
+    served, asked = http_rows(staging, language)
+    http = http_edges(served, with_constants(asked, visible_constants(staging, repo, language, aliases)))
     # An edge needs its method: what a module itself serves or asks for is an endpoint without one.
     http_held = http.edges.join(g.label("Method").select(F.col("node_id").alias("src")), "src", "left_semi").select(http.edges.columns)
     below_repo = http.nodes.select(edge_columns(F.lit(f"Repository:{repo.rstrip('/')}"), F.col("node_id"), "CONTAINS"))
     nodes = g.nodes.join(external.withColumnRenamed("external_bases", "_e"), "full_name", "left").withColumn("external_bases", F.coalesce("_e", "external_bases")).drop("_e")
-    more = (edges, refs, calls, import_edges(g, staging, repo, language, aliases), http_held, below_repo)
-    return PropertyGraph(nodes.select(g.nodes.columns).unionByName(http.nodes), g.edges).with_edges(*more)
+    nodes = nodes.select(g.nodes.columns).unionByName(http.nodes).unionByName(stubs.nodes.join(g.nodes.select("node_id"), "node_id", "left_anti").select(g.nodes.columns))
+    return PropertyGraph(nodes, g.edges).with_edges(edges, refs, calls, stubs.edges, import_edges(imported), http_held, below_repo)
 
 
 def python_graph(staging: DataFrame, repo: str) -> PropertyGraph:

@@ -125,13 +125,6 @@ def repository_stubs(g: PropertyGraph) -> PropertyGraph:
     return PropertyGraph(nodes, rows.select(edge_columns(F.col("owner"), node_id("Method", F.col("fn")), "CONTAINS")))
 
 
-def external_call_stubs(calls: DataFrame, fields: DataFrame, allowed: DataFrame) -> DataFrame:
-    """(caller, stub) of call sites (class_full_name, caller, receiver, method) whose receiver is a field
-    (class_full_name, field_name, type_name) of an allowed type (type_name, method)."""
-    rows = calls.join(fields, (calls["class_full_name"] == fields["class_full_name"]) & (calls["receiver"] == fields["field_name"])).drop(fields["class_full_name"])
-    return rows.join(allowed, ["type_name", "method"]).select("caller", F.concat("type_name", F.lit("."), "method").alias("stub")).distinct()
-
-
 def http_edges(definitions: DataFrame, calls: DataFrame) -> PropertyGraph:
     """Endpoint nodes with SERVES and HTTP_CALLS edges from definitions and client calls."""
     matched = match_calls(definitions, calls)

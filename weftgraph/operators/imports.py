@@ -71,13 +71,18 @@ def _candidates(language: str, root: str, aliases: Aliases) -> Column:
     return F.array(target, F.regexp_replace(target, r"\.[^.]*$", "")) if language == "java" else F.array(target)
 
 
-def import_edges(g: PropertyGraph, staging: DataFrame, repo: str, language: str, aliases: Aliases = ()) -> DataFrame:
-    """IMPORTS from files to the first candidate that the graph knows; imports of what it does not know give no edge."""
-    rows = staging.where("what = 'import' AND target IS NOT NULL").select("file_path", "target", "kind").distinct()
-    tried = rows.select("file_path", "target", "kind", F.posexplode(_candidates(language, repo, aliases)).alias("_try", "full_name")).where("full_name IS NOT NULL")
-    known = g.label("Class", "Interface", "Method", "Package").groupBy("full_name").agg(F.min("node_id").alias("dst"))
-    best = tried.join(known, "full_name").groupBy("file_path", "target", "kind").agg(F.min_by("dst", "_try").alias("dst"))
-    return best.select(F.col("file_path"), "dst").distinct().select(edge_columns(node_id("File", F.col("file_path")), F.col("dst"), "IMPORTS"))
+def resolved(g: PropertyGraph, staging: DataFrame, repo: str, language: str, aliases: Aliases = ()) -> DataFrame:
+    """(file_path, name, dst, full, label): what the names that imports bring in stand for, by the first candidate that the graph knows."""
+    rows = staging.where("what = 'import' AND target IS NOT NULL").select("file_path", "target", "kind", F.coalesce("name", F.lit("")).alias("name")).distinct()
+    tried = rows.select("file_path", "target", "kind", "name", F.posexplode(_candidates(language, repo, aliases)).alias("_try", "full_name")).where("full_name IS NOT NULL")
+    known = g.label("Class", "Interface", "Method", "Package").groupBy("full_name").agg(F.min(F.struct(F.col("node_id").alias("dst"), F.col("full_name").alias("full"), F.col("kind_label").alias("label"))).alias("x"))
+    best = tried.join(known, "full_name").groupBy("file_path", "target", "kind", "name").agg(F.min_by("x", "_try").alias("x"))
+    return best.select("file_path", "name", "x.dst", "x.full", "x.label").distinct()
+
+
+def import_edges(imported: DataFrame) -> DataFrame:
+    """IMPORTS from files to what resolved() found; imports of what the graph does not know give no edge."""
+    return imported.select("file_path", "dst").distinct().select(edge_columns(node_id("File", F.col("file_path")), F.col("dst"), "IMPORTS"))
 
 
 def packages(g: PropertyGraph, staging: DataFrame) -> PropertyGraph:

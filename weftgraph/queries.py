@@ -463,7 +463,7 @@ def _script_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _written(spark, sf_dir, ".ts", "import { C{k} } from '../{b}/./f{k}';", "import { make as m } from '@/{b}/f{k}';", "export class C{k} { run(a: number): void { m(a) } }", "export const make = (x) => x;")
     rows = brace_source.staging(texts, "/r")
     g = build.structure(rows, "/r", "typescript")
-    return imports.import_edges(g, rows, "/r", "typescript", (("@/", ""),)).select("src", "dst", "type")
+    return imports.import_edges(imports.resolved(g, rows, "/r", "typescript", (("@/", ""),))).select("src", "dst", "type")
 
 
 on_tables("source_script_imports", _script_imports,

@@ -41,6 +41,7 @@ SCRIPT_VERBS = {"get": "GET", "post": "POST", "put": "PUT", "delete": "DELETE",
 TYPE_WORDS = ("class", "interface", "enum", "record", "struct")
 MODIFIERS = ("public", "private", "protected", "internal", "static", "final", "abstract", "sealed", "partial", "async", "override", "virtual", "readonly", "const", "export", "default", "declare",
              "synchronized", "native", "transient", "volatile", "extern", "unsafe", "new", "required", "let", "var", "function", "get", "set", "ref", "out", "in", "params", "this")
+MARKUP_AFTER = ("(", "{", "}", ">", "=>", "?", ":", "&", "|", "=", ",", ";")  # signs after which '<' opens an element
 NOT_CALLED = ("if", "for", "foreach", "while", "switch", "catch", "return", "using", "lock", "synchronized", "typeof", "sizeof", "nameof", "function", "super", "base", "this", "fixed", "await", "throw", "when", "default")
 
 SERVERS = ("app", "router", "server", "fastify")  # a receiver with such a name, or ending in it, registers routes
@@ -87,13 +88,15 @@ class _Reader:
     def __init__(self, path: str, text: str, language: str, module: str):
         self.path, self.language, self.script, self.module = path, language, language == "typescript", module
         self.t, self.rows = tokens(text, language == "typescript"), []
-        self.close, opened = [len(self.t)] * len(self.t), []
+        self.close, opened, waiting = [len(self.t)] * len(self.t), [], dict.fromkeys(")]}", 0)
         for k, x in enumerate(self.t):
             if x.kind == "op" and x.text in PAIRS:
                 opened.append(k)
-            elif x.kind == "op" and x.text in ")]}" and any(PAIRS[self.t[o].text] == x.text for o in opened[-3:]):
+                waiting[PAIRS[x.text]] += 1
+            elif x.kind == "op" and x.text in ")]}" and waiting[x.text]:
                 while PAIRS[self.t[opened[-1]].text] != x.text:
-                    opened.pop()
+                    waiting[PAIRS[self.t[opened.pop()].text]] -= 1
+                waiting[x.text] -= 1
                 self.close[opened.pop()] = k
         self.lines = text.count("\n") + 1
         self.constants = self._constants()
@@ -365,7 +368,10 @@ class _Reader:
             if self.name(p) and self.name(p) not in ("extends", "implements") and (before in (":", ",", "extends", "implements") or self.op(p - 1) == "."):
                 if self.op(p + 1) == ".":
                     continue
-                self.add("base", full_name=full, target=self.name(p), line=self.t[p].line, col=n)
+                target, q = self.name(p), p - 1
+                while self.op(q) == "." and self.name(q - 1):
+                    target, q = f"{self.name(q - 1)}.{target}", q - 2
+                self.add("base", full_name=full, target=target, line=self.t[p].line, col=n)
                 n += 1
         if words[at] == "record" or kind == "record":
             p = next((p for p in flat[at + 2 :] if self.op(p) == "("), None)
@@ -441,8 +447,8 @@ class _Reader:
             return next((p for p in range(k, min(end, k + 4)) if self.op(p) == "("), None)
         if self.op(k) == "(":
             p = self.close[k] + 1
-            while p < end and self.op(p) not in ("=>", ";", "{", "=") and p < self.close[k] + 40:
-                p += 1
+            while p < end and self.op(p) not in ("=>", ";", "=", ")", "}") and (self.op(p) != "{" or self.op(p - 1) in (":", "|", "&", "<", ",")):
+                p = self.close[p] + 1 if self.op(p) in PAIRS else p + 1
             return p if self.op(p) == "=>" else None
         return k + 1 if self.name(k) and self.op(k + 1) == "=>" else None
 
@@ -513,12 +519,14 @@ class _Reader:
             opened = p + 1
             if self.op(opened) == "<":  # type arguments: names, dots, commas and angles up to '('
                 q, depth = opened, 0
-                while q < min(end, opened + 24) and (self.name(q) or self.op(q) in tuple("<>.,?[]")):
+                while q < end and (self.name(q) or self.op(q) in tuple("<>.,?[]")):
                     depth += (self.op(q) == "<") - (self.op(q) == ">")
                     q += 1
                     if not depth:
                         break
                 opened = q
+            if self.script and self.op(p - 1) == "<" and x.text[:1].isupper() and (self.op(p - 2) in MARKUP_AFTER or self.name(p - 2) == "return"):
+                self.add("call", full_name=owner, name=x.text, target=x.text, line=x.line, col=x.col, kind="element")  # <Name ...> of markup
             if self.op(opened) != "(":
                 continue
             chain, q = x.text, p - 1

@@ -149,6 +149,18 @@ class _Visitor(ast.NodeVisitor):
             self.add("client_call", full_name=self.owner, kind=verb.upper(), target=_route(node.args[0]), line=node.lineno, col=node.col_offset)
         self.generic_visit(node)
 
+    def visit_If(self, node: ast.If) -> None:
+        """What stands in 'if TYPE_CHECKING:' is for compile time alone: its calls are none."""
+        if _text(node.test).rsplit(".", 1)[-1] != "TYPE_CHECKING":
+            return self.generic_visit(node)
+        self.add("compile_time", line=node.lineno, end_line=max(x.end_lineno for x in node.body))
+        start = len(self.rows)
+        for x in node.body:
+            self.visit(x)
+        self.rows[start:] = [r for r in self.rows[start:] if r["what"] != "call"]
+        for x in node.orelse:
+            self.visit(x)
+
     def visit_Import(self, node: ast.Import) -> None:
         for a in node.names:
             self.add("import", target=a.name, name=a.asname or a.name, line=node.lineno)
