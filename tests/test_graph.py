@@ -259,3 +259,15 @@ def test_timeout(spark):
     slow = spark.range(4_000_000_000).selectExpr("sum(sqrt(id) * sin(id)) AS s")
     with pytest.raises(TimeoutError):
         g.collect_within(slow, 1.0)
+
+
+def test_after_sync_matches_again(spark):
+    nodes = [node("Method", "n.serve"), node("Method", "n.ask"), node("Method", "n.test_it", file_path="/r/tests/t.py", language="python", name="test_it"), {"node_id": "Repository:/r", "labels": ["Repository"], "kind_label": "Repository", "path": "/r"}]
+    ends = [{"node_id": f"Endpoint:GET {x}", "labels": ["Endpoint"], "kind_label": "Endpoint", "name": f"GET {x}", "route": x, "http_method": "GET"} for x in ("/api/a", "/a", "/gone")]
+    own = [("Method:n.serve", "Endpoint:GET /api/a", "SERVES"), ("Method:n.ask", "Endpoint:GET /a", "HTTP_CALLS"), ("Method:n.test_it", "Method:n.ask", "CALLS"), ("Repository:/r", "Endpoint:GET /api/a", "CONTAINS"), ("Repository:/r", "Endpoint:GET /gone", "CONTAINS")]
+    out = derive.after_sync(graph(spark, nodes + ends, between(spark, own)))
+    assert {(r.src, r.type, r.dst) for r in out.edges.collect()} == {
+        ("Method:n.serve", "SERVES", "Endpoint:GET /api/a"), ("Method:n.ask", "HTTP_CALLS", "Endpoint:GET /api/a"), ("Method:n.test_it", "CALLS", "Method:n.ask"),
+        ("Method:n.test_it", "TESTS", "Method:n.ask"), ("Repository:/r", "CONTAINS", "Endpoint:GET /api/a"),
+    }
+    assert {r.node_id for r in out.label("Endpoint").collect()} == {"Endpoint:GET /api/a"}

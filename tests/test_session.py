@@ -8,7 +8,7 @@ import pytest
 
 from weftgraph.operators import dml, reports
 from weftgraph.queries import symbols
-from weftgraph.session import CodeGraph
+from weftgraph.session import CodeGraph, Disk
 from weftgraph.sources.star import star_graph
 
 
@@ -58,6 +58,38 @@ def test_reports(code):
     assert len(dead["methods"]) == 2 and dead["truncated"] == (dead["count"] > 2) and 0 <= c.find_untested()["ratio"] <= 1
 
 
+def test_edit_reports(code):
+    c, s = code
+    found = c.get_edit_context(s.target)
+    assert found.parts["direct callers"] and "tests" in found.parts and "contract" in found.parts
+    found = c.get_edit_context(s.cls)
+    top = {r["method"]: r["n_callers"] for r in found.parts["callers"]}
+    assert top and len(top) <= reports.TYPE_METHODS and found.parts["interfaces"]
+    each = {m: c.find_callers(m, limit=0)["results"] for m in top}
+    assert all(len(each[m]) == n for m, n in top.items())
+    assert all(len([r for r in found.parts["callers"] if r["method"] == m]) == min(n, reports.TYPE_CALLERS) for m, n in top.items())
+    found = c.get_method_context(s.start)
+    assert found.parts["callees"] and "summaries" in found.parts
+
+
+def test_answers_warn_and_sync(code):
+    c, s = code
+    spark = c.graph.spark
+    path = c.graph.nodes.where("full_name = '%s'" % s.cls).first().file_path
+    late = lambda: spark.createDataFrame([(path, "2100-01-01 00:00:00"), ("/other", "2100-01-01 00:00:00")], "path string, t string").selectExpr("path", "to_timestamp(t) AS modified")
+    warned = CodeGraph(c.graph, disk=Disk(late))
+    assert path in warned.get_hierarchy(s.cls)["_warning"] and "_warning" not in CodeGraph(c.graph, disk=Disk(lambda: late().limit(0))).get_hierarchy(s.cls)
+    calls, stored = [], dml.set_commit(c.graph, "/ASIA/", "abc")
+    synced = lambda g: calls.append(1) or g
+    for head, dirty, n in (("abc", [], 0), ("abc", ["/other"], 0), ("abc", [path], 1), ("def", [], 1), (None, [path], 0)):
+        calls.clear()
+        rows = spark.createDataFrame([(x,) for x in dirty], "path string")
+        CodeGraph(stored, disk=Disk(late, lambda head=head: head, lambda rows=rows: rows, synced)).list_projects()
+        assert len(calls) == n, (head, dirty)
+    calls.clear()
+    assert CodeGraph(c.graph, disk=Disk(late, lambda: "abc", lambda: None, synced)).list_projects() and not calls  # its commit is not known
+
+
 def test_free_queries(code):
     c, _ = code
     assert c.execute_query("SELECT count(*) AS n FROM nodes WHERE kind_label = :k", {"k": "Repository"})["results"] == [{"n": 5}]

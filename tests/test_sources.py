@@ -68,6 +68,16 @@ def test_files(spark, tmp_path):
     assert files.glob_pattern("a/**/{b,c}*.ts") == r"a/(?:.*/)?(?:b|c)[^/]*\.ts"
 
 
+def test_ignore_rules_as_written(spark):
+    rules = files.nested_rules([("", "*.[oa]\n\\#odd\n\\!not\nlog[0-9].txt\n[!x]y\nkeep\\*\nlib/\n"), ("sub", "!b.o\n/only.txt\n"), ("lib/deep", "!z.py\n"), ("sub/in", "b.o\n")])
+    paths = {"a.o": True, "x/a.a": True, "a.c": False, "#odd": True, "!not": True, "log7.txt": True, "logx.txt": False, "zy": True, "xy": False, "keep*": True, "keeps": False, "sub/b.o": False, "b.o": True,
+             "sub/in/b.o": True, "sub/only.txt": True, "sub/x/only.txt": False, "only.txt": False, "lib/deep/z.py": True}
+    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert {r.path: r.i for r in rows.select("path", files.is_ignored(F.col("path"), rules, ()).alias("i")).collect()} == paths
+    refs = spark.createDataFrame([("/r/a.c",), ("/r/a.o",), ("/q/a.c",), ("/r2/a.c",)], "file_path string")
+    assert [r.file_path for r in files.own_references(refs, "/r/", rules).collect()] == ["/r/a.c"]
+
+
 SOURCE = '''
 from abc import ABC, abstractmethod
 import requests

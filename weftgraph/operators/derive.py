@@ -154,6 +154,22 @@ def definitions_from_graph(g: PropertyGraph) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def after_sync(g: PropertyGraph) -> PropertyGraph:
+    """The graph with its HTTP edges matched anew and TESTS built anew, as files came and went. Endpoints that nothing serves or
+    calls any more go; new ones belong to the first repository."""
+    http = http_edges(*definitions_from_graph(g))
+    ends = staged(http.nodes, "endpoints")
+    kept = g.edges.where(~F.col("type").isin("SERVES", "HTTP_CALLS", "TESTS"))
+    old = g.label("Endpoint").select(F.col("node_id").alias("dst"))
+    held = kept.join(old, "dst", "left_semi").join(ends.select(F.col("node_id").alias("dst")), "dst", "left_semi").select(*EDGE_FIELDS)
+    other = kept.join(old, "dst", "left_anti").select(*EDGE_FIELDS)
+    fresh = ends.select("node_id").join(held.select(F.col("dst").alias("node_id")), "node_id", "left_anti")
+    root = F.broadcast(g.label("Repository").agg(F.min("node_id").alias("repo")))  # one row
+    more = fresh.join(root).where("repo IS NOT NULL").select(edge_columns(F.col("repo"), F.col("node_id"), "CONTAINS"))
+    nodes = g.nodes.where("kind_label <> 'Endpoint'").unionByName(ends.select(g.nodes.columns))
+    return PropertyGraph(nodes, other.unionByName(held).unionByName(more)).with_edges(http.edges, tests(g))
+
+
 def all_derived(g: PropertyGraph, http: PropertyGraph | None = None) -> PropertyGraph:
     """The graph with every derived edge. Classes' IMPLEMENTS come first, as methods' follow from them; TESTS last."""
     more = staged(transitive_implements(g), "implements")

@@ -7,15 +7,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from weftgraph.functions.predicates import short_ref
+from weftgraph.functions.predicates import is_test, short_ref
 from weftgraph.graph import PropertyGraph
 from weftgraph.operators import impact, lookup, traversal
+from weftgraph.plans.expand import spread
 from weftgraph.sources.files import line_range
 
 DIRECT, TRANSITIVE, TESTS, ENDPOINT_CALLERS = 15, 10, 5, 5
+TYPE_METHODS, TYPE_CALLERS = 10, 10
 MAX_LINES = 200
 
 
@@ -122,6 +124,77 @@ def assessment(g: PropertyGraph, method: str) -> Report:
     return report.add("endpoint callers", lookup.http_callers(g, method).orderBy("full_name"), ENDPOINT_CALLERS)
 
 
+def method_context(g: PropertyGraph, method: str, texts: DataFrame | None = None) -> Report:
+    """To understand a method: source, contract, callees, the types it refers to, summaries of it and its type."""
+    report = Report(method)
+    if texts is not None:
+        report.add("source", source(g, texts, method).select("file_path", "line", "source"))
+    report.add("contract", lookup.interface_contract(g, method))
+    report.add("callees", lookup.callees(g, method).select("full_name", "file_path", "line").orderBy("full_name"))
+    report.add("types", traversal.dependencies(g, method).select("full_name", "kind_label").distinct().orderBy("full_name"))
+    return _summarized(g, report, [method, *_owner(g, method)])
+
+
+def method_edit(g: PropertyGraph, method: str, texts: DataFrame | None = None) -> Report:
+    """To change a method: source, contract, endpoint, callers, the constructor's types that it uses, tests, summaries."""
+    report, owner = Report(method), _owner(g, method)
+    if texts is not None:
+        report.add("source", source(g, texts, method).select("file_path", "line", "source"))
+    report.add("contract", lookup.interface_contract(g, method)).add("endpoint", lookup.served_endpoint(g, method))
+    report.add("direct callers", lookup.callers(g, method).select("full_name", "file_path", "site_lines").orderBy("full_name"), DIRECT)
+    for cls in owner:
+        report.add("dependencies in use", lookup.relevant_types(g, cls, method).select("full_name", "file_path").orderBy("full_name"))
+    report.add("tests", impact.test_coverage(g, method).orderBy("full_name"))
+    interfaces = [r.full_name for cls in owner for r in lookup.implemented_interfaces(g, cls).collect()]
+    return _summarized(g, report, [method, *owner, *interfaces])
+
+
+def busiest_members(g: PropertyGraph, type_name: str, methods: int = TYPE_METHODS, callers: int = TYPE_CALLERS) -> DataFrame:
+    """(method, n_callers, caller, file_path, site_lines): of a type's methods with most callers, the first callers by name."""
+    own = lookup.members(g, type_name).where("kind_label = 'Method'").select(F.col("full_name").alias("method"))
+    held = g.label("Method").select("node_id", "full_name").join(F.broadcast(own.withColumnRenamed("method", "full_name")), "full_name", "left_semi")  # members of one type
+    rows = lookup.callers(g).join(held.select(F.col("full_name").alias("of")), "of", "left_semi").select(F.col("of").alias("method"), F.col("full_name").alias("caller"), "file_path", "site_lines")
+    each = Window.partitionBy("method")
+    counted = rows.withColumn("n_callers", F.count(F.lit(1)).over(each)).withColumn("_k", F.row_number().over(each.orderBy("caller")))
+    top = counted.select("method", "n_callers").distinct().orderBy(F.desc("n_callers"), "method").limit(methods)
+    return counted.where(F.col("_k") <= callers).join(F.broadcast(top.select("method")), "method", "left_semi").select("method", "n_callers", "caller", "file_path", "site_lines")
+
+
+def type_edit(g: PropertyGraph, type_name: str, texts: DataFrame | None = None) -> Report:
+    """To change a type: source, interfaces, the busiest methods with callers, the constructor's types, tests, summaries."""
+    report = Report(type_name)
+    is_class = lookup.symbol(g, type_name).where("kind_label = 'Class'").count() > 0
+    if texts is not None:
+        report.add("source", source(g, texts, type_name).select("file_path", "line", "source"))
+    interfaces = lookup.implemented_interfaces(g, type_name).select("full_name")
+    if is_class:
+        report.add("interfaces", interfaces.orderBy("full_name"))
+    report.add("callers", busiest_members(g, type_name).orderBy(F.desc("n_callers"), "method", "caller"))
+    if is_class:
+        report.add("dependencies", lookup.referenced_types(g, type_name).select("full_name", "file_path").orderBy("full_name"))
+    report.add("tests", tests_of_type(g, type_name).orderBy("full_name"))
+    return _summarized(g, report, [type_name, *(r.full_name for r in interfaces.collect())])
+
+
+def tests_of_type(g: PropertyGraph, type_name: str) -> DataFrame:
+    """Test methods that reach a method of a type, or an interface method that one implements, within four calls."""
+    own = g.nodes.where(F.col("full_name") == type_name).select(F.col("node_id").alias("src"))
+    held = g.edge("CONTAINS").join(own, "src", "left_semi").select(F.col("dst").alias("node"))
+    up = g.edge("IMPLEMENTS").join(held.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node"))
+    back = spread(g.edge("CALLS"), held.unionByName(up), 4, reverse=True).select(F.col("node").alias("node_id"))
+    return g.label("Method").where(is_test(F.col("file_path"))).join(back, "node_id", "left_semi").select("full_name", "file_path")
+
+
+def _owner(g: PropertyGraph, full_name: str) -> list[str]:
+    row = lookup.containing_type(g, full_name).first()
+    return [row.full_name] if row is not None else []
+
+
+def _summarized(g: PropertyGraph, report: Report, names: list[str]) -> Report:
+    wanted = g.spark.createDataFrame([(x,) for x in sorted(set(names))], "full_name string")
+    return report.add("summaries", lookup.summaries(g).join(F.broadcast(wanted), "full_name").orderBy("full_name"))  # a symbol, its type and that type's interfaces
+
+
 def path_tree(paths: list[str], sep: str = " > ") -> list[str]:
     """Paths as lines of one tree that shares their beginnings."""
     root: dict = {}

@@ -54,3 +54,17 @@ def strategy(last_commit: str | None, head: str | None, indexed_files: int) -> s
     if not indexed_files:
         return "full"
     return "git" if last_commit and head else "mtime"
+
+
+def stale(g: PropertyGraph, disk: DataFrame | None, stored: str | None, head: str | None, dirty: DataFrame | None = None) -> bool:
+    """Whether a graph needs a sync before it is asked: its commit (``stored``) is not the disk's (``head``), or one of the
+    files with uncommitted changes (``dirty``: path) was changed after it was indexed (``disk``: path, modified). A
+    graph whose commit is not known is left alone."""
+    if stored is None or head is None:
+        return False
+    if stored != head:
+        return True
+    if disk is None or dirty is None:
+        return False
+    rows = g.label("File").select("path", "last_indexed").join(disk.select("path", "modified"), "path").join(dirty.select("path"), "path", "left_semi")
+    return not rows.where("last_indexed IS NULL OR modified > last_indexed").isEmpty()

@@ -6,9 +6,11 @@ import json
 import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from weftgraph.graph import PropertyGraph
 from weftgraph.operators import audit, dml, impact, lookup, reports, sync, traversal
@@ -18,11 +20,40 @@ from weftgraph.sources.files import tree
 LIMIT = 50
 
 
-class CodeGraph:
-    """``texts`` (path, text) lets sources be read; ``log`` is a file that gets a JSON line per call."""
+@dataclass(frozen=True)
+class Disk:
+    """The state of the sources, asked for before each call: the commit they are at, the files with their times (path, modified),
+    and which of these have uncommitted changes (path). ``sync`` makes a graph that is up to date; without it, answers only warn."""
+
+    files: Callable[[], DataFrame]
+    head: Callable[[], str | None] = lambda: None
+    dirty: Callable[[], DataFrame | None] = lambda: None
+    sync: Callable[[PropertyGraph], PropertyGraph] | None = None
 
-    def __init__(self, graph: PropertyGraph, texts: DataFrame | None = None, log: str | None = None):
-        self.graph, self.texts, self.log = graph, texts, log
+
+class CodeGraph:
+    """``texts`` (path, text) lets sources be read; ``log`` is a file that gets a JSON line per call; ``disk`` keeps the graph up to date."""
+
+    def __init__(self, graph: PropertyGraph, texts: DataFrame | None = None, log: str | None = None, disk: Disk | None = None):
+        self.graph, self.texts, self.log, self.disk = graph, texts, log, disk
+
+    def refresh(self) -> bool:
+        """Sync the graph if it is behind the disk; whether it was. Every call does so first."""
+        if self.disk is None or self.disk.sync is None:
+            return False
+        row = self.graph.label("Repository").agg(F.max("last_indexed_commit").alias("commit")).first()
+        if not sync.stale(self.graph, self.disk.files(), row.commit, self.disk.head(), self.disk.dirty()):
+            return False
+        self.graph = self.disk.sync(self.graph)
+        return True
+
+    def warning(self, full_name: str) -> str | None:
+        """That the file of a symbol was changed after it was indexed."""
+        if self.disk is None:
+            return None
+        at = lookup.source_info(self.graph, full_name).select(F.col("file_path").alias("path"))
+        row = lookup.stale_files(self.graph, self.disk.files()).join(at, "path", "left_semi").first()
+        return None if row is None else f"{row.path} was changed after it was indexed; this answer may be out of date"
 
     @contextmanager
     def _logged(self, tool: str, **args) -> Iterator[Callable[[object], None]]:
@@ -36,10 +67,14 @@ class CodeGraph:
     def _answer(self, tool: str, rows: DataFrame, limit: int = LIMIT, **args) -> dict:
         with self._logged(tool, **args) as done:
             out = reports.limited(rows, limit)
+            if isinstance(args.get("name"), str) and (said := self.warning(self._name(args["name"], fresh=False))):
+                out["_warning"] = said
             done(out)
         return out
 
-    def _name(self, name: str, prefer: str | None = None) -> str:
+    def _name(self, name: str, prefer: str | None = None, fresh: bool = True) -> str:
+        if fresh:
+            self.refresh()
         return lookup.resolve_one(self.graph, name, prefer)
 
     # Lookups
@@ -47,12 +82,15 @@ class CodeGraph:
         return {"labels": list(LABEL_ORDER), "edges": list(EDGE_TYPES), "node_properties": dict(NODE_FIELDS), "edge_properties": dict(EDGE_FIELDS)}
 
     def list_projects(self) -> dict:
+        self.refresh()
         return self._answer("list_projects", lookup.projects(self.graph), 0)
 
     def index_status(self, repo: str) -> dict:
+        self.refresh()
         return self._answer("index_status", audit.index_status(self.graph, repo), 0, repo=repo)
 
     def search_symbols(self, query: str, limit: int = LIMIT, **filters) -> dict:
+        self.refresh()
         return self._answer("search_symbols", lookup.search(self.graph, query, **filters), limit, query=query, **filters)
 
     def read_symbol(self, name: str, max_lines: int = reports.MAX_LINES) -> dict:
@@ -122,8 +160,18 @@ class CodeGraph:
         direct = lookup.tests_for(self.graph, full).select("full_name", "file_path")
         return self._answer("find_tests_for", direct if not direct.isEmpty() else impact.test_coverage(self.graph, full), 0, name=name)
 
+    def get_method_context(self, name: str) -> reports.Report:
+        return reports.method_context(self.graph, self._name(name, "concrete"), self.texts)
+
+    def get_edit_context(self, name: str) -> reports.Report:
+        """What a change of a method or type needs to know."""
+        full = self._name(name)
+        kind = lookup.symbol(self.graph, full).first()
+        return (reports.type_edit if kind is not None and kind.kind_label in lookup.TYPES else reports.method_edit)(self.graph, full, self.texts)
+
     # Audits
     def get_architecture(self, limit: int = 10, max_packages: int = 50, max_endpoints: int = 100) -> dict:
+        self.refresh()
         g = self.graph
         parts = {"packages": audit.packages(g, max_packages), "hotspots": audit.hotspots(g, limit), "http_service_map": audit.service_map(g, max_endpoints), "files_by_language": audit.files_by_language(g)}
         return {k: [r.asDict() for r in v.collect()] for k, v in parts.items()} | {"stats": audit.graph_stats(g).first().asDict()}
@@ -135,15 +183,18 @@ class CodeGraph:
         return self._page("untested", audit.untested, limit, offset, filters)
 
     def _page(self, what: str, rows: Callable[..., DataFrame], limit: int, offset: int, filters: dict) -> dict:
+        self.refresh()
         stats = audit.audit_stats(self.graph, **filters).first()
         found = stats[f"{what}_count"]
         return {"methods": [r.asDict() for r in rows(self.graph, limit, offset, **filters).collect()], "total_methods": stats.total_methods, "count": found,
                 "ratio": stats[f"{what}_ratio"], "truncated": 0 < limit < found - offset}
 
     def find_http_endpoints(self, limit: int = LIMIT, **filters) -> dict:
+        self.refresh()
         return self._answer("find_http_endpoints", lookup.endpoints(self.graph, **filters), limit, **filters)
 
     def trace_http_dependency(self, route: str, http_method: str) -> dict:
+        self.refresh()
         return self._answer("trace_http_dependency", lookup.endpoint_dependency(self.graph, route, http_method).orderBy("role", "full_name"), 0, route=route, http_method=http_method)
 
     # Free queries, summaries, changes
@@ -152,7 +203,7 @@ class CodeGraph:
 
     def set_summary(self, name: str, text: str) -> CodeGraph:
         rows = self.graph.spark.createDataFrame([(self._name(name), text)], "full_name string, summary string")
-        return CodeGraph(dml.set_summaries(self.graph, rows), self.texts, self.log)
+        return CodeGraph(dml.set_summaries(self.graph, rows), self.texts, self.log, self.disk)
 
     def list_summarized(self, repo: str | None = None) -> dict:
         return self._answer("list_summarized", lookup.summaries(self.graph, repo).orderBy("full_name"), 0, repo=repo)

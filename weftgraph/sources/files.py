@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,14 +40,21 @@ def detect_languages(files: DataFrame, least: int = LEAST_FILES) -> DataFrame:
 
 
 def ignore_rules(text: str, prefix: str = "") -> list[tuple[int, bool, str]]:
-    """A .gitignore as (order, negated, pattern of a whole relative path)."""
+    """A .gitignore as (order, negated, pattern of a whole relative path).
+
+    '\\#', '\\!' and any other sign after a backslash stand for themselves; blanks at a line's end do not count
+    unless the last one is escaped.
+    """
     out = []
     for n, line in enumerate(text.splitlines()):
-        line = line.rstrip()
+        kept = line.rstrip()
+        if kept.endswith("\\") and kept != line:
+            kept += " "
+        line = kept
         if not line or line.startswith("#"):
             continue
         negated, line = line.startswith("!"), line.removeprefix("!")
-        folder, line = line.endswith("/"), line.rstrip("/")
+        folder, line = line.endswith("/") and not line.endswith("\\/"), line.rstrip("/")
         anchored = "/" in line
         body = _glob(line.lstrip("/"))
         start = re.escape(prefix.strip("/") + "/") if prefix.strip("/") else ""
@@ -54,11 +62,34 @@ def ignore_rules(text: str, prefix: str = "") -> list[tuple[int, bool, str]]:
     return out
 
 
+def nested_rules(found: Iterable[tuple[str, str]]) -> list[tuple[int, bool, str]]:
+    """The rules of all ignore files of a tree, given as (folder below the root, text): a deeper file's come later, so they win.
+    Files in folders that rules from above them ignore do not count."""
+    out: list[tuple[int, bool, str]] = []
+    for folder, text in sorted(found, key=lambda x: (x[0].strip("/").count("/") if x[0].strip("/") else -1, x[0])):
+        above = False
+        for _, negated, pattern in out:
+            if re.match(pattern, folder.strip("/") + "/") or re.match(pattern, folder.strip("/")):
+                above = not negated
+        if not above:
+            out += [(len(out) + k, negated, pattern) for k, (_, negated, pattern) in enumerate(ignore_rules(text, folder))]
+    return out
+
+
 def _glob(pattern: str) -> str:
-    """A glob as a regular expression: '**' crosses folders, '{a,b}' is a choice."""
+    """A glob as a regular expression: '**' crosses folders, '{a,b}' is a choice, '[a-z]' a class, '[!a]' what is not in it."""
     out, k = "", 0
     while k < len(pattern):
         c = pattern[k]
+        if c == "\\" and k + 1 < len(pattern):
+            out, k = out + re.escape(pattern[k + 1]), k + 2
+            continue
+        if c == "[" and (end := pattern.find("]", k + 2 + (pattern[k + 1 : k + 2] in ("!", "^")))) > 0:
+            body = pattern[k + 1 : end]
+            sign = "^/" if body[:1] in ("!", "^") else ""
+            body = body[1:] if sign else body
+            out, k = out + "[" + sign + re.sub(r"([\\\[\]^&~|])", r"\\\1", body) + "]", end + 1
+            continue
         if pattern.startswith("**/", k):
             out, k = out + "(?:.*/)?", k + 3
             continue
@@ -88,6 +119,13 @@ def is_ignored(path: Column, rules: list[tuple[int, bool, str]], dirs: tuple[str
     return fixed | last
 
 
+def own_references(references: DataFrame, root: str, rules: list[tuple[int, bool, str]] = (), dirs: tuple[str, ...] = IGNORED_DIRS) -> DataFrame:
+    """References (file_path, ...) that lie below ``root`` and are not ignored there: what a language server finds elsewhere goes."""
+    top = root.rstrip("/") + "/"
+    below = F.substring("file_path", len(top) + 1, 1 << 20)
+    return references.where(F.startswith("file_path", F.lit(top)) & ~is_ignored(below, list(rules), dirs))
+
+
 def is_minified(text: Column) -> Column:
     return F.length(F.trim(F.substring_index(text, "\n", 1))) > MINIFIED_LINE
 

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from weftgraph.graph import PropertyGraph
-from weftgraph.operators import dml
+from weftgraph.operators import derive, dml
 from weftgraph.sources.store import GraphStore
 
 
-def applier(store: GraphStore, parse: Callable[[DataFrame], PropertyGraph], rebuild: Callable[[PropertyGraph], PropertyGraph] | None = None) -> Callable[[DataFrame, int], None]:
-    """A function for debounce.run(). ``parse`` makes a graph of changed paths; ``rebuild`` derives edges anew.
+def applier(store: GraphStore, parse: Callable[[DataFrame], PropertyGraph], rebuild: Callable[[PropertyGraph], PropertyGraph] | None = derive.after_sync) -> Callable[[DataFrame, int], None]:
+    """A function for debounce.run(). ``parse`` makes a graph of changed paths; ``rebuild`` derives edges anew, by default
+    HTTP matches and TESTS.
 
     Batch n writes version n + 2 from the last one below it, so a batch that is run again gives the same version.
     """
