@@ -42,3 +42,8 @@ def at_least(text: Column, *numbers: int) -> Column:
     have = version(text)
     padded = F.slice(F.concat(have, F.array_repeat(F.lit(0), len(numbers))), 1, len(numbers))
     return padded >= F.array(*map(F.lit, numbers))
+
+
+def iso_time(text: Column) -> Column:
+    """A time from ISO text, with or without a zone (none means UTC) and fractions; null where it is none."""
+    return F.try_to_timestamp(F.regexp_replace(F.regexp_replace(text, "T", " "), r"^([^+Z]*)$", "$1Z"))

@@ -61,7 +61,7 @@ class PropertyGraph:
         return self.edges.where(F.col("type").isin(*types))
 
     def with_edges(self, *more: DataFrame) -> PropertyGraph:
-        """The graph with more edges; of equal edges one stays."""
+        """The graph with more edges: a union, to which the caller adds no edge that is there."""
         return PropertyGraph(self.nodes, reduce(DataFrame.unionByName, (self.edges, *more)))
 
     def with_nodes(self, *more: DataFrame) -> PropertyGraph:

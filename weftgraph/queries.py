@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import predicates as P
 from weftgraph.functions import routes, texts
-from weftgraph.graph import PropertyGraph
-from weftgraph.operators import audit, build, derive, dml, impact, imports, lookup, sync, traversal
+from weftgraph.graph import PropertyGraph, require_read_only
+from weftgraph.operators import audit, build, derive, dml, impact, imports, lookup, reports, resolve, sync, traversal
 from weftgraph.oracle import ATTRIBUTES_OF_FRAMEWORKS, CLASSES_OF_ENTITIES, CLASSES_OF_FRAMEWORKS, GRAPH, METHODS_OF_FRAMEWORKS, REPOSITORY_METHODS, attribute, levels, test, vendored
 from weftgraph.plans.expand import trails
 from weftgraph.schema import EDGE_FIELDS, edge_columns, node_id
-from weftgraph.sources import brace_source, files, star
+from weftgraph.sources import brace_source, files, python_source, star
 from weftgraph.streaming.debounce import debounced
 
 
@@ -474,3 +474,210 @@ on_tables("protocol_kinds", lambda spark, d: spark.read.parquet(f"{d}/part.parqu
           ELSE CASE p_partkey % 16 WHEN 3 THEN 'namespace' WHEN 5 THEN 'class' WHEN 7 THEN 'property' WHEN 9 THEN 'method' END END AS kind FROM part""")
 on_tables("versions_at_least", lambda spark, d: spark.read.parquet(f"{d}/part.parquet").select("p_partkey", texts.at_least(F.concat(F.lit("1."), (F.col("p_partkey") % 30).cast("string"), F.lit(".4rc1")), 1, 9, 5).alias("recent")),
           "SELECT p_partkey, p_partkey % 30 > 9 AS recent FROM part")
+on_tables("iso_times", lambda spark, d: spark.read.parquet(f"{d}/events.parquet").select("event_id", (F.unix_micros(texts.iso_time(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+02:00'")))).alias("micros"), texts.iso_time(F.col("event_type")).isNull().alias("none")),
+          "SELECT event_id, epoch_us(ts) - 7200000000 AS micros, true AS none FROM events")
+on_tables("route_parameters", lambda spark, d: spark.read.parquet(f"{d}/pages.parquet").select("page_id", routes.flask_params(F.concat(F.lit("/u/<int:id>/"), F.col("page_id").cast("string"), F.lit("/<name>"))).alias("flask"), routes.express_params(F.concat(F.lit("/u/:id/"), F.col("page_id").cast("string"))).alias("express")),
+          "SELECT page_id, '/u/{id}/' || page_id || '/{name}' AS flask, '/u/{id}/' || page_id AS express FROM pages")
+
+
+# What sources of many equal names mean: each part has a namespace of its own with the same simple names
+def _resolved(spark: SparkSession, sf_dir: str, language: str, extension: str, *lines: str) -> PropertyGraph:
+    rows = _written(spark, sf_dir, extension, *lines)
+    return build.source_graph((python_source if language == "python" else brace_source).staging(rows, "/r"), "/r", language)
+
+
+CACHES = ("namespace {b}.N{k};", "public interface ICache { void Get(int k); }", "public class Cache : ICache, Gone {", "  private readonly ICache next;", "  public void Get(int k) { Load(k); next.Get(k); }", "  void Load(int k) { }", "}")
+IN_N = "WITH p AS (SELECT replace(p_brand, '#', '') || '.N' || p_partkey AS n FROM part) "
+
+
+def _base_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _resolved(spark, sf_dir, "csharp", ".cs", *CACHES)
+    told = g.nodes.where("external_bases IS NOT NULL").select(F.col("node_id").alias("src"), F.col("external_bases").alias("dst"), F.lit("EXTERNAL").alias("type"))
+    return g.edge("IMPLEMENTS", "INHERITS").select("src", "dst", "type").unionByName(told)
+
+
+on_tables("source_base_types", _base_rows,
+          IN_N + "SELECT 'Class:' || n || '.Cache' AS src, 'Interface:' || n || '.ICache' AS dst, 'IMPLEMENTS' AS type FROM p UNION ALL SELECT 'Class:' || n || '.Cache', '[\"Gone\"]', 'EXTERNAL' FROM p")
+on_tables("source_calls", lambda spark, d: _resolved(spark, d, "csharp", ".cs", *CACHES).edge("CALLS").select("src", "dst", F.element_at("call_sites", 1)["line"].alias("line")),
+          IN_N + "SELECT 'Method:' || n || '.Cache.Get(int)' AS src, 'Method:' || n || '.Cache.Load(int)' AS dst, 5 AS line FROM p UNION ALL SELECT 'Method:' || n || '.Cache.Get(int)', 'Method:' || n || '.ICache.Get(int)', 5 FROM p")
+STUBBED = ("package {b}.n{k};", "class Svc {", "  private RestTemplate http;", "  private Own own;", "  void go(int n) { http.getForObject(\"/x\"); this.http.put(n); http.other(); own.put(n); }", "}", "class Own { void put(int n) { } }")
+
+
+def _stub_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _resolved(spark, sf_dir, "java", ".java", *STUBBED)
+    return g.edge("CALLS").select("src", "dst").join(g.nodes.select(F.col("node_id").alias("dst"), F.coalesce("stub", F.lit(False)).alias("stub")), "dst").select("src", "dst", "stub")
+
+
+on_tables("source_stubs", _stub_rows,
+          """WITH p AS (SELECT replace(p_brand, '#', '') || '.n' || p_partkey || '.' AS n FROM part), x AS (SELECT unnest([('Svc.http.getForObject', true), ('Svc.http.put', true), ('Own.put(int)', false)]) AS y)
+          SELECT 'Method:' || n || 'Svc.go(int)' AS src, 'Method:' || n || y[1] AS dst, y[2] AS stub FROM p, x""")
+
+
+def _attribute_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers by 'Type.method' and by simple names; files hold both."""
+    rows = _written(spark, sf_dir, ".java", *STUBBED)
+    g = build.structure(brace_source.staging(rows, "/r"), "/r", "java")
+    marks = F.explode(F.array(F.struct(F.lit("Own.put").alias("name"), F.lit('["static"]').alias("attributes")), F.struct(F.lit("go").alias("name"), F.lit('["Override","abstract"]').alias("attributes")), F.struct(F.lit("nope").alias("name"), F.lit("[]").alias("attributes"))))
+    out = build.with_attributes(g, rows.select(F.col("path").alias("file_path"), marks.alias("m")).select("file_path", "m.*"))
+    return out.label("Method").select("full_name", "attributes", "is_static", "is_abstract")
+
+
+on_tables("source_attributes", _attribute_rows,
+          """WITH p AS (SELECT replace(p_brand, '#', '') || '.n' || p_partkey || '.' AS n FROM part)
+          SELECT n || 'Own.put(int)' AS full_name, '["static"]' AS attributes, true AS is_static, false AS is_abstract FROM p UNION ALL SELECT n || 'Svc.go(int)', '["Override","abstract"]', false, true FROM p""")
+PYTHON = ("from abc import ABC", "import requests", "URL = '/items/{k}'", "class Store(ABC):", "    size: Size", "    def save(self, x: Item) -> Item:", "        return x", "class Job(Store):", "    def __init__(self):", "        self.kept = Store()", "    @app.get('/jobs/{k}')",
+          "    async def run(self):", "        self.kept.save(1)", "        self.save(2)", "        helper()", "        requests.post(URL, 1)", "def helper():", "    pass")
+IN_F = "WITH p AS (SELECT replace(p_brand, '#', '') || '.f' || p_partkey || '.' AS n, p_partkey AS k FROM part) "
+
+
+def _python_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = python_source.staging(_written(spark, sf_dir, ".py", *PYTHON), "/r").where("what NOT IN ('symbol', 'import', 'constant')")
+    return rows.select("what", "full_name", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("target", F.lit("")).alias("target"), F.coalesce("line", F.lit(-1)).alias("line"))
+
+
+on_tables("source_python_rows", _python_rows,
+          IN_F + """, x AS (SELECT unnest([('base', 'Store', '', '', 'ABC', 4), ('base', 'Job', '', '', 'Store', 8), ('type_ref', 'Store.size', '', 'field_type', 'Size', 5), ('type_ref', 'Store.save', '', 'parameter', 'Item', 6), ('type_ref', 'Store.save', '', 'return_type', 'Item', 6),
+            ('assignment', 'Job', 'kept', '', 'Store', 9), ('call', 'Job.__init__', 'Store', '', 'Store', 10), ('call', 'Job', 'get', '', 'app.get', 11), ('call', 'Job.run', 'save', '', 'self.kept.save', 13), ('call', 'Job.run', 'save', '', 'self.save', 14), ('call', 'Job.run', 'helper', '', 'helper', 15),
+            ('call', 'Job.run', 'post', '', 'requests.post', 16)]) AS y)
+          SELECT y[1] AS what, n || y[2] AS full_name, y[3] AS name, y[4] AS kind, y[5] AS target, y[6] AS line FROM p, x UNION ALL SELECT 'endpoint', n || 'Job.run', '', 'GET', '/jobs/' || k, 12 FROM p""")
+on_tables("source_python_calls", lambda spark, d: _resolved(spark, d, "python", ".py", *PYTHON).edge("CALLS", "INHERITS", "IMPLEMENTS").select("src", "dst", "type"),
+          IN_F + """SELECT 'Method:' || n || 'Job.run' AS src, 'Method:' || n || 'Store.save' AS dst, 'CALLS' AS type FROM p UNION ALL SELECT 'Method:' || n || 'Job.run', 'Method:' || n || 'helper', 'CALLS' FROM p
+          UNION ALL SELECT 'Class:' || n || 'Job', 'Interface:' || n || 'Store', 'IMPLEMENTS' FROM p""")
+
+
+def _constant_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A module asks for an address that another declares."""
+    one = _written(spark, sf_dir, ".py", "BASE = '/api/{k}'")
+    two = _written(spark, sf_dir, ".py", "import requests", "from {b}.f{k} import BASE as at", "def ask():", "    requests.get(at + '/x')").withColumn("path", F.regexp_replace("path", "/f([0-9]+)", "/g$1"))
+    rows = python_source.staging(one.unionByName(two), "/r")
+    _, asked = build.http_rows(rows, "python")
+    return imports.with_constants(asked, imports.visible_constants(rows, "/r", "python")).select("caller", "route", "http_method")
+
+
+on_tables("source_constants", _constant_calls, "SELECT replace(p_brand, '#', '') || '.g' || p_partkey || '.ask' AS caller, '/api/' || p_partkey || '/x' AS route, 'GET' AS http_method FROM part")
+
+
+def _reference_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to a function of each file: its own line, one inside a method, one in the module."""
+    rows = _written(spark, sf_dir, ".py", "def helper():", "    pass", "def user():", "    return helper()", "helper()")
+    g = build.structure(python_source.staging(rows, "/r"), "/r", "python")
+    callee = F.concat(F.translate(F.regexp_replace(F.substring("path", 4, 999), r"\.py$", ""), "/", "."), F.lit(".helper"))
+    places = F.explode(F.array(*(F.struct(F.lit(a).alias("line"), F.lit(b).alias("col")) for a, b in ((1, 4), (4, 11), (5, 0), (5, 0)))))
+    refs = rows.select(callee.alias("callee"), F.col("path").alias("file_path"), places.alias("at")).select("callee", "file_path", "at.line", "at.col")
+    return build.calls_from_references(g, files.own_references(refs, "/r")).select("src", "dst", F.size("call_sites").alias("sites"))
+
+
+on_tables("source_reference_calls", _reference_calls,
+          "WITH p AS (SELECT replace(p_brand, '#', '') || '.f' || p_partkey AS n FROM part) SELECT 'Method:' || n || '.user' AS src, 'Method:' || n || '.helper' AS dst, 1 AS sites FROM p UNION ALL SELECT 'Class:' || n, 'Method:' || n || '.helper', 1 FROM p")
+
+
+def _overload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file has a method in two variants, and another in one."""
+    rows = _written(spark, sf_dir, ".java", "package {b}.n{k};", "class A { void two(int a) { } void two(String a) { } void one(int a) { } }")
+    g = build.structure(brace_source.staging(rows, "/r"), "/r", "java")
+    names = g.label("Class").select(F.explode(F.array(F.concat("full_name", F.lit(".one")), F.concat("full_name", F.lit(".two")))).alias("wanted"))
+    return resolve.overloads(g, names)
+
+
+on_tables("source_overloads", _overload_rows, "WITH p AS (SELECT replace(p_brand, '#', '') || '.n' || p_partkey || '.A.one' AS w FROM part) SELECT w AS wanted, 'Method:' || w || '(int)' AS node_id FROM p")
+
+
+def _place_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of names that many namespaces have, by what a language server says of their places."""
+    rows = _written(spark, sf_dir, ".cs", "namespace {b}.N{k};", "public class Item { public Item Make() { return null; } }")
+    staging = brace_source.staging(rows, "/r")
+    g = build.structure(staging, "/r", "csharp")
+    refs = staging.where("what = 'type_ref'").select("full_name", "target", "kind", "file_path", "line", "col")
+    defining = refs.select("file_path", "line", "col", F.concat(F.lit("Class:"), F.regexp_replace("full_name", r"\.Make\(\)$", "")).alias("node_id"))
+    return build.type_references(g, refs, defining).select("src", "dst", "kind")
+
+
+on_tables("source_type_refs", _place_rows, IN_N + "SELECT 'Method:' || n || '.Item.Make()' AS src, 'Class:' || n || '.Item' AS dst, 'return_type' AS kind FROM p")
+
+
+def _reindexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file is written anew: one function goes, one comes, and a caller in another file stays."""
+    first = _written(spark, sf_dir, ".py", "def old():", "    pass", "def kept():", "    pass")
+    caller = _written(spark, sf_dir, ".py", "from {b}.f{k} import kept", "def call():", "    kept()").withColumn("path", F.regexp_replace("path", "/f([0-9]+)", "/g$1"))
+    later = _written(spark, sf_dir, ".py", "def kept():", "    fresh()", "def fresh():", "    pass")
+    g = build.python_graph(python_source.staging(first.unionByName(caller), "/r"), "/r").staged()
+    out = dml.replace_files(g, later.select("path"), build.python_graph(python_source.staging(later, "/r"), "/r").staged())
+    return out.edge("CALLS").select("src", "dst").unionByName(out.label("Method").select("node_id", F.lit("").alias("dst")).toDF("src", "dst"))
+
+
+on_tables("reindex_files", _reindexed,
+          """WITH p AS (SELECT 'Method:' || replace(p_brand, '#', '') || '.' AS n, p_partkey AS k FROM part)
+          SELECT n || 'g' || k || '.call' AS src, n || 'f' || k || '.kept' AS dst FROM p UNION ALL SELECT n || 'f' || k || '.kept', n || 'f' || k || '.fresh' FROM p
+          UNION ALL SELECT n || 'f' || k || x, '' FROM p, (VALUES ('.kept'), ('.fresh')) t(x) UNION ALL SELECT n || 'g' || k || '.call', '' FROM p""")
+
+
+# Reports, trees, guarded queries
+def _numbered_texts(g: PropertyGraph) -> DataFrame:
+    return g.label("File").select("path", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(600)), lambda k: F.concat(F.lit("line "), k.cast("string"))), "\n").alias("text"))
+
+
+def _parts(report: reports.Report) -> DataFrame:
+    spark = SparkSession.active()
+    return spark.createDataFrame([(name, len(rows), min((r["full_name"] for r in rows if r.get("full_name")), default="")) for name, rows in report.parts.items()], "part string, n long, first string")
+
+
+on_graph("symbol_source", lambda g, s: reports.source(g, _numbered_texts(g), s.cls).select("full_name", "line", "end_line", F.sha2("source", 256).alias("digest")),
+         "SELECT fn AS full_name, line, end_line, sha256((SELECT string_agg('line ' || k, chr(10) ORDER BY k) FROM range(1, 501) t(k))) AS digest FROM n JOIN cls USING (id)")
+on_graph("parent_line", lambda g, s: reports.parent_line(g, _numbered_texts(g), s.target), "SELECT fn AS full_name, 'line 1' AS declaration FROM cls")
+on_graph("read_symbol", lambda g, s: SparkSession.active().createDataFrame([(x,) for x in reports.read_symbol(g, _numbered_texts(g), s.cls)["members"]], "member string"),
+         "SELECT coalesce(x.signature, x.name) || CASE WHEN coalesce(x.type_name, '') <> '' THEN ': ' || x.type_name ELSE '' END || ' [' || x.line || ']' AS member FROM con JOIN cls ON con.src = cls.id JOIN n x ON x.id = con.dst")
+on_graph("report_context", lambda g, s: _parts(reports.context(g, s.target)),
+         f"""SELECT 'members' AS part, count(*) AS n, min(full_name) AS first FROM n JOIN con ON con.dst = id JOIN cls ON con.src = cls.id UNION ALL SELECT 'interfaces', count(*), min(x.full_name) FROM impl JOIN cls ON src = cls.id JOIN n x ON x.id = impl.dst
+         UNION ALL SELECT 'callees', count(*), coalesce(min(substr(dst, 8)), '') FROM (SELECT call.dst FROM call JOIN tgt ON src = tgt.id UNION SELECT disp.dst FROM call JOIN tgt ON call.src = tgt.id JOIN disp ON disp.src = call.dst)
+         UNION ALL SELECT 'types', count(DISTINCT x.full_name), coalesce(min(x.full_name), '') FROM e JOIN tgt ON src = tgt.id JOIN n x ON x.id = e.dst WHERE type = 'REFERENCES'
+         UNION ALL SELECT 'summaries', count(*), coalesce(min(full_name), '') FROM n WHERE summary IS NOT NULL AND id IN (SELECT con.dst FROM con JOIN cls ON con.src = cls.id UNION SELECT call.dst FROM call JOIN tgt ON src = tgt.id UNION SELECT disp.dst FROM call JOIN tgt ON call.src = tgt.id JOIN disp ON disp.src = call.dst UNION SELECT id FROM tgt)""")
+on_graph("report_structure", lambda g, s: _parts(reports.context(g, s.cls, members_only=True)),
+         """SELECT 'members' AS part, count(*) AS n, min(x.full_name) AS first FROM con JOIN cls ON con.src = cls.id JOIN n x ON x.id = con.dst UNION ALL SELECT 'interfaces', count(*), min(x.full_name) FROM impl JOIN cls ON src = cls.id JOIN n x ON x.id = impl.dst
+         UNION ALL SELECT 'constructor', count(*), coalesce(min(x.full_name), '') FROM con JOIN cls ON con.src = cls.id JOIN n o ON o.id = cls.id JOIN n x ON x.id = con.dst AND x.name = o.name
+         UNION ALL SELECT 'summaries', count(*), coalesce(min(x.full_name), '') FROM con JOIN cls ON con.src = cls.id JOIN n x ON x.id = con.dst WHERE x.summary IS NOT NULL""")
+on_graph("report_impact", lambda g, s: _parts(reports.assessment(g, s.target)).where("part IN ('direct callers', 'transitive callers', 'tests')"),
+         WAYS + f""", dc AS (SELECT DISTINCT x.full_name FROM cal JOIN n x ON x.id = caller JOIN tgt ON tgt.id = m WHERE NOT {test('x.file_path')}),
+         tc AS (SELECT DISTINCT b.src FROM call a JOIN tgt ON a.dst = tgt.id JOIN call b ON b.dst = a.src WHERE (a.src, a.dst) <> (b.src, b.dst) AND b.src NOT IN (SELECT src FROM call JOIN tgt ON dst = tgt.id) AND b.src NOT IN (SELECT id FROM tgt)),
+         ts AS (SELECT DISTINCT src FROM tst JOIN tgt ON dst = tgt.id)
+         SELECT 'direct callers' AS part, least(count(*), 15) AS n, min(full_name) AS first FROM dc UNION ALL SELECT 'transitive callers', least(count(*), 10), min(substr(src, 8)) FROM tc UNION ALL SELECT 'tests', least(count(*), 5), min(substr(src, 8)) FROM ts""")
+on_graph("busiest_members", lambda g, s: reports.busiest_members(g, s.cls),
+         WAYS + """, k AS (SELECT substr(m, 8) AS method, x.full_name AS caller, x.file_path, caller AS cid, m, branch FROM cal JOIN n x ON x.id = caller WHERE m IN (SELECT con.dst FROM con JOIN cls ON con.src = cls.id)),
+         t AS (SELECT method, count(*) AS n_callers FROM k GROUP BY method ORDER BY n_callers DESC, method LIMIT 10), r AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY caller) AS i FROM k),
+         site AS (SELECT 'Method:' || caller AS cid, 'Method:' || callee AS did, list_aggregate(list_sort(list_distinct(list_transform(sites, lambda x: x[1]))), 'string_agg', ', ') AS lines FROM calls)
+         SELECT r.method, n_callers, r.caller, r.file_path, (SELECT site.lines FROM ways w JOIN site ON site.cid = r.cid AND site.did = w.dst WHERE w.m = r.m AND w.branch = r.branch ORDER BY w.dst LIMIT 1) AS site_lines FROM r JOIN t USING (method) WHERE i <= 10""")
+on_graph("tests_of_type", lambda g, s: reports.tests_of_type(g, s.cls),
+         levels("(SELECT con.dst AS node FROM con JOIN cls ON con.src = cls.id UNION SELECT mimpl.dst FROM con JOIN cls ON con.src = cls.id JOIN mimpl ON mimpl.src = con.dst)", "call", 4, reverse=True)
+         + f"SELECT x.full_name, x.file_path FROM lv JOIN n x ON x.id = lv.node WHERE {test('x.file_path')}")
+on_graph("path_tree", lambda g, s: reports.prefixes(traversal.entry_points(g, s.target, 3).select("path")),
+         CD + levels("(SELECT id AS node, fn AS path FROM tgt)", "cd", 3, reverse=True, path="regexp_replace({node}, '^[A-Za-z]+:', '') || ' > ' || min(path)") + f", ep AS ({ENTRY}), s AS (SELECT string_split(path, ' > ') AS x FROM ep) SELECT DISTINCT list_aggregate(x[1:k], 'string_agg', ' > ') AS prefix, k::INTEGER AS depth FROM s, range(1, 9) t(k) WHERE k <= len(x)")
+
+
+def _shown(g: PropertyGraph, s: Symbols) -> DataFrame:
+    """The symbol's surroundings without the node itself: what is left has another link."""
+    links = traversal.explore(g, s.cls, 2).select("source", "target")
+    names = links.select(F.col("source").alias("full_name")).unionByName(links.select(F.col("target").alias("full_name"))).distinct()
+    gone = names.where(F.col("full_name") == s.cls)
+    return traversal.without_orphans(names, links, gone)[0]
+
+
+L2 = """, o1 AS (SELECT src, dst, type FROM e JOIN cls ON src = id), o2 AS (SELECT e.src, e.dst, e.type FROM e WHERE src IN (SELECT dst FROM o1)),
+         i1 AS (SELECT src, dst, type FROM e JOIN cls ON dst = id), i2 AS (SELECT e.src, e.dst, e.type FROM e WHERE dst IN (SELECT src FROM i1)),
+         l2 AS (SELECT * FROM o1 UNION SELECT * FROM o2 UNION SELECT * FROM i1 UNION SELECT * FROM i2)"""
+on_graph("shown_graph", _shown,
+         L2 + """, k AS (SELECT DISTINCT a.full_name AS s, b.full_name AS t FROM l2 JOIN n a ON a.id = l2.src JOIN n b ON b.id = l2.dst WHERE a.full_name <> '' AND b.full_name <> '' AND a.full_name <> (SELECT fn FROM cls) AND b.full_name <> (SELECT fn FROM cls))
+         SELECT s AS full_name FROM k UNION SELECT t FROM k""")
+STATEMENTS = ("SELECT 1", "WITH x AS (SELECT 1) SELECT * FROM x", "DROP TABLE nodes", "INSERT INTO nodes SELECT * FROM nodes", "SELECT 'DROP TABLE x'", "CREATE TEMP VIEW v AS SELECT 1", "DELETE FROM nodes", "/* SELECT */ SET a = 1")
+
+
+def _guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def reads(text: str) -> bool:
+        try:
+            require_read_only(spark, text)
+        except ValueError:
+            return False
+        return True
+
+    return spark.createDataFrame([(k, reads(x)) for k, x in enumerate(STATEMENTS)], "k long, allowed boolean")
+
+
+on_tables("guarded_statements", _guarded, "SELECT unnest(range(8)) AS k, unnest([true, true, false, false, true, false, false, false]) AS allowed")
