@@ -104,9 +104,9 @@ def test_a_chain_has_no_bound_and_levels_stay_few(spark, monkeypatch):
     assert {(r.node, r.depth) for r in spread(chain, top).collect()} == {(f"Class:c{k}", k) for k in range(1, 26)}
     assert written.count("frontier") == 26 and written.count("known") <= 25
     assert {(r.relation, r.full_name, r.paths) for r in lookup.hierarchy(g, "c0").collect()} == {("parent", f"c{k}", 1) for k in range(1, 26)}
-    diamonds = [(f"d{k}", f"{x}{k}") for k in range(40) for x in "lr"] + [(f"{x}{k}", f"d{k + 1}") for k in range(40) for x in "lr"]
+    diamonds = [(f"d{k}", f"{x}{k}") for k in range(17) for x in "lr"] + [(f"{x}{k}", f"d{k + 1}") for k in range(17) for x in "lr"]  # 34 levels, more than one plan sums
     found = {r.node[6:]: r.paths for r in ways(edges_of(spark, diamonds, "INHERITS", "Class"), spark.createDataFrame([("Class:d0",)], "node string")).collect()}
-    assert len(found) == 120 and all(found[f"d{k}"] == 2**k for k in range(1, 41))
+    assert len(found) == 51 and all(found[f"d{k}"] == 2**k for k in range(1, 18))
 
 
 def test_dense_graph_makes_few_rows_a_level(spark, monkeypatch):

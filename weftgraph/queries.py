@@ -636,10 +636,10 @@ on_graph("report_structure", lambda g, s: _parts(reports.context(g, s.cls, membe
          UNION ALL SELECT 'constructor', count(*), coalesce(min(x.full_name), '') FROM con JOIN cls ON con.src = cls.id JOIN n o ON o.id = cls.id JOIN n x ON x.id = con.dst AND x.name = o.name
          UNION ALL SELECT 'summaries', count(*), coalesce(min(x.full_name), '') FROM con JOIN cls ON con.src = cls.id JOIN n x ON x.id = con.dst WHERE x.summary IS NOT NULL""")
 on_graph("report_impact", lambda g, s: _parts(reports.assessment(g, s.target)).where("part IN ('direct callers', 'transitive callers', 'tests')"),
-         WAYS + f""", dc AS (SELECT DISTINCT x.full_name FROM cal JOIN n x ON x.id = caller JOIN tgt ON tgt.id = m WHERE NOT {test('x.file_path')}),
+         WAYS + BACK + f""", dc AS (SELECT DISTINCT x.full_name FROM cal JOIN n x ON x.id = caller JOIN tgt ON tgt.id = m WHERE NOT {test('x.file_path')}),
          tc AS (SELECT DISTINCT b.src FROM call a JOIN tgt ON a.dst = tgt.id JOIN call b ON b.dst = a.src WHERE (a.src, a.dst) <> (b.src, b.dst) AND b.src NOT IN (SELECT src FROM call JOIN tgt ON dst = tgt.id) AND b.src NOT IN (SELECT id FROM tgt)),
-         ts AS (SELECT DISTINCT src FROM tst JOIN tgt ON dst = tgt.id)
-         SELECT 'direct callers' AS part, least(count(*), 15) AS n, min(full_name) AS first FROM dc UNION ALL SELECT 'transitive callers', least(count(*), 10), min(substr(src, 8)) FROM tc UNION ALL SELECT 'tests', least(count(*), 5), min(substr(src, 8)) FROM ts""")
+         direct AS (SELECT DISTINCT substr(src, 8) AS full_name FROM tst JOIN tgt ON dst = tgt.id), ts AS (SELECT full_name FROM direct UNION SELECT full_name FROM imp WHERE role = 'test' AND NOT EXISTS (SELECT 1 FROM direct))
+         SELECT 'direct callers' AS part, least(count(*), 15) AS n, min(full_name) AS first FROM dc UNION ALL SELECT 'transitive callers', least(count(*), 10), min(substr(src, 8)) FROM tc UNION ALL SELECT 'tests', least(count(*), 5), coalesce(min(full_name), '') FROM ts""")
 on_graph("busiest_members", lambda g, s: reports.busiest_members(g, s.cls),
          WAYS + """, k AS (SELECT substr(m, 8) AS method, x.full_name AS caller, x.file_path, caller AS cid, m, branch FROM cal JOIN n x ON x.id = caller WHERE m IN (SELECT con.dst FROM con JOIN cls ON con.src = cls.id)),
          t AS (SELECT method, count(*) AS n_callers FROM k GROUP BY method ORDER BY n_callers DESC, method LIMIT 10), r AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY caller) AS i FROM k),

@@ -76,9 +76,7 @@ class _Visitor(ast.NodeVisitor):
         for n, b in enumerate(bases):
             self.add("base", full_name=full, target=b, line=node.lineno, col=n)
         self._views(node, full, {b.rsplit(".", 1)[-1] for b in bases})
-        self.scope.append((full, "class"))
-        self.generic_visit(node)
-        self.scope.pop()
+        self._inside(node, full, "class")
 
     def _views(self, node: ast.ClassDef, full: str, bases: set[str]) -> None:
         """Endpoints of view classes: methods by name, below the class's name without its ending."""
@@ -112,8 +110,16 @@ class _Visitor(ast.NodeVisitor):
                 verbs = [verb] if verb in VERBS else [e.value for k in d.keywords if k.arg == "methods" and isinstance(k.value, ast.List) for e in k.value.elts if isinstance(e, ast.Constant)] or ["get"] if verb == "route" else []
                 for v in verbs:
                     self.add("endpoint", full_name=full, kind=v.upper(), target=d.args[0].value, line=node.lineno, col=0)
-        self.scope.append((full, "function"))
-        self.generic_visit(node)
+        self._inside(node, full, "function")
+
+    def _inside(self, node: ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef, full: str, kind: str) -> None:
+        """All below a definition belongs to it, but for its decorators, which the scope around it calls."""
+        for d in node.decorator_list:
+            self.visit(d)
+        self.scope.append((full, kind))
+        for x in ast.iter_child_nodes(node):
+            if x not in node.decorator_list:
+                self.visit(x)
         self.scope.pop()
 
     visit_FunctionDef = visit_AsyncFunctionDef = _function
