@@ -57,13 +57,34 @@ def test_license_files_with_titles(spark):
     files = [("MIT", f"MIT License\n\n{own}\n\n{t['MIT']}\n"), ("MIT", f"The MIT License (MIT)\n\n{own}\n\n{t['MIT']}"), ("ISC", f"ISC License\n\n{own}\n\n{t['ISC']}"),
              ("BSD-3-Clause", f"BSD 3-Clause License\n\n{own}\nAll rights reserved.\n\n{t['BSD-3-Clause']}"), ("BSD-2-Clause", f"{own}\nAll rights reserved.\n\n{t['BSD-2-Clause']}"), (None, f"My own title\n\n{t['MIT']}")]
     folder = Path("/usr/share/common-licenses")
-    for name, file in (("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"), ("GPL-3.0-only", "GPL-3")):
+    wrapped = t["ISC"].replace("above copyright", "above\ncopyright")  # a line that begins so states no copyright
+    files += [("ISC", f"The ISC License\n\nCopyright (c) Someone and Contributors\n\n{wrapped}"), ("BSD-3-Clause", t["BSD-3-Clause"].replace("the copyright holder nor", "the\ncopyright holder nor")), ("BSL-1.0", t["BSL-1.0"]), ("WTFPL", t["WTFPL"]),
+              ("BSD-2-Clause", t["BSD-2-Clause"].replace("1. ", "* ").replace("2. ", "* ").replace("HOLDER OR", "OWNER OR")), ("ISC", t["ISC"].replace("THE AUTHOR ", "THE COPYRIGHT HOLDERS "))]
+    for name, file in (("Apache-2.0", "Apache-2.0"), ("MPL-2.0", "MPL-2.0"), ("GPL-3.0-only", "GPL-3"), ("GPL-2.0-only", "GPL-2"), ("GPL-1.0-only", "GPL-1"), ("LGPL-3.0-only", "LGPL-3"), ("LGPL-2.1-only", "LGPL-2.1"),
+                       ("LGPL-2.0-only", "LGPL-2"), ("GFDL-1.2-only", "GFDL-1.2"), ("GFDL-1.3-only", "GFDL-1.3"), ("MPL-1.1", "MPL-1.1"), ("CC0-1.0", "CC0-1.0"), ("Artistic-1.0-Perl", "Artistic")):
         if (folder / file).exists():
             files.append((name, (folder / file).read_text()))
     got = license_scan.license_scan(docs(spark, [(k, text) for k, (_, text) in enumerate(files)])).collect()
     assert len(got) == len(files) and {r.doc_id: r.license_id for r in got} == {k: name for k, (name, _) in enumerate(files)}
-    digests = [r.digest for r in license_scan.catalogue(spark, [*t.items(), *license_texts.TITLED, *license_texts.NOTICES]).collect()]
+    digests = [r.digest for r in license_scan.catalogue(spark, [*license_texts.WHOLE, *license_texts.TITLED, *license_texts.NOTICES]).collect()]
     assert not set(digests) & {d for _, d in license_texts.LONG}
+    assert len({name for name, _ in [*license_texts.WHOLE, *license_texts.LONG]}) >= 30
+
+
+def test_license_files_against_sql(spark, tmp_path):
+    """Entire texts, under heads and wrapped anew, through both engines."""
+    import textwrap
+
+    rng = random.Random(1)
+    some = rng.sample(license_texts.TITLED, 40) + license_texts.WHOLE
+    texts = [f"Copyright (c) 20{k:02} X\n\n" + "\n".join(textwrap.fill(x, 40 + k % 50, break_on_hyphens=False) for x in text.split("\n")) for k, (_, text) in enumerate(some)]
+    docs(spark, [*enumerate(texts), (1000, None)]).write.parquet(str(tmp_path / "documents.parquet"))
+    frame = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    (tmp_path / "sql").mkdir()
+    frame.toPandas().to_parquet(tmp_path / "sql" / "documents.parquet")
+    got = license_scan.license_scan(frame)
+    assert {r.doc_id: r.license_id for r in got.collect() if r.doc_id < 1000} == {k: name for k, (name, _) in enumerate(some)}
+    assert rows_of(got) == rows_of_sql(ORACLES["op1_license_scan"], tmp_path / "sql")[1]
 
 
 # 2 chat formatting
@@ -355,12 +376,28 @@ def test_decontamination_brute_force(spark):
     assert decontaminate.decontaminate(docs(spark, [(1, "a")]).limit(0), bench).count() == 0
 
 
+def test_decontamination_of_a_passage_in_many_items(spark, monkeypatch):
+    """A passage that many items and many documents hold makes rows for neither times the other."""
+    passage = " ".join(f"p{k}" for k in range(40))
+    items = [(k, f"{passage} q{k} " + " ".join(f"own{k}-{j}" for j in range(15))) for k in range(60)]
+    texts = [f"d{k} {passage} q{k % 90} " + " ".join(f"own{k % 90}-{j}" for j in range(k % 14)) for k in range(300)]
+    staged = {}
+    real = decontaminate.stage
+    monkeypatch.setattr(decontaminate, "stage", lambda df, name: staged.setdefault(name, real(df, name)))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.decontaminate(docs(spark, list(enumerate(texts))), bench)
+    got = [(r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.orderBy("doc_id").collect()]
+    assert got == brute_contamination(texts, [(str(i), t) for i, t in items])
+    assert staged["hits"].count() < 300 * 40 * 6  # fingerprints of a document times the windows around one
+    assert staged["document-classes"].selectExpr("max(size(classes))").first()[0] <= 2
+
+
 def test_winnowing_guarantee():
     rng = random.Random(6)
     known = decontaminate.WordHashes()
     for _ in range(200):
         shared = " ".join(f"s{rng.randrange(1000)}" for _ in range(13))
-        mark = lambda: {m for _, m, _, _ in decontaminate.fingerprints(decontaminate.word_hashes(f"{' '.join(f'q{rng.randrange(1000)}' for _ in range(rng.randrange(20)))} {shared} r{rng.randrange(9)}".encode(), known), [13], 0)}  # noqa: E731, B023
+        mark = lambda: {m for _, m, _, _ in decontaminate.fingerprints(decontaminate.word_hashes(f"{' '.join(f'q{rng.randrange(1000)}' for _ in range(rng.randrange(20)))} {shared} r{rng.randrange(9)}".encode(), known), [13])}  # noqa: E731, B023
         assert mark() & mark()
 
 

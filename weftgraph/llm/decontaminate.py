@@ -6,11 +6,15 @@ span, hence its least one: every shared window is found by a join on fingerprint
 word by word to what is shared around them. Items of fewer than ``WINDOW`` words are one window, found by the
 hash of all their words.
 
-A fingerprint carries the hashes of the words around it, as far as a window that holds it can reach, so hits
-are extended without the texts. Before documents' fingerprints are shuffled, a Bloom filter of the items'
-drops what no item has; its size has a fixed bound, whatever the tables hold, and false positives only cost
-rows in the join. Fingerprints with the same surroundings in one text are one row with several positions, so
-repetitive texts do not multiply.
+A fingerprint carries the windows that hold it, as 128-bit hashes with their offsets, so hits are extended without
+the texts: a fingerprint that both sides have brings its windows, and each window that an item has is hit. Before
+documents' fingerprints are shuffled, a Bloom filter of the items' drops what no item has; its size has a fixed bound,
+whatever the tables hold, and false positives only cost rows in the join. Fingerprints with the same windows in one
+text are one row with several positions, so repetitive texts do not multiply.
+
+A passage may be part of many items and of many documents. No item is paired with a document for it: a window stands
+for the set of its items, windows of equal sets count as one class, and the items of a document are put together
+once for all documents that hit the same classes.
 
 Rows: null text has no words and is clean; documents are told apart by row, not by id; repeated rows are each
 judged; empty tables give an empty or a clean result; items without words, and items with null ids, match
@@ -49,7 +53,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word) | 2  # 0 and 1 stand for 'outside the text'
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
@@ -85,14 +89,21 @@ def winnow(grams: np.ndarray) -> np.ndarray:
     return np.flatnonzero(most == grams)
 
 
-def around(words: np.ndarray, at: np.ndarray, outside: int) -> np.ndarray:
-    """Hashes of the words from SIDE before a gram to SIDE after it."""
-    pad = np.full(SIDE, outside, np.uint64)
-    return np.concatenate([pad, words, pad])[at[:, None] + np.arange(GRAM + 2 * SIDE)]
+def window_keys(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes for every row of words."""
+    out = []
+    for salt in (0, 0x5851F42D4C957F2D):
+        h = np.full(len(rows), rows.shape[1], np.uint64)
+        for j in range(rows.shape[1]):
+            h += (rows[:, j] ^ np.uint64(salt)) * _FACTORS[j]
+            h ^= h >> np.uint64(31)
+            h *= np.uint64(0x9E3779B97F4A7C15)
+        out.append(h ^ (h >> np.uint64(29)))
+    return out[0], out[1]
 
 
-def fingerprints(words: np.ndarray, kinds: list[int], outside: int, keep=None) -> list[tuple[int, int, list[int], list[int]]]:
-    """(kind, fingerprint, surroundings, positions) for windows of ``kind`` words.
+def fingerprints(words: np.ndarray, kinds: list[int], keep=None) -> list[tuple[int, int, list[tuple[int, int, int]], list[int]]]:
+    """(kind, fingerprint, windows as (offset, hash, hash), positions) for windows of ``kind`` words.
 
     Kind WINDOW is winnowed; a smaller kind, of short items, takes every gram of so many words. ``keep``
     tells which fingerprints to go on with.
@@ -101,18 +112,24 @@ def fingerprints(words: np.ndarray, kinds: list[int], outside: int, keep=None) -
     for kind in kinds:
         n = GRAM if kind == WINDOW else kind
         grams = gram_hashes(words, n)
-        at = winnow(grams) if kind == WINDOW else np.arange(len(grams))
-        marks = grams[at] ^ np.uint64(kind << 56)
+        found = winnow(grams) if kind == WINDOW else np.arange(len(grams))
+        marks = grams[found] ^ np.uint64(kind << 56)
         if keep is not None:
             held = keep(marks)
-            at, marks = at[held], marks[held]
-        if not len(at):
-            continue
-        ctx = around(words, at, outside) if kind == WINDOW else words[at[:, None] + np.arange(n)]
-        by: dict[bytes, tuple] = {}
-        for p, mark, row in zip(at.tolist(), marks.view(np.int64).tolist(), ctx.view(np.int64), strict=True):
-            by.setdefault(row.tobytes(), (kind, mark, row, []))[3].append(p)
-        out += [(k, m, row.tolist(), at) for k, m, row, at in by.values()]
+            found, marks = found[held], marks[held]
+        offsets = np.arange(n - kind, 1)
+        by: dict[tuple, tuple] = {}
+        for part in range(0, len(found), 8192):
+            at, mark = found[part : part + 8192], marks[part : part + 8192]
+            starts = at[:, None] + offsets
+            row, which = np.nonzero((starts >= 0) & (starts <= len(words) - kind))
+            a, b = (x.view(np.int64).tolist() for x in window_keys(words[starts[row, which][:, None] + np.arange(kind)]))
+            windows: list[list] = [[] for _ in at]
+            for r, w, x, y in zip(row.tolist(), offsets[which].tolist(), a, b, strict=True):
+                windows[r].append((w, x, y))
+            for p, m, w in zip(at.tolist(), mark.view(np.int64).tolist(), windows, strict=True):
+                by.setdefault((m, *w), (kind, m, w, []))[3].append(p)
+        out += by.values()
     return out
 
 
@@ -147,11 +164,12 @@ class Filter:
         return cls(bits, words)
 
 
-_FOUND = pa.list_(pa.struct([("kind", pa.int32()), ("mark", pa.int64()), ("ctx", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))]))
-FOUND = "array<struct<kind:int,mark:bigint,ctx:array<bigint>,at:array<int>>>"
+_WINDOW = pa.struct([("off", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+_FOUND = pa.list_(pa.struct([("kind", pa.int32()), ("mark", pa.int64()), ("windows", pa.list_(_WINDOW)), ("at", pa.list_(pa.int32()))]))
+FOUND = "array<struct<kind:int,mark:bigint,windows:array<struct<off:int,a:bigint,b:bigint>>,at:array<int>>>"
 
 
-def _fingerprinted(rows: DataFrame, types: dict[str, str], kinds: list[int] | None, keep: Filter | None, outside: int) -> DataFrame:
+def _fingerprinted(rows: DataFrame, types: dict[str, str], kinds: list[int] | None, keep: Filter | None) -> DataFrame:
     """The columns of ``types`` with n_words and found, of rows that end in the text as binary.
 
     Without ``kinds`` a text is an item, of the one kind that its length makes it.
@@ -168,52 +186,54 @@ def _fingerprinted(rows: DataFrame, types: dict[str, str], kinds: list[int] | No
                     words = word_hashes(text.as_py(), known)
                     own = kinds if kinds is not None else [min(len(words), WINDOW)] if len(words) else []
                     n_words.append(len(words))
-                    found.append([{"kind": k, "mark": m, "ctx": c, "at": a} for k, m, c, a in fingerprints(words, own, outside, keep)])
+                    found.append([{"kind": k, "mark": m, "windows": [{"off": o, "a": x, "b": y} for o, x, y in w], "at": at} for k, m, w, at in fingerprints(words, own, keep)])
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n_words, pa.int64()), pa.array(found, _FOUND)], schema=schema)
 
     return arrow_map(rows, run, f"{', '.join(f'{k} {t}' for k, t in types.items())}, n_words bigint, found {FOUND}")
 
 
-def _reach(side: str) -> str:
-    """SQL for how many words in a row agree beyond the gram, on one side."""
-    first = SIDE if side == "left" else SIDE + GRAM + 1  # SQL positions, from the word next to the gram
-    step = -1 if side == "left" else 1
-    whens = " ".join(f"WHEN d.ctx[{first + step * j - 1}] <> i.ctx[{first + step * j - 1}] THEN {j}" for j in range(SIDE))
-    return f"CASE {whens} ELSE {SIDE} END"
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: _rid, doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (hit words, as [start, end) pairs)."""
+    """One row per document: _rid, doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (windows hit, as [start, end) pairs)."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("binary").alias("text"))
-    items = stage(_fingerprinted(items, {"item_id": "string"}, None, None, 1), "item-fingerprints")
-    marks = stage(items.select("item_id", F.explode("found").alias("f")).select("item_id", "f.kind", "f.mark", "f.ctx"), "item-marks")
+    items = stage(_fingerprinted(items, {"item_id": "string"}, None, None), "item-fingerprints")
+    marks = stage(items.select(F.explode("found").alias("f")).select("f.kind", "f.mark").distinct(), "item-marks")
     kinds = sorted(r[0] for r in marks.select("kind").distinct().collect())  # 1 to WINDOW at most
     keep = Filter.of(marks)
+    key = ["kind", "a", "b"]
+    held = items.select("item_id", F.explode("found").alias("f")).select("item_id", "f.kind", F.explode("f.windows").alias("w"))
+    held = stage(held.select("kind", "w.a", "w.b", "item_id").distinct(), "item-windows")
+    # A class is a set of items, told by its size and two hashes; one of its windows stands for it.
+    mixed = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "item_id"))
+    windows = held.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), mixed(1).alias("x"), mixed(2).alias("y"))
+    windows = windows.select(*key, F.md5(F.concat_ws("|", "n", "x", "y")).alias("class"))
+    windows = stage(windows, "window-classes")
+    first = windows.groupBy("class").agg(F.min(F.struct(*key)).alias("w")).select("class", "w.*")
+    members = stage(first.join(held, key).select("class", "item_id"), "class-items")
 
     rows = numbered(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text")))
     rows = rows.select("_rid", "doc_id", "text")
-    found = stage(_fingerprinted(rows, {"_rid": "bigint", "doc_id": "bigint"}, kinds, keep, 0), "document-fingerprints")
-
-    hits = found.where("size(found) > 0").select("_rid", F.explode("found").alias("f")).select("_rid", "f.kind", "f.mark", "f.ctx", "f.at")
-    agree = F.expr(f"d.kind = i.kind AND d.mark = i.mark AND CASE WHEN d.kind < {WINDOW} THEN d.ctx = i.ctx ELSE slice(d.ctx, {SIDE + 1}, {GRAM}) = slice(i.ctx, {SIDE + 1}, {GRAM}) END")
-    wide = f"d.kind = {WINDOW}"
-    left, right = F.expr(f"CASE WHEN {wide} THEN {_reach('left')} ELSE 0 END"), F.expr(f"CASE WHEN {wide} THEN {_reach('right')} ELSE 0 END")
-    pairs = hits.alias("d").join(marks.alias("i"), agree).select("d._rid", "i.item_id", "d.kind", "d.at", left.alias("lo"), right.alias("hi"))
-    pairs = pairs.where(f"kind < {WINDOW} OR lo + hi >= {SIDE}")
-    pairs = stage(pairs.withColumn("n", F.when(F.col("kind") < WINDOW, F.col("kind")).otherwise(GRAM)), "hits")
-    spans = pairs.select("_rid", "lo", "hi", "n", F.explode("at").alias("p")).select("_rid", (F.col("p") - F.col("lo")).alias("s"), (F.col("p") + F.col("n") + F.col("hi")).alias("e")).distinct()
+    found = stage(_fingerprinted(rows, {"_rid": "bigint", "doc_id": "bigint"}, kinds, keep), "document-fingerprints")
+
+    hits = found.where("size(found) > 0").select("_rid", F.explode("found").alias("f")).select("_rid", "f.kind", "f.mark", "f.windows", "f.at")
+    hits = hits.join(marks, ["kind", "mark"], "left_semi").select("_rid", "kind", "at", F.explode("windows").alias("w")).select("_rid", "kind", "at", "w.*")
+    hits = stage(hits.join(windows, key).select("_rid", "class", "kind", "off", "at"), "hits")
+    start = F.col("p") + F.col("off")
+    spans = hits.select("_rid", "kind", "off", F.explode("at").alias("p")).select("_rid", start.alias("s"), (start + F.col("kind")).alias("e")).distinct()
     merged = F.aggregate(
         F.array_sort(F.collect_list(F.struct("s", "e"))),
         F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("end")),
         lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(a["end"], x["s"]))).alias("n"), F.greatest(a["end"], x["e"]).alias("end")),
     )
     spans = spans.groupBy("_rid").agg(merged["n"].alias("n_hit"), F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
-    which = pairs.select("_rid", "item_id").distinct().groupBy("_rid").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
-    both_sides = spans.join(which, "_rid")
-    n_hit, names = F.coalesce("n_hit", F.lit(0).cast("bigint")), F.coalesce("items", F.array().cast("array<string>"))
+    which = stage(hits.groupBy("_rid").agg(F.array_sort(F.collect_set("class")).alias("classes")), "document-classes")
+    sets = which.select("classes").distinct().select("classes", F.explode("classes").alias("class")).join(members, "class").select("classes", "item_id").distinct()
+    sets = sets.groupBy("classes").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    sets = sets.select("classes", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    both_sides = spans.join(which.join(sets, "classes").drop("classes"), "_rid")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
     return found.drop("found").join(both_sides, "_rid", "left").select(
-        "_rid", "doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("bigint").alias("n_items"),
-        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"), "spans",
+        "_rid", "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("bigint")).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"), "spans",
     )
 
 
