@@ -163,3 +163,39 @@ def test_stream_reindexes_a_stored_graph(spark, tmp_path):
     assert g.edge("CALLS").count() == 0 and ("Directory:/r/q", "File:/r/q/c.py") in {(r.src, r.dst) for r in g.edge("CONTAINS").collect()}
     apply(events.limit(0), 1)
     assert store.versions() == [1, 2]
+
+
+def test_store_writes_what_differs(spark, tmp_path):
+    """Versions of random graphs: each reads as it was written, a change writes few rows, and old folders go once no version needs them."""
+    import random
+
+    from weftgraph.graph import PropertyGraph
+    from weftgraph.schema import EDGE_FIELDS, edge_columns, node_columns
+    from weftgraph.sources.store import GraphStore
+
+    rng, store = random.Random(1), GraphStore(spark, f"file://{tmp_path}/store", chain=2)
+    names = {f"n{k}": 1 for k in range(40)}
+    links = {(f"n{k}", f"n{(k * 7 + 1) % 40}", "CALLS", k % 3 or None) for k in range(40)}
+    folder = lambda: sorted(x.name for x in (tmp_path / "store").iterdir())
+    seen = []
+    for version in range(1, 7):
+        if version > 1:
+            names.pop(rng.choice(sorted(names)))
+            names[rng.choice(sorted(names))] = version
+            names[f"new{version}"] = version
+            links -= set(rng.sample(sorted(links, key=str), 2))
+            links |= {(f"new{version}", "n1", "CALLS", None), (f"new{version}", "n1", "REFERENCES", version)}
+        nodes = spark.createDataFrame(sorted(names.items()), "id string, at int").select(node_columns(node_id=F.col("id"), kind_label=F.lit("Method"), full_name=F.col("id"), line=F.col("at"), labels=F.array(F.lit("Method"))))
+        rows = spark.createDataFrame(sorted(links, key=str), "a string, b string, t string, k int")
+        edges = [rows.where(F.col("t") == t).select(edge_columns(F.col("a"), F.col("b"), t, F.col("k").cast("string"))) for t in ("CALLS", "REFERENCES")]
+        graph = PropertyGraph(nodes, edges[0].unionByName(edges[1]))
+        for _ in range(2):
+            store.write(graph, version, version - 1 if version > 1 else None)
+        seen.append(folder())
+        got = store.read()
+        assert got.edges.columns == [*EDGE_FIELDS]
+        assert sorted((r.node_id, r.line) for r in got.nodes.collect()) == sorted(names.items())
+        assert sorted(((r.src, r.dst, r.type, r.kind) for r in got.edges.collect()), key=str) == sorted(((a, b, t, None if k is None else str(k)) for a, b, t, k in links), key=str)
+        assert store.versions()[-2:] == [x for x in (version - 1, version) if x]
+    assert seen[2] == ["d00000002-00000001", "d00000003-00000002", "v00000001"] and "v00000004" in seen[3] and seen[5] == ["d00000005-00000004", "d00000006-00000005", "v00000004"]
+    assert spark.read.parquet(f"file://{tmp_path}/store/d00000006-00000005/nodes").count() <= 4

@@ -446,6 +446,32 @@ on_tables("source_java_symbols", _java_symbols,
           SELECT f AS full_name, 'class' AS kind, 2 AS line, 6 AS end_line, NULL AS type_name FROM p UNION ALL SELECT f || '.store', 'field', 3, 3, 'Store' FROM p UNION ALL SELECT f || '.load(int,Map)', 'method', 5, 5, 'List<Item>' FROM p""")
 
 
+CSHARP = ("namespace {b}.N{k};", "public interface IStore<T> { T Load(int id); }", "public enum Mode { On, Off }", "public class Store : IStore<Item> {", "  public Item Last { get; set; }", "  private readonly Mode mode = Mode.On;", "  public Item Load(int id) { return Last; }", "  public static async Task Run(string[] a, List<Item> b) { }", "}")
+SCRIPT = ("export interface Shape { area(): number; }", "export class Box implements Shape {", "  private size: Size = 1;", "  area(): number { return this.size; }", "}", "export const make = (x: number): Box => new Box();", "export async function run(a: string): Promise<void> { }", "type Id = string;", "enum Mode { On, Off }")
+SNAKE = ("class Store:", "    size: Size", "    @property", "    def last(self) -> Item:", "        return self.kept", "    @staticmethod", "    async def run(a, b=1):", "        pass", "def top():", "    class Inner:", "        pass")
+
+
+def _symbols_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbols of a file of each language, for every part."""
+    out = None
+    for language, extension, lines in (("csharp", ".cs", CSHARP), ("typescript", ".ts", SCRIPT), ("python", ".py", SNAKE)):
+        rows = (python_source if language == "python" else brace_source).staging(_written(spark, sf_dir, extension, *lines), "/r").where("what = 'symbol'")
+        rows = rows.select(F.lit(language).alias("language"), "full_name", "kind", "line", "end_line", F.coalesce("type_name", F.lit("")).alias("type_name"), F.coalesce("is_async", F.lit(False)).alias("is_async"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+on_tables("source_symbols", _symbols_of,
+          """WITH p AS (SELECT replace(p_brand, '#', '') AS b, p_partkey AS k FROM part), x AS (SELECT unnest([
+            ('csharp', '.IStore', 'interface', 2, 2, '', false), ('csharp', '.IStore.Load(int)', 'method', 2, 2, 'T', false), ('csharp', '.Mode', 'enum', 3, 3, '', false), ('csharp', '.Store', 'class', 4, 9, '', false),
+            ('csharp', '.Store.Last', 'property', 5, 5, 'Item', false), ('csharp', '.Store.mode', 'field', 6, 6, 'Mode', false), ('csharp', '.Store.Load(int)', 'method', 7, 7, 'Item', false), ('csharp', '.Store.Run(string[],List)', 'method', 8, 8, 'Task', true),
+            ('typescript', '', 'module', 1, 9, '', false), ('typescript', '.Shape', 'interface', 1, 1, '', false), ('typescript', '.Shape.area', 'method', 1, 1, 'number', false), ('typescript', '.Box', 'class', 2, 5, '', false), ('typescript', '.Box.size', 'field', 3, 3, 'Size', false),
+            ('typescript', '.Box.area', 'method', 4, 4, 'number', false), ('typescript', '.make', 'method', 6, 6, '', false), ('typescript', '.run', 'method', 7, 7, 'Promise<void>', true), ('typescript', '.Mode', 'enum', 9, 9, '', false),
+            ('python', '', 'module', 1, 11, '', false), ('python', '.Store', 'class', 1, 8, '', false), ('python', '.Store.size', 'field', 2, 2, 'Size', false), ('python', '.Store.last', 'property', 4, 5, 'Item', false),
+            ('python', '.Store.run', 'method', 7, 8, '', true), ('python', '.top', 'method', 9, 11, '', false), ('python', '.top.Inner', 'class', 10, 11, '', false)]) AS y)
+          SELECT y[1] AS language, b || CASE y[1] WHEN 'csharp' THEN '.N' ELSE '.f' END || k || y[2] AS full_name, y[3] AS kind, y[4] AS line, y[5] AS end_line, y[6] AS type_name, y[7] AS is_async FROM p, x""")
+
+
 def _csharp_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = _written(spark, sf_dir, ".cs", "namespace {b};", "[Route(\"api/[controller]\")]", "public class P{k}Controller {", "  [HttpGet(\"{id:int}/{k}\")] public Item Get(int id) => Load(id);", "  public void Ask() { http.PostAsync(\"/api/p{k}/\" + id, null); }", "}")
     found = build.http_rows(brace_source.staging(texts, "/r"), "csharp")
@@ -612,6 +638,10 @@ on_tables("reindex_files", _reindexed,
 
 
 # Reports, trees, guarded queries
+on_graph("json_rows", lambda g, s: reports.without_nulls(g.label("Package", "Class").select("full_name", "file_path", "line")),
+         """SELECT '{"full_name":"' || full_name || '"' || coalesce(',"file_path":"' || file_path || '"', '') || coalesce(',"line":' || line, '') || '}' AS value FROM n WHERE label IN ('Package', 'Class')""")
+
+
 def _numbered_texts(g: PropertyGraph) -> DataFrame:
     return g.label("File").select("path", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(600)), lambda k: F.concat(F.lit("line "), k.cast("string"))), "\n").alias("text"))
 

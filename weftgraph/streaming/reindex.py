@@ -15,7 +15,8 @@ def applier(store: GraphStore, parse: Callable[[DataFrame], PropertyGraph], rebu
     """A function for debounce.run(). ``parse`` makes a graph of changed paths; ``rebuild`` derives edges anew, by default
     HTTP matches and TESTS.
 
-    Batch n writes version n + 2 from the last one below it, so a batch that is run again gives the same version.
+    Batch n writes version n + 2, as what differs from the last one below it, so a batch that is run again gives the same
+    version.
     """
 
     def apply(changes: DataFrame, batch: int) -> None:
@@ -32,7 +33,7 @@ def applier(store: GraphStore, parse: Callable[[DataFrame], PropertyGraph], rebu
             fresh = now.where("event <> 'delete'").select("path").distinct()
             left = dml.delete_files(base, gone).staged()
             out = dml.replace_files(left, fresh, parse(fresh).staged()).staged()
-            store.write(rebuild(out) if rebuild else out, target)
+            store.write(rebuild(out) if rebuild else out, target, since=have[-1] if have else None)
         finally:
             changes.unpersist()
 
