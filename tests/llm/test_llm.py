@@ -130,6 +130,12 @@ def test_exact_dedup_batches(spark):
     assert exact_dedup.exact_dedup(docs(spark, [(12, "new")]), again).first().kept is False
     plan = again.rows().hint("merge").join(index.rows().select("text_sha256"), "text_sha256", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange" not in plan
+    wider = again.rebucketed(8)
+    assert wider.buckets == 8 and rows_of(wider.rows()) == rows_of(again.rows()) and exact_dedup.exact_dedup(docs(spark, [(13, "NEW"), (14, "newer")]), wider).where("kept").count() == 1
+    assert [exact_dedup.buckets_for(n) for n in (0, 1, 128_000_000, 128_000_001, 10**13)] == [64, 64, 64, 128, 65536]
+    tables = len(spark.catalog.listTables())
+    exact_dedup.exact_dedup(docs(spark, AWKWARD)).collect()
+    assert len(spark.catalog.listTables()) == tables
 
 
 # 4 near dedup
