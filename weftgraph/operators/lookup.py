@@ -16,9 +16,10 @@ TYPES = ("Class", "Interface")
 NODE = ("full_name", "name", "kind_label", "file_path", "line")
 
 # Words of languages that a search query loses.
-KEYWORDS = frozenset(
-    "def class function async await public private protected static void abstract virtual readonly return new var let const interface enum struct "
-    "namespace import from package final synchronized export type sealed partial extends implements".split()
+KEYWORDS = (
+    "def", "class", "function", "async", "await", "public", "private", "protected", "static", "void", "abstract", "virtual", "readonly", "return", "new",
+    "var", "let", "const", "interface", "enum", "struct", "namespace", "import", "from", "package", "final", "synchronized", "export", "type", "sealed",
+    "partial", "extends", "implements",
 )
 
 
