@@ -60,8 +60,8 @@ MORE = 768  # further values of candidates, of 8 bits each
 LOOKS = (32, 64, 96, 128, 192, 256)  # signature values compared before each pruning
 MORE_LOOKS = (384, 512, 768, 1024)  # and with the further ones
 MISS = 1e-6  # of a pruning, for a pair that would be linked
-BLOCK = 1024
-HOT = 8 * BLOCK  # members of a bucket outside its largest component, beyond which prefixes take the place of its key
+BLOCK = 512  # members of a bucket on either side of a task's comparison
+HOT = 16 * BLOCK  # members of a bucket outside its largest component, beyond which prefixes take the place of its key
 
 _RNG = np.random.default_rng(85)
 _A = (_RNG.integers(0, 1 << 32, HASHES + MORE, dtype=np.uint64) | 1).astype(np.uint32)
