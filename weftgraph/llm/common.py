@@ -40,3 +40,24 @@ def unused(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def filesystem_of(path: str) -> tuple:
+    """Arrow's file system of a path or URI as Spark has them, and the path in it, for reading ranges and writing files within tasks."""
+    from pyarrow import fs
+
+    scheme, colon, rest = path.partition(":")
+    if colon and scheme in ("s3a", "s3n"):
+        path = f"s3:{rest}"
+    elif colon and scheme == "file":
+        path = "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+#: Of rows that stand for files: tasks of one job at most.
+MOST_TASKS = 100_000
+
+
+def one_task_each(rows: DataFrame) -> DataFrame:
+    """Few small rows that mean much work, a task each."""
+    return rows.repartition(max(1, min(rows.count(), MOST_TASKS)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import chat_format, decontaminate, exact_dedup, html_extract, license_scan, mixing, near_dedup, quality, sharding, warc
+from pyspark.sql import functions as F
+
+from weftgraph.llm import chat_format, decontaminate, exact_dedup, hard_negatives, html_extract, license_scan, mixing, near_dedup, quality, sharding, token_files, vector_codes, warc
 from weftgraph.llm.common import read_table
 
 
@@ -50,10 +52,25 @@ def op10_sharding(spark, sf_dir):
     return sharding.assign_shards(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op11_vector_codes(spark, sf_dir):
+    coded, books = vector_codes.compress_vectors(read_table(spark, sf_dir, "embeddings"))
+    return coded.withColumn("codebooks_sha256", F.lit(books.sha256))
+
+
+def op12_token_files(spark, sf_dir):
+    files = token_files.write_tokens(read_table(spark, sf_dir, "documents"))
+    return files.read().withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+def op13_hard_negatives(spark, sf_dir):
+    return hard_negatives.mine_hard_negatives(read_table(spark, sf_dir, "embeddings"), label=hard_negatives.shifted_label())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_license_scan, op2_chat_format, op3_exact_dedup, op4_near_dedup, op5_warc, op6_decontaminate, op7_html_extract, op8_mixing, op9_quality, op10_sharding,
+        op1_license_scan, op2_chat_format, op3_exact_dedup, op4_near_dedup, op5_warc, op6_decontaminate, op7_html_extract, op8_mixing, op9_quality, op10_sharding, op11_vector_codes,
+        op12_token_files, op13_hard_negatives,
     )
 }
 ORACLES = {
@@ -64,4 +81,6 @@ ORACLES = {
     "op6_decontaminate": decontaminate.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op10_sharding": sharding.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
