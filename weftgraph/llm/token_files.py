@@ -20,9 +20,10 @@ manifest, one row a file. The folder is any that Arrow's file systems reach.
 Reading. Each file is read by one task, ``SAMPLE`` documents at a time, through the select structures.
 
 Encoding. Byte-level vocabularies split a text before white space and behind words, whatever lies around, so a text is
-cut there and each distinct piece is encoded once by the tokenizers library; pieces are kept in a bounded table.
-``Encoder.encode_texts`` states why this gives the ids of the whole text, and tests hold it against encoding whole texts.
-With other vocabularies whole texts are encoded as they are.
+cut there and each distinct piece is encoded once by the tokenizers library. Texts are cut at spaces, and their pieces
+numbered, a batch at a time by Arrow; distinct pieces are looked up in a bounded table; and NumPy puts the ids together.
+``Encoder`` states why this gives the ids of the whole text, and tests hold it against encoding whole texts. With
+other vocabularies whole texts are encoded as they are.
 
 Rows: null text counts as empty (its one id is the end id); null ids come last; repeated ids and rows are documents of
 their own, equal ids by their texts; an empty table gives no file and an empty result; other input columns, whatever
@@ -40,6 +41,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +56,8 @@ MAGIC = b"WEFTIDS1"
 #: count, universe, low bits, and places of low bits, high bits, samples and end.
 _FOOTER = struct.Struct("<QQQqQ" + "QQQQQQQ" * 2)
 VOCABULARY_BYTES = 64 << 20  # of a tokenizer's file, which goes to the executors
-PIECES, PIECE_CHARS = 1_000_000, 40  # pieces that a worker keeps, and their length at most
+PIECES, PIECE_CHARS = 1_000_000, 40  # pieces of either kind that a worker keeps, and their length at most
+BATCH_BYTES = 8 << 20  # of texts that are encoded at once
 JOINED = 256  # new pieces that are encoded as one text
 
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # fixed values: white space as Unicode has it
@@ -203,8 +206,24 @@ def splits_at_spaces(vocabulary: dict) -> bool:
     return bool(plain and easy and not vocabulary.get("normalizer") and not vocabulary.get("truncation") and not vocabulary.get("padding"))
 
 
+def _ends_in_space(data: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which UTF-8 strings, whose bytes in ``data`` end before ``ends``, are empty or end in white space."""
+    last, before, third = (np.where(sizes >= k, data[np.maximum(ends - k, 0)], 0) for k in (1, 2, 3))
+    short = (last >= 9) & (last <= 13) | (last == 32) | (before == 0xC2) & ((last == 0x85) | (last == 0xA0))
+    two = (third == 0xE2) & (before == 0x80) & ((last >= 0x80) & (last <= 0x8A) | (last == 0xA8) | (last == 0xA9) | (last == 0xAF))
+    wide = (third == 0xE1) & (before == 0x9A) & (last == 0x80) | (third == 0xE2) & (before == 0x81) & (last == 0x9F) | (third == 0xE3) & (before == 0x80) & (last == 0x80)
+    return (sizes == 0) | short | two | wide
+
+
 class Encoder:
-    """Texts to ids as bytes, ``END_ID`` behind each."""
+    """Texts to ids as bytes, ``END_ID`` behind each.
+
+    The byte-level pattern has no match that goes on from other characters to white space, so one starts with each run of
+    white space; and a run of letters is one match that ends before a mark. What lies before a cut never changes the
+    matches behind it, and no match before it looks over it: only white space at the end of a match looks ahead, and
+    what is before a cut ends with other characters. Merges never cross matches, and a special token holds neither white
+    space nor such a mark. A space behind white space is no cut: texts that have one are cut by ``_PIECE`` alone.
+    """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
@@ -213,54 +232,95 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = 2 if max(names.values(), default=0) < 1 << 16 else 4
+        self.kind = np.dtype(f"<u{self.width}")
         self.by_pieces = splits_at_spaces(json.loads(vocabulary))
         self.lengths = np.zeros(max(names.values(), default=0) + 1, np.int64)  # bytes that an id stands for, at the byte level
         self.lengths[list(names.values())] = [len(x) for x in names]
         self.end = END_ID.to_bytes(self.width, "little")
-        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}  # of _PIECE
+        self.words: dict[str, bytes] = {}  # what follows a space, up to the next, without it
 
     def encode_whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in found]
+        return [np.array(e.ids, self.kind).tobytes() for e in found]
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces. Those with white space in front alone are encoded side by side, and parted by their lengths in bytes."""
-        side = [x for x in pieces if _JOINS.match(x)]
+    def _learn(self, parts: list[str]) -> None:
+        """Encode new parts. Those with white space in front alone are encoded side by side, and parted by their lengths in bytes."""
+        fits = [_JOINS.match(x) is not None for x in parts]
+        side = [x for x, ok in zip(parts, fits, strict=True) if ok]
         for at in range(0, len(side), JOINED):
-            part = side[at : at + JOINED]
-            ids = np.array(self.tokenizer.encode("".join(part), add_special_tokens=False).ids, np.int64)
+            some = side[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, np.int64)
             upto = np.cumsum(self.lengths[ids])
-            cuts = np.searchsorted(upto, np.cumsum([len(x.encode("utf-8")) for x in part]), "left") + 1
-            data, before = ids.astype(f"<u{self.width}").tobytes(), 0
-            for x, cut in zip(part, (cuts * self.width).tolist(), strict=True):
-                self.known[x] = data[before:cut]
+            cuts = np.searchsorted(upto, np.cumsum([len(x.encode("utf-8")) for x in some]), "left") + 1
+            data, before = ids.astype(self.kind).tobytes(), 0
+            for x, cut in zip(some, (cuts * self.width).tolist(), strict=True):
+                self.parts[x] = data[before:cut]
                 before = cut
-        alone = [x for x in pieces if not _JOINS.match(x)]
-        self.known.update(zip(alone, self.encode_whole(alone), strict=True))
+        alone = [x for x, ok in zip(parts, fits, strict=True) if not ok]
+        self.parts.update(zip(alone, self.encode_whole(alone), strict=True))
 
-    def encode_texts(self, texts: list[str]) -> list[bytes]:
-        """The ids of whole texts.
-
-        The byte-level pattern has no match that goes on from other characters to white space, so one starts with each
-        run of white space; and a run of letters is one match that ends before a mark. What lies before a cut never
-        changes the matches behind it, and no match before it looks over it: only white space at the end of a match
-        looks ahead, and pieces end with other characters. Merges never cross matches, and a special token holds
-        neither white space nor such a mark.
-        """
-        if not self.by_pieces:
-            return [x + self.end for x in self.encode_whole(texts)]
-        if len(self.known) > PIECES:
-            self.known.clear()
+    def _by_parts(self, texts: list[str]) -> list[bytes]:
         cut = [_PIECE.findall(t) for t in texts]
-        known = self.known
-        new = list(set().union(*cut) - known.keys())
+        new = list(set().union(*cut) - self.parts.keys())
         self._learn(new)
-        out = [b"".join([*map(known.__getitem__, pieces), self.end]) for pieces in cut]
+        find = self.parts.__getitem__
+        out = [b"".join(map(find, pieces)) for pieces in cut]
         for x in new:
             if len(x) > PIECE_CHARS:
-                del known[x]
+                del self.parts[x]
         return out
 
+    def encode_texts(self, texts: list[str]) -> list[bytes]:
+        return self.encode_column(pa.array(texts, pa.string()))
+
+    def encode_column(self, column: pa.StringArray) -> list[bytes]:
+        """The ids of whole texts, none of which is null."""
+        if not self.by_pieces:
+            return [x + self.end for x in self.encode_whole(column.to_pylist())]
+        for table in (self.parts, self.words):
+            if len(table) > PIECES:
+                table.clear()
+        cut = pc.split_pattern(pc.cast(column, pa.large_string()), " ")
+        flat, at = cut.values, cut.offsets.to_numpy()
+        ends = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
+        data = np.frombuffer(flat.buffers()[2] or b"\0", np.uint8)
+        bad = _ends_in_space(data, ends[1:], np.diff(ends))
+        bad[at[1:] - 1] = False  # the last piece ends with its text
+        upto = np.concatenate([[0], np.cumsum(bad)])
+        odd = upto[at[1:]] > upto[at[:-1]]
+
+        coded = flat.dictionary_encode()
+        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        # Not all words are needed: those of odd texts, and the first of each text, which has no space in front.
+        wanted = np.ones(len(flat), bool)
+        wanted[at[:-1]] = False
+        wanted &= ~np.repeat(odd, np.diff(at))
+        used = np.unique(index[wanted])
+        missing = [words[k] for k in used.tolist() if words[k] not in self.words]
+        fresh = dict(zip(missing, self._by_parts([" " + x for x in missing]), strict=True))
+        known = self.words
+        known.update((x, ids) for x, ids in fresh.items() if len(x) < PIECE_CHARS)
+        found = [known[x] if x in known else fresh[x] for x in (words[k] for k in used.tolist())]
+        firsts = self._by_parts([words[k] for k in index[at[:-1]].tolist()])
+        whole = dict(zip(np.flatnonzero(odd).tolist(), self._by_parts([column[int(k)].as_py() for k in np.flatnonzero(odd)]), strict=True))
+
+        # Entries: the used words, then the texts' first pieces, then the end.
+        place = np.zeros(len(words), np.int64)
+        place[used] = np.arange(len(used))
+        entry = place[index]
+        entry[at[:-1]] = len(used) + np.arange(len(column))
+        table = [*found, *firsts, self.end]
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // self.width
+        ids, starts = np.frombuffer(b"".join(table), self.kind), np.cumsum(sizes) - sizes
+        entry = np.insert(entry[~np.repeat(odd, np.diff(at))], np.cumsum(np.diff(at)[~odd]), len(table) - 1)
+        lengths = sizes[entry]
+        before = np.cumsum(lengths) - lengths
+        out = ids[np.repeat(starts[entry] - before, lengths) + np.arange(int(lengths.sum()))].tobytes()
+        stops = ((before + lengths) * self.width)[entry == len(table) - 1].tolist()
+        plain = iter([out[x:y] for x, y in zip([0, *stops], stops, strict=False)])
+        return [whole[k] + self.end if is_odd else next(plain) for k, is_odd in enumerate(odd.tolist())]
+
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -328,6 +388,24 @@ def _documents(file: TokenFile, k: int, before: int) -> Iterator[pa.RecordBatch]
         first = last
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) in batches of about ``most`` bytes of text, or one row: the more words, the more of them repeat."""
+    held, size = [], 0
+    for b in batches:
+        sizes = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False)) if b.num_rows else ()
+        at, before = 0, 0
+        while at < b.num_rows:
+            upto = max(at + 1, int(np.searchsorted(sizes, before + most - size, "right")))
+            held.append(b.slice(at, upto - at))
+            size += int(sizes[upto - 1]) - before
+            at, before = upto, int(sizes[upto - 1])
+            if size >= most or at < b.num_rows:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_tokens(docs: DataFrame, vocabulary: str | None = None, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> TokenFiles:
     """Encode the texts with the tokenizer of the file ``vocabulary`` and write them below ``path``, a new folder."""
     spark = docs.sparkSession
@@ -344,17 +422,15 @@ def write_tokens(docs: DataFrame, vocabulary: str | None = None, path: str | Non
 
         encoder, (fs, root), task = encoder_of(sent.value), filesystem_of(folder), TaskContext.get()
         writer, done, number = None, [], task.partitionId() << 32
-        for b in batches:
-            for at in range(0, b.num_rows, 128):
-                names, texts = (c.slice(at, 128).to_pylist() for c in b.columns)
-                for name, ids in zip(names, encoder.encode_texts(texts), strict=True):
-                    if writer and (writer.ids * encoder.width + len(ids) > FILE_BYTES or len(writer.ends) == FILE_DOCS):
-                        done.append((number, writer.path.rsplit("/", 1)[1], *writer.close()))
-                        writer, number = None, number + 1
-                    if writer is None:
-                        fs.create_dir(root, recursive=True)
-                        writer = _Writer(fs, f"{root}/ids-{number:016x}-{task.taskAttemptId()}.bin", encoder.width)
-                    writer.add(name, ids)
+        for part in _gathered(batches):
+            for name, ids in zip(part.column(0).to_pylist(), encoder.encode_column(part.column(1)), strict=True):
+                if writer and (writer.ids * encoder.width + len(ids) > FILE_BYTES or len(writer.ends) == FILE_DOCS):
+                    done.append((number, writer.path.rsplit("/", 1)[1], *writer.close()))
+                    writer, number = None, number + 1
+                if writer is None:
+                    fs.create_dir(root, recursive=True)
+                    writer = _Writer(fs, f"{root}/ids-{number:016x}-{task.taskAttemptId()}.bin", encoder.width)
+                writer.add(name, ids)
         if writer:
             done.append((number, writer.path.rsplit("/", 1)[1], *writer.close()))
         if done:
