@@ -56,7 +56,7 @@ MAGIC = b"WEFTIDS1"
 #: count, universe, low bits, and places of low bits, high bits, samples and end.
 _FOOTER = struct.Struct("<QQQqQ" + "QQQQQQQ" * 2)
 VOCABULARY_BYTES = 64 << 20  # of a tokenizer's file, which goes to the executors
-PIECES, PIECE_CHARS = 1_000_000, 40  # pieces of either kind that a worker keeps, and their length at most
+PIECES, PIECE_CHARS = 400_000, 40  # pieces of either kind that a worker keeps in a table, and their length at most
 BATCH_BYTES = 8 << 20  # of texts that are encoded at once
 JOINED = 256  # new pieces that are encoded as one text
 
@@ -239,6 +239,7 @@ class Encoder:
         self.end = END_ID.to_bytes(self.width, "little")
         self.parts: dict[str, bytes] = {}  # of _PIECE
         self.words: dict[str, bytes] = {}  # what follows a space, up to the next, without it
+        self.older: dict[str, bytes] = {}  # words before these; one that comes again is taken over
 
     def encode_whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -278,9 +279,10 @@ class Encoder:
         """The ids of whole texts, none of which is null."""
         if not self.by_pieces:
             return [x + self.end for x in self.encode_whole(column.to_pylist())]
-        for table in (self.parts, self.words):
-            if len(table) > PIECES:
-                table.clear()
+        if len(self.parts) > PIECES:
+            self.parts.clear()
+        if len(self.words) > PIECES:
+            self.older, self.words = self.words, {}
         cut = pc.split_pattern(pc.cast(column, pa.large_string()), " ")
         flat, at = cut.values, cut.offsets.to_numpy()
         ends = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
@@ -296,12 +298,16 @@ class Encoder:
         wanted = np.ones(len(flat), bool)
         wanted[at[:-1]] = False
         wanted &= ~np.repeat(odd, np.diff(at))
-        used = np.unique(index[wanted])
-        missing = [words[k] for k in used.tolist() if words[k] not in self.words]
-        fresh = dict(zip(missing, self._by_parts([" " + x for x in missing]), strict=True))
-        known = self.words
-        known.update((x, ids) for x, ids in fresh.items() if len(x) < PIECE_CHARS)
-        found = [known[x] if x in known else fresh[x] for x in (words[k] for k in used.tolist())]
+        used = np.flatnonzero(np.bincount(index[wanted], minlength=len(words)))
+        own = [words[k] for k in used.tolist()]
+        found = list(map(self.words.get, own))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(missing, map(self.older.get, [own[k] for k in missing]), strict=True):
+            found[k] = ids
+        fresh = [k for k in missing if found[k] is None]
+        for k, ids in zip(fresh, self._by_parts([" " + own[k] for k in fresh]), strict=True):
+            found[k] = ids
+        self.words.update((own[k], found[k]) for k in missing if len(own[k]) < PIECE_CHARS)
         firsts = self._by_parts([words[k] for k in index[at[:-1]].tolist()])
         whole = dict(zip(np.flatnonzero(odd).tolist(), self._by_parts([column[int(k)].as_py() for k in np.flatnonzero(odd)]), strict=True))
 
