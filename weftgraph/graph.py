@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.plans.staging import staged
@@ -17,6 +17,14 @@ from weftgraph.schema import EDGE_DDL, EDGE_FIELDS, LABEL_ORDER, NODE_DDL, NODE_
 TIMEOUT_S = 10.0  # of an ad-hoc query
 
 
+def filtered(writer: DataFrameWriter, *columns: str) -> DataFrameWriter:
+    """With Bloom filters of the columns, as large as their values need."""
+    writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
+    for c in columns:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    return writer
+
+
 @dataclass(frozen=True)
 class PropertyGraph:
     nodes: DataFrame
@@ -35,11 +43,13 @@ class PropertyGraph:
         return cls(spark.read.schema(NODE_DDL).parquet(f"{path}/nodes"), spark.read.schema(EDGE_DDL).parquet(f"{path}/edges").select(*EDGE_FIELDS))
 
     def write(self, path: str, files_per_type: int = 8) -> None:
-        """Edges lie by type, so a filter on type prunes folders; both are sorted by what lookups ask for, so row groups can be skipped."""
-        self.nodes.select(*NODE_FIELDS).sortWithinPartitions("full_name").write.mode("overwrite").partitionBy("kind_label").parquet(f"{path}/nodes")
+        """Edges lie by type, so a filter on type prunes folders; both are sorted by what lookups ask for, so pages can be skipped, and
+        have Bloom filters for other keys, so row groups can."""
+        nodes = self.nodes.select(*NODE_FIELDS).sortWithinPartitions("kind_label", "full_name").write.mode("overwrite")
+        filtered(nodes, "node_id", "file_path").partitionBy("kind_label").parquet(f"{path}/nodes")
         spread = F.pmod(F.xxhash64("src"), F.lit(files_per_type))
         rows = self.edges.select(*EDGE_FIELDS).repartition("type", spread).sortWithinPartitions("type", "src")
-        rows.write.mode("overwrite").partitionBy("type").parquet(f"{path}/edges")
+        filtered(rows.write.mode("overwrite"), "dst").partitionBy("type").parquet(f"{path}/edges")
 
     def cached(self) -> PropertyGraph:
         """Kept in memory, and on disk where that ends; lost parts are computed again from their sources."""

@@ -125,14 +125,19 @@ def repository_stubs(g: PropertyGraph) -> PropertyGraph:
     return PropertyGraph(nodes, rows.select(edge_columns(F.col("owner"), node_id("Method", F.col("fn")), "CONTAINS")))
 
 
+def endpoint_nodes(ends: DataFrame) -> DataFrame:
+    """Nodes of endpoints (http_method, route)."""
+    name = F.concat("http_method", F.lit(" "), "route")
+    return ends.select(node_columns(node_id=node_id("Endpoint", name), labels=F.array(F.lit("Endpoint")), kind_label=F.lit("Endpoint"), name=name, route=F.col("route"), http_method=F.col("http_method")))
+
+
 def http_edges(definitions: DataFrame, calls: DataFrame) -> PropertyGraph:
     """Endpoint nodes with SERVES and HTTP_CALLS edges from definitions and client calls."""
     matched = match_calls(definitions, calls)
     served = definitions.select("http_method", "route", "handler")
     ends = served.select("http_method", "route").unionByName(matched.select("http_method", F.col("ep_route").alias("route"))).distinct()
     key = lambda r: node_id("Endpoint", F.concat("http_method", F.lit(" "), r))
-    name = F.concat("http_method", F.lit(" "), "route")
-    nodes = ends.select(node_columns(node_id=key(F.col("route")), labels=F.array(F.lit("Endpoint")), kind_label=F.lit("Endpoint"), name=name, route=F.col("route"), http_method=F.col("http_method")))
+    nodes = endpoint_nodes(ends)
     # Of equal endpoints the first definition serves.
     first = definitions.groupBy("http_method", "route").agg(F.min_by("handler", "def_ord").alias("handler"))
     serves = first.select(edge_columns(node_id("Method", F.col("handler")), key(F.col("route")), "SERVES"))

@@ -98,6 +98,19 @@ class GraphStore:
             old, path = self.read(since), f"{self.root}/d{version:08d}-{since:08d}"
             difference(old.nodes, graph.nodes, NODE_KEYS, [*NODE_FIELDS]).write.mode("overwrite").parquet(f"{path}/nodes")
             difference(old.edges, graph.edges, EDGE_KEYS, [*EDGE_FIELDS]).write.mode("overwrite").parquet(f"{path}/edges")
+        self._drop_old(version)
+
+    def write_change(self, version: int, since: int, nodes: DataFrame, nodes_gone: DataFrame, edges: DataFrame, edges_gone: DataFrame) -> None:
+        """``version`` as the version ``since`` with new and changed rows, and without others: nothing else is read, but where the chain ends."""
+        path = f"{self.root}/d{version:08d}-{since:08d}"
+        for rows, gone, fields, what in ((nodes, nodes_gone, NODE_FIELDS, "nodes"), (edges, edges_gone, EDGE_FIELDS, "edges")):
+            both = rows.select(*fields, F.lit(False).alias("_gone")).unionByName(gone.select(*fields, F.lit(True).alias("_gone")))
+            both.write.mode("overwrite").parquet(f"{path}/{what}")
+        if len(self._way(version, self._folders()) or ()) > self.chain + 1:
+            self.read(version).write(f"{self.root}/v{version:08d}")
+        self._drop_old(version)
+
+    def _drop_old(self, version: int) -> None:
         fs, _ = self._files()
         folders = self._folders()
         latest = [v for v in self.versions() if v <= version][-self.keep :]
