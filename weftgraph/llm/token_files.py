@@ -60,9 +60,10 @@ PIECES, PIECE_CHARS = 400_000, 40  # pieces of either kind that a worker keeps i
 BATCH_BYTES = 8 << 20  # of texts that are encoded at once
 JOINED = 256  # new pieces that are encoded as one text
 
+MARKS = ".,;:!?"
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # fixed values: white space as Unicode has it
 #: White space and what follows it, up to the next white space, or to the end of a Latin word before white space or a mark.
-_PIECE = re.compile(rf"[{_SPACE}]*(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]++(?=[.,;:!?{_SPACE}]|\Z)|[^{_SPACE}]+)|[{_SPACE}]+\Z")
+_PIECE = re.compile(rf"[{_SPACE}]*(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]++(?=[{MARKS}{_SPACE}]|\Z)|[^{_SPACE}]+)|[{_SPACE}]+\Z")
 _JOINS = re.compile(rf"[{_SPACE}].*[^{_SPACE}]\Z", re.DOTALL)
 
 
@@ -202,7 +203,7 @@ def splits_at_spaces(vocabulary: dict) -> bool:
     pre = vocabulary.get("pre_tokenizer") or {}
     plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
     tokens = vocabulary.get("added_tokens") or []
-    easy = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word") or re.search(rf"[.,;:!?{_SPACE}]", t["content"])) for t in tokens)
+    easy = all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word") or re.search(rf"[{MARKS}{_SPACE}]", t["content"])) for t in tokens)
     return bool(plain and easy and not vocabulary.get("normalizer") and not vocabulary.get("truncation") and not vocabulary.get("padding"))
 
 
@@ -245,22 +246,42 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
+    def _side_by_side(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts that start with white space and end without: encoded as few texts, and parted by their lengths in bytes."""
+        out = []
+        groups = [parts[at : at + JOINED] for at in range(0, len(parts), JOINED)]
+        for some, e in zip(groups, self.tokenizer.encode_batch_fast(["".join(x) for x in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int64)
+            upto = np.cumsum(self.lengths[ids])
+            cuts = np.searchsorted(upto, np.cumsum([len(x) if x.isascii() else len(x.encode("utf-8")) for x in some]), "left") + 1
+            data, stops = ids.astype(self.kind).tobytes(), (cuts * self.width).tolist()
+            out += [data[x:y] for x, y in zip([0, *stops], stops, strict=False)]
+        return out
+
     def _learn(self, parts: list[str]) -> None:
-        """Encode new parts. Those with white space in front alone are encoded side by side, and parted by their lengths in bytes."""
+        """Encode new parts of _PIECE."""
         fits = [_JOINS.match(x) is not None for x in parts]
-        side = [x for x, ok in zip(parts, fits, strict=True) if ok]
-        for at in range(0, len(side), JOINED):
-            some = side[at : at + JOINED]
-            ids = np.array(self.tokenizer.encode("".join(some), add_special_tokens=False).ids, np.int64)
-            upto = np.cumsum(self.lengths[ids])
-            cuts = np.searchsorted(upto, np.cumsum([len(x.encode("utf-8")) for x in some]), "left") + 1
-            data, before = ids.astype(self.kind).tobytes(), 0
-            for x, cut in zip(some, (cuts * self.width).tolist(), strict=True):
-                self.parts[x] = data[before:cut]
-                before = cut
-        alone = [x for x, ok in zip(parts, fits, strict=True) if not ok]
+        side, alone = ([x for x, ok in zip(parts, fits, strict=True) if ok is wanted] for wanted in (True, False))
+        self.parts.update(zip(side, self._side_by_side(side), strict=True))
         self.parts.update(zip(alone, self.encode_whole(alone), strict=True))
 
+    def _new_words(self, words: list[str]) -> list[bytes]:
+        """The ids of new words, each with its space in front. A word of letters is one part, and so is what a Latin one's mark follows."""
+        heads = [x if x.isalpha() else x[:-1] if x[-1:] in MARKS and x[:-1].isalpha() and max(x) <= "\u00ff" else None for x in words]
+        new = list({x for x in heads if x is not None and x not in self.words})
+        own = dict(zip(new, self._side_by_side([" " + x for x in new]), strict=True))
+        other = [k for k, x in enumerate(heads) if x is None]
+        rest = dict(zip(other, self._by_parts([" " + words[k] for k in other]), strict=True))
+        out = [own.get(x) or self.words.get(x) for x in heads]
+        for k in other:
+            out[k] = rest[k]
+        marked = [k for k, (word, x) in enumerate(zip(words, heads, strict=True)) if x is not None and len(x) < len(word)]
+        self.words.update((heads[k], out[k]) for k in marked if len(words[k]) < PIECE_CHARS)
+        ends = {x: self.encode_whole([x])[0] for x in MARKS}
+        for k in marked:
+            out[k] += ends[words[k][-1]]
+        return out
+
     def _by_parts(self, texts: list[str]) -> list[bytes]:
         cut = [_PIECE.findall(t) for t in texts]
         new = list(set().union(*cut) - self.parts.keys())
@@ -305,7 +326,7 @@ class Encoder:
         for k, ids in zip(missing, map(self.older.get, [own[k] for k in missing]), strict=True):
             found[k] = ids
         fresh = [k for k in missing if found[k] is None]
-        for k, ids in zip(fresh, self._by_parts([" " + own[k] for k in fresh]), strict=True):
+        for k, ids in zip(fresh, self._new_words([own[k] for k in fresh]), strict=True):
             found[k] = ids
         self.words.update((own[k], found[k]) for k in missing if len(own[k]) < PIECE_CHARS)
         firsts = self._by_parts([words[k] for k in index[at[:-1]].tolist()])
