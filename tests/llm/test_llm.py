@@ -457,11 +457,67 @@ def test_html_text_goes_by_mass():
     assert text(f"<article>{story}<div class=ad>buy</div></article><div class=promo>p</div><div>more</div>") == story[3:-4]
 
 
+def test_html_sections_of_an_article_stay_whatever_they_are_called():
+    text = lambda x: html_extract.Page(f"<body><nav>n</nav><article><h1>T</h1><p>{story}</p>{x}</article></body>").text()
+    story = "The story goes on. " * 20 + "It ends."
+    told = "<h2>Head</h2><p>One paragraph of it.</p><p>And <a href=x>one</a> more.</p>"
+    for start in ("<section id='discussion'>", "<section id='related'>", "<section class='menu'>", "<section id='copyright'>", "<div class='related'>", "<section class='recommended section'>"):
+        end = f"</{start[1:].split()[0]}>"
+        assert text(start + told + end) == f"T\n{story}\nHead\nOne paragraph of it.\nAnd one more.", start
+        lists = start + "<h2>Head</h2><ul><li><a href=a>One that links</a><li><a href=b>Another that links</a></ul>" + end
+        others = start + "<h2>Head</h2><div><span class=author>A</span><p>First says so.</p></div><div><span class=author>B</span><p>Second says no.</p></div>" + end
+        for gone in (lists, others, start + "<h2>Head</h2><article><p>Not this one.</p></article>" + end, start + "No heading here." + end):
+            assert text(gone) == f"T\n{story}", gone
+    for start in ("<section class='comments'>", "<div class='ad'>", "<section class='newsletter related'>", "<section class='related ads'>", "<div class=notice>", "<aside class=related>"):
+        assert text(start + told + f"</{start[1:].split()[0].rstrip('>')}>") == f"T\n{story}", start
+
+
+def made_up_page(rng, k):
+    """A page of a site, and its article's text by construction."""
+    words = [f"w{x}" for x in range(400)]
+    prose = lambda n: " ".join(rng.choices(words, k=n))
+    blocks, want = [], []
+    for _ in range(rng.randint(2, 7)):
+        kind = rng.choice(["p", "p", "p", "h2", "list", "table", "pre", "ad", "share", "comments", "related", "section", "script", "inline"])
+        text = prose(rng.randint(8, 20))
+        if kind in ("p", "h2", "pre"):
+            blocks.append(f"<{kind}>{text}</{kind}>")
+            want.append(text)
+        elif kind == "inline":
+            blocks.append(f"<p>{text} <b>bold</b>, <a href='/x{k}'>a link</a> &amp;\n more<br>line</p>")
+            want.append(f"{text} bold, a link & more line")
+        elif kind in ("list", "table"):
+            items = [prose(3) for _ in range(3)]
+            blocks.append("<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>" if kind == "list" else "<table>" + "".join(f"<tr><td>{x}</td></tr>" for x in items) + "</table>")
+            want += items
+        elif kind == "section":
+            blocks.append(f"<section id='related'><h3>{prose(2)}</h3><p>{text}</p></section>")
+            want += [blocks[-1].split("<h3>")[1].split("</h3>")[0], text]
+        else:
+            blocks.append({"ad": f"<div class='ad-box'>{text}</div>", "share": f"<div class=share><a href='/s{k}'>{text}</a></div>", "comments": f"<div id=comments><p>{text}</p></div>",
+                           "related": f"<div class=related><a href='/r{k}'>{text}</a></div>", "script": f"<script>var a = '<p>{text}</p>';</script>"}[kind])
+    title = prose(4)
+    menu = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in rng.sample(words, 5))
+    page = (f"<html><head><title>{title}</title><style>p {{}}</style></head><body><header><a href='/'>Site</a></header><nav><ul>{menu}</ul></nav><div class='cookie-notice'>{prose(9)}</div>"
+            f"<main><article><h1>{title}</h1>{''.join(blocks)}</article><aside>{prose(6)}</aside></main><form><input><p>{prose(3)}</p></form><footer>&copy; {prose(4)}</footer></body></html>")
+    return page, "\n".join([title, *want])
+
+
+def test_html_whole_texts_of_made_up_sites(spark):
+    rng = random.Random(77)
+    made = [made_up_page(rng, k) for k in range(120)]
+    rows = [(k, f"http://{'abc'[k % 3]}.org/{k}", page) for k, (page, _) in enumerate(made)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(pages(spark, rows)).collect()}
+    for k, (_, want) in enumerate(made):
+        assert got[k] == want, k
+
+
 def test_html_deep_and_broken_pages_take_linear_time():
     import time
 
     start = time.perf_counter()
-    for source in ("<div>" * 100_000 + "x", "<div><p>a" * 50_000 + "</div>x<p>" * 50_000, "<b><p>" * 50_000 + "x", "<ul><li>x" * 50_000, "</div></p>" * 100_000 + "x", "<table><tr><td>x" * 30_000):
+    for source in ("<div>" * 100_000 + "x", "<div><p>a" * 50_000 + "</div>x<p>" * 50_000, "<b><p>" * 50_000 + "x", "<ul><li>x" * 50_000, "</div></p>" * 100_000 + "x", "<table><tr><td>x" * 30_000,
+                   "x" + "</" * 500_000 + ">", "x" + "<a " * 300_000, "x<a \"" * 100_000 + ">", "x" + "<!-- " * 200_000 + ">"):
         page = html_extract.Page(source)
         assert "x" in page.text() and page.features()
     assert time.perf_counter() - start < 40

@@ -19,7 +19,9 @@ The main container goes by mass of text: the page's articles where they hold at
 (else of the body) that is no noise, else <main>, else the body. What never belongs to an article (menus, footers,
 asides, scripts, comments) goes on every page by its tag or role. Hosts with few pages tell little, so class names
 are a prior: those that stand for adverts, notices, comments, menus and the like remove a branch; weaker ones
-("share", "widget", "form-group") do inside the main container only where links make up most of the text. A class
+("share", "widget", "form-group") do inside the main container only where links make up most of the text; and a
+section of the main container that is called as an article's own sections may be ("related", "menu", "discussion")
+stays where it has a heading, is told in paragraphs, and holds no articles, forms or authors of others. A class
 or id counts with all its words: "ad-box" is noise, "has-sidebar" and "content-sidebar-wrap" are not. Neither names
 nor a <form> remove the main container, what holds it, or the richest prose of a page without one.
 
@@ -63,6 +65,10 @@ NOISE_NAMES = frozenset(
 WEAK_NAMES = frozenset("side promo promotion banner alert popup modal overlay login share sharing social disclaimer toolbar widget skip search form topbar trending hidden".split())
 #: Of branches that hold articles which are not the page's own.
 OTHERS_NAMES = frozenset("comment comments disqus respond reply replies discussion related recommended recommendations".split())
+#: Of these, what an article's own sections may be called: in the main container they stay where they are told in prose.
+SECTION_NAMES = frozenset("menu navigation copyright subscription advertising sponsor notification notifications discussion related recommended recommendations".split())
+#: Names of what says that a branch holds articles of others.
+AUTHOR_NAMES = frozenset("author avatar byline username commenter".split())
 #: Words that may stand beside a noise name in one class or id.
 PLAIN_NAMES = frozenset(
     "box wrap wrapper container area list bar block section inner outer panel link links item items button btn icon text title group row col column unit slot zone "
@@ -70,6 +76,7 @@ PLAIN_NAMES = frozenset(
 )
 KEPT_IN_MAIN = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote dd dt td th tr".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6".split())
+HEADINGS = PROSE - {"p"}
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
@@ -82,9 +89,10 @@ _SCOPES_BUT = {tag: SCOPES - ends for tag, ends in SIBLINGS.items()}
 CLEAN, WEAK, NAMED, ASIDE, GONE = range(5)
 
 _TAG = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<([a-zA-Z][^\s/>]*)([^>]*)>|<[a-zA-Z/!?][^>]*\Z",
+    r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<([a-zA-Z][^\s/>]*)([^>]*)>",
     re.DOTALL,
 )
+_OPEN = re.compile(r"<[a-zA-Z/!?]")
 _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _DIGITS = re.compile(r"\d+")
@@ -99,7 +107,7 @@ def hash_of(text: str, seed: int = 0) -> int:
 class Node:
     """``own`` is why the node itself is noise, ``worst`` the same of all that it lies in."""
 
-    __slots__ = ("block", "children", "dense", "holds_main", "in_article", "in_link", "in_main", "links", "mass", "noise", "own", "parent", "path", "prose", "style", "tag", "target", "worst")
+    __slots__ = ("authors", "block", "children", "heads", "holds_main", "in_article", "in_link", "in_main", "links", "mass", "named_section", "noise", "others", "own", "parent", "path", "prose", "style", "tag", "target", "worst")
 
     def __init__(self, tag: str, style: str, parent: Node | None, own: int, target: str = ""):
         self.tag, self.style, self.parent, self.own, self.target = tag, style, parent, own, target
@@ -109,8 +117,12 @@ class Node:
         self.worst = max(own, parent.worst) if parent else own
         self.in_article = parent is not None and (parent.in_article or parent.tag in ("article", "main"))
         self.in_link = tag == "a" or parent is not None and parent.in_link
-        self.mass = self.links = self.prose = 0
-        self.noise = self.holds_main = self.in_main = False
+        self.mass = self.links = self.prose = self.heads = self.others = self.authors = 0
+        self.noise = self.holds_main = self.in_main = self.named_section = False
+
+    def is_told(self) -> bool:
+        """A section of the article, whatever it is called: headed, most of it in paragraphs and outside of links, and of no other authors."""
+        return self.named_section and bool(self.heads) and 2 * self.prose >= self.mass and 2 * self.links < self.mass and not self.others and self.authors < 2
 
 
 class Page:
@@ -137,14 +149,17 @@ class Page:
         def last(tags) -> int:
             return max((opened[x][-1] for x in tags if opened.get(x)), default=0)
 
+        # Up to the last '>' every tag ends; what begins as one behind it never does, and goes with all that follows.
+        whole = source.rfind(">") + 1
         while True:
-            m = _TAG.search(source, at)
-            end = m.start() if m else len(source)
+            m = _TAG.search(source, at, whole) if at < whole else None
+            unfinished = None if m else _OPEN.search(source, max(at, whole))
+            end = m.start() if m else unfinished.start() if unfinished else len(source)
             if end > at:
                 pieces.append((stack[-1], entities.unescape(source[at:end])))
             if not m:
                 return
-            at = m.end()
+            at = m.end() if not m[0].startswith("<!--") or m[0].endswith("-->") else len(source)
             close, tag = m[1], m[2] or m[4]
             if close:
                 if places := opened.get(close.lower()):
@@ -184,7 +199,7 @@ class Page:
                     target = value
                 elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
                     hidden = True
-        own, header = CLEAN, tag == "header"
+        own, header, section, authors = CLEAN, tag == "header", False, False
         if hidden or tag in NEVER_TAGS:
             own = GONE
         elif tag in ASIDE_TAGS or role in ASIDE_ROLES:
@@ -194,12 +209,18 @@ class Page:
             for token in classes.split():
                 words = {x.lower() for x in _NAME.findall(token)}
                 header = header or "header" in words
+                authors = authors or bool(words & AUTHOR_NAMES)
                 if all(x in NOISE_NAMES or x in WEAK_NAMES or x in OTHERS_NAMES or x in PLAIN_NAMES or x.isdigit() for x in words):
-                    own = max(own, ASIDE if words & OTHERS_NAMES else NAMED if words & NOISE_NAMES else WEAK if words & WEAK_NAMES else CLEAN)
+                    why = ASIDE if words & OTHERS_NAMES else NAMED if words & NOISE_NAMES else WEAK if words & WEAK_NAMES else CLEAN
+                    # A class that is noise beyond doubt outweighs one that may be a section's.
+                    section = why > WEAK and (section or own <= WEAK) and (words & (NOISE_NAMES | OTHERS_NAMES)) <= SECTION_NAMES or section and why <= WEAK
+                    own = max(own, why)
         style = f"{tag}.{_DIGITS.sub('0', classes).strip()}" if classes else tag
         if role == "main":
             tag = "main"
         node = Node(tag, style, parent, own, target)
+        node.named_section = section and tag in ("section", "div")
+        node.authors = int(authors)
         if header and own < NAMED and not node.in_article:  # a header outside of the article is the site's
             node.own = NAMED
             node.worst = max(node.worst, NAMED)
@@ -221,6 +242,9 @@ class Page:
         for x in reversed(self.nodes[1:]):
             up = x.parent
             up.mass, up.links, up.prose = up.mass + x.mass, up.links + x.links, up.prose + x.prose
+            up.heads += x.heads + (x.tag in HEADINGS)
+            up.authors += x.authors
+            up.others += x.others + (x.tag in ("article", "form") or x.own == ASIDE)
 
     def _clear(self, holders: list[Node]) -> None:
         """Lift the noise of ``holders`` and of what they lie in."""
@@ -312,6 +336,8 @@ class Page:
                 x.noise = x.noise or x.own == GONE
                 continue
             most = x.in_main and 2 * x.mass >= mass
+            if x.in_main and not whole and x.is_told():
+                continue
             if x.own >= ASIDE or x.own == NAMED and not (most and x.prose and not whole):
                 x.noise = True
             elif x.own == WEAK and (whole or not x.in_main or 2 * x.links >= x.mass and not (most and x.prose)):
