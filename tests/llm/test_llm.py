@@ -316,13 +316,46 @@ def test_warc_index_blocks(spark, monkeypatch):
     some = pages(spark, [(0, rows[k][1], "") for k in (0, 49, 130)] + [(0, "http://nowhere.org/", "")])
     want = sorted(r[0] for r in rows if r[1] in {rows[k][1] for k in (0, 49, 130)})
     assert sorted(r.page_id for r in index.read(some).collect()) == want
-    for name in ("DIRECTORY_LIMIT", "BROADCAST_RANGES"):  # the ways beyond the limits
-        monkeypatch.setattr(warc, name, 0)
-        assert sorted(r.page_id for r in index.read(some).collect()) == want
+    monkeypatch.setattr(warc, "DIRECTORY_LIMIT", 0)  # the way beyond the limit
+    assert sorted(r.page_id for r in index.read(some).collect()) == want
     monkeypatch.setattr(warc.CaptureIndex, "blocks", lambda self: spark.read.schema(warc.BLOCK).parquet(f"{self.path}/blocks").limit(0))
     assert index.read(some).count() == 0  # nothing is read past the index
 
 
+def test_warc_reads_what_is_asked_for(spark, tmp_path, monkeypatch):
+    """Of 4,000 pages in a few archives, the bytes that a read of some URLs takes, counted at the file."""
+    rng = random.Random(5)
+    rows = [(k, f"http://h{k % 50}.org/{k}", f"<p>{k}</p>" + "x" * rng.randrange(2000, 6000)) for k in range(4000)]
+    index = warc.archive_pages(pages(spark, rows).coalesce(2), f"file://{tmp_path}/warc")
+    total = sum(f.stat().st_size for f in tmp_path.rglob("part-*"))
+    found = index.find(pages(spark, rows[::100])).collect()
+    assert sorted(r.page_id for r in found) == [r[0] for r in rows[::100]]
+    took, got = 0, []
+
+    class Counted:
+        def __init__(self, path):
+            self.file = open(path.removeprefix("file:"), "rb")
+
+        def seek(self, at):
+            self.file.seek(at)
+
+        def read(self, n):
+            nonlocal took
+            took += n
+            return self.file.read(n)
+
+    for archive in {r.archive for r in found}:
+        ranges = sorted((r.offset, r.length) for r in found if r.archive == archive)
+        got += [warc.capture(archive, record, at) for at, record in warc.records(Counted(archive), ranges)]
+    assert len(got) == 40 and all(x[-1] for x in got)
+    assert took < 1.01 * sum(r.length for r in found) < total / 80
+    monkeypatch.setattr(warc, "GAP_BYTES", 10)
+    assert [x[:2] for x in warc.spans([(0, 5), (5, 5), (30, 5), (32, 9)])] == [(0, 10), (30, 41)]
+    monkeypatch.setattr(warc, "SPAN_BYTES", 12)
+    assert [x[:2] for x in warc.spans([(0, 5), (5, 9), (14, 100), (114, 1)])] == [(0, 5), (5, 14), (14, 114), (114, 115)]
+    assert list(warc.spans([])) == []
+
+
 def test_warc_archives_are_bounded_by_bytes(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(warc, "ARCHIVE_BYTES", 40_000)
     monkeypatch.setattr(warc, "CLASS_BYTES", (2_000, 8_000, 20_000))

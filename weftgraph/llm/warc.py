@@ -10,8 +10,8 @@ Index. One sequential scan of the archives gives the captures. First level: capt
 URL key in compressed blocks of ``BLOCK_LINES`` lines. Second level: a sparse directory, one line a block.
 
 Reading. Keys find their blocks by binary search in the directory, their captures by binary search in the
-unpacked block, and the records are cut out of their archives by their ranges of bytes, with all ranges of an
-archive at once. The directory is sent to the executors up to ``DIRECTORY_LIMIT`` lines and ``DIRECTORY_BYTES``;
+unpacked block. Captures are grouped by archive; a task opens its archive, seeks, and reads the wanted ranges, near
+ones together (through Arrow's file systems). The directory is sent to the executors up to ``DIRECTORY_LIMIT`` lines and ``DIRECTORY_BYTES``;
 beyond, blocks are unpacked and joined by key. Only what the index leads to is read.
 
 Rows: null html counts as empty, a null url is written as ``urn:none:``; ids may be null, and rows that
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import arrow_map, new_path, stage
+from weftgraph.llm.common import MOST_TASKS, arrow_map, filesystem_of, new_path, stage
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
@@ -41,7 +41,7 @@ CLASS_BYTES = (64 << 10, 1 << 20, 16 << 20)  # a record's largest size in each c
 HEAD_BYTES = 1024  # of a record without its url and payload, at most
 BLOCK_LINES = 1000
 DIRECTORY_LIMIT, DIRECTORY_BYTES = 200_000, 64 << 20  # of the directory that may be held in memory
-BROADCAST_RANGES = 500_000  # captures, of 16 bytes each, that may be broadcast to the archives; beyond, archives are shuffled to them
+GAP_BYTES, SPAN_BYTES = 64 << 10, 8 << 20  # records so near to each other are read at once, up to so many bytes
 BROADCAST_GROUPS = 100_000  # groups of copies, of some 70 bytes each, that may be broadcast; beyond, pages are shuffled to them
 WARC_DATE = "2000-01-01T00:00:00Z"  # pages carry no time of their own
 
@@ -173,26 +173,64 @@ def scan_archives(spark: SparkSession, path: str) -> DataFrame:
     return arrow_map(_archives(spark, path), run, LINE)
 
 
+def spans(ranges: list[tuple[int, int]]) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """(start, end, ranges) of one read each: sorted ranges (offset, length) that lie within ``GAP_BYTES`` of each other, up to ``SPAN_BYTES`` or one range."""
+    held: list[tuple[int, int]] = []
+    for offset, length in ranges:
+        if held and (offset - sum(held[-1]) > GAP_BYTES or offset + length - held[0][0] > SPAN_BYTES):
+            yield held[0][0], max(map(sum, held)), held
+            held = []
+        held.append((offset, length))
+    if held:
+        yield held[0][0], max(map(sum, held)), held
+
+
+def records(handle: pa.NativeFile, ranges: list[tuple[int, int]]) -> Iterator[tuple[int, bytes]]:
+    """(offset, record) of the sorted ranges of an open archive: seeks, and reads what is asked for."""
+    for start, end, held in spans(ranges):
+        handle.seek(start)
+        data = handle.read(end - start)
+        for offset, length in held:
+            yield offset, data[offset - start : offset - start + length]
+
+
 def read_ranges(spark: SparkSession, path: str, captures: DataFrame) -> DataFrame:
-    """The records under ``path`` at the captures' ranges, as rows of CAPTURE."""
+    """The records at the captures' ranges, as rows of CAPTURE.
+
+    What is shuffled are ranges, 24 bytes and a path each: those of an archive meet in one task, which opens it and reads
+    them in their order. An archive is bounded, so a task's work is.
+    """
     captures = stage(captures.select("archive", "offset", "length").distinct(), "captures")
-    small = captures.count() <= BROADCAST_RANGES
-    ranges = captures.groupBy("archive").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("ranges"))  # an archive's size bounds their number
-    rows = _archives(spark, path).join(F.broadcast(ranges) if small else ranges, "archive")
+    archives = captures.select("archive").distinct().count()
+    # As many partitions as archives: the few bytes of a range stand for a record.
+    rows = captures.repartition(max(1, min(archives, MOST_TASKS)), "archive").sortWithinPartitions("archive", "offset", "length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of_archive(name: str, ranges: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+            fs, at = filesystem_of(name)
+            with fs.open_input_file(at) as handle:
+                found = []
+                for offset, record in records(handle, ranges):
+                    found.append(capture(name, record, offset))
+                    if len(found) == BLOCK_LINES:
+                        yield _batch(found, _CAPTURE)
+                        found = []
+                if found:
+                    yield _batch(found, _CAPTURE)
+
+        held: list[tuple[int, int]] = []
+        name = None
         for b in batches:
-            for archive, content, ranges in zip(*b.columns, strict=True):
-                name, data, rows = archive.as_py(), memoryview(content.as_buffer()), []
-                for x in ranges.as_py():
-                    rows.append(capture(name, bytes(data[x["offset"] : x["offset"] + x["length"]]), x["offset"]))
-                    if len(rows) == BLOCK_LINES:
-                        yield _batch(rows, _CAPTURE)
-                        rows = []
-                if rows:
-                    yield _batch(rows, _CAPTURE)
-
-    return arrow_map(rows.select("archive", "content", "ranges"), run, CAPTURE)
+            for archive, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if archive != name and held:
+                    yield from of_archive(name, held)
+                    held = []
+                name = archive
+                held.append((offset, length))
+        if held:
+            yield from of_archive(name, held)
+
+    return arrow_map(rows, run, CAPTURE)
 
 
 BLOCK = "block bigint, first_key string, last_key string, lines int, data binary"
