@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import routes
 from weftgraph.functions.predicates import decoded, simple_name
 from weftgraph.graph import PropertyGraph
-from weftgraph.operators import resolve
+from weftgraph.operators import resolve, types
 from weftgraph.operators.derive import http_edges
 from weftgraph.operators.imports import Aliases, import_edges, packages, resolved, visible_constants, with_constants
 from weftgraph.plans.staging import staged
@@ -209,7 +209,9 @@ def source_graph(staging: DataFrame, repo: str, language: str, aliases: Aliases
     edges, external = base_types(g, staging.where("what = 'base'").select("file_path", "full_name", "target", "col"), imported, language, root)
     edges = staged(edges, "base-edges")
     refs = type_references(g, staging.where("what = 'type_ref'").select("full_name", "target", "kind", "file_path", "line", "col"), None, imported, language, root)
-    found = resolve.call_candidates(g.with_edges(edges), staging, imported, language, root)
+    typed = g.with_edges(edges)
+    inferred = types.receiver_types(typed, staging, imported, language, root)
+    found = resolve.call_candidates(typed, staging, imported, language, root, inferred)
     if definitions is not None:
         found = found.unionByName(definitions.select("caller", "line", "col", F.lit(resolve.DEFINED).alias("priority"), "callee"))
     settled = staged(resolve.by_ladder(found), "settled-calls")

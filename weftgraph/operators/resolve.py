@@ -17,7 +17,7 @@ from weftgraph.plans.staging import staged
 from weftgraph.schema import edge_columns, node_columns, node_id
 
 EXACT, IMPORTED, SCOPE, SAME_FILE, PACKAGE, UNIQUE = range(6)  # ranks of a type's name
-DEFINED, OWN, TYPED, ASSIGNED, STATIC, NEAR, FROM_IMPORT, ONLY = range(8)  # ranks of a call
+DEFINED, OWN, INFERRED, TYPED, ASSIGNED, STATIC, NEAR, FROM_IMPORT, ONLY = range(9)  # ranks of a call
 SELVES = ("self", "this", "cls", "base", "super", "super()")
 LEAST_RANK_STEP = 1000  # ranks of one kind are told apart by distance below this
 
@@ -98,15 +98,16 @@ def ancestors(g: PropertyGraph) -> DataFrame:
     return own.unionByName(above.where("type <> ancestor"))
 
 
-def call_candidates(g: PropertyGraph, staging: DataFrame, imported: DataFrame, language: str, root: str) -> DataFrame:
+def call_candidates(g: PropertyGraph, staging: DataFrame, imported: DataFrame, language: str, root: str, inferred: DataFrame | None = None) -> DataFrame:
     """(caller, line, col, priority, callee) of call rows: every method that a call could mean, the likeliest with the lowest priority.
 
-    ``g`` needs its base types: a receiver's method may be inherited.
+    ``g`` needs its base types: a receiver's method may be inherited. ``inferred`` (file_path, caller, chain, type): what
+    types.receiver_types() says of receivers.
     """
-    site = ["file_path", "caller", "line", "col", "name"]
+    site = ["file_path", "caller", "line", "col", "name", "args"]
     receiver = F.regexp_replace(F.substr("target", F.lit(1), F.greatest(F.lit(0), F.length("target") - F.length("name") - 1)), r"^(self|this)\.", "")
     rows = staging.where("what = 'call' AND name IS NOT NULL").withColumn("target", F.coalesce("target", "name"))
-    rows = staged(rows.select("file_path", F.col("full_name").alias("caller"), "line", "col", "name", receiver.alias("receiver"), F.col("target").rlike(r"^(self|this)\.").alias("held")), "call-sites")
+    rows = staged(rows.select("file_path", F.col("full_name").alias("caller"), "line", "col", "name", "args", receiver.alias("receiver"), F.col("target").rlike(r"^(self|this)\.").alias("held")), "call-sites")
     types = types_of(g).select(F.col("full").alias("owner"), F.col("dst").alias("type"))
 
     # The type around each caller: the longest of the caller's prefixes that is one.
@@ -130,6 +131,10 @@ def call_candidates(g: PropertyGraph, staging: DataFrame, imported: DataFrame, l
     on_types = on_types.unionByName(heirs.drop("type").join(kept, ["owner", "receiver"]).select(*site, "rank", "type"))
     static = rows.where("receiver <> '' AND NOT held").join(named.select("file_path", F.col("full_name").alias("caller"), F.col("target").alias("receiver"), F.col("dst").alias("type")), ["file_path", "caller", "receiver"])
     on_types = on_types.unionByName(static.select(*site, F.lit(STATIC).alias("rank"), "type")).distinct()
+    if inferred is not None:
+        chain = F.when(F.col("held") & (F.col("receiver") != ""), F.concat(F.lit("this."), "receiver")).otherwise(F.regexp_replace("receiver", r"^cls\b", "this"))
+        told = rows.where("receiver <> ''").withColumn("chain", chain).join(inferred, ["file_path", "caller", "chain"])
+        on_types = on_types.unionByName(told.where(~F.col("receiver").isin(*SELVES)).select(*site, F.lit(INFERRED).alias("rank"), "type"))
     wanted = on_types.join(up, "type").join(types.select(F.col("type").alias("ancestor"), "owner"), "ancestor").select(*site, (F.col("rank") * LEAST_RANK_STEP + F.col("depth")).alias("priority"), F.concat("owner", F.lit("."), "name").alias("wanted"))
 
     free = rows.where("receiver = '' AND NOT held")
@@ -144,19 +149,26 @@ def call_candidates(g: PropertyGraph, staging: DataFrame, imported: DataFrame, l
     wanted = wanted.unionByName(lead.select(*site, F.lit(FROM_IMPORT * LEAST_RANK_STEP).alias("priority"), F.concat("stands", F.substr("chain", F.length("p") + 1)).alias("wanted")))
 
     wanted = staged(wanted.distinct(), "wanted-methods")
-    found = wanted.join(overloads(g, wanted.select("wanted").distinct()), "wanted").select(*site, "priority", F.col("node_id").alias("callee"))
+    meant = overloads(g, wanted.select("wanted", "args").distinct()).withColumnsRenamed({"wanted": "_wanted", "args": "_args"})
+    found = wanted.join(meant, (F.col("wanted") == F.col("_wanted")) & F.col("args").eqNullSafe(F.col("_args"))).select(*site, "priority", F.col("node_id").alias("callee"))
     single = g.label("Method").groupBy(bare(F.col("name")).alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("callee")).where("n = 1")
     found = found.unionByName(rows.join(single, "name").select(*site, F.lit(ONLY * LEAST_RANK_STEP).alias("priority"), "callee"))
     return found.select("caller", "line", "col", "priority", "callee")
 
 
 def overloads(g: PropertyGraph, names: DataFrame) -> DataFrame:
-    """(wanted, node_id): methods called exactly ``wanted`` or, if only one such exists, 'wanted(...)'."""
-    m = g.label("Method").select("node_id", F.regexp_replace("full_name", r"\(.*$", "").alias("wanted"), "full_name")
+    """(wanted, node_id) of ``names`` (wanted, and args where a call says how many): methods called exactly ``wanted``, or the only one
+    called 'wanted(...)', or the only one of these that takes so many."""
+    by_args = "args" in names.columns
+    names = names if by_args else names.withColumn("args", F.lit(None).cast("int"))
+    listed = F.regexp_extract("full_name", r"\((.*)\)$", 1)
+    m = g.label("Method").select("node_id", F.regexp_replace("full_name", r"\(.*$", "").alias("wanted"), "full_name", F.when(listed == "", 0).otherwise(F.size(F.split(listed, ","))).alias("takes"))
     rows = names.join(m, "wanted")
     exact = F.max(F.when(F.col("full_name") == F.col("wanted"), F.col("node_id")))
-    by = rows.groupBy("wanted").agg(exact.alias("exact"), F.count(F.lit(1)).alias("n"), F.min("node_id").alias("only"))
-    return by.select("wanted", F.coalesce("exact", F.when(F.col("n") == 1, F.col("only"))).alias("node_id")).where("node_id IS NOT NULL")
+    fits = F.when(F.col("takes") == F.col("args"), F.col("node_id"))
+    by = rows.groupBy("wanted", "args").agg(exact.alias("exact"), F.count(F.lit(1)).alias("n"), F.min("node_id").alias("only"), F.count(fits).alias("fit"), F.min(fits).alias("fitting"))
+    chosen = F.coalesce("exact", F.when(F.col("n") == 1, F.col("only")), F.when(F.col("fit") == 1, F.col("fitting")))
+    return by.select("wanted", *(["args"] if by_args else []), chosen.alias("node_id")).where("node_id IS NOT NULL")
 
 
 def by_ladder(candidates: DataFrame) -> DataFrame:

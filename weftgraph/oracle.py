@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # Fixed values, written out here once more so that this side takes nothing from the code it checks.
 TEST = (
     r"(?:.*[/\\][A-Za-z0-9.]*[Tt]ests?[/\\].*|.*[/\\]__tests__[/\\].*|.*[/\\]test-[A-Za-z0-9_-]+[/\\].*"
@@ -126,6 +128,9 @@ ovr AS MATERIALIZED (SELECT DISTINCT cm.method AS src, pm.method AS dst FROM inh
 tst AS MATERIALIZED (SELECT 'Method:' || caller AS src, 'Method:' || callee AS dst FROM calls JOIN n a ON a.id = 'Method:' || caller JOIN n b ON b.id = 'Method:' || callee
   WHERE {test('a.file_path')} AND NOT {test('b.file_path')} AND CASE a.language WHEN 'python' THEN starts_with(a.name, 'test_') WHEN 'typescript' THEN true
     WHEN 'csharp' THEN {attribute('a.attributes', ('Fact', 'Theory', 'TestMethod', 'DataTestMethod', 'Test', 'TestCase'))} WHEN 'java' THEN {attribute('a.attributes', ('test',))} ELSE false END),
+typed AS MATERIALIZED (
+  SELECT DISTINCT 'Method:' || method AS src, 'Class:' || other_class AS dst, 'REFERENCES' AS type, ['parameter', 'return_type', 'property_type', 'field_type'][p_size % 4 + 1] AS kind FROM refs
+  UNION ALL SELECT 'Field:' || class_name || '.f' || k, 'Interface:api.' || p_type, 'REFERENCES', 'field_type' FROM p WHERE k % 10 = 0),
 e AS MATERIALIZED (
   SELECT src, dst, 'CONTAINS' AS type, NULL::VARCHAR AS kind, 0 AS n_sites FROM con
   UNION ALL SELECT src, dst, 'INHERITS', NULL, 0 FROM inh
@@ -135,15 +140,30 @@ e AS MATERIALIZED (
   UNION ALL SELECT src, dst, 'OVERRIDES', NULL, 0 FROM ovr
   UNION ALL SELECT src, dst, 'TESTS', NULL, 0 FROM tst
   UNION ALL SELECT 'Method:' || caller, 'Method:' || callee, 'CALLS', NULL, len(sites) FROM calls
-  UNION ALL SELECT DISTINCT 'Method:' || method, 'Class:' || other_class, 'REFERENCES', ['parameter', 'return_type', 'property_type', 'field_type'][p_size % 4 + 1], 0 FROM refs
-  UNION ALL SELECT 'Field:' || class_name || '.f' || k, 'Interface:api.' || p_type, 'REFERENCES', 'field_type', 0 FROM p WHERE k % 10 = 0
+  UNION ALL SELECT src, dst, type, kind, 0 FROM typed
   UNION ALL SELECT DISTINCT 'File:' || path, 'Package:' || other_brand, 'IMPORTS', NULL, 0 FROM refs
   UNION ALL SELECT 'Method:' || handler, 'Endpoint:' || http_method || ' ' || route, 'SERVES', NULL, 0 FROM (SELECT http_method, route, arg_min(handler, def_ord) AS handler FROM defs GROUP BY ALL)
   UNION ALL SELECT 'Method:' || caller, 'Endpoint:' || http_method || ' ' || ep_route, 'HTTP_CALLS', NULL, count(*) FROM matched GROUP BY ALL),
-call AS MATERIALIZED (SELECT src, dst FROM e WHERE type = 'CALLS'),
+call AS MATERIALIZED (SELECT 'Method:' || caller AS src, 'Method:' || callee AS dst FROM calls),
 tgt AS (SELECT dst AS id, substr(dst, 8) AS fn FROM call GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1),
 sta AS (SELECT src AS id, substr(src, 8) AS fn FROM call GROUP BY src ORDER BY count(*) DESC, src LIMIT 1),
 cls AS (SELECT 'Class:' || regexp_replace(fn, '\\.[^.]+$', '') AS id, regexp_replace(fn, '\\.[^.]+$', '') AS fn FROM tgt),
 ifc AS (SELECT 'Interface:api.' || split_part(fn, '.', 2) AS id, 'api.' || split_part(fn, '.', 2) AS fn FROM cls),
 goal AS (SELECT id FROM tgt UNION SELECT dst FROM e JOIN tgt ON e.src = tgt.id WHERE type = 'IMPLEMENTS')
 """
+
+
+_HEADS = re.compile(r"^(\w+)(?:\([^)]*\))? AS (?:MATERIALIZED )?\(", re.MULTILINE)
+
+
+def over_graph(sql: str) -> str:
+    """``sql`` behind those tables of GRAPH that it uses, by itself or through others."""
+    heads = list(_HEADS.finditer(GRAPH))
+    ends = [m.start() for m in heads[1:]] + [len(GRAPH)]
+    tables = {m[1]: GRAPH[m.start() : end].strip().removesuffix(",") for m, end in zip(heads, ends, strict=True)}
+    words = lambda text: set(re.findall(r"\w+", re.sub(r"'(?:[^']|'')*'", "", text)))
+    wanted, new = set(), words(sql) & set(tables)
+    while new:
+        wanted |= new
+        new = {w for name in new for w in words(tables[name])} & set(tables) - wanted
+    return "WITH RECURSIVE\n" + ",\n".join(x for name, x in tables.items() if name in wanted) + "\n" + sql

@@ -12,7 +12,7 @@ from weftgraph.functions import predicates as P
 from weftgraph.functions import routes, texts
 from weftgraph.graph import PropertyGraph, require_read_only
 from weftgraph.operators import audit, build, derive, dml, impact, imports, lookup, reports, resolve, sync, traversal
-from weftgraph.oracle import ATTRIBUTES_OF_FRAMEWORKS, CLASSES_OF_ENTITIES, CLASSES_OF_FRAMEWORKS, GRAPH, METHODS_OF_FRAMEWORKS, REPOSITORY_METHODS, attribute, levels, test, vendored
+from weftgraph.oracle import ATTRIBUTES_OF_FRAMEWORKS, CLASSES_OF_ENTITIES, CLASSES_OF_FRAMEWORKS, METHODS_OF_FRAMEWORKS, REPOSITORY_METHODS, attribute, levels, over_graph, test, vendored
 from weftgraph.plans.expand import trails
 from weftgraph.schema import EDGE_FIELDS, edge_columns, node_id
 from weftgraph.sources import brace_source, files, python_source, star
@@ -58,11 +58,11 @@ def _register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str
 
 
 def on_graph(name: str, run: Callable[[PropertyGraph, Symbols], DataFrame], sql: str | None = None) -> None:
-    _register(name, lambda spark, sf_dir: run(star.star_graph(spark, sf_dir), symbols(spark, sf_dir)), None if sql is None else GRAPH + sql)
+    _register(name, lambda spark, sf_dir: run(star.star_graph(spark, sf_dir), symbols(spark, sf_dir)), None if sql is None else over_graph(sql))
 
 
 def on_tables(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None, graph: bool = False) -> None:
-    _register(name, run, None if sql is None else (GRAPH if graph else "") + sql)
+    _register(name, run, None if sql is None else over_graph(sql) if graph else sql)
 
 
 # The graph itself
@@ -106,7 +106,7 @@ on_graph("constructor", lambda g, s: lookup.constructor(g), "SELECT o.full_name
 on_graph("implemented_interfaces", lambda g, s: lookup.implemented_interfaces(g), "SELECT a.full_name AS of, b.full_name, b.name FROM impl JOIN n a ON a.id = impl.src JOIN n b ON b.id = impl.dst AND b.label = 'Interface'")
 on_graph("type_references", lambda g, s: lookup.type_references(g), "SELECT b.full_name AS of, a.full_name, kind AS ref_kind, a.file_path, a.line FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE type = 'REFERENCES'")
 on_graph("type_references_kind", lambda g, s: lookup.type_references(g, s.cls, "parameter"),
-         "SELECT b.full_name AS of, a.full_name, kind AS ref_kind, a.file_path, a.line FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst JOIN cls ON cls.id = dst WHERE type = 'REFERENCES' AND kind = 'parameter'")
+         "SELECT b.full_name AS of, a.full_name, kind AS ref_kind, a.file_path, a.line FROM typed JOIN n a ON a.id = src JOIN n b ON b.id = dst JOIN cls ON cls.id = dst WHERE type = 'REFERENCES' AND kind = 'parameter'")
 on_graph("field_dependencies", lambda g, s: lookup.field_dependencies(g),
          "SELECT o.full_name AS of, x.full_name, x.name, x.type_name, CASE WHEN x.attributes LIKE '[%' THEN 'autowired,lazy' ELSE '' END AS annotations FROM con JOIN n o ON o.id = con.src JOIN n x ON x.id = con.dst AND x.label = 'Field' WHERE x.type_name <> ''")
 on_graph("called_members", lambda g, s: lookup.called_members(g, s.caller, s.cls), "SELECT DISTINCT x.full_name, x.name FROM con JOIN cls ON con.src = cls.id JOIN call ON call.dst = con.dst JOIN n x ON x.id = con.dst WHERE call.src = (SELECT min(src) FROM call JOIN tgt ON dst = id)")
@@ -205,7 +205,7 @@ on_graph("change_impact_totals", lambda g, s: impact.impact_totals(impact.change
          BACK + "SELECT count(DISTINCT full_name) FILTER (role = 'direct') AS n_direct, count(DISTINCT full_name) FILTER (role = 'transitive') AS n_transitive, count(DISTINCT full_name) FILTER (role = 'test') AS n_test, count(DISTINCT full_name) FILTER (role = 'callee') AS n_callee, count(DISTINCT full_name) FILTER (role <> 'callee') AS n_affected FROM imp")
 on_graph("test_coverage", lambda g, s: impact.test_coverage(g, s.target), BACK + "SELECT full_name, file_path FROM imp WHERE role = 'test'")
 on_graph("type_impact", lambda g, s: impact.type_impact(g, s.cls),
-         f"SELECT x.full_name, x.file_path, kind AS ref_kind, CASE WHEN {test('x.file_path')} THEN 'test' ELSE 'prod' END AS context FROM e JOIN n x ON x.id = src WHERE type = 'REFERENCES' AND dst IN (SELECT id FROM cls UNION SELECT dst FROM impl JOIN cls ON src = id) AND x.full_name IS NOT NULL")
+         f"SELECT x.full_name, x.file_path, kind AS ref_kind, CASE WHEN {test('x.file_path')} THEN 'test' ELSE 'prod' END AS context FROM typed JOIN n x ON x.id = src WHERE type = 'REFERENCES' AND dst IN (SELECT id FROM cls UNION SELECT dst FROM impl JOIN cls ON src = id) AND x.full_name IS NOT NULL")
 on_graph("layering_violations", lambda g, s: impact.layering_violations(g, "tests/", "PROMO"),
          "SELECT o.full_name AS controller, a.full_name AS method, b.full_name AS callee FROM call JOIN n b ON b.id = call.dst AND contains(b.full_name, 'PROMO') JOIN n a ON a.id = call.src JOIN con ON con.dst = a.id JOIN n o ON o.id = con.src AND o.label = 'Class' AND contains(o.file_path, 'tests/')")
 # Over calls with two places or more: over all calls, every class is reached.
@@ -506,6 +506,50 @@ on_tables("route_parameters", lambda spark, d: spark.read.parquet(f"{d}/pages.pa
           "SELECT page_id, '/u/{id}/' || page_id || '/{name}' AS flask, '/u/{id}/' || page_id AS express FROM pages")
 
 
+# Calls on locals, parameters, results and fields: five forms of a file, so that neighbouring parts differ
+def _varied(spark: SparkSession, sf_dir: str, extension: str, shared: str, forms: tuple[str, ...]) -> DataFrame:
+    """(path, text) as _written(), with the part's own of several forms behind what all share."""
+    texts = _written(spark, sf_dir, extension, shared)
+    form = F.element_at(F.array(*map(F.lit, forms)), (F.regexp_extract("path", r"/f(\d+)\.", 1).cast("int") % len(forms)) + 1)
+    return texts.select("path", F.concat("text", form).alias("text"))
+
+
+JAVA_SHARED = "package {b}.n{k};\nclass Repo { void save(int n) { } Repo next() { return this; } }\nclass Other { void save(int n) { } }\nclass Util { static void help() { } static void help(int n) { } }\n"
+JAVA_FORMS = (
+    "class S { Repo mk() { return new Repo(); } void go() { Repo r = new Repo(); r.save(1); } }",
+    "class S { Repo mk() { return new Repo(); } void go(Repo q) { q.save(2); } }",
+    "class S { Repo mk() { return new Repo(); } void go() { var v = mk(); v.next().save(3); } }",
+    "class S { Repo mk() { return new Repo(); } void go() { for (Other o : all) { o.save(4); Util.help(); Util.help(1); } } }",
+    "class S { Repo mk() { return new Repo(); } void go() { var x = new Repo(); x = new Other(); x.save(5); } }",
+)
+PYTHON_SHARED = "class S:\n    def put(self, n): pass\n    def nxt(self) -> 'S': return self\nclass O:\n    def put(self, n): pass\ndef make():\n    x = S()\n    return x\n"
+PYTHON_FORMS = (
+    "def go():\n    s = S()\n    s.put(1)\n",
+    "def go(q: O):\n    q.put(2)\n",
+    "def go():\n    make().nxt().put(3)\n",
+    "class H:\n    def __init__(self, s: S):\n        self.s = s\n    def go(self):\n        t = self.s\n        t.put(4)\n",
+    "def go(f):\n    s = S()\n    if f:\n        s = O()\n    s.put(5)\n",
+)
+
+
+def _local_calls(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
+    java = language == "java"
+    texts = _varied(spark, sf_dir, ".java", JAVA_SHARED, JAVA_FORMS) if java else _varied(spark, sf_dir, ".py", PYTHON_SHARED, PYTHON_FORMS)
+    rows = (brace_source if java else python_source).staging(texts, "/r")
+    return build.source_graph(rows, "/r", language).edge("CALLS").select("src", "dst", F.size("call_sites").alias("sites"))
+
+
+on_tables("source_local_calls", lambda spark, d: _local_calls(spark, d, "java"),
+          """WITH p AS (SELECT replace(p_brand, '#', '') || '.n' || p_partkey || '.' AS n, p_partkey % 5 AS form FROM part),
+          x(form, a, b) AS (VALUES (0, 'S.go()', 'Repo.save(int)'), (1, 'S.go(Repo)', 'Repo.save(int)'), (2, 'S.go()', 'S.mk()'), (2, 'S.go()', 'Repo.next()'), (2, 'S.go()', 'Repo.save(int)'),
+            (3, 'S.go()', 'Other.save(int)'), (3, 'S.go()', 'Util.help()'), (3, 'S.go()', 'Util.help(int)'))
+          SELECT 'Method:' || n || a AS src, 'Method:' || n || b AS dst, 1 AS sites FROM p JOIN x USING (form)""")
+on_tables("source_python_local_calls", lambda spark, d: _local_calls(spark, d, "python"),
+          """WITH p AS (SELECT replace(p_brand, '#', '') || '.f' || p_partkey || '.' AS n, p_partkey % 5 AS form FROM part),
+          x(form, a, b) AS (VALUES (0, 'go', 'S.put'), (1, 'go', 'O.put'), (2, 'go', 'make'), (2, 'go', 'S.nxt'), (2, 'go', 'S.put'), (3, 'H.go', 'S.put'))
+          SELECT 'Method:' || n || a AS src, 'Method:' || n || b AS dst, 1 AS sites FROM p JOIN x USING (form)""")
+
+
 # What sources of many equal names mean: each part has a namespace of its own with the same simple names
 def _resolved(spark: SparkSession, sf_dir: str, language: str, extension: str, *lines: str) -> PropertyGraph:
     rows = _written(spark, sf_dir, extension, *lines)
@@ -557,7 +601,7 @@ IN_F = "WITH p AS (SELECT replace(p_brand, '#', '') || '.f' || p_partkey || '.'
 
 
 def _python_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = python_source.staging(_written(spark, sf_dir, ".py", *PYTHON), "/r").where("what NOT IN ('symbol', 'import', 'constant')")
+    rows = python_source.staging(_written(spark, sf_dir, ".py", *PYTHON), "/r").where("what NOT IN ('symbol', 'import', 'constant', 'binding')")
     return rows.select("what", "full_name", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("target", F.lit("")).alias("target"), F.coalesce("line", F.lit(-1)).alias("line"))
 
 

@@ -42,6 +42,8 @@ TYPE_WORDS = ("class", "interface", "enum", "record", "struct")
 MODIFIERS = ("public", "private", "protected", "internal", "static", "final", "abstract", "sealed", "partial", "async", "override", "virtual", "readonly", "const", "export", "default", "declare",
              "synchronized", "native", "transient", "volatile", "extern", "unsafe", "new", "required", "let", "var", "function", "get", "set", "ref", "out", "in", "params", "this")
 MARKUP_AFTER = ("(", "{", "}", ">", "=>", "?", ":", "&", "|", "=", ",", ";")  # signs after which '<' opens an element
+#: Words that begin a statement and are no type.
+STATEMENTS = frozenset("return throw new else case goto await yield package import using if for while switch do try catch finally break continue default assert instanceof typeof delete in of out ref this super base".split())
 NOT_CALLED = ("if", "for", "foreach", "while", "switch", "catch", "return", "using", "lock", "synchronized", "typeof", "sizeof", "nameof", "function", "super", "base", "this", "fixed", "await", "throw", "when", "default")
 
 SERVERS = ("app", "router", "server", "fastify")  # a receiver with such a name, or ending in it, registers routes
@@ -89,6 +91,7 @@ class _Reader:
         self.path, self.language, self.script, self.module = path, language, language == "typescript", module
         self.t, self.rows = tokens(text, language == "typescript"), []
         self.close, opened, waiting = [len(self.t)] * len(self.t), [], dict.fromkeys(")]}", 0)
+        self.open: dict[int, int] = {}
         for k, x in enumerate(self.t):
             if x.kind == "op" and x.text in PAIRS:
                 opened.append(k)
@@ -97,6 +100,7 @@ class _Reader:
                 while PAIRS[self.t[opened[-1]].text] != x.text:
                     waiting[PAIRS[self.t[opened.pop()].text]] -= 1
                 waiting[x.text] -= 1
+                self.open[k] = opened[-1]
                 self.close[opened.pop()] = k
         self.lines = text.count("\n") + 1
         self.constants = self._constants()
@@ -432,9 +436,16 @@ class _Reader:
             result = (first, flat[call - 1])
         self.add("symbol", full_name=full, name=name, kind="method", line=here.line, end_line=self.last_line(max(k, finish - 1)), col=here.col, parent=owner or None, attributes=names, signature=f"{name}({self.words(opened + 1, self.close[opened])})",
                  is_abstract="abstract" in head or (kind == "interface" and not body), is_static="static" in head or kind is None, is_classmethod=False, is_async="async" in head, type_name=self.words(*result))
-        for a, b in kinds:
+        for (a, b), (start, stop_at) in zip(kinds, self.args(opened), strict=True):
             self.types(full, a, b, "parameter")
+            _, start = self.marks(start, stop_at)
+            while self.script and self.name(start) in MODIFIERS and start < stop_at - 1:
+                start += 1
+            if b > a:
+                self.bind(full, self.name(start) if self.script else self.name(b), self.t[a], self.words(a, b))
         self.types(full, *result, "return_type")
+        if result[1] > result[0]:
+            self.bind(full, "()", here, self.words(*result))
         self.served(full, marks, routes, here)
         if body:
             self.body(stop + 1, self.close[stop] if self.op(stop) == "{" else finish, full)
@@ -514,6 +525,8 @@ class _Reader:
         """Calls, and HTTP routes that calls register or ask for."""
         for p in range(k, min(end, len(self.t))):
             x = self.t[p]
+            if x.kind == "name":
+                self.local(p, end, owner)
             if x.kind != "name" or x.text in NOT_CALLED:
                 continue
             opened = p + 1
@@ -532,9 +545,82 @@ class _Reader:
             chain, q = x.text, p - 1
             while self.op(q) in (".", "?.", "::") and self.name(q - 1):
                 chain, q = f"{self.name(q - 1)}.{chain}", q - 2
-            self.add("call", full_name=owner, name=x.text, target=chain, line=x.line, col=x.col)
+            self.add("call", full_name=owner, name=x.text, target=self.chain(p), line=x.line, col=x.col, args=len(self.args(opened)))
             self.http(p, opened, chain, owner)
 
+    def chain(self, p: int) -> str:
+        """The name at ``p`` with what it is called on: names, and calls without their arguments; '?' for all else."""
+        out, q = self.name(p), p - 1
+        while self.op(q) in (".", "?.", "::"):
+            call = self.op(q - 1) == ")" and q - 1 in self.open
+            at = self.open[q - 1] - 1 if call else q - 1
+            if not self.name(at):
+                return f"?.{out}"
+            out, q = f"{self.name(at)}{'()' * call}.{out}", at - 1
+        return f"new {out}" if self.name(q) == "new" and "." in out else out
+
+    def made(self, k: int, end: int) -> str:
+        """The value that starts at ``k`` as a chain, or '' where it is none: 'new T(...)' is 'new T()'."""
+        new = self.name(k) == "new"
+        k += new or self.name(k) == "await"
+        out = ""
+        while self.name(k) and k < end:
+            out += self.name(k)
+            k += 1
+            if self.op(k) == "<" and new:  # type arguments
+                depth = 0
+                while k < end and (self.name(k) or self.op(k) in tuple("<>.,?[]")):
+                    depth += (self.op(k) == "<") - (self.op(k) == ">")
+                    k += 1
+                    if not depth:
+                        break
+            if self.op(k) == "(":
+                out, k = out + "()", self.close[k] + 1
+            if self.op(k) not in (".", "?."):
+                break
+            out, k = out + ".", k + 1
+        if not out or out.endswith(".") or not (k >= end or self.op(k) in (";", ",", ")", "}") or self.script and self.t[k].line > self.t[k - 1].line):
+            return ""
+        return f"new {out}" if new else out
+
+    def bind(self, owner: str, name: str, x: Token, of_type: str = "", value: str = "") -> None:
+        """What a name may stand for in a method: the type that it is declared with, or the value that it is given."""
+        for kind, target in (("type", of_type), ("value", value)):
+            if name and target and target not in ("var", "let", "const", "void"):
+                self.add("binding", full_name=owner, name=name, kind=kind, target=target, line=x.line, col=x.col)
+
+    def local(self, p: int, end: int, owner: str) -> None:
+        """A local that is declared or given a value at ``p``, and what a method of a script returns."""
+        x, before = self.t[p], p - 1
+        starts = self.op(before) in ("{", "}", ";", "(", ")", "=>", ":") or before < 0 or self.script and self.t[before].line < x.line
+        if x.text == "return":
+            if self.script and (value := self.made(p + 1, end)):
+                self.bind(owner, "()", x, value=value)
+        elif self.script and self.name(before) in ("const", "let", "var"):
+            typed = self.op(p + 1) == ":"
+            stop = p + 1
+            while typed and stop < end and self.op(stop) not in ("=", ";", ")"):
+                stop = self.close[stop] + 1 if self.op(stop) in PAIRS else stop + 1
+            self.bind(owner, x.text, x, self.words(p + 2, stop) if typed else "", self.made(stop + 1, end) if self.op(stop) == "=" else "")
+        elif (starts or self.name(before) == "final") and x.text not in STATEMENTS:
+            q = p + 1
+            while self.op(q) == "." and self.name(q + 1):
+                q += 2
+            if self.op(q) == "<":
+                depth, r = 0, q
+                while r < end and (self.name(r) or self.op(r) in tuple("<>.,?[]")):
+                    depth += (self.op(r) == "<") - (self.op(r) == ">")
+                    r += 1
+                    if not depth:
+                        break
+                q = q if depth else r
+            while self.op(q) == "[" and self.op(q + 1) == "]":
+                q += 2
+            if not self.script and self.name(q) and self.name(q) not in STATEMENTS and self.op(q + 1) in ("=", ";", ":", ",", ")"):
+                self.bind(owner, self.name(q), x, self.words(p, q), self.made(q + 2, end) if self.op(q + 1) == "=" else "")
+            elif q == p + 1 and self.op(q) == "=":
+                self.bind(owner, x.text, x, value=self.made(q + 1, end))
+
     def http(self, p: int, opened: int, chain: str, owner: str) -> None:
         args = self.args(opened)
         if not args:

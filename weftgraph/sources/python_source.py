@@ -18,7 +18,7 @@ from weftgraph.plans.shipping import arrow_map
 #: Columns of every staging row; ``what`` tells the tables apart.
 STAGING = (
     "what string, file_path string, full_name string, name string, kind string, line int, end_line int, col int, signature string, parent string, "
-    "target string, attributes string, is_abstract boolean, is_static boolean, is_classmethod boolean, is_async boolean, type_name string"
+    "target string, attributes string, is_abstract boolean, is_static boolean, is_classmethod boolean, is_async boolean, type_name string, args int"
 )
 FIELDS = [x.strip().split(" ") for x in STAGING.split(",")]
 _SCHEMA = pa.schema([(n, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[t]) for n, t in FIELDS])
@@ -54,6 +54,34 @@ def _decorator(node: ast.expr) -> str:
     return _text(node.func if isinstance(node, ast.Call) else node).rsplit(".", 1)[-1].lower()
 
 
+def chain(node: ast.expr) -> str:
+    """What a receiver or value is made of: names, attributes and calls without arguments; '?' for all else."""
+    if isinstance(node, ast.Name):
+        return node.id
+    if isinstance(node, ast.Attribute):
+        return f"{chain(node.value)}.{node.attr}"
+    if isinstance(node, ast.Call):
+        return f"{chain(node.func)}()"
+    return chain(node.value) if isinstance(node, ast.Await | ast.NamedExpr) else "?"
+
+
+def named_types(node: ast.expr | None) -> list[str]:
+    """The types of an annotation: of unions and Optional each, of other type arguments none."""
+    if isinstance(node, ast.Constant) and isinstance(node.value, str):
+        try:
+            return named_types(ast.parse(node.value, mode="eval").body)
+        except SyntaxError:
+            return []
+    if isinstance(node, ast.BinOp):
+        return named_types(node.left) + named_types(node.right)
+    if isinstance(node, ast.Subscript):
+        if _text(node.value).rsplit(".", 1)[-1] in ("Optional", "Union", "Annotated", "Final"):
+            inner = node.slice.elts if isinstance(node.slice, ast.Tuple) else [node.slice]
+            return [t for x in inner for t in named_types(x)]
+        return named_types(node.value)
+    return [_text(node)] if isinstance(node, ast.Name | ast.Attribute) else []
+
+
 class _Visitor(ast.NodeVisitor):
     """Symbols, imports, bases, attributes, type references, calls, assignments and HTTP routes of one module."""
 
@@ -98,6 +126,9 @@ class _Visitor(ast.NodeVisitor):
         for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]:
             if a.annotation:
                 self._types(full, a.annotation, "parameter")
+                self._bind(full, a.arg, a, types=a.annotation)
+        for t in named_types(node.returns):
+            self.add("binding", full_name=full, name="()", kind="type", target=t, line=node.lineno, col=node.col_offset)
         if node.returns:
             self._types(full, node.returns, "return_type")
         for d in node.decorator_list:
@@ -130,16 +161,42 @@ class _Visitor(ast.NodeVisitor):
             if name and name[:1].isupper():
                 self.add("type_ref", full_name=owner, target=name, kind=kind, line=x.lineno, col=x.col_offset)
 
+    def _bind(self, owner: str, name: str, at: ast.AST, types: ast.expr | None = None, value: ast.expr | None = None) -> None:
+        """What a name may stand for in a function: the types that it is declared with, or the value that it is given."""
+        for t in named_types(types):
+            self.add("binding", full_name=owner, name=name, kind="type", target=t, line=at.lineno, col=at.col_offset)
+        if value is not None and "?" not in (made := chain(value)):
+            self.add("binding", full_name=owner, name=name, kind="value", target=made, line=at.lineno, col=at.col_offset)
+
+    def visit_Return(self, node: ast.Return) -> None:
+        if node.value is not None:
+            self._bind(self.owner, "()", node, value=node.value)
+        self.generic_visit(node)
+
+    def visit_With(self, node: ast.With | ast.AsyncWith) -> None:
+        for x in node.items:
+            if isinstance(x.optional_vars, ast.Name):
+                self._bind(self.owner, x.optional_vars.id, x.optional_vars, value=x.context_expr)
+        self.generic_visit(node)
+
+    visit_AsyncWith = visit_With
+
     def visit_AnnAssign(self, node: ast.AnnAssign) -> None:
         if self.scope[-1][1] == "class" and isinstance(node.target, ast.Name):
             full = f"{self.owner}.{node.target.id}"
             self.add("symbol", full_name=full, name=node.target.id, kind="field", line=node.lineno, end_line=node.end_lineno, col=node.col_offset, parent=self.owner, type_name=_text(node.annotation))
             self._types(full, node.annotation, "field_type")
+        elif isinstance(node.target, ast.Name):
+            self._bind(self.owner, node.target.id, node, node.annotation, node.value)
         self.generic_visit(node)
 
     def visit_Assign(self, node: ast.Assign) -> None:
         for t in node.targets:
             value = node.value.value if isinstance(node.value, ast.Constant) else None
+            if isinstance(t, ast.Name) and self.scope[-1][1] != "class":
+                self._bind(self.owner, t.id, node, value=node.value)
+            if isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id == "self" and not isinstance(node.value, ast.Call):
+                self._bind(self.owner, f"self.{t.attr}", node, value=node.value)
             if len(self.scope) == 1 and isinstance(t, ast.Name) and isinstance(value, str) and ("/" in value or value.startswith("http")):
                 self.add("constant", name=t.id, target=value)
             if isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id == "self" and isinstance(node.value, ast.Call):
@@ -149,7 +206,9 @@ class _Visitor(ast.NodeVisitor):
 
     def visit_Call(self, node: ast.Call) -> None:
         target = _text(node.func)
-        self.add("call", full_name=self.owner, name=target.rsplit(".", 1)[-1], target=target, line=node.lineno, col=node.col_offset)
+        # At the name that is called, so that the calls of a chain have places of their own.
+        here = (node.func.end_lineno, node.func.end_col_offset - len(node.func.attr)) if isinstance(node.func, ast.Attribute) else (node.lineno, node.col_offset)
+        self.add("call", full_name=self.owner, name=target.rsplit(".", 1)[-1], target=chain(node.func), line=here[0], col=here[1], args=len(node.args) + len(node.keywords))
         head, _, verb = target.rpartition(".")
         if verb in VERBS and head.rsplit(".", 1)[-1].lstrip("_") in CLIENTS and node.args and isinstance(node.args[0], ast.Constant | ast.JoinedStr | ast.BinOp):
             self.add("client_call", full_name=self.owner, kind=verb.upper(), target=_route(node.args[0]), line=node.lineno, col=node.col_offset)
