@@ -57,7 +57,7 @@ MAGIC = b"WEFTIDS1"
 _FOOTER = struct.Struct("<QQQqQ" + "QQQQQQQ" * 2)
 VOCABULARY_BYTES = 64 << 20  # of a tokenizer's file, which goes to the executors
 PIECES, PIECE_CHARS = 400_000, 40  # pieces of either kind that a worker keeps in a table, and their length at most
-BATCH_BYTES = 8 << 20  # of texts that are encoded at once
+BATCH_BYTES = 16 << 20  # of texts that are encoded at once
 JOINED = 256  # new pieces that are encoded as one text
 
 MARKS = ".,;:!?"
