@@ -199,3 +199,35 @@ def test_store_writes_what_differs(spark, tmp_path):
         assert store.versions()[-2:] == [x for x in (version - 1, version) if x]
     assert seen[2] == ["d00000002-00000001", "d00000003-00000002", "v00000001"] and "v00000004" in seen[3] and seen[5] == ["d00000005-00000004", "d00000006-00000005", "v00000004"]
     assert spark.read.parquet(f"file://{tmp_path}/store/d00000006-00000005/nodes").count() <= 4
+
+
+JAVA_LOCALS = {
+    "a/S.java": "package a;\nimport b.Repo;\nclass S {\n Repo repo;\n Repo mk() { return repo; }\n void go(Repo q) {\n  Repo r = new Repo();\n  r.save(1);\n  q.save(2);\n  repo.save(3);\n  mk().save(4);\n  Util.help();\n"
+                "  new Repo().save(5);\n  this.repo.next().save(6);\n  for (Repo each : all()) { each.save(7); }\n  unknown.save(8);\n }\n}\nclass Util { static void help() {} static void help(int n) {} }",
+    "b/Repo.java": "package b;\nclass Base { void save(int n) {} }\nclass Repo extends Base { Repo next() { return this; } }", "c/Other.java": "package c;\nclass Other { void save(int n) {} void next() {} }",
+}
+PYTHON_LOCALS = {
+    "app/m.py": "from app.s import S, make\nclass H:\n    def __init__(self, s: 'S | None'):\n        self.s = s\n    def go(self, q: S):\n        q.put(2)\n        self.s.put(3)\n        t = self.s\n        t.put(4)\n        make().put(5)\n        u = make()\n        u.nxt().put(6)\n"
+                "def top():\n    s = S()\n    s.put(1)\n    def inner():\n        s.put(7)\n    with S() as w:\n        w.put(8)\n    v = top2()\n    v.put(9)\ndef top2():\n    return top3()\ndef top3():\n    return top2() or S()\ndef loop(a):\n    b = a\n    a = b\n    a.put(1)\n",
+    "app/s.py": "class S:\n    def put(self, n): pass\n    def nxt(self) -> 'S': return self\ndef make():\n    x = S()\n    return x\n", "app/o.py": "class O:\n    def put(self, n): pass\n    def nxt(self): pass\n",
+}
+SCRIPT_LOCALS = {
+    "m.ts": "import { S } from './s';\nexport function top(q: S) {\n const s = new S();\n s.put(1);\n q.put(2);\n const u = mk();\n u.put(3);\n let w: S;\n w.put(4);\n}\nfunction mk() { return new S(); }\n",
+    "s.ts": "export class S { put(n: number) {} }", "o.ts": "export class O { put(n: number) {} }",
+}
+
+
+@pytest.mark.parametrize(("language", "files", "want"), [
+    ("java", JAVA_LOCALS, {("a.S.go(Repo)", "b.Base.save(int)"): 7, ("a.S.go(Repo)", "a.S.mk()"): 1, ("a.S.go(Repo)", "a.Util.help()"): 1, ("a.S.go(Repo)", "b.Repo.next()"): 1}),
+    ("python", PYTHON_LOCALS, {("app.m.H.go", "app.s.S.put"): 5, ("app.m.H.go", "app.s.S.nxt"): 1, ("app.m.H.go", "app.s.make"): 2, ("app.m.top", "app.s.S.put"): 2, ("app.m.top.inner", "app.s.S.put"): 1,
+                               ("app.m.top", "app.m.top2"): 1, ("app.m.top2", "app.m.top3"): 1, ("app.m.top3", "app.m.top2"): 1}),
+    ("typescript", SCRIPT_LOCALS, {("m.top", "s.S.put"): 4, ("m.top", "m.mk"): 1}),
+])
+def test_calls_go_by_types_of_locals_parameters_and_results(spark, language, files, want):
+    """Receivers that no declaration of a field types; 'save' and 'put' are methods of two classes, so names alone say nothing."""
+    from weftgraph.sources import brace_source
+
+    rows = spark.createDataFrame([(f"/r/{k}", v) for k, v in files.items()], "path string, text string")
+    g = build.source_graph((python_source if language == "python" else brace_source).staging(rows, "/r"), "/r", language)
+    got = {(r.src.split(":", 1)[1], r.dst.split(":", 1)[1]): len(r.call_sites) for r in g.edge("CALLS").collect()}
+    assert got == want
