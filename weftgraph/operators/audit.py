@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import predicates as P
 from weftgraph.graph import PropertyGraph
+from weftgraph.operators.containment import inside
 from weftgraph.plans.expand import reach
 
 SYMBOLS = ("Class", "Interface", "Method", "Property", "Field", "Package", "Endpoint")
@@ -82,14 +83,16 @@ def audit_stats(g: PropertyGraph, **filters: str) -> DataFrame:
     return rows.select("*", ratio("dead_count").alias("dead_ratio"), ratio("untested_count").alias("untested_ratio"))
 
 
-def _below(g: PropertyGraph, repo: str) -> DataFrame:
+def _below(g: PropertyGraph, repo: str, labels: DataFrame | None = None) -> DataFrame:
     top = g.label("Repository").where(F.col("path") == repo.rstrip("/")).select(F.col("node_id").alias("node"))
+    if labels is not None:
+        return g.nodes.join(inside(labels, top.withColumnRenamed("node", "node_id"), itself=False), "node_id", "left_semi")
     return g.nodes.join(reach(g.edge("CONTAINS"), top).select(F.col("node").alias("node_id")), "node_id", "left_semi")
 
 
-def index_status(g: PropertyGraph, repo: str) -> DataFrame:
-    """(label, n): files, symbols and each label of a repository's symbols."""
-    rows = _below(g, repo).select("node_id", "kind_label", "labels")
+def index_status(g: PropertyGraph, repo: str, labels: DataFrame | None = None) -> DataFrame:
+    """(label, n): files, symbols and each label of a repository's symbols. ``labels``: containment.labels() of the graph."""
+    rows = _below(g, repo, labels).select("node_id", "kind_label", "labels")
     symbols = rows.where("kind_label NOT IN ('File', 'Directory')")
     counts = rows.agg(F.count_if(F.col("kind_label") == "File").alias("File"), F.count_if(~F.col("kind_label").isin("File", "Directory")).alias("Symbols"))
     wide = counts.select(F.explode(F.create_map(F.lit("files"), "File", F.lit("symbols"), "Symbols")).alias("label", "n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.graph import PropertyGraph
+from weftgraph.operators.containment import inside
 from weftgraph.plans.expand import reach
 from weftgraph.schema import EDGE_FIELDS, NODE_FIELDS, edge_columns, node_columns, node_id
 
@@ -93,30 +94,33 @@ def delete_nodes(g: PropertyGraph, ids: DataFrame) -> PropertyGraph:
     return PropertyGraph(g.nodes.join(ids.select("node_id"), "node_id", "left_anti").select(*NODE_FIELDS), edges.select(*EDGE_FIELDS))
 
 
-def _under(g: PropertyGraph, label: str, path: str) -> DataFrame:
+def _under(g: PropertyGraph, label: str, path: str, labels: DataFrame | None = None) -> DataFrame:
+    """(node_id): by containment labels where they are given, else level by level."""
     top = g.label(label).where(F.col("path") == path).select(F.col("node_id").alias("node"))
+    if labels is not None:
+        return inside(labels, top.withColumnRenamed("node", "node_id"))
     return top.unionByName(reach(g.edge("CONTAINS"), top).select("node")).distinct().withColumnRenamed("node", "node_id")
 
 
-def delete_file(g: PropertyGraph, path: str) -> PropertyGraph:
-    """A file with all that it contains."""
-    return delete_nodes(g, _under(g, "File", path))
+def delete_file(g: PropertyGraph, path: str, labels: DataFrame | None = None) -> PropertyGraph:
+    """A file with all that it contains. ``labels``, here and below: containment.labels() of the graph."""
+    return delete_nodes(g, _under(g, "File", path, labels))
 
 
-def delete_project(g: PropertyGraph, path: str) -> PropertyGraph:
-    return delete_nodes(g, _under(g, "Repository", path.rstrip("/")))
+def delete_project(g: PropertyGraph, path: str, labels: DataFrame | None = None) -> PropertyGraph:
+    return delete_nodes(g, _under(g, "Repository", path.rstrip("/"), labels))
 
 
-def delete_orphans(g: PropertyGraph, path: str, keep: DataFrame) -> PropertyGraph:
+def delete_orphans(g: PropertyGraph, path: str, keep: DataFrame, labels: DataFrame | None = None) -> PropertyGraph:
     """Symbols of a file that ``keep`` (full_name) lacks. Only those whose own file it is: packages are shared."""
-    held = _under(g, "File", path)
+    held = _under(g, "File", path, labels)
     gone = g.nodes.join(held, "node_id", "left_semi").where((F.col("file_path") == path) & (F.col("kind_label") != "File")).join(keep, "full_name", "left_anti")
     return delete_nodes(g, gone.select("node_id"))
 
 
-def delete_outgoing(g: PropertyGraph, path: str) -> PropertyGraph:
+def delete_outgoing(g: PropertyGraph, path: str, labels: DataFrame | None = None) -> PropertyGraph:
     """Edges that start in a file, but for CONTAINS."""
-    held = _under(g, "File", path).withColumnRenamed("node_id", "src").withColumn("_own", F.lit(True))
+    held = _under(g, "File", path, labels).withColumnRenamed("node_id", "src").withColumn("_own", F.lit(True))
     edges = g.edges.join(held, "src", "left").where(F.col("_own").isNull() | ~F.col("type").isin(*OWNED_EDGES))
     return PropertyGraph(g.nodes, edges.select(*EDGE_FIELDS))
 
@@ -164,8 +168,10 @@ def _held_by(g: PropertyGraph, paths: DataFrame) -> DataFrame:
     return own.unionByName(reach(g.edge("CONTAINS"), top).select(F.col("start").alias("file"), F.col("node").alias("node_id"))).distinct()
 
 
-def delete_files(g: PropertyGraph, paths: DataFrame) -> PropertyGraph:
+def delete_files(g: PropertyGraph, paths: DataFrame, labels: DataFrame | None = None) -> PropertyGraph:
     """delete_file() for any number of paths in one plan."""
+    if labels is not None:
+        return delete_nodes(g, inside(labels, g.label("File").join(paths.select("path").distinct(), "path", "left_semi").select("node_id")))
     return delete_nodes(g, _held_by(g, paths).select("node_id").distinct())
 
 

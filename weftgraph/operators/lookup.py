@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.predicates import decoded, is_test, simple_name
 from weftgraph.graph import PropertyGraph
+from weftgraph.operators.containment import inside
 from weftgraph.plans.expand import reach, spread, ways
 from weftgraph.schema import LABEL_ORDER, REFERENCE_KINDS, SEARCHABLE_KINDS
 
@@ -325,11 +326,15 @@ def siblings(g: PropertyGraph, contract: DataFrame) -> DataFrame:
     return contract.join(impl, "interface").where("sibling <> owner").select("of", "sibling").distinct()
 
 
-def summaries(g: PropertyGraph, repo: str | None = None) -> DataFrame:
-    rows = g.nodes.where(F.array_contains("labels", "Summarized"))
+def summaries(g: PropertyGraph, repo: str | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """``labels``: containment.labels() of the graph."""
+    rows = g.nodes.where(F.array_contains(F.col("labels"), "Summarized"))
     if repo is not None:
         top = g.label("Repository").where(F.col("path") == repo.rstrip("/")).select(F.col("node_id").alias("node"))
-        below = spread(g.edge("CONTAINS"), top).select(F.col("node").alias("node_id"))
+        if labels is not None:
+            below = inside(labels, top.withColumnRenamed("node", "node_id"), itself=False)
+        else:
+            below = spread(g.edge("CONTAINS"), top).select(F.col("node").alias("node_id"))
         rows = rows.join(below, "node_id", "left_semi")
     return rows.select("full_name", "summary").distinct()
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import predicates as P
 from weftgraph.functions import routes, texts
 from weftgraph.graph import PropertyGraph, require_read_only
-from weftgraph.operators import audit, build, derive, dml, impact, imports, lookup, reports, resolve, sync, traversal
+from weftgraph.operators import audit, build, containment, derive, dml, impact, imports, lookup, reports, resolve, sync, traversal
 from weftgraph.oracle import ATTRIBUTES_OF_FRAMEWORKS, CLASSES_OF_ENTITIES, CLASSES_OF_FRAMEWORKS, METHODS_OF_FRAMEWORKS, REPOSITORY_METHODS, attribute, levels, over_graph, test, vendored
 from weftgraph.plans.expand import trails
 from weftgraph.schema import EDGE_FIELDS, edge_columns, node_id
@@ -125,6 +125,16 @@ on_graph("summaries", lambda g, s: lookup.summaries(g), "SELECT full_name, summa
 CLOSE = ", below(id) AS (SELECT dst FROM con WHERE src = 'Repository:/ASIA' UNION SELECT con.dst FROM below JOIN con ON con.src = below.id) "
 on_graph("summaries_below", lambda g, s: lookup.summaries(g, "/ASIA/"), CLOSE + "SELECT full_name, summary FROM n JOIN below USING (id) WHERE summary IS NOT NULL")
 
+on_graph("summaries_by_labels", lambda g, s: lookup.summaries(g, "/ASIA/", containment.labels(g)), CLOSE + "SELECT full_name, summary FROM n JOIN below USING (id) WHERE summary IS NOT NULL")
+on_graph("containment_labels", lambda g, s: containment.labels(g).select("node_id", "depth", (F.col("last") - F.col("first")).alias("inside")),
+         """, up AS (SELECT dst AS id, arg_min(src, (CASE WHEN src LIKE 'Package:%' THEN 1 ELSE 0 END, src)) AS parent FROM con GROUP BY dst),
+         above(id, top, k) AS (SELECT id, id, 0 FROM n UNION ALL SELECT above.id, up.parent, k + 1 FROM above JOIN up ON up.id = above.top)
+         SELECT n.id AS node_id, d.k AS depth, i.inside FROM n JOIN (SELECT id, max(k)::INT AS k FROM above GROUP BY id) d USING (id) JOIN (SELECT top AS id, count(*) - 1 AS inside FROM above GROUP BY top) i USING (id)""")
+on_graph("nested_roots", lambda g, s: files.relative_paths(g.label("File").select("path"), g.label("Directory", "Repository").where("node_id NOT LIKE '%A'").select(F.col("path").alias("root"))),
+         """, r AS (SELECT path AS root FROM n WHERE label IN ('Directory', 'Repository') AND id NOT LIKE '%A')
+         SELECT f.path, max_by(root, length(root)) AS root, CASE WHEN count(root) = 0 THEN f.path ELSE substr(f.path, max(length(root)) + 2) END AS below
+         FROM (SELECT path FROM n WHERE label = 'File') f LEFT JOIN r ON starts_with(f.path, root || '/') GROUP BY f.path""")
+
 # One-hop patterns
 WAYS = """, ways AS (SELECT x.id AS m, x.id AS dst, 0 AS branch FROM n x WHERE label = 'Method'
   UNION ALL SELECT src, dst, 1 FROM e WHERE type = 'IMPLEMENTS' AND src LIKE 'Method:%' UNION ALL SELECT dst, src, 2 FROM e WHERE type = 'DISPATCHES_TO'),
@@ -232,6 +242,8 @@ on_graph("audit_stats", lambda g, s: audit.audit_stats(g),
          BASE + "SELECT count(*) AS total_methods, count(*) FILTER (NOT called) AS dead_count, count(*) FILTER (NOT tested) AS untested_count, CASE WHEN count(*) > 0 THEN round(count(*) FILTER (NOT called) / count(*), 4) ELSE 0.0 END AS dead_ratio, CASE WHEN count(*) > 0 THEN round(count(*) FILTER (NOT tested) / count(*), 4) ELSE 0.0 END AS untested_ratio FROM cand")
 on_graph("index_status", lambda g, s: audit.index_status(g, "/ASIA"),
          CLOSE + ", x AS (SELECT * FROM n JOIN below USING (id)) SELECT 'files' AS label, count(*) FILTER (label = 'File') AS n FROM x UNION ALL SELECT 'symbols', count(*) FILTER (label NOT IN ('File', 'Directory')) FROM x UNION ALL SELECT label, count(*) FROM x WHERE label NOT IN ('File', 'Directory') GROUP BY label")
+on_graph("index_status_by_labels", lambda g, s: audit.index_status(g, "/ASIA", containment.labels(g)),
+         CLOSE + ", x AS (SELECT * FROM n JOIN below USING (id)) SELECT 'files' AS label, count(*) FILTER (label = 'File') AS n FROM x UNION ALL SELECT 'symbols', count(*) FILTER (label NOT IN ('File', 'Directory')) FROM x UNION ALL SELECT label, count(*) FROM x WHERE label NOT IN ('File', 'Directory') GROUP BY label")
 on_graph("packages", lambda g, s: audit.packages(g, 10),
          "SELECT k.full_name AS package, count(DISTINCT x.file_path) FILTER (x.label IN ('Class', 'Interface')) AS file_count, count(DISTINCT x.id) FILTER (x.label IN ('Class', 'Interface', 'Method', 'Property', 'Field')) AS symbol_count FROM n k LEFT JOIN con ON con.src = k.id LEFT JOIN n x ON x.id = con.dst WHERE k.label = 'Package' GROUP BY k.full_name ORDER BY symbol_count DESC, package LIMIT 10")
 on_graph("hotspots", lambda g, s: audit.hotspots(g, 10),
@@ -336,6 +348,8 @@ def _without(ids: str) -> str:
 
 on_graph("delete_file", lambda g, s: _sizes(dml.delete_file(g, _file(g, s))), FILE + _without("SELECT id FROM fb"))
 on_graph("delete_project", lambda g, s: _sizes(dml.delete_project(g, "/ASIA/")), CLOSE + _without("SELECT id FROM below UNION ALL SELECT 'Repository:/ASIA'"))
+on_graph("delete_file_by_labels", lambda g, s: _sizes(dml.delete_file(g, _file(g, s), containment.labels(g))), FILE + _without("SELECT id FROM fb"))
+on_graph("delete_project_by_labels", lambda g, s: _sizes(dml.delete_project(g, "/ASIA/", containment.labels(g))), CLOSE + _without("SELECT id FROM below UNION ALL SELECT 'Repository:/ASIA'"))
 on_graph("delete_orphans", lambda g, s: _sizes(dml.delete_orphans(g, _file(g, s), g.label("Class").select("full_name"))),
          FILE + _without("SELECT fb.id FROM fb JOIN n USING (id) JOIN fil ON n.file_path = fil.path WHERE label NOT IN ('File', 'Class')"))
 on_graph("delete_outgoing", lambda g, s: _sizes(dml.delete_outgoing(g, _file(g, s))), FILE + SIZES.format(n="n", e="(SELECT * FROM e WHERE type = 'CONTAINS' OR src NOT IN (SELECT id FROM fb))"))

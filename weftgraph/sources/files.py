@@ -159,5 +159,17 @@ def ancestors(path: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, k), "/")))).otherwise(F.array().cast("array<string>"))
 
 
+def relative_paths(paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """(path, root, below) of ``paths`` (path) under the longest of many ``roots`` (root) that each lies in; with none, the path as it is.
+
+    A path meets its own ancestors alone: an equi-join, however many roots there are.
+    """
+    known = roots.select(F.regexp_replace("root", "/+$", "").alias("root")).distinct()
+    above = paths.select("path").distinct().select("path", F.explode(ancestors(F.col("path"))).alias("root")).join(known, "root")
+    best = above.groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
+    below = F.when(F.col("root").isNotNull(), F.substr("path", F.length("root") + 2)).otherwise(F.col("path"))
+    return paths.select("path").join(best, "path", "left").select("path", "root", below.alias("below"))
+
+
 def with_any(path: Column, endings: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (F.endswith(path, F.lit(x)) for x in endings))
