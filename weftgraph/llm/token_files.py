@@ -57,7 +57,7 @@ MAGIC = b"WEFTIDS1"
 _FOOTER = struct.Struct("<QQQqQ" + "QQQQQQQ" * 2)
 VOCABULARY_BYTES = 64 << 20  # of a tokenizer's file, which goes to the executors
 PIECES, PIECE_CHARS = 400_000, 40  # pieces of either kind that a worker keeps in a table, and their length at most
-BATCH_BYTES = 16 << 20  # of texts that are encoded at once
+BATCH_BYTES = 8 << 20  # of texts that are encoded at once
 JOINED = 256  # new pieces that are encoded as one text
 
 MARKS = ".,;:!?"
@@ -310,11 +310,12 @@ class Encoder:
         data = np.frombuffer(flat.buffers()[2] or b"\0", np.uint8)
         bad = _ends_in_space(data, ends[1:], np.diff(ends))
         bad[at[1:] - 1] = False  # the last piece ends with its text
-        upto = np.concatenate([[0], np.cumsum(bad)])
-        odd = upto[at[1:]] > upto[at[:-1]]
+        counted = np.concatenate([[0], np.cumsum(bad, dtype=np.int32)])
+        odd = counted[at[1:]] > counted[at[:-1]]
+        del bad, counted, ends
 
         coded = flat.dictionary_encode()
-        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()  # of 32 bits, as all numbers of a batch are
         # Not all words are needed: those of odd texts, and the first of each text, which has no space in front.
         wanted = np.ones(len(flat), bool)
         wanted[at[:-1]] = False
@@ -333,18 +334,20 @@ class Encoder:
         whole = dict(zip(np.flatnonzero(odd).tolist(), self._by_parts([column[int(k)].as_py() for k in np.flatnonzero(odd)]), strict=True))
 
         # Entries: the used words, then the texts' first pieces, then the end.
-        place = np.zeros(len(words), np.int64)
-        place[used] = np.arange(len(used))
+        place = np.zeros(len(words), np.int32)
+        place[used] = np.arange(len(used), dtype=np.int32)
         entry = place[index]
-        entry[at[:-1]] = len(used) + np.arange(len(column))
+        entry[at[:-1]] = len(used) + np.arange(len(column), dtype=np.int32)
         table = [*found, *firsts, self.end]
-        sizes = np.fromiter(map(len, table), np.int64, len(table)) // self.width
-        ids, starts = np.frombuffer(b"".join(table), self.kind), np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, table), np.int32, len(table)) // self.width
+        ids, starts = np.frombuffer(b"".join(table), self.kind), np.cumsum(sizes, dtype=np.int32) - sizes
         entry = np.insert(entry[~np.repeat(odd, np.diff(at))], np.cumsum(np.diff(at)[~odd]), len(table) - 1)
         lengths = sizes[entry]
-        before = np.cumsum(lengths) - lengths
-        out = ids[np.repeat(starts[entry] - before, lengths) + np.arange(int(lengths.sum()))].tobytes()
-        stops = ((before + lengths) * self.width)[entry == len(table) - 1].tolist()
+        upto = np.cumsum(lengths, dtype=np.int32)
+        places = np.repeat(starts[entry] - upto + lengths, lengths)
+        places += np.arange(len(places), dtype=np.int32)
+        out = ids[places].tobytes()
+        stops = (upto[entry == len(table) - 1].astype(np.int64) * self.width).tolist()
         plain = iter([out[x:y] for x, y in zip([0, *stops], stops, strict=False)])
         return [whole[k] + self.end if is_odd else next(plain) for k, is_odd in enumerate(odd.tolist())]
 
