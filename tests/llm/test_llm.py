@@ -176,10 +176,12 @@ def near_rows(n=400, seed=3):
     return rows
 
 
-@pytest.mark.parametrize("hot", [near_dedup.HOT, 3])
-def test_near_dedup_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "large"), [(near_dedup.HOT, near_dedup.LARGE), (3, near_dedup.LARGE), (near_dedup.HOT, 5)])
+def test_near_dedup_brute_force(spark, monkeypatch, hot, large):
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
     monkeypatch.setattr(near_dedup, "HOT", hot)
+    monkeypatch.setattr(near_dedup, "LARGE", large)
+    monkeypatch.setattr(near_dedup, "LARGE_BLOCK", 40)
     rows = [*near_rows(), *((None if i is None else 5000 + i, t) for i, t in AWKWARD)]
     got = near_dedup.near_dedup(docs(spark, rows)).collect()
     assert len(got) == len(rows)

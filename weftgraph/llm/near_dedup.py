@@ -14,7 +14,9 @@ components of these links.
    ``MISS``. Survivors are verified on their full sets; only these links count.
 4. A bucket is never expanded into all its pairs. First every member meets one centre of its buckets, and
    the links found merge components. Then only pairs across different components of a bucket matter: the
-   members outside the bucket's largest component meet its other members in blocks of ``BLOCK`` rows. A
+   members outside the bucket's largest component meet its other members in blocks of ``BLOCK`` rows. Of a component of
+   more than ``LARGE`` members each is sent once, in a block of ``LARGE_BLOCK``, and meets there the at most ``HOT`` others,
+   which are sent to every such block; so copies grow as the component, not as its product with the others. A
    first round hands on the most similar partner a member has per bucket, which merges what can be merged;
    a second round verifies every remaining pair that survives the pruning. So no candidate between different
    components goes unchecked, and pairs inside one component, which cannot change the result, are not made.
@@ -62,6 +64,7 @@ MORE_LOOKS = (384, 512, 768, 1024)  # and with the further ones
 MISS = 1e-6  # of a pruning, for a pair that would be linked
 BLOCK = 512  # members of a bucket on either side of a task's comparison
 HOT = 16 * BLOCK  # members of a bucket outside its largest component, beyond which prefixes take the place of its key
+LARGE, LARGE_BLOCK = 64 * BLOCK, 8 * BLOCK  # a largest component of more members comes in blocks of so many, each of which meets all others at once
 
 _RNG = np.random.default_rng(85)
 _A = (_RNG.integers(0, 1 << 32, HASHES + MORE, dtype=np.uint64) | 1).astype(np.uint32)
@@ -298,18 +301,20 @@ def _across(members: DataFrame, comp: DataFrame, reps: DataFrame, best_only: boo
     ``banded``: whether the buckets' keys are those of bands.
     """
     per = _spread(members, comp)
-    per = per.select("key", "major", F.ceil(F.col("most") / BLOCK).cast("int").alias("nx"), F.ceil(F.col("others") / BLOCK).cast("int").alias("ny"))
+    large = F.col("most") > LARGE
+    per = per.select("key", "major", F.ceil(F.col("most") / F.when(large, LARGE_BLOCK).otherwise(BLOCK)).cast("int").alias("nx"), F.ceil(F.col("others") / BLOCK).cast("int").alias("ny"), large.alias("large"))
     rows = members.join(per, "key").join(comp, "id").join(reps.select("id", "sig", "more", "n"), "id")
     minor = F.col("comp") != F.col("major")
     slot = F.pmod(F.xxhash64("id", "key"), F.when(minor, F.col("ny")).otherwise(F.col("nx"))).cast("int")
     rows = rows.withColumn("slot", slot)
-    # Blocks (x, y): x is a part of the largest component, or from nx on a part of the others; y a part of the others.
+    # Blocks (x, y): x is a part of the largest component, or from nx on a part of the others; y a part of the others (all of them, for a large component).
     cell = lambda x, y, side: F.struct(x.alias("x"), y.alias("y"), F.lit(side).alias("side"))
     upto = lambda n: F.sequence(F.lit(0), n - 1)
-    of_major = F.transform(upto(F.col("ny")), lambda y: cell(F.col("slot"), y.cast("int"), 0))
-    as_right = F.transform(upto(F.col("nx") + F.col("slot") + 1), lambda x: cell(x.cast("int"), F.col("slot"), 1))
+    of_major = F.transform(upto(F.when(F.col("large"), 1).otherwise(F.col("ny"))), lambda y: cell(F.col("slot"), y.cast("int"), 0))
+    with_major = F.transform(upto(F.col("nx")), lambda x: cell(x.cast("int"), F.when(F.col("large"), 0).otherwise(F.col("slot")), 1))
+    as_right = F.transform(F.sequence(F.col("nx"), F.col("nx") + F.col("slot")), lambda x: cell(x.cast("int"), F.col("slot"), 1))
     as_left = F.transform(F.sequence(F.col("slot"), F.col("ny") - 1), lambda y: cell(F.col("nx") + F.col("slot"), y.cast("int"), 0))
-    cells = F.when(minor, F.concat(as_right, as_left)).otherwise(of_major)
+    cells = F.when(minor, F.concat(with_major, as_right, as_left)).otherwise(of_major)
     rows = rows.select("key", "id", "comp", "n", "sig", "more", F.explode(cells).alias("c")).select("key", "c.x", "c.y", "c.side", "id", "comp", "n", "sig", "more")
     rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
