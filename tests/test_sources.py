@@ -231,3 +231,22 @@ def test_calls_go_by_types_of_locals_parameters_and_results(spark, language, fil
     g = build.source_graph((python_source if language == "python" else brace_source).staging(rows, "/r"), "/r", language)
     got = {(r.src.split(":", 1)[1], r.dst.split(":", 1)[1]): len(r.call_sites) for r in g.edge("CALLS").collect()}
     assert got == want
+
+
+def test_recorded_answers(spark):
+    """Places of a protocol as places of texts: file URIs, lines from 0, columns in UTF-16 units."""
+    import json
+
+    from weftgraph.sources import answers
+
+    at = lambda uri, line, character: {"uri": uri, "range": {"start": {"line": line, "character": character}}}
+    texts = spark.createDataFrame([("/r/a b/x+y.py", "\U0001f600\U0001f600é = f()\r\nplain f()\n"), ("/r/bin/x.py", "f()"), ("/r/c.py", None)], "path string, text string")
+    told = [{"callee": "m.f", "result": [at("file:///r/a%20b/x+y.py", 0, 8), at("file:///r/a%20b/x+y.py", 1, 6), at("file:///r/a%20b/x+y.py", 1, 6), at("file:///r/a%20b/x+y.py", 0, 3), at("file:///r/bin/x.py", 0, 0), at("file:///other/x.py", 0, 0),
+                                            at("http://r/x.py", 0, 0), at("file://localhost/r/c.py", 4, 7)]}, {"callee": "m.g", "result": None}]
+    rows = spark.createDataFrame([(json.dumps(x),) for x in told] + [("no json",), (None,)], "value string")
+    got = sorted(map(tuple, answers.references(rows, texts, "/r/").collect()))
+    assert got == [("m.f", "/r/a b/x+y.py", 1, 1), ("m.f", "/r/a b/x+y.py", 1, 6), ("m.f", "/r/a b/x+y.py", 2, 6), ("m.f", "/r/c.py", 5, 7)]
+    asked = [{"caller": "m.go", "at": at("file:///r/a%20b/x+y.py", 0, 8), "callee": "Method:m.f"}, {"caller": "m.go", "at": at("file:///r/bin/x.py", 0, 8), "callee": "Method:m.f"}, {"caller": "m.go", "at": at("file:///r/c.py", 0, 0), "callee": None}]
+    rows = spark.createDataFrame([(json.dumps(x),) for x in asked], "value string")
+    assert list(map(tuple, answers.definitions(rows, texts, "/r").collect())) == [("m.go", 1, 6, "Method:m.f")]
+    assert answers.references(rows.limit(0), texts, "/r").count() == 0
