@@ -143,10 +143,15 @@ def last_start(points: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def calls_from_references(g: PropertyGraph, references: DataFrame, compile_time: DataFrame | None = None, elements: DataFrame | None = None) -> DataFrame:
-    """CALLS of references (callee, file_path, line, col): the innermost method around the place calls; where there is none, the
+    """CALLS of reference_sites(). Each pair is one edge with all its sites."""
+    return _calls(reference_sites(g, references, compile_time, elements))
+
+
+def reference_sites(g: PropertyGraph, references: DataFrame, compile_time: DataFrame | None = None, elements: DataFrame | None = None) -> DataFrame:
+    """(src, dst, line, col) of references (callee, file_path, line, col): the innermost method around the place calls; where there is none, the
     methods of the file that use the callee as a markup element, of ``elements`` (file_path, name, full_name, line, col); else the
     file's module, unless the place lies in ``compile_time`` (file_path, line, end_line).
-    The line that declares the callee is no call. Each pair is one edge with all its sites."""
+    The line that declares the callee is no call."""
     spans = g.label("Method").select("file_path", "full_name", "line", "end_line")
     rows = enclosing(references.withColumn("at", F.col("line")).withColumnRenamed("line", "ref_line"), spans)
     m = g.label("Method", "Class").select(F.col("full_name").alias("callee"), F.col("node_id").alias("dst"), F.col("file_path").alias("own_path"), F.col("line").alias("own_line"))
@@ -167,7 +172,7 @@ def calls_from_references(g: PropertyGraph, references: DataFrame, compile_time:
     modules = g.label("Class").where("kind = 'module'").select("file_path", F.col("node_id").alias("src"))
     hit = inside.unionByName(outside.join(modules, "file_path").select("src", *keys)).join(m, "callee")
     hit = hit.where(~((F.col("file_path") == F.col("own_path")) & (F.col("ref_line") == F.col("own_line"))))
-    return _calls(hit.select("src", "dst", F.col("ref_line").alias("line"), "col"))
+    return hit.select("src", "dst", F.col("ref_line").alias("line"), "col")
 
 
 def _calls(sites: DataFrame) -> DataFrame:
@@ -188,12 +193,13 @@ def http_rows(staging: DataFrame, language: str) -> tuple[DataFrame, DataFrame]:
     return definitions.dropDuplicates(["def_ord"]), calls.dropDuplicates(["call_ord"])
 
 
-def source_graph(staging: DataFrame, repo: str, language: str, aliases: Aliases = (), definitions: DataFrame | None = None, root: str | None = None) -> PropertyGraph:
+def source_graph(staging: DataFrame, repo: str, language: str, aliases: Aliases = (), definitions: DataFrame | None = None, root: str | None = None, references: DataFrame | None = None) -> PropertyGraph:
     """A whole graph of one language's staging rows: structure, packages, markers, base types, references, imports, HTTP
     endpoints, and calls: each of the method that its name stands for at its place (see resolve.call_candidates).
 
-    ``definitions`` (caller, line, col, callee) of a language server come before what names say. ``root`` is the folder
-    that modules are named from, where that is not ``repo``.
+    ``definitions`` (caller, line, col, callee) of a language server come before what names say, and its ``references``
+    (callee, file_path, line, col) add calls, with markup elements as callers and without what is for compile time alone
+    (sources.answers makes both of recorded answers). ``root`` is the folder that modules are named from, where that is not ``repo``.
     """
     root = root or repo
     staging = staged(staging, "staging")  # parsed once, read by each step
@@ -216,7 +222,12 @@ def source_graph(staging: DataFrame, repo: str, language: str, aliases: Aliases
         found = found.unionByName(definitions.select("caller", "line", "col", F.lit(resolve.DEFINED).alias("priority"), "callee"))
     settled = staged(resolve.by_ladder(found), "settled-calls")
     callers = g.label("Method", "Class").select(F.col("full_name").alias("caller"), F.col("node_id").alias("src"))
-    calls = _calls(settled.join(callers, "caller").select("src", F.col("callee").alias("dst"), "line", "col"))
+    sites = settled.join(callers, "caller").select("src", F.col("callee").alias("dst"), "line", "col")
+    if references is not None:
+        blocks = staging.where("what = 'compile_time'").select("file_path", "line", "end_line")
+        marks = staging.where("what = 'call' AND kind = 'element'").select("file_path", "name", "full_name", "line", "col")
+        sites = sites.unionByName(reference_sites(g, references, blocks, marks))
+    calls = _calls(sites)
     stubs = resolve.external_stubs(g, staging, settled) if language == "java" else PropertyGraph.empty(staging.sparkSession)
     served, asked = http_rows(staging, language)
     http = http_edges(served, with_constants(asked, visible_constants(staging, repo, language, aliases)))

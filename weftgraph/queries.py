@@ -15,7 +15,7 @@ from weftgraph.operators import audit, build, containment, derive, dml, impact,
 from weftgraph.oracle import ATTRIBUTES_OF_FRAMEWORKS, CLASSES_OF_ENTITIES, CLASSES_OF_FRAMEWORKS, METHODS_OF_FRAMEWORKS, REPOSITORY_METHODS, attribute, levels, over_graph, test, vendored
 from weftgraph.plans.expand import trails
 from weftgraph.schema import EDGE_FIELDS, edge_columns, node_id
-from weftgraph.sources import brace_source, files, python_source, star
+from weftgraph.sources import answers, brace_source, files, python_source, star
 from weftgraph.streaming.debounce import debounced
 
 
@@ -655,6 +655,27 @@ on_tables("source_reference_calls", _reference_calls,
           "WITH p AS (SELECT replace(p_brand, '#', '') || '.f' || p_partkey AS n FROM part) SELECT 'Method:' || n || '.user' AS src, 'Method:' || n || '.helper' AS dst, 1 AS sites FROM p UNION ALL SELECT 'Class:' || n, 'Method:' || n || '.helper', 1 FROM p")
 
 
+def _recorded_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers about a function of each file, as a server gives them: in the file, behind a character of two UTF-16 units, outside of the root, in ignored folders, in a block for
+    compile time, and in no file. The graph is built of sources and answers together."""
+    rows = _written(spark, sf_dir, ".py", "def helper(*a):", "    pass", "def user(f):", "    return f('\U0001f600', helper)", "if TYPE_CHECKING:", "    helper", "later = helper")
+    callee = F.concat(F.translate(F.regexp_replace(F.substring("path", 4, 999), r"\.py$", ""), "/", "."), F.lit(".helper"))
+    below = F.substring("path", 4, 999)
+    places = ((F.col("path"), 0, 4), (F.col("path"), 3, 19), (F.col("path"), 5, 4), (F.col("path"), 6, 8), (F.concat(F.lit("/else/"), below), 3, 18), (F.concat(F.lit("/r/node_modules/"), below), 3, 18), (F.concat(F.lit("/rr/"), below), 6, 8))
+    place = lambda uri, line, character: F.struct(uri.alias("uri"), F.struct(F.struct(F.lit(line).alias("line"), F.lit(character).alias("character")).alias("start")).alias("range"))
+    found = [place(F.concat(F.lit("file://"), path), line, character) for path, line, character in places] + [place(F.lit("untitled:1"), 3, 18)]
+    told = rows.select(F.to_json(F.struct(callee.alias("callee"), F.array(*found).alias("result"))).alias("value"))
+    staging = python_source.staging(rows, "/r")
+    g = build.source_graph(staging, "/r", "python", references=answers.references(told, rows, "/r"))
+    site = F.element_at("call_sites", 1)
+    return g.edge("CALLS").select("src", "dst", F.size("call_sites").alias("sites"), site["line"].alias("line"), site["col"].alias("col"))
+
+
+on_tables("source_recorded_references", _recorded_references,
+          """WITH p AS (SELECT replace(p_brand, '#', '') || '.f' || p_partkey AS n FROM part)
+          SELECT 'Method:' || n || '.user' AS src, 'Method:' || n || '.helper' AS dst, 1 AS sites, 4 AS line, 18 AS col FROM p UNION ALL SELECT 'Class:' || n, 'Method:' || n || '.helper', 1, 7, 8 FROM p""")
+
+
 def _overload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each file has a method in two variants, and another in one."""
     rows = _written(spark, sf_dir, ".java", "package {b}.n{k};", "class A { void two(int a) { } void two(String a) { } void one(int a) { } }")
