@@ -250,3 +250,11 @@ def test_recorded_answers(spark):
     rows = spark.createDataFrame([(json.dumps(x),) for x in asked], "value string")
     assert list(map(tuple, answers.definitions(rows, texts, "/r").collect())) == [("m.go", 1, 6, "Method:m.f")]
     assert answers.references(rows.limit(0), texts, "/r").count() == 0
+
+
+def test_one_split_is_parsed_by_many_tasks(spark):
+    """A small table of many files is one split: its parsing must not be one task, nor its rows one batch a file."""
+    texts = spark.range(0, 400, 1, 1).select(F.concat(F.lit("/r/f"), "id", F.lit(".py")).alias("path"), F.lit("def f():\n    a.b.c()\n").alias("text"))
+    rows = python_source.staging(texts, "/r")
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 8
+    assert rows.where("what = 'call'").groupBy("name", "target").count().collect() == [("c", "a.b.c", 400)]
