@@ -14,6 +14,5 @@ def test_broadcasts_are_bounded(spark):
 def test_own_threshold_stays(spark):
     other = spark.newSession()
     other.conf.set(BROADCAST, "262144")
-    other.conf.set("spark.checkpoint.dir", spark.conf.get("spark.checkpoint.dir"))
     staged(other.range(3), "small")
     assert other.conf.get(BROADCAST) == "262144"
