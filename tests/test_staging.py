@@ -16,3 +16,23 @@ def test_own_threshold_stays(spark):
     other.conf.set(BROADCAST, "262144")
     staged(other.range(3), "small")
     assert other.conf.get(BROADCAST) == "262144"
+
+
+def test_a_small_frontier_shuffles_no_edges(spark, monkeypatch):
+    """Each level meets the edges by a broadcast of its nodes; edges that repeat change nothing."""
+    from weftgraph.plans import expand
+
+    plans = []
+    keep = expand.staged
+
+    def seen(df, name):
+        if name == "frontier":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(expand, "staged", seen)
+    edges = keep(spark.range(200_000).selectExpr("concat('n', id) AS src", "concat('n', id + 1) AS dst", "id AS edge_id"), "edges")
+    seeds = edges.where("src = 'n7'").selectExpr("src AS node")
+    rows = expand.spread(edges.unionByName(edges), seeds, 3).collect()
+    assert sorted((r.node, r.depth) for r in rows) == [("n10", 3), ("n8", 1), ("n9", 2)]
+    assert all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
