@@ -258,3 +258,21 @@ def test_one_split_is_parsed_by_many_tasks(spark):
     rows = python_source.staging(texts, "/r")
     assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 8
     assert rows.where("what = 'call'").groupBy("name", "target").count().collect() == [("c", "a.b.c", 400)]
+
+
+def test_names_are_looked_up_once(spark, monkeypatch):
+    """One look-up serves receivers and calls; base types alone need neither of them."""
+    from weftgraph.operators import resolve
+    from weftgraph.operators import types as receiver_types
+    from weftgraph.plans.staging import staged
+
+    asked = []
+    keep = resolve.type_targets
+    monkeypatch.setattr(resolve, "type_targets", lambda *a: asked.append(1) or keep(*a))
+    texts = spark.createDataFrame([("/r/a.py", "class A(B):\n    def f(self): self.g()\n    def g(self): pass\nclass B: pass\n")], "path string, text string")
+    g = build.source_graph(python_source.staging(texts, "/r"), "/r", "python")
+    assert [(r.src, r.dst) for r in g.edge("CALLS").collect()] == [("Method:a.A.f", "Method:a.A.g")]
+    assert len(asked) == 3  # of bases, of references, and of all else
+    monkeypatch.setattr(receiver_types, "receivers", None)
+    _, _, edges, _ = build.typed_structure(staged(python_source.staging(texts, "/r"), "staging", by="what"), "/r", "python")
+    assert [(r.src, r.dst, r.type) for r in edges.collect()] == [("Class:a.A", "Class:a.B", "INHERITS")]

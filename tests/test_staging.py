@@ -36,3 +36,13 @@ def test_a_small_frontier_shuffles_no_edges(spark, monkeypatch):
     rows = expand.spread(edges.unionByName(edges), seeds, 3).collect()
     assert sorted((r.node, r.depth) for r in rows) == [("n10", 3), ("n8", 1), ("n9", 2)]
     assert all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
+
+
+def test_rows_lie_in_folders_of_their_kind(spark):
+    """Who asks for one kind of rows opens no file of another; columns keep their order."""
+    rows = spark.createDataFrame([("call", "a", 1), ("symbol", "b", 2), (None, "c", 3)], "what string, name string, k int").select("name", "what", "k")
+    out = staged(rows, "staging", by="what")
+    assert out.columns == ["name", "what", "k"]
+    assert sorted((r.name, r.what, r.k) for r in out.collect()) == [("a", "call", 1), ("b", "symbol", 2), ("c", None, 3)]
+    plan = out.where("what = 'call'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(what" in plan and out.where("what = 'call'").collect()[0].name == "a"
