@@ -276,3 +276,17 @@ def test_names_are_looked_up_once(spark, monkeypatch):
     monkeypatch.setattr(receiver_types, "receivers", None)
     _, _, edges, _ = build.typed_structure(staged(python_source.staging(texts, "/r"), "staging", by="what"), "/r", "python")
     assert [(r.src, r.dst, r.type) for r in edges.collect()] == [("Class:a.A", "Class:a.B", "INHERITS")]
+
+
+def test_folders_are_made_once(spark, monkeypatch):
+    """Nodes and edges of a tree are made of one table of folders and files."""
+    from weftgraph.plans.staging import staged
+
+    made = []
+    monkeypatch.setattr(build, "staged", lambda df, name, **k: made.append(name) or staged(df, name, **k))
+    texts = spark.createDataFrame([("/r/x/a.py", "def f(): pass\n"), ("/r/b.py", "")], "path string, text string")
+    g = build.structure(python_source.staging(texts, "/r"), "/r", "python")
+    assert made.count("folders") == 1
+    assert sorted(r.path for r in g.label("File").collect()) == ["/r/b.py", "/r/x/a.py"]
+    held = {(r.src, r.dst) for r in g.edge("CONTAINS").collect()}
+    assert {("Repository:/r", "File:/r/b.py"), ("Repository:/r", "Directory:/r/x"), ("Directory:/r/x", "File:/r/x/a.py")} <= held
