@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from weftgraph.plans.staging import BROADCAST, staged
 
 
@@ -46,3 +48,15 @@ def test_rows_lie_in_folders_of_their_kind(spark):
     assert sorted((r.name, r.what, r.k) for r in out.collect()) == [("a", "call", 1), ("b", "symbol", 2), ("c", None, 3)]
     plan = out.where("what = 'call'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(what" in plan and out.where("what = 'call'").collect()[0].name == "a"
+
+
+def _last_plan(spark) -> str:
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return runs.apply(runs.size() - 1).physicalPlanDescription()
+
+
+def test_rows_of_few_folders_are_not_sorted(spark):
+    """A task holds a file open for each kind of rows; the session's own setting is as it was."""
+    out = staged(spark.range(1000).selectExpr("concat('kind', id % 3) AS what", "id"), "kinds", by="what")
+    assert "Sort" not in _last_plan(spark) and out.count() == 1000
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
