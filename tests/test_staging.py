@@ -60,3 +60,29 @@ def test_rows_of_few_folders_are_not_sorted(spark):
     out = staged(spark.range(1000).selectExpr("concat('kind', id % 3) AS what", "id"), "kinds", by="what")
     assert "Sort" not in _last_plan(spark) and out.count() == 1000
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_a_call_is_settled_by_one_shuffle(spark):
+    from weftgraph.operators.resolve import by_ladder
+
+    rows = [("a", 1, 0, 5, "x"), ("a", 1, 0, 5, "x"), ("a", 1, 0, 3, "y"), ("a", 1, 0, 3, "z"), ("b", 1, 0, 2, None), ("b", 1, 0, 7, "x")]
+    out = by_ladder(spark.createDataFrame(rows, "caller string, line int, col int, priority int, callee string"))
+    assert sorted(map(tuple, out.collect())) == [("a", 1, 0, "x", 5), ("b", 1, 0, "x", 7)]
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Exchange") + out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") <= 2
+
+
+def test_names_are_settled_by_one_shuffle_of_what_they_may_be(spark):
+    """A name that several types have, one that none has, and one that a single type has."""
+    from weftgraph.graph import PropertyGraph
+    from weftgraph.operators.build import _nothing_imported
+    from weftgraph.operators.resolve import type_targets
+    from weftgraph.schema import node_columns
+    from pyspark.sql import functions as F
+
+    types = spark.createDataFrame([("n.A", "A"), ("m.A", "A"), ("m.B", "B")], "full string, short string")
+    nodes = types.select(node_columns(node_id=F.concat(F.lit("Class:"), "full"), kind_label=F.lit("Class"), full_name=F.col("full"), name=F.col("short"), file_path=F.lit("/r/x.java")))
+    g = PropertyGraph(nodes, PropertyGraph.empty(spark).edges)
+    rows = spark.createDataFrame([("/r/y.java", "k.C", t) for t in ("A", "B", "Gone", "n.A")], "file_path string, full_name string, target string")
+    out = type_targets(g, rows, _nothing_imported(g), "java", "/r")
+    assert sorted((r.target, r.dst, r.b, r.known) for r in out.collect()) == [("A", None, None, True), ("B", "Class:m.B", "Class", True), ("Gone", None, None, False), ("n.A", "Class:n.A", "Class", True)]
+    assert "count(distinct" not in out._jdf.queryExecution().optimizedPlan().toString()
