@@ -86,3 +86,13 @@ def test_names_are_settled_by_one_shuffle_of_what_they_may_be(spark):
     out = type_targets(g, rows, _nothing_imported(g), "java", "/r")
     assert sorted((r.target, r.dst, r.b, r.known) for r in out.collect()) == [("A", None, None, True), ("B", "Class:m.B", "Class", True), ("Gone", None, None, False), ("n.A", "Class:n.A", "Class", True)]
     assert "count(distinct" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_star_graph_is_read_by_type(spark, sf_dir):
+    """One table of calls is not read for what else there is, and executors' memory holds no copy of the graph."""
+    from weftgraph.sources.star import star_graph
+
+    g = star_graph(spark, sf_dir)
+    assert not g.edges.storageLevel.useMemory and not g.nodes.storageLevel.useMemory
+    plan = g.edge("CALLS")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"PartitionFilters: \[[^\]]*type#", plan)) == 2
