@@ -88,6 +88,24 @@ def test_names_are_settled_by_one_shuffle_of_what_they_may_be(spark):
     assert "count(distinct" not in out._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_levels_of_trails_shuffle_no_edges(spark, monkeypatch):
+    from weftgraph.plans import expand
+
+    plans = []
+    keep = expand.staged
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(expand, "staged", seen)
+    edges = keep(spark.range(200_000).selectExpr("concat('n', id) AS src", "concat('n', id + 1) AS dst", "id AS edge_id"), "edges")
+    out = expand.trails(edges, edges.where("src = 'n7'").selectExpr("src AS node"), 1, 3)
+    plans.append(out._jdf.queryExecution().sparkPlan().toString())
+    assert sorted((r.node, r.depth) for r in out.collect()) == [("n10", 3), ("n8", 1), ("n9", 2)]
+    assert all("SortMergeJoin" not in p for p in plans) and "BroadcastHashJoin" in plans[-1]
+
+
 def test_the_star_graph_is_read_by_type(spark, sf_dir):
     """One table of calls is not read for what else there is, and executors' memory holds no copy of the graph."""
     from weftgraph.sources.star import star_graph
