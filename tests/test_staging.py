@@ -114,3 +114,19 @@ def test_the_star_graph_is_read_by_type(spark, sf_dir):
     assert not g.edges.storageLevel.useMemory and not g.nodes.storageLevel.useMemory
     plan = g.edge("CALLS")._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"PartitionFilters: \[[^\]]*type#", plan)) == 2
+
+
+def test_siblings_are_not_gathered_to_be_told_apart(spark):
+    """As many rows as methods times classes: they are made distinct, not made so by an aggregate of them all."""
+    from weftgraph.graph import PropertyGraph
+    from weftgraph.operators.lookup import siblings
+    from weftgraph.schema import edge_columns, node_columns
+    from pyspark.sql import functions as F
+
+    named = spark.createDataFrame([("Class", c) for c in ("a.A", "a.B", "a.C")] + [("Interface", "a.I")], "label string, fn string")
+    nodes = named.select(node_columns(node_id=F.concat("label", F.lit(":"), "fn"), kind_label=F.col("label"), full_name=F.col("fn")))
+    said = spark.createDataFrame([(c,) for c in ("a.A", "a.B", "a.C", "a.C")], "c string")
+    g = PropertyGraph(nodes, said.select(edge_columns(F.concat(F.lit("Class:"), "c"), F.lit("Interface:a.I"), "IMPLEMENTS")))
+    out = siblings(g, spark.createDataFrame([("a.A.m", "a.I", "a.A"), ("a.B.m", "a.I", "a.B")], "of string, interface string, owner string"))
+    assert sorted(map(tuple, out.collect())) == [("a.A.m", "a.B"), ("a.A.m", "a.C"), ("a.B.m", "a.A"), ("a.B.m", "a.C")]
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
