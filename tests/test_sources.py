@@ -321,3 +321,24 @@ def test_a_reference_without_a_column_has_one_caller(spark):
     refs = spark.createDataFrame([("a.helper", "/r/a.py", 4, None), ("a.helper", "/r/a.py", 5, 0), ("a.helper", "/r/a.py", 5, 0), ("a.helper", "/r/a.py", 1, 4)], "callee string, file_path string, line int, col int")
     got = build.reference_sites(g, refs).select("src", "line", "col").collect()
     assert sorted(map(tuple, got), key=lambda r: r[1]) == [("Method:a.user", 4, None), ("Class:a", 5, 0)]
+
+
+def test_calls_alone_are_those_of_the_graph(spark, monkeypatch):
+    """Imports, fields that are inherited, results, stubs and a class that two files hold: the calls need no folders and no CONTAINS edges."""
+    from weftgraph.sources import brace_source
+
+    base = "package a;\nclass Repo { void save(int n) { } void save(int n, int m) { } Repo next() { return this; } }\nclass Base { Repo repo; RestTemplate http; void go() { http.put(1); } }\n"
+    user = "package b;\nimport a.Repo;\nimport a.Base;\nclass User extends Base { Repo mk() { return new Repo(); } void run(int n, Repo q) { repo.save(1); q.save(1, 2); var v = mk(); v.next().save(3); lost.save(4); go(); } }\n"
+    texts = spark.createDataFrame([("/r/a/Base.java", base), ("/r/a/Twice.java", "package a;\nclass Twice { void one() { one(); } }\n"), ("/r/c/Twice.java", "package a;\nclass Twice { void one() { one(); } }\n"), ("/r/b/User.java", user)], "path string, text string")
+    parts = []
+    keep = build.staged
+    with monkeypatch.context() as m:
+        m.setattr(build, "staged", lambda df, name, by=None: parts.append(name) or keep(df, name, by))
+        got = build.source_calls(brace_source.staging(texts, "/r", build.CALL_KINDS, build.CALL_COLUMNS), "/r", "java")
+        got = {(r.src, r.dst, len(r.call_sites)) for r in got.collect()}
+    assert not {"folders", "symbols", "edges"} & set(parts)
+    want = build.source_graph(brace_source.staging(texts, "/r"), "/r", "java").edge("CALLS").collect()
+    run = "Method:b.User.run(int,Repo)"
+    assert got == {(r.src, r.dst, len(r.call_sites)) for r in want} == {
+        (run, "Method:a.Repo.save(int)", 2), (run, "Method:a.Repo.save(int,int)", 1), (run, "Method:b.User.mk()", 1), (run, "Method:a.Repo.next()", 1), (run, "Method:a.Base.go()", 1),
+        ("Method:a.Twice.one()", "Method:a.Twice.one()", 1), ("Method:a.Base.go()", "Method:a.Base.http.put", 1)}
